@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import cooccurrence, leakage, packing, tokenize
+from . import cooccurrence, leakage, packing, pii, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.frequent_pairs(read_table(spark, sf_dir, "ner_results"), read_table(spark, sf_dir, "contradictions"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_items(read_table(spark, sf_dir, "content_blocks"), read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "speaker_roster"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(read_table(spark, sf_dir, "content_blocks"), read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "speaker_roster"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "cleaned_blocks"))
 
@@ -29,7 +37,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
