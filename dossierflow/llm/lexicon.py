@@ -23,7 +23,7 @@ NICKNAMES = {
 }
 
 # Titles and forms of address.
-TITLES = frozenset("mr mrs ms miss dr prof professor sir dame det detective sgt sergeant officer inspector insp const constable pc dc ds di supt counsel judge lady lord rev".split())
+TITLES = frozenset("mr mrs ms miss dr prof professor sir dame det detective sgt sergeant officer inspector insp const constable pc dc ds di supt counsel attorney atty solicitor barrister judge lady lord rev".split())
 
 #: Most distinct words a name vocabulary may have before it is refused (about 100 MB).
 MOST_WORDS = 1_000_000

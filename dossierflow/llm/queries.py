@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import cooccurrence, leakage, packing, pii, tokenize
+from . import cooccurrence, leakage, packing, pii, tokenize, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.frequent_pairs(read_table(spark, sf_dir, "ner_results"), read_table(spark, sf_dir, "contradictions"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(read_table(spark, sf_dir, "parsed_blocks"), read_table(spark, sf_dir, "speaker_roster"))
+
+
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(read_table(spark, sf_dir, "parsed_blocks"), read_table(spark, sf_dir, "speaker_roster"), with_text=True)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_items(read_table(spark, sf_dir, "content_blocks"), read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "speaker_roster"))
 
@@ -37,7 +45,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_turns": p2_turns, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
