@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import cooccurrence, leakage, packing, pii, scans, tokenize, turns
+from . import cooccurrence, leakage, names, packing, pii, scans, tokenize, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(read_table(spark, sf_dir, "parsed_blocks"), read_table(spark, sf_dir, "speaker_roster"), with_text=True)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_nodes(read_table(spark, sf_dir, "ner_results"), read_table(spark, sf_dir, "graph_nodes"), read_table(spark, sf_dir, "contradictions"))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(read_table(spark, sf_dir, "ner_results"), read_table(spark, sf_dir, "graph_nodes"), read_table(spark, sf_dir, "contradictions"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.scan_findings(read_table(spark, sf_dir, "content_blocks"), read_table(spark, sf_dir, "parsed_blocks"))
 
@@ -53,7 +61,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_turns": p2_turns, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_turns": p2_turns, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
