@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import cooccurrence, leakage, names, packing, pii, scans, tokenize, turns
+from . import cooccurrence, leakage, names, packing, pii, scans, subjects, tokenize, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +60,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p9_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"), read_table(spark, sf_dir, "subject_areas"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_turns": p2_turns, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_turns": p2_turns, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_renamed": p9_renamed, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
