@@ -95,11 +95,12 @@ def hash_word(word: str) -> int:
     return value | (1 << 61)
 
 
-def _consistent(a: list[str], b: list[str]) -> bool:
-    """Whether two windows are equal up to a one-to-one renaming of their slots."""
+def _consistent(a: list[str], b: list[str], templates: Templates) -> bool:
+    """Whether two windows are equal up to a one-to-one renaming of slots of the same kind."""
     there: dict[str, str] = {}
     back: dict[str, str] = {}
-    return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, b))
+    slot = templates.slot
+    return all((x == y or slot(x) and slot(x) == slot(y)) and there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, b))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[int, list[str]], table: dict[int, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[i
                 for item, pos in table[key]:
                     theirs = items[item][pos : pos + size]
                     exact = mine == theirs
-                    if exact or _consistent(mine, theirs):
+                    if exact or _consistent(mine, theirs, templates):
                         count = out.setdefault((doc, item), [0, 0])
                         count[0 if exact else 1] += 1
         keys = list(out)
@@ -146,10 +147,10 @@ def _emit(batches: Iterator[pd.DataFrame], templates: Templates) -> Iterator[pd.
             yield pd.concat(parts)
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], templates: Templates) -> Iterator[pd.DataFrame]:
     for f in batches:
         exact = [list(a) == list(b) for a, b in zip(f["w"], f["v"])]
-        renamed = [not e and _consistent(list(a), list(b)) for e, a, b in zip(exact, f["w"], f["v"])]
+        renamed = [not e and _consistent(list(a), list(b), templates) for e, a, b in zip(exact, f["w"], f["v"])]
         yield pd.DataFrame({"doc_id": f["doc_id"], "item_id": f["item_id"], "copied": exact, "renamed": renamed}).astype({"copied": "int32", "renamed": "int32"})
 
 
@@ -187,7 +188,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, window: int = WINDOW, bro
         shape = "id BIGINT, h BIGINT, w ARRAY<STRING>"
         left = docs.mapInPandas(lambda fs: _emit(fs, sent.value), shape).withColumnRenamed("id", "doc_id")
         right = eval_items.select(F.col("item_id").cast("long"), "text").where("text is not null").mapInPandas(lambda fs: _emit(fs, sent.value), shape).select(F.col("id").alias("item_id"), "h", F.col("w").alias("v"))
-        raw = left.join(right, "h").mapInPandas(_compare, LEAKS)
+        raw = left.join(right, "h").mapInPandas(lambda fs: _compare(fs, sent.value), LEAKS)
     return raw.groupBy("doc_id", "item_id").agg(F.sum("copied").cast("int").alias("copied"), F.sum("renamed").cast("int").alias("renamed")).where("copied > 0 or renamed > 0")
 
 
