@@ -1,24 +1,291 @@
-"""Core queries and their SQL."""
+"""Core queries and their SQL.
+
+Each query runs over its whole tables. SQL is given where DuckDB can say the same
+over whole tables; queries without it are held against brute force in the tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import scores
+from ..functions import text as T
+from ..operators import answers, chunking, cleaning, contradictions, entities, extraction, graph, parsing, timeline, vectors
+from ..operators.base import once
 from ..operators.timestamps import normalize_timestamps
-from ..session import read_table
+from ..session import read_table, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query: Callable[..., DataFrame], *tables: str, sql: str | None = None) -> None:
+    """Register ``query`` over ``tables``."""
+    _QUERIES[name] = lambda spark, sf_dir: query(*[read_table(spark, sf_dir, t) for t in tables])
+    if sql:
+        _SQL[name] = sql
+
+
+# Views that several SQL texts use; rows delivered twice are equal but for their time of delivery.
+_CONTENT = "SELECT DISTINCT * EXCLUDE (ingested_at) FROM content_blocks"
+_PARSED = "SELECT DISTINCT * EXCLUDE (ingested_at) FROM parsed_blocks"
+_CLEANED = "SELECT DISTINCT * EXCLUDE (ingested_at) FROM cleaned_blocks"
+_CHUNKS = "SELECT DISTINCT * EXCLUDE (ingested_at) FROM chunks"
+_CONTRA = "SELECT DISTINCT ON (case_id, contradiction_id) * FROM contradictions"
+_SCORED = f"SELECT *, greatest(0.0, least(1.0, coalesce(confidence, 0.9))) AS score FROM ({_CONTENT})"
+_ENTITIES = "SELECT case_id, document_id, chunk_id, pos - 1 AS pos, e.entity_type AS entity_type, e.text AS text, e.confidence AS confidence FROM (SELECT case_id, document_id, chunk_id, unnest(entities) AS e, generate_subscripts(entities, 1) AS pos FROM (SELECT DISTINCT ON (document_id, chunk_id) * FROM ner_results))"
+_NODE_TYPE = "CASE WHEN upper(entity_type) IN ('PERSON', 'WITNESS', 'SUSPECT') THEN 'Person' WHEN upper(entity_type) IN ('LOCATION', 'ADDRESS') THEN 'Location' WHEN upper(entity_type) = 'TIME' THEN 'Event' WHEN upper(entity_type) IN ('EVIDENCE', 'WEAPON', 'PHONE') THEN 'Evidence' END"
+_NODES = f"SELECT *, node_type || ':' || lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) || ':' || case_id AS node_id FROM (SELECT *, {_NODE_TYPE} AS node_type FROM ({_ENTITIES})) WHERE node_type IS NOT NULL AND text IS NOT NULL"
+_EVENTS = f"""
+    SELECT case_id, document_id, block_id, ord, pos - 1 AS pos, t.iso AS ts, speaker, least(coalesce(confidence, 1.0), coalesce(t.confidence, 1.0)) AS confidence, t.original AS original
+    FROM (SELECT *, unnest(normalized_timestamps) AS t, generate_subscripts(normalized_timestamps, 1) AS pos FROM ({_CLEANED}))
+    WHERE coalesce(t.iso, '') <> ''
+"""
+_NUMBERED = f"SELECT *, format('EVT_{{}}_{{:04d}}', translate(case_id, '- ', '__'), row_number() OVER (PARTITION BY case_id ORDER BY document_id, ord, block_id, pos)) AS event_id, try_cast(ts AS TIMESTAMP) AS moment FROM ({_EVENTS})"
+_GAPS = f"""
+    SELECT case_id, event_id AS before_id, next_id AS after_id, ts AS start, next_ts AS "end", minutes,
+           CASE WHEN minutes >= 120 THEN 'SIGNIFICANT' ELSE 'MODERATE' END AS severity, least(confidence, next_confidence) AS confidence
+    FROM (
+        SELECT *, date_sub('minute', moment, next_moment) AS minutes FROM (
+            SELECT *, lead(event_id) OVER w AS next_id, lead(ts) OVER w AS next_ts, lead(moment) OVER w AS next_moment, lead(confidence) OVER w AS next_confidence
+            FROM ({_NUMBERED}) WINDOW w AS (PARTITION BY case_id ORDER BY moment NULLS FIRST, event_id)
+        )
+    ) WHERE minutes >= 60
+"""
+
+
+def _conflict_sql(by: str, what: str, events: str = _NUMBERED) -> str:
+    value = by if by == "document_id" else f"nullif({by}, '')"
+    return f"""
+        SELECT case_id, ts, 'Multiple events at same time {what}: ' || array_to_string(vals, ', ') AS reason, array_to_string(ids, ',') AS event_ids, array_to_string(blocks, ',') AS blocks, confidence
+        FROM (
+            SELECT case_id, ts, list_sort(list_distinct(list({value}) FILTER ({value} IS NOT NULL))) AS vals, list_sort(list(event_id)) AS ids,
+                   list_sort(list_distinct(list(document_id || '/' || block_id))) AS blocks, min(confidence) AS confidence
+            FROM ({events}) GROUP BY case_id, ts
+        ) WHERE len(vals) > 1
+    """
+
+
+def _flat(df: DataFrame, *columns: str) -> DataFrame:
+    """Arrays as text, so that both engines compare plain values."""
+    return df.withColumns({c: F.array_join(F.col(c), ",") for c in columns})
+
+
+# --- timestamps, extraction -------------------------------------------------
+
+_add("p3_found", normalize_timestamps, "cleaned_blocks", "offices")
+_add("block_types", extraction.block_types, "content_blocks", sql=f"""
+    SELECT document_id, CASE WHEN type LIKE '%paragraph%' OR type LIKE '%text%' THEN 'paragraph' WHEN type LIKE '%heading%' OR type LIKE '%title%' THEN 'heading' WHEN type LIKE '%table%' THEN 'table'
+        WHEN type LIKE '%list_item%' THEN 'list_item' WHEN type LIKE '%caption%' THEN 'caption' WHEN type LIKE '%footnote%' THEN 'footnote' WHEN type LIKE '%code%' THEN 'code'
+        WHEN type LIKE '%formula%' OR type LIKE '%equation%' THEN 'formula' ELSE 'paragraph' END AS type, count(*) AS n
+    FROM (SELECT document_id, block_id, lower(type) AS type FROM ({_CONTENT})) GROUP BY ALL""")
+_PAGES = f"""
+    SELECT p.document_id, p.page, coalesce(c.confidence, 1.0) AS confidence
+    FROM (SELECT document_id, unnest(range(1, max(page) + 1))::INT AS page FROM ({_SCORED}) GROUP BY document_id) p
+    LEFT JOIN (SELECT document_id, page, round(avg(score), 9) AS confidence FROM ({_SCORED}) GROUP BY ALL) c USING (document_id, page)"""
+_add("page_confidence", extraction.page_confidence, "content_blocks", sql=_PAGES)
+_add("low_confidence_pages", extraction.low_pages, "content_blocks", sql=f"SELECT * FROM ({_PAGES}) WHERE confidence < 0.7")
+_add("document_confidence", extraction.document_confidence, "content_blocks", sql=f"""
+    SELECT document_id, round(sum(score * greatest(1, coalesce(length(text), 0))) / sum(greatest(1, coalesce(length(text), 0))), 9) AS weighted, round(avg(score), 9) AS plain, count(*) AS n_blocks
+    FROM ({_SCORED}) GROUP BY document_id""")
+_add("renumbered_blocks", extraction.renumbered, "content_blocks", sql=f"SELECT document_id, ord, block_id, 'b' || row_number() OVER (PARTITION BY document_id ORDER BY ord, block_id) AS new_id FROM ({_CONTENT})")
+_add("block_hashes", extraction.block_hashes, "content_blocks", sql=f"SELECT document_id, block_id, 'sha256:' || sha256(text) AS hash FROM ({_CONTENT})")
+
+# --- parsing ----------------------------------------------------------------
+
+_BARE = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
+_NUMBER = " OR ".join(f"regexp_matches({_BARE}, '{p}')" for p in (r"(?i)^\s*page\s+\d+\s*(?:of|/)\s*\d+\s*$", r"^\s*[-—]+\s*\d+\s*[-—]+\s*$", r"^\s*\d+\s*$", r"(?i)^\s*[\[(]?\s*page\s*\d+\s*[\])]?\s*$", r"^\s*\d+\s*\|\s*.+$|^.+\s*\|\s*\d+\s*$"))
+_add("page_furniture", parsing.page_furniture, "parsed_blocks", sql=rf"""
+    WITH own AS (SELECT *, {_BARE} AS bare FROM ({_PARSED})), placed AS (
+        SELECT document_id, block_id, page, coalesce(({_NUMBER}) AND bare <> '', false) AS number,
+               CASE WHEN length(bare) <= 100 AND bare <> '' THEN lower(regexp_replace(bare, '\s+', ' ', 'g')) END AS key,
+               row_number() OVER (PARTITION BY document_id, page ORDER BY ord, block_id) AS rank, count(*) OVER (PARTITION BY document_id, page) AS of
+        FROM own
+    ), pages AS (SELECT document_id, key, count(DISTINCT page) AS pages FROM placed WHERE key IS NOT NULL GROUP BY ALL)
+    SELECT p.document_id, p.block_id, NOT number AND coalesce(pages, 0) >= 2 AND NOT (rank = of AND rank > 1) AS is_header,
+           number OR (coalesce(pages, 0) >= 2 AND rank = of AND rank > 1) AS is_footer
+    FROM placed p LEFT JOIN pages g ON p.document_id = g.document_id AND p.key = g.key""")
+_add("sections", parsing.sections, "content_blocks", sql=rf"""
+    WITH own AS (SELECT document_id, block_id, ord, {_BARE} AS bare FROM ({_CONTENT})),
+    labelled AS (SELECT *, upper(regexp_replace(regexp_replace(regexp_replace(bare, '^[.:;\-–—]+', ''), '[.:;\-–—]+$', ''), '\s+', ' ', 'g')) AS label FROM own),
+    named AS (SELECT document_id, block_id, ord, CASE WHEN bare = '' OR length(bare) > 50 THEN NULL
+        WHEN label IN ({", ".join(f"'{k}'" for k in T.SECTION_KEYWORDS)}) THEN label
+        WHEN regexp_matches(bare, '^(?:\d+\.|\(?[IVXLC]+[.)])\s*([A-Z][A-Z\s]+)$') THEN upper(regexp_extract(bare, '^(?:\d+\.|\(?[IVXLC]+[.)])\s*([A-Z][A-Z\s]+)$', 1))
+        WHEN length(bare) <= 30 AND regexp_matches(bare, '^[A-Z][A-Z\s\-–—:.]+$') THEN label END AS name FROM labelled)
+    SELECT document_id, block_id, last_value(name IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM named""")
+_add("speakers", parsing.speakers, "content_blocks")
+_add("timestamp_spans", parsing.timestamp_spans, "content_blocks")
+_add("parsed", lambda b: _flat(parsing.parse_blocks(b), "raw_timestamps"), "content_blocks")
+_add("speaker_roles", lambda b: once(b.select("document_id", "chunk_id", "speaker"), "document_id", "chunk_id").select("document_id", "chunk_id", T.role_of(F.col("speaker")).alias("role"), T.expand_rank(F.col("speaker")).alias("label")), "chunks")
+
+# --- cleaning ---------------------------------------------------------------
+
+_add("whitespace", lambda d: d.select("doc_id", F.sha2(T.normalize_whitespace(F.col("text")), 256).alias("hash")), "documents", sql=r"""
+    SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+', ''), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$', '')) AS hash
+    FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)""")
+_add("cleaned_text", cleaning.clean_blocks, "content_blocks")
+_add("cleaned_documents", lambda d: (ship_package(d.sparkSession), d.select("doc_id", T.clean_text(F.col("text")).alias("text")))[1], "documents")
+_add("timestamp_readings", cleaning.readings, "cleaned_blocks")
+_CLOCK = r"(?i)^(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([ap]m)?$"
+_add("time_classes", cleaning.time_classes, "cleaned_blocks", sql=rf"""
+    WITH own AS (SELECT document_id, block_id, pos - 1 AS pos, trim(raw) AS r FROM (SELECT document_id, block_id, unnest(raw_timestamps) AS raw, generate_subscripts(raw_timestamps, 1) AS pos FROM ({_CLEANED})) WHERE raw IS NOT NULL),
+    parts AS (SELECT *, try_cast(regexp_extract(r, '{_CLOCK}', 1) AS INT) AS h, try_cast(regexp_extract(r, '{_CLOCK}', 2) AS INT) AS m, coalesce(try_cast(regexp_extract(r, '{_CLOCK}', 3) AS INT), 0) AS s,
+                     upper(regexp_extract(r, '{_CLOCK}', 4)) AS half, regexp_extract(r, '(?i)^(\d{{4}})\s*(?:hours?|hrs?)$', 1) AS mil FROM own),
+    hours AS (SELECT *, CASE WHEN half = 'PM' AND h <> 12 THEN h + 12 WHEN half = 'AM' AND h = 12 THEN 0 ELSE h END AS hour FROM parts),
+    kinds AS (SELECT *, CASE WHEN regexp_matches(r, '(?i)^(?:yesterday|today|tonight|tomorrow)$|^(?:last|this|next)\s+|^the\s+(?:night|morning|afternoon|evening)\s+of$|^(?:around|approximately|about|approx\.?)\s+') THEN 'vague'
+        WHEN regexp_matches(r, '{_CLOCK}') OR mil <> '' OR regexp_matches(r, '(?i)^\d{{1,2}}\s+o.clock(?:\s*[ap]m)?$') THEN 'time'
+        WHEN regexp_matches(r, '^\d{{4}}-\d{{2}}-\d{{2}}') OR regexp_matches(r, '(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}') THEN 'one_way' ELSE 'other' END AS kind FROM hours)
+    SELECT document_id, block_id, pos::INT AS pos, kind, CASE WHEN kind <> 'time' THEN NULL WHEN mil <> '' AND mil[1:2]::INT <= 23 AND mil[3:4]::INT <= 59 THEN mil[1:2]::INT * 3600 + mil[3:4]::INT * 60
+        WHEN hour <= 23 AND m <= 59 AND s <= 59 THEN hour * 3600 + m * 60 + s END AS seconds FROM kinds""")
+
+# --- chunks -----------------------------------------------------------------
+
+_add("boundary_groups", chunking.boundary_groups, "cleaned_blocks", sql=rf"""
+    SELECT document_id, page, speaker, row_number() OVER (PARTITION BY document_id ORDER BY first_ord, page, speaker NULLS FIRST) AS grp, n_blocks, n_tokens::BIGINT AS n_tokens, confidence
+    FROM (SELECT document_id, page, speaker, min(ord) AS first_ord, count(*) AS n_blocks, sum(len(regexp_extract_all(coalesce(clean_text, ''), '\S+'))) AS n_tokens, coalesce(min(greatest(0.0, least(1.0, confidence))), 1.0) AS confidence
+          FROM ({_CLEANED}) GROUP BY ALL)""")
+_add("chunked", lambda b: _flat(chunking.chunk_blocks(b, most=200), "page_range", "source_block_ids"), "cleaned_blocks")
+_add("boundary_check", chunking.boundary_check, "chunks", "cleaned_blocks", sql=f"""
+    SELECT c.document_id, c.chunk_id, count(DISTINCT b.page) <= 1 AS one_page, count(DISTINCT coalesce(b.speaker, chr(1))) <= 1 AS one_speaker
+    FROM (SELECT document_id, chunk_id, unnest(source_block_ids) AS block_id FROM ({_CHUNKS})) c JOIN ({_CLEANED}) b ON c.document_id = b.document_id AND c.block_id = b.block_id GROUP BY ALL""")
+
+# --- entities and graph -----------------------------------------------------
+
+_add("rule_entities", entities.extract, "chunks")
+_add("merged_entities", lambda c, n: entities.merge(entities.extract(c), entities.listed_entities(n).select("case_id", "document_id", "chunk_id", "entity_type", "text", "start_char", "end_char", "confidence", F.lit("model").alias("source"), "role")).drop("entity_id"), "chunks", "ner_results")
+_add("graph_nodes", lambda n: graph.nodes(entities.listed_entities(n)), "ner_results", sql=f"""
+    SELECT node_id, any_value(node_type) AS node_type, any_value(case_id) AS case_id, arg_min(text, (document_id, chunk_id, pos)) AS name, arg_min(document_id, (document_id, chunk_id, pos)) AS document_id,
+           arg_min(chunk_id, (document_id, chunk_id, pos)) AS chunk_id, arg_min(confidence, (document_id, chunk_id, pos)) AS confidence, max(confidence) AS best, count(*) AS n
+    FROM ({_NODES}) GROUP BY node_id""")
+_add("document_nodes", graph.document_nodes, "chunks", sql=f"SELECT 'Document:' || lower(document_id) || ':' || case_id AS node_id, case_id, document_id, arg_min(chunk_id, (ord, chunk_id)) AS chunk_id FROM ({_CHUNKS}) GROUP BY ALL")
+_add("graph_upsert", graph.upsert, "graph_nodes", sql="""
+    SELECT node_id, case_id, any_value(node_type) AS node_type, arg_min(properties['name'], (provenance.document_id, provenance.source_chunk_id, provenance.confidence)) AS name, max(provenance.confidence) AS confidence,
+           count(DISTINCT provenance.document_id) AS n_documents FROM graph_nodes GROUP BY ALL""")
+
+
+def _edge_sql(kind: str, cue: str, left: str, right: str, first: bool = False) -> str:
+    source = f"SELECT case_id, document_id, chunk_id, {'arg_min(node_id, pos)' if first else 'node_id'} AS from_node FROM ({_NODES}) WHERE entity_type IN ({left}) {'GROUP BY ALL' if first else ''}"
+    return f"""
+        SELECT s.case_id, s.document_id, s.chunk_id, '{kind}' AS edge_type, s.from_node, t.node_id AS to_node
+        FROM ({source}) s JOIN (SELECT DISTINCT document_id, chunk_id, case_id FROM ({_CHUNKS}) WHERE regexp_matches(lower(text), '{cue}')) c USING (case_id, document_id, chunk_id)
+        JOIN (SELECT * FROM ({_NODES}) WHERE entity_type IN ({right})) t USING (case_id, document_id, chunk_id)"""
+
+
+_LISTED = {"PEOPLE": "'PERSON', 'WITNESS', 'SUSPECT'", "THINGS": "'EVIDENCE', 'WEAPON', 'PHONE'", "PLACES": "'LOCATION', 'ADDRESS'"}
+_add("edges_witnessed", lambda c, n: graph.witnessed(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_edge_sql("WITNESSED", r"\b(?:saw|witnessed|observed|noticed|watched)\b", _LISTED["PEOPLE"], "'TIME'"))
+_add("edges_found_in", lambda c, n: graph.found_in(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_edge_sql("FOUND_IN", r"\b(?:found|located|discovered)\s+(?:at|in|near)\b", _LISTED["THINGS"], _LISTED["PLACES"]))
+_add("edges_owns", lambda c, n: graph.owns(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_edge_sql("OWNS", r"\b(?:his|her|their)\s+(\w+)|(\w+(?:\s+\w+)?)''s\s+(\w+)|\b(?:owned\s+by|belongs?\s+to)\s+(\w+(?:\s+\w+)?)", _LISTED["PEOPLE"], _LISTED["THINGS"], first=True))
+_add("edges_argued", lambda c, n: graph.argued_with(c, entities.listed_entities(n)), "chunks", "ner_results")
+_add("edges_accompanied", lambda c, n: graph.accompanied_by(c, entities.listed_entities(n)), "chunks", "ner_results")
+_add("graph_edges", lambda c, n: graph.edges(c, entities.listed_entities(n)), "chunks", "ner_results")
+_add("graph_stats", lambda c, n: graph.stats(graph.nodes(entities.listed_entities(n)), graph.edges(c, entities.listed_entities(n))), "chunks", "ner_results")
+_add("edge_cues", lambda c: once(c.select("document_id", "chunk_id", "text"), "document_id", "chunk_id").select("document_id", "chunk_id", F.array_join(graph.edge_cues(F.col("text")), ",").alias("cues")), "chunks")
+_add("suspect_neighbours", lambda c, n: graph.neighbours(graph.edges(c, entities.listed_entities(n)), graph.nodes(entities.listed_entities(n).where("entity_type = 'SUSPECT'"))), "chunks", "ner_results")
+_add("entity_types", lambda n: entities.listed_entities(n).groupBy("case_id", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")), "ner_results", sql=f"SELECT case_id, entity_type, count(*) AS n, round(avg(confidence), 6) AS confidence FROM ({_ENTITIES}) GROUP BY ALL")
+
+# --- timelines --------------------------------------------------------------
+
+_events = timeline.events_from_blocks
+_add("timeline_events", _events, "cleaned_blocks", sql=f"SELECT case_id, document_id, block_id, pos::INT AS pos, event_id, ts, speaker, confidence, original FROM ({_NUMBERED})")
+_add("timeline_sorted", lambda b: timeline.sorted_events(_events(b)).select("case_id", "event_id", "ts", "position"), "cleaned_blocks", sql=f"SELECT case_id, event_id, ts, row_number() OVER (PARTITION BY case_id ORDER BY moment NULLS FIRST, event_id) AS position FROM ({_NUMBERED})")
+_add("timeline_gaps", lambda b: timeline.gaps(_events(b)), "cleaned_blocks", sql=_GAPS)
+_add("gap_summary", lambda b: timeline.gap_summary(timeline.gaps(_events(b))), "cleaned_blocks", sql=f"SELECT case_id, count(*) AS total, count(*) FILTER (severity = 'MODERATE') AS moderate, count(*) FILTER (severity = 'SIGNIFICANT') AS significant, sum(minutes)::BIGINT AS minutes FROM ({_GAPS}) GROUP BY case_id")
+_add("largest_gap", lambda b: timeline.largest_gap(timeline.gaps(_events(b))), "cleaned_blocks", sql=f"SELECT DISTINCT ON (case_id) case_id, before_id, after_id, start, \"end\", minutes, severity FROM ({_GAPS}) ORDER BY case_id, minutes DESC, start, before_id")
+_add("timeline_conflicts", lambda b: _flat(timeline.conflicts(_events(b)), "event_ids", "blocks"), "cleaned_blocks", sql=_conflict_sql("speaker", "with different speakers"))
+_add("document_conflicts", lambda b: _flat(timeline.conflicts(_events(b), "document_id"), "event_ids", "blocks"), "cleaned_blocks", sql=_conflict_sql("document_id", "from different documents"))
+_HOURLY = f"SELECT * REPLACE (ts[1:13] || ':00:00' AS ts) FROM ({_NUMBERED})"
+_hourly = lambda b: timeline.conflicts(timeline.by_hour(_events(b)))
+_add("hourly_conflicts", lambda b: _flat(_hourly(b), "event_ids", "blocks"), "cleaned_blocks", sql=_conflict_sql("speaker", "with different speakers", _HOURLY))
+_add("conflict_summary", lambda b: timeline.conflict_summary(_hourly(b)), "cleaned_blocks", sql=f"SELECT case_id, count(*) AS total, count(DISTINCT ts) AS unique_timestamps, sum(len(string_split(event_ids, ',')))::BIGINT AS total_events FROM ({_conflict_sql('speaker', 'x', _HOURLY)}) GROUP BY case_id")
+_add("blocks_in_conflict", lambda b: timeline.blocks_in_conflict(_hourly(b)), "cleaned_blocks", sql=f"SELECT DISTINCT case_id, unnest(string_split(blocks, ',')) AS block FROM ({_conflict_sql('speaker', 'x', _HOURLY)})")
+_add("event_confidence", lambda b: timeline.confidence_summary(_events(b)), "cleaned_blocks", sql=f"SELECT case_id, round(avg(confidence), 6) AS mean, count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS medium, count(*) FILTER (confidence < 0.7) AS low, count(*) FILTER (confidence < 0.7) AS below FROM ({_EVENTS}) GROUP BY case_id")
+_add("time_range", lambda b: timeline.time_range(_events(b)), "cleaned_blocks", sql=f"SELECT case_id, arg_min(ts, (moment, ts)) AS first, arg_max(ts, (moment, ts)) AS last FROM ({_NUMBERED}) WHERE moment IS NOT NULL GROUP BY case_id")
+_add("chronology", lambda b: timeline.chronology(_events(b)), "cleaned_blocks", sql=f"SELECT document_id, bool_and(ok) AS ordered, count(*) AS n FROM (SELECT document_id, coalesce(lag(moment) OVER (PARTITION BY document_id ORDER BY event_id) <= moment, true) AS ok FROM ({_NUMBERED}) WHERE moment IS NOT NULL) GROUP BY document_id")
+
+
+def _activity(events: DataFrame) -> DataFrame:
+    """Gaps of each user over the event stream's whole table."""
+    own = events.select(F.col("user_id").cast("string").alias("case_id"), F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.lit(1.0).alias("confidence"))
+    return timeline.gaps(own).select(F.col("case_id").cast("long").alias("user_id"), "start", "end", "minutes", "severity")
+
+
+_add("user_gaps", _activity, "events", sql="""
+    SELECT user_id, strftime(moment, '%Y-%m-%d %H:%M:%S') AS start, strftime(next, '%Y-%m-%d %H:%M:%S') AS "end", date_sub('minute', moment, next) AS minutes, CASE WHEN date_sub('minute', moment, next) >= 120 THEN 'SIGNIFICANT' ELSE 'MODERATE' END AS severity
+    FROM (SELECT user_id, moment, lead(moment) OVER (PARTITION BY user_id ORDER BY moment, event_id::VARCHAR) AS next FROM (SELECT user_id, event_id, date_trunc('second', ts::TIMESTAMP) AS moment FROM events)) WHERE date_sub('minute', moment, next) >= 60""")
+
+# --- contradictions ---------------------------------------------------------
+
+_add("contradiction_summary", contradictions.summary, "contradictions", sql=f"SELECT case_id, type, severity, count(*) AS n FROM ({_CONTRA}) GROUP BY ALL")
+_add("severities", contradictions.severities, "contradictions", sql=f"""
+    SELECT contradiction_id, case_id, severity AS stored, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][greatest(1, least(4, CASE type WHEN 'TIME_CONFLICT' THEN 2 WHEN 'LOCATION_CONFLICT' THEN 3 WHEN 'STATEMENT_VS_EVIDENCE' THEN 4 WHEN 'DENIAL_VS_ASSERTION' THEN 3 ELSE 2 END
+        + (CASE WHEN confidence >= 0.9 THEN 1 ELSE 0 END) - (CASE WHEN confidence < 0.6 THEN 1 ELSE 0 END) + (CASE WHEN coalesce(len(shared_entities), 0) >= 2 THEN 1 ELSE 0 END)))] AS computed,
+        coalesce(severity = 'CRITICAL', false) AS critical FROM ({_CONTRA})""")
+
+
+def _says(side: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(coalesce({side}.text, '')), '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+_SCORE = f"(CASE WHEN {_says('chunk_a', T.DENIAL_WORDS)} <> {_says('chunk_b', T.DENIAL_WORDS)} THEN 0.3 ELSE 0 END) + (CASE WHEN ({_says('chunk_a', ('home',))} AND {_says('chunk_b', ('scene',))}) OR ({_says('chunk_a', ('scene',))} AND {_says('chunk_b', ('home',))}) THEN 0.4 ELSE 0 END)"
+_add("opposed_texts", contradictions.opposed_texts, "contradictions", sql=f"SELECT contradiction_id, case_id, CASE WHEN s > 0.5 THEN 'contradiction' WHEN s > 0.2 THEN 'neutral' ELSE 'entailment' END AS label, CASE WHEN s > 0.5 THEN least(s, 0.95)::DOUBLE WHEN s > 0.2 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM (SELECT *, {_SCORE} AS s FROM ({_CONTRA}))")
+_add("judged_pairs", lambda c: _flat(contradictions.numbered(contradictions.judged(c)), "shared"), "contradictions")
+_add("claim_members", lambda n, c: contradictions.membership(entities.listed_entities(n), c), "ner_results", "chunks")
+_add("claim_pairs", lambda n, c: contradictions.class_pairs(entities.listed_entities(n), c), "ner_results", "chunks")
+_CUES = [("denies", T.DENIALS), ("asserts", T.ASSERTIONS)]
+_add("claim_cues", lambda c: contradictions.claims(c).select("document_id", "chunk_id", "denies", "asserts", "physical"), "chunks", sql="SELECT document_id, chunk_id, "
+     + ", ".join("(" + " OR ".join(f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + f") AS {name}" for name, patterns in _CUES)
+     + ", (" + " OR ".join(f"contains(lower(text), '{w}')" for w in T.EVIDENCE_WORDS) + f") AS physical FROM ({_CHUNKS}) WHERE text IS NOT NULL")
+_add("contradictions_of_suspects", lambda c, n: contradictions.of_chunks(c, entities.listed_entities(n).where("entity_type = 'SUSPECT'")).select("case_id", "contradiction_id", "type", "severity"), "contradictions", "ner_results", sql=f"""
+    SELECT case_id, contradiction_id, type, severity FROM ({_CONTRA}) c WHERE EXISTS (SELECT 1 FROM ({_ENTITIES}) e WHERE e.entity_type = 'SUSPECT' AND ((e.document_id = c.chunk_a.document_id AND e.chunk_id = c.chunk_a.chunk_id) OR (e.document_id = c.chunk_b.document_id AND e.chunk_id = c.chunk_b.chunk_id)))""")
+
+# --- vectors and answers ----------------------------------------------------
+
+_ASKED = "SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0"
+_NEAREST = f"""
+    SELECT * FROM (
+        SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS distance,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) AS rank, q.label AS query_label, v.label AS label
+        FROM ({_ASKED}) q CROSS JOIN embeddings v) WHERE rank <= 5"""
+_knn = lambda e: vectors.exact(vectors.every_fiftieth(e), e)
+_add("nearest", lambda e: _knn(e).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank"), "embeddings", sql=f"SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM ({_NEAREST})")
+_add("nearest_scored", lambda e: vectors.scored(_knn(e), 0.001).select("query_id", "vec_id", F.round("score", 6).alias("score")), "embeddings", sql=f"SELECT query_id, vec_id, round(1 / (1 + distance), 6) AS score FROM ({_NEAREST}) WHERE 1 / (1 + distance) >= 0.001")
+_add("nearest_in_case", lambda e: vectors.within_case(_knn(e), e).select("query_id", "vec_id", "rank", "label"), "embeddings", sql=f"SELECT query_id, vec_id, rank, label FROM ({_NEAREST}) WHERE label = query_label")
+_add("indexed_nearest", lambda e: vectors.CellIndex(e).search(vectors.every_fiftieth(e)).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank"), "embeddings")
+_add("index_recall", lambda e: vectors.recall(vectors.CellIndex(e).search(vectors.every_fiftieth(e)), _knn(e)), "embeddings")
+
+
+def _cited(contra: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """An answer for every contradiction: its two chunks are the sources, the timeline of its case the background."""
+    own = contra.dropDuplicates(["case_id", "contradiction_id"]).where("contradiction_id is not null")
+    query = F.concat_ws("/", "case_id", "contradiction_id")
+    side = lambda s, r: own.select(query.alias("query_id"), F.lit(r).alias("rank"), F.concat_ws("/", f"chunk_{s}.document_id", f"chunk_{s}.chunk_id").alias("chunk"), F.col(f"chunk_{s}.speaker").alias("speaker"), F.col(f"chunk_{s}.text").alias("text"), f"chunk_{s}.document_id", "case_id")
+    ranked = side("a", 1).unionByName(side("b", 2))
+    events = timeline.events_from_blocks(blocks)
+    near = ranked.select("query_id", "case_id", "document_id").distinct().join(events.select("document_id", "ts", "original"), "document_id")
+    gaps = answers.gaps_inside(timeline.gaps(events), near.select("query_id", "case_id", "ts"))
+    facts = own.select(query.alias("query_id"), F.col("chunk_a.speaker").alias("subject"), F.lower(F.translate("type", "_", " ")).alias("predicate"), F.col("chunk_b.speaker").alias("object")).where("subject is not null and object is not null")
+    told = own.select(query.alias("query_id"), "severity", "explanation", "type")
+    return answers.answer(ranked, facts, near.select("query_id", "ts", F.col("original").alias("description")), told, gaps)
+
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_timestamps(read_table(spark, sf_dir, "cleaned_blocks"), read_table(spark, sf_dir, "offices"))
+_add("cited_answers", lambda c, k, b: _flat(_cited(c, k, b), "limitations"), "contradictions", "chunks", "cleaned_blocks")
+_add("limitations", lambda c: c.dropDuplicates(["case_id", "contradiction_id"]).select("case_id", "contradiction_id", answers.contradiction_limitation(F.col("severity"), F.col("explanation"), F.col("type")).alias("limitation")), "contradictions", sql=f"""
+    SELECT case_id, contradiction_id, CASE WHEN coalesce(explanation, '') <> '' THEN 'Evidence contradiction (' || coalesce(severity, '') || '): ' || explanation ELSE 'Evidence contradiction detected: ' || coalesce(type, 'CONFLICT') END AS limitation FROM ({_CONTRA})""")
+_add("asked_names", lambda e: e.select("item_id", F.array_join(answers.asked_entities(F.col("text")), ",").alias("names")), "eval_items", sql=r"""
+    SELECT item_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[?.,!"'']+', ''), '[?.,!"'']+$', '')),
+        lambda w: w <> '' AND w NOT IN ('Who', 'What', 'When', 'Where', 'Why', 'How', 'Did', 'Does', 'Was', 'Were', 'Is', 'Are', 'The', 'A', 'An', 'To', 'From', 'With') AND regexp_matches(w, '^\p{Lu}')), ',') AS names FROM eval_items""")
+_add("answer_confidence", lambda c: c.dropDuplicates(["case_id", "contradiction_id"]).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("severity") == "CRITICAL", F.lit(False))).alias("critical")).select("case_id", "n", "critical", scores.answer_confidence(F.col("n"), F.col("critical"), F.lit(False)).alias("confidence")), "contradictions", sql=f"""
+    SELECT case_id, n, critical, round(least(0.9, 0.5 + n * 0.1)::DOUBLE * (CASE WHEN critical THEN 0.7::DOUBLE ELSE 1::DOUBLE END), 2) AS confidence FROM (SELECT case_id, count(*) AS n, bool_or(coalesce(severity = 'CRITICAL', false)) AS critical FROM ({_CONTRA}) GROUP BY case_id)""")
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
