@@ -222,7 +222,9 @@ DENIAL_WORDS = ("not", "never", "didn't", "wasn't", "weren't", "deny")
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(F.lower(text).rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    """Whether any of the patterns, all bounded by words, occurs: one boundary check for all of them."""
+    inner = [p.removeprefix(r"\b(?:").removesuffix(r")\b") for p in patterns]
+    return F.coalesce(F.lower(text).rlike(r"(?U)\b(?:" + "|".join(inner) + r")\b"), F.lit(False))
 
 
 def has_denial(text: Column) -> Column:

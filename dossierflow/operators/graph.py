@@ -16,8 +16,8 @@ NODE_TYPES = {
 WITNESSED = r"(?U)\b(?:saw|witnessed|observed|noticed|watched)\b"
 FOUND_IN = r"(?U)\b(?:found|located|discovered)\s+(?:at|in|near)\b"
 OWNS = r"(?U)\b(?:his|her|their)\s+(\w+)|(\w+(?:\s+\w+)?)'s\s+(\w+)|\b(?:owned\s+by|belongs?\s+to)\s+(\w+(?:\s+\w+)?)"
-ARGUED_WITH = r"(?U)(\w+(?:\s+\w+)?)\s+(?:argued|fought|quarreled|had\s+an?\s+argument)\s+with\s+(\w+(?:\s+\w+)?)"
-ACCOMPANIED_BY = r"(?U)(\w+(?:\s+\w+)?)\s+(?:with|accompanied\s+by|together\s+with)\s+(\w+(?:\s+\w+)?)"
+ARGUED_WITH = r"(?U)\b(\w+(?:\s+\w+)?)\s+(?:argued|fought|quarreled|had\s+an?\s+argument)\s+with\s+(\w+(?:\s+\w+)?)"
+ACCOMPANIED_BY = r"(?U)\b(\w+(?:\s+\w+)?)\s+(?:with|accompanied\s+by|together\s+with)\s+(\w+(?:\s+\w+)?)"
 # Phrases by which a text is said to hold an edge type.
 EDGE_CUES = {
     "WITNESSED": (r"\b(?:saw|witnessed|observed|noticed|watched)\b",),
@@ -84,9 +84,12 @@ def _pairs(chunks: DataFrame, entities: DataFrame, cue: str, left: tuple[str, ..
     return sources.select(*CHUNK, "from_node").join(_of(entities, right, "to_node").select(*CHUNK, "to_node"), CHUNK).select(*CHUNK, F.lit(kind).alias("edge_type"), "from_node", "to_node")
 
 
-def _spoken(chunks: DataFrame, entities: DataFrame, pattern: str, kind: str) -> DataFrame:
-    """Edges between the people named on both sides of a phrase; of several that fit a side the last holds."""
-    told = _text(chunks).where(F.col("low").rlike(pattern))
+def _spoken(chunks: DataFrame, entities: DataFrame, pattern: str, kind: str, cue: str) -> DataFrame:
+    """Edges between the people named on both sides of a phrase; of several that fit a side the last holds.
+
+    ``cue`` is a piece of text that every match of the pattern holds.
+    """
+    told = _text(chunks).where(F.col("low").contains(cue))
     sides = F.arrays_zip(F.regexp_extract_all("low", F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all("low", F.lit(pattern), F.lit(2)).alias("b"))
     hits = told.select(*CHUNK, F.posexplode(sides).alias("hit", "m")).select(*CHUNK, "hit", F.trim("m.a").alias("a"), F.trim("m.b").alias("b"))
     people = _of(entities, PEOPLE, "node")
@@ -111,11 +114,11 @@ def owns(chunks: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def argued_with(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    return _spoken(chunks, entities, ARGUED_WITH, "ARGUED_WITH")
+    return _spoken(chunks, entities, ARGUED_WITH, "ARGUED_WITH", "with")
 
 
 def accompanied_by(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    return _spoken(chunks, entities, ACCOMPANIED_BY, "ACCOMPANIED_BY")
+    return _spoken(chunks, entities, ACCOMPANIED_BY, "ACCOMPANIED_BY", "")
 
 
 def edges(chunks: DataFrame, entities: DataFrame) -> DataFrame:
