@@ -88,7 +88,7 @@ class Finder:
 
     def _kind(self, word: str) -> int:
         low = word.lower()
-        if low in PLACE_WORDS:
+        if low in PLACE_WORDS or word[0].isupper() and low.translate(_FOLD).replace("cl", "d") in PLACE_WORDS:
             return PLACE if word[0].isupper() else NONE
         if low in self.names.firsts:
             return FIRST if word[0].isupper() or low not in ORDINARY else MAYBE
