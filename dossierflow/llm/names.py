@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import discard, materialize, ship_package
 from .cooccurrence import clean_item
 from .lexicon import NICKNAMES, TITLES, deletes, near
 
@@ -237,7 +237,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``grp, kind, id, root`` of every node of undirected edges ``grp, kind, a, b``: the smallest id of its component.
+    """``grp, kind, id, root`` (and ``changed``) of every node of undirected edges ``grp, kind, a, b``: the smallest id of its component.
 
     Smallest labels travel along edges and, by pointer jumping, along labels, so
     that even long chains end after few rounds. Each round is written to the
@@ -246,12 +246,14 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     both = materialize(edges.unionByName(edges.select("grp", "kind", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "name-edges")
     roots = materialize(both.groupBy("grp", "kind", F.col("a").alias("id")).agg(F.min("b").alias("m")).select("grp", "kind", "id", F.least("id", "m").alias("root")), "name-roots")
     for _ in range(most_rounds):
-        near_by = both.join(roots.withColumnsRenamed({"id": "b", "root": "m"}), ["grp", "kind", "b"]).groupBy("grp", "kind", F.col("a").alias("id")).agg(F.min("m").alias("m"))
+        near_by = both.join(roots.select("grp", "kind", F.col("id").alias("b"), F.col("root").alias("m")), ["grp", "kind", "b"]).groupBy("grp", "kind", F.col("a").alias("id")).agg(F.min("m").alias("m"))
         jump = roots.select("grp", "kind", F.col("id").alias("root"), F.col("root").alias("far"))
-        moved = roots.join(near_by, ["grp", "kind", "id"]).join(jump, ["grp", "kind", "root"], "left")
+        moved = roots.select("grp", "kind", "id", "root").join(near_by, ["grp", "kind", "id"]).join(jump, ["grp", "kind", "root"], "left")
         new = materialize(moved.select("grp", "kind", "id", F.least("root", "m", F.coalesce("far", "root")).alias("root"), (F.least("root", "m", F.coalesce("far", "root")) != F.col("root")).alias("changed")), "name-roots")
-        roots = new.drop("changed")
-        if new.where("changed").isEmpty():
+        discard(roots)
+        roots = new
+        if roots.where("changed").isEmpty():
+            discard(both)
             return roots
     raise RuntimeError("components did not settle")
 
@@ -280,10 +282,12 @@ def resolve_names(spellings: DataFrame, rounds: int = 6) -> DataFrame:
         if edges.isEmpty():
             break
         roots = components(edges)
-        rooted = profiles.drop("keys").join(roots, ["grp", "kind", "id"], "left").withColumn("id", F.coalesce("root", "id")).drop("root")
+        rooted = profiles.drop("keys").join(roots.select("grp", "kind", "id", "root"), ["grp", "kind", "id"], "left").withColumn("id", F.coalesce("root", "id")).drop("root")
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
         merged = rooted.groupBy("grp", "kind", "id").agg(*[union(c) for c in ("spellings", "firsts", "initials", "middles", "names")])
-        profiles = materialize(merged.mapInArrow(_pooled, PROFILE), "name-profiles")
+        richer = materialize(merged.mapInArrow(_pooled, PROFILE), "name-profiles")
+        discard(profiles, edges, roots)
+        profiles = richer
     return profiles.select("grp", "kind", F.explode("spellings").alias("spelling"), F.col("id").alias("entity"))
 
 

@@ -179,7 +179,8 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labell
     number = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s, i)])[F.col("subject")]
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), number.cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
     bounded = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    texts = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(bounded, "doc_id"), "labelled")
+    # The limit bounds the labels to a few hundred bytes a row, so no text is shuffled to meet them.
+    texts = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(bounded), "doc_id"), "labelled")
     counted = {r["label"]: r["n"] for r in texts.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = texts.count()
     if not counted:
