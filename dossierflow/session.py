@@ -48,7 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._dossierflow_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table._dossierflow_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
