@@ -114,3 +114,14 @@ def best_chunks(hits: DataFrame, k: int = 5) -> DataFrame:
     """The k best of scored hits ``query_id, key, score``, with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def source_map(ranked: DataFrame) -> DataFrame:
+    """``query_id, sources``: map from rank to chunk."""
+    return ranked.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rank", "chunk")))).alias("sources"))
+
+
+def user_prompt(question: Column, context: Column, notes: Column) -> Column:
+    """What a language model is asked: the evidence, the limitations if there are any, and the question."""
+    known = F.when(F.size(notes) > 0, F.concat(F.lit("\n\nKnown limitations:\n- "), F.array_join(notes, "\n- "))).otherwise("")
+    return F.concat(F.lit("Evidence:\n"), context, known, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer only from the evidence and name the sources."))

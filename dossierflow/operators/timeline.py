@@ -113,3 +113,18 @@ def chronology(events: DataFrame) -> DataFrame:
     own = events.withColumn("at", instant(F.col("ts"))).where("at is not null")
     kept = own.withColumn("ok", F.coalesce(F.lag("at").over(order) <= F.col("at"), F.lit(True)))
     return kept.groupBy("document_id").agg(F.bool_and("ok").alias("ordered"), F.count(F.lit(1)).alias("n"))
+
+
+def low_events(events: DataFrame, least: float = 0.7) -> DataFrame:
+    return events.where(F.col("confidence") < least)
+
+
+def relevant(events: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Events whose ``on`` columns stand among ``keys``."""
+    return events.join(keys.select(*on).distinct(), list(on), "left_semi")
+
+
+def conflicts_among(found: DataFrame, events: DataFrame) -> DataFrame:
+    """Conflicts that one of the given events takes part in."""
+    each = found.select("case_id", "ts", "reason", "confidence", F.explode("event_ids").alias("event_id"))
+    return each.join(events.select("case_id", "event_id").distinct(), ["case_id", "event_id"], "left_semi").drop("event_id").distinct()

@@ -17,6 +17,8 @@ from ..operators import answers, chunking, cleaning, contradictions, entities, e
 from ..operators.base import once
 from ..operators.timestamps import normalize_timestamps
 from ..session import read_table, ship_package
+from ..sources import logs
+from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,7 +120,8 @@ _add("sections", parsing.sections, "content_blocks", sql=rf"""
         WHEN regexp_matches(bare, '^(?:\d+\.|\(?[IVXLC]+[.)])\s*([A-Z][A-Z\s]+)$') THEN upper(regexp_extract(bare, '^(?:\d+\.|\(?[IVXLC]+[.)])\s*([A-Z][A-Z\s]+)$', 1))
         WHEN length(bare) <= 30 AND regexp_matches(bare, '^[A-Z][A-Z\s\-–—:.]+$') THEN label END AS name FROM labelled)
     SELECT document_id, block_id, last_value(name IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM named""")
-_add("speakers", parsing.speakers, "content_blocks")
+_LABELS = [p.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''") for p in T.SPEAKER_PATTERNS]
+_add("speakers", parsing.speakers, "content_blocks", sql=f"SELECT document_id, block_id, CASE " + " ".join(rf"WHEN regexp_matches(bare, '{p}') THEN upper(trim(regexp_replace(regexp_extract(bare, '{p}', 1), '\s+', ' ', 'g')))" for p in _LABELS) + " END AS speaker, CASE " + " ".join(rf"WHEN regexp_matches(bare, '{p}') THEN regexp_replace(regexp_replace(bare, '{p}', ''), '\s+$', '')" for p in _LABELS) + f" ELSE text END AS rest FROM (SELECT *, {_BARE} AS bare FROM ({_CONTENT}))")
 _add("timestamp_spans", parsing.timestamp_spans, "content_blocks")
 _add("parsed", lambda b: _flat(parsing.parse_blocks(b), "raw_timestamps"), "content_blocks")
 _add("speaker_roles", lambda b: once(b.select("document_id", "chunk_id", "speaker"), "document_id", "chunk_id").select("document_id", "chunk_id", T.role_of(F.col("speaker")).alias("role"), T.expand_rank(F.col("speaker")).alias("label")), "chunks")
@@ -283,6 +286,50 @@ _add("answer_confidence", lambda c: c.dropDuplicates(["case_id", "contradiction_
     SELECT case_id, n, critical, round(least(0.9, 0.5 + n * 0.1)::DOUBLE * (CASE WHEN critical THEN 0.7::DOUBLE ELSE 1::DOUBLE END), 2) AS confidence FROM (SELECT case_id, count(*) AS n, bool_or(coalesce(severity = 'CRITICAL', false)) AS critical FROM ({_CONTRA}) GROUP BY case_id)""")
 
 
+# --- single operators -------------------------------------------------------
+
+_add("page_number_blocks", lambda b: once(b.select("document_id", "block_id", "text"), "document_id", "block_id").where(T.is_page_number(F.col("text"))).select("document_id", "block_id"), "content_blocks", sql=f"SELECT document_id, block_id FROM ({_CONTENT}) WHERE ({_NUMBER}) AND {_BARE} <> ''")
+_add("capital_lines", lambda b: once(b.select("document_id", "block_id", "text"), "document_id", "block_id").where(T.is_all_caps(F.col("text"))).select("document_id", "block_id"), "content_blocks", sql=rf"""
+    SELECT document_id, block_id FROM ({_CONTENT}) WHERE length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) > 0 AND length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) >= 0.9 * length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))""")
+_add("recognised_confidence", lambda b: once(b.select("document_id", "block_id", "source_file", "confidence"), "document_id", "block_id").select("document_id", "block_id", F.round(scores.block_confidence(F.col("confidence"), F.lower("source_file").startswith("scan")), 9).alias("confidence")), "content_blocks", sql=f"""
+    SELECT document_id, block_id, round(greatest(0.0, least(1.0, CASE WHEN lower(source_file) LIKE 'scan%' THEN greatest(0.30, coalesce(confidence, 0.70) - 0.05) ELSE coalesce(confidence, 0.90) END)), 9) AS confidence FROM ({_CONTENT})""")
+_add("token_counts", lambda c: once(c.select("document_id", "chunk_id", "text", "token_count"), "document_id", "chunk_id").select("document_id", "chunk_id", chunking.token_count(F.col("text")).cast("int").alias("tokens"), F.col("token_count").alias("stored")), "chunks", sql=rf"SELECT document_id, chunk_id, len(regexp_extract_all(coalesce(text, ''), '\S+'))::INT AS tokens, token_count AS stored FROM ({_CHUNKS})")
+_add("node_ranks", lambda g: graph.duplicates(g).select("node_id", "case_id", F.col("provenance.document_id").alias("document_id"), F.col("provenance.source_chunk_id").alias("chunk_id"), "rank"), "graph_nodes", sql="""
+    SELECT node_id, case_id, provenance.document_id AS document_id, provenance.source_chunk_id AS chunk_id, row_number() OVER (PARTITION BY node_id, case_id ORDER BY provenance.confidence DESC, provenance.document_id, provenance.source_chunk_id) AS rank FROM graph_nodes""")
+_add("node_hashes", lambda n: graph.nodes(entities.listed_entities(n)).select("node_id", scores.node_hash(F.col("node_type"), F.col("name"), F.col("case_id")).alias("hash")), "ner_results", sql=f"SELECT DISTINCT node_id, sha256(node_id)[1:16] AS hash FROM ({_NODES})")
+
+
+def _named(ner: DataFrame) -> DataFrame:
+    """People whose name holds one of three names in question."""
+    asked = ner.sparkSession.createDataFrame([("Garden",), ("Zoë",), ("Halden",)], "name STRING")
+    return graph.people_named(graph.nodes(entities.listed_entities(ner)), asked)
+
+
+_add("people_named", _named, "ner_results", sql=f"""
+    SELECT DISTINCT node_id, case_id, asked FROM (SELECT node_id, case_id, arg_min(text, (document_id, chunk_id, pos)) AS name FROM ({_NODES}) WHERE node_type = 'Person' GROUP BY ALL) CROSS JOIN (SELECT unnest(['garden', 'zoë', 'halden']) AS asked)
+    WHERE contains(lower(name), asked) OR contains(asked, lower(name))""")
+_add("low_events", lambda b: timeline.low_events(_events(b)).select("case_id", "event_id", "confidence"), "cleaned_blocks", sql=f"SELECT case_id, event_id, confidence FROM ({_NUMBERED}) WHERE confidence < 0.7")
+_add("events_of_suspects", lambda b, n: timeline.relevant(_events(b), entities.listed_entities(n).where("entity_type = 'SUSPECT'"), "document_id").select("case_id", "document_id", "event_id", "ts"), "cleaned_blocks", "ner_results", sql=f"SELECT case_id, document_id, event_id, ts FROM ({_NUMBERED}) WHERE document_id IN (SELECT document_id FROM ({_ENTITIES}) WHERE entity_type = 'SUSPECT')")
+_add("conflict_limitations", lambda b: timeline.conflicts_among(_hourly(b), timeline.low_events(_events(b))).select("case_id", answers.conflict_limitation(F.col("ts")).alias("limitation")), "cleaned_blocks", sql=f"""
+    SELECT DISTINCT case_id, 'Conflicting information at ' || ts AS limitation FROM ({_HOURLY}) e JOIN (SELECT case_id, ts FROM ({_conflict_sql('speaker', 'x', _HOURLY)})) c USING (case_id, ts) WHERE e.confidence < 0.7""")
+_add("gap_limitations", lambda b: timeline.gaps(_events(b)).select("case_id", answers.gap_limitation(F.col("start"), F.col("end"), F.col("minutes"), F.col("severity")).alias("limitation")), "cleaned_blocks", sql=f"SELECT case_id, 'Timeline contains a ' || minutes || '-minute gap between ' || start || ' and ' || \"end\" || ' (' || severity || ')' AS limitation FROM ({_GAPS})")
+_add("log_filter", lambda e: logs.select(_as_log(e), action="click", since="2024-01-10", until="2024-01-20").select("timestamp", "user_id", "action"), "events", sql="SELECT strftime(ts::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS timestamp, user_id::VARCHAR AS user_id, event_type AS action FROM events WHERE event_type = 'click' AND ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'")
+_add("log_latest", lambda e: logs.latest(_as_log(e), 100).select("timestamp", "user_id", "action"), "events", sql="SELECT strftime(ts::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS timestamp, user_id::VARCHAR AS user_id, event_type AS action FROM events ORDER BY timestamp DESC, user_id, action LIMIT 100")
+
+
+def _as_log(events: DataFrame) -> DataFrame:
+    return events.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("action"))
+
+
+_add("case_summary", lambda c, k, b, n, o: pipeline.case_summary(c, k, b, n, o), "chunks", "content_blocks", "cleaned_blocks", "ner_results", "contradictions", sql=f"""
+    SELECT case_id, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_entities, 0) AS n_entities, coalesce(n_events, 0) AS n_events, coalesce(n_contradictions, 0) AS n_contradictions
+    FROM (SELECT case_id, count(*) AS n_blocks FROM ({_CONTENT}) GROUP BY ALL) FULL JOIN (SELECT case_id, count(*) AS n_chunks FROM ({_CHUNKS}) GROUP BY ALL) USING (case_id)
+    FULL JOIN (SELECT case_id, count(*) AS n_entities FROM ({_ENTITIES}) GROUP BY ALL) USING (case_id) FULL JOIN (SELECT case_id, count(*) AS n_events FROM ({_EVENTS}) GROUP BY ALL) USING (case_id)
+    FULL JOIN (SELECT case_id, count(*) AS n_contradictions FROM ({_CONTRA}) GROUP BY ALL) USING (case_id)""")
+_add("analysed_chunks", lambda c: pipeline.analyse(c)["chunks"].withColumns({k: F.array_join(k, ",") for k in ("page_range", "source_block_ids")}), "content_blocks")
+_add("analysed_graph", lambda c: pipeline.analyse(c)["edges"], "content_blocks")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
