@@ -98,4 +98,13 @@ def oracle_sql() -> dict[str, str]:
             JOIN single b ON b.case_id = p.case_id AND b.item = p.item_b
             WHERE p.n * t.n >= 3 * a.n * b.n
         """,
+        "p9_found": r"""
+            WITH texts AS (
+                SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+                UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items
+            ), windows AS (
+                SELECT side, id, array_to_string(w[i:i + 11], ' ') AS words FROM (SELECT side, id, w, unnest(range(1, len(w) - 10)) AS i FROM texts WHERE len(w) >= 12)
+            )
+            SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM windows d JOIN windows i USING (words) WHERE d.side = 'd' AND i.side = 'i'
+        """,
     }
