@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import ship_package
+
 GAP = "user_id BIGINT, start TIMESTAMP, end TIMESTAMP, minutes BIGINT"
 
 
@@ -44,4 +46,5 @@ def _gaps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, least:
 
 def gaps(events: DataFrame, least: int = 60) -> DataFrame:
     """Gaps of each user between the events of successive batches; the state of a user is its last instant."""
+    ship_package(events.sparkSession)
     return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(lambda k, fs, s: _gaps(k, fs, s, least), GAP, "last BIGINT", "append", GroupStateTimeout.NoTimeout)
