@@ -48,6 +48,7 @@ _ID = r"""
 """
 _NUMBERED = re.compile(rf"(?<![\w+])(?<!\d[-./:])(?<!\w-)(?=[+(\dA-Z])(?:(?P<phone>{_PHONE})|(?P<id>{_ID}))(?![^\W_])(?!-?\d)(?![./:]\d)", re.X)
 
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑­]\s*\n\s*(?=[a-zß-ÿ])")
 _FOLD = str.maketrans({"0": "o", "1": "l", "5": "s", "9": "g", "8": "b", "6": "b"})
@@ -61,6 +62,15 @@ NONE, FIRST, SURNAME, TYPO, PLACE, MAYBE = 0, 1, 2, 3, 4, 5
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
 
+def _apart(items: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Items in order without those that overlap an earlier (or, from the same start, a longer) one."""
+    kept: list[tuple[str, int, int]] = []
+    for x in sorted(items, key=lambda x: (x[1], -x[2])):
+        if not kept or x[1] >= kept[-1][2]:
+            kept.append(x)
+    return kept
+
+
 class Finder:
     """Finds (kind, start, end) in a text; keeps what it learned about words."""
 
@@ -211,7 +221,7 @@ class Finder:
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """Items of a text in order, none inside another. Positions are code points."""
         where = None
-        if _BROKEN.search(text):
+        if "\n" in text and _BROKEN.search(text):
             # Read words cut at a line end as one, and remember where each letter stood.
             where, parts, at = [], [], 0
             for m in _BROKEN.finditer(text):
@@ -220,17 +230,19 @@ class Finder:
                 at = m.end()
             where += range(at, len(text))
             text = "".join([*parts, text[at:]])
-        found: list[tuple[str, int, int]] = []
-        self.emails_and_addresses(text, found)
-        for m in _NUMBERED.finditer(text):
-            found.append(("PHONE" if m["phone"] else "ID_NUMBER", m.start(), m.end()))
-        self.people(text, found)
-        found.sort(key=lambda x: (KINDS.index(x[0]) == 4, x[1], -x[2]))
         kept: list[tuple[str, int, int]] = []
-        for x in found:
-            if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-                kept.append(x)
-        kept.sort(key=lambda x: x[1])
+        self.emails_and_addresses(text, kept)
+        if _DIGIT.search(text):
+            kept += [("PHONE" if m["phone"] else "ID_NUMBER", m.start(), m.end()) for m in _NUMBERED.finditer(text)]
+        if len(kept) > 1:
+            kept = _apart(kept)
+        people: list[tuple[str, int, int]] = []
+        self.people(text, people)
+        if kept:  # names inside addresses and the like don't count
+            people = [x for x in people if all(x[2] <= y[1] or x[1] >= y[2] for y in kept)]
+            kept = sorted(kept + people, key=lambda x: x[1])
+        else:
+            kept = people
         if where is not None:
             kept = [(k, where[a], where[b - 1] + 1) for k, a, b in kept]
         return kept
