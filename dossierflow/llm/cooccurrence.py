@@ -9,12 +9,23 @@ that a change touched get their association scores computed again.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_path, shared_path
+from ..session import discard, drop_path, materialize, shared_path
+
+#: Counts: ``b`` is null in a marginal and in a total. Ids are hashes of group and item.
+COUNTS = "a BIGINT, b BIGINT, n BIGINT, bucket INT"
+#: What an id stands for; ``item`` is null where it stands for the group itself.
+ITEMS = "id BIGINT, grp STRING, item STRING"
+
+
+class SharedId(RuntimeError):
+    """Two items have one id under this seed."""
 
-COUNTS = "grp STRING, item_a STRING, item_b STRING, n BIGINT, bucket INT"
 
 #: Entity types of ner_results whose texts are items (fixed values).
 ITEM_TYPES = ("PERSON", "WITNESS", "SUSPECT", "LOCATION", "EVIDENCE", "WEAPON")
@@ -44,78 +55,110 @@ def case_records(ner_results: DataFrame, contradictions: DataFrame) -> DataFrame
     return both.where(F.col("grp").isNotNull() & (F.size("items") > 0))
 
 
-def deltas(baskets: DataFrame, sign: int = 1) -> DataFrame:
-    """Signed deltas ``grp, item_a, item_b, n`` of baskets ``grp, items`` (items sorted and distinct).
+def _id(seed: int, grp: Column, item: Column | None = None) -> Column:
+    return F.xxhash64(F.lit(seed), grp, F.lit("\u0001") if item is None else F.concat(F.lit("\u0002"), item))
 
-    ``item_b`` is null in a marginal, both are null in the total. The pairs of one
-    basket are emitted by an inner loop over its own sorted items.
+
+def deltas(baskets: DataFrame, sign: int = 1, seed: int = 0) -> DataFrame:
+    """Signed deltas ``a, b, n`` of baskets ``grp, items`` (items sorted and distinct).
+
+    Pairs are two 64-bit ids and not two texts, which is what most of the
+    shuffle is made of. The pairs of one basket are emitted by an inner loop
+    over its own sorted items.
     """
-    n = F.size("items")
-    total = F.array(F.struct(F.lit(None).cast("string").alias("item_a"), F.lit(None).cast("string").alias("item_b")))
-    single = F.transform("items", lambda x: F.struct(x.alias("item_a"), F.lit(None).cast("string").alias("item_b")))
-    head = baskets.select("grp", "items", F.explode(F.concat(total, single)).alias("d")).select("grp", "d.item_a", "d.item_b")
-    firsts = baskets.where(n > 1).select("grp", F.posexplode("items").alias("i", "item_a"), "items")
-    pairs = firsts.select("grp", "item_a", F.explode(F.expr("slice(items, i + 2, size(items))")).alias("item_b"))
+    ids = baskets.select(_id(seed, F.col("grp")).alias("g"), F.transform("items", lambda x: _id(seed, F.col("grp"), x)).alias("ids"))
+    head = ids.select(F.explode(F.concat(F.array("g"), "ids")).alias("a"), F.lit(None).cast("long").alias("b"))
+    firsts = ids.where(F.size("ids") > 1).select(F.posexplode("ids").alias("i", "a"), "ids")
+    pairs = firsts.select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
     return head.unionByName(pairs).withColumn("n", F.lit(sign).cast("long"))
 
 
+def named_ids(baskets: DataFrame, seed: int = 0) -> DataFrame:
+    """``id, grp, item`` of the groups and items of baskets."""
+    items = F.concat(F.array(F.lit(None).cast("string")), "items")
+    each = baskets.select("grp", F.explode(items).alias("item")).distinct()
+    return each.select(F.when(F.col("item").isNull(), _id(seed, F.col("grp"))).otherwise(_id(seed, F.col("grp"), F.col("item"))).alias("id"), "grp", "item")
+
+
 class PairTable:
-    """Persistent pair and marginal counts in ``buckets`` hash buckets below ``path``.
+    """Persistent pair and marginal counts in ``buckets`` hash buckets below ``path``, and the items behind their ids.
 
     Each merge writes a new version next to the last and then drops the one
-    before, so that a reader or a failed merge never sees half a table.
+    before, so that a reader or a failed merge never sees half a table. Ids are
+    checked to be unique when they are stored; ``SharedId`` asks for another
+    seed, so counts are exact.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64) -> None:
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, seed: int = 0) -> None:
+        self.spark, self.buckets, self.seed = spark, buckets, seed
         self.path = path or shared_path(spark, "pair-table")
         self.version = 0
 
-    def _at(self, version: int) -> str:
-        return f"{self.path}/version={version}"
+    def _at(self, what: str, version: int) -> str:
+        return f"{self.path}/{what}/version={version}"
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        if not self.version:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._at(what, self.version))
 
     def counts(self) -> DataFrame:
         """The current counts; empty before the first merge."""
-        if not self.version:
-            return self.spark.createDataFrame([], COUNTS)
-        return self.spark.read.schema(COUNTS).parquet(self._at(self.version))
-
-    def merge(self, changes: DataFrame) -> DataFrame:
-        """Add signed deltas to the counts; counts that reach 0 disappear. Returns the touched groups."""
-        bucket = F.pmod(F.xxhash64("grp", "item_a", "item_b"), F.lit(self.buckets)).cast("int")
-        old = self.counts().drop("bucket")
-        merged = (old.unionByName(changes) if self.version else changes).groupBy("grp", "item_a", "item_b").agg(F.sum("n").alias("n")).where("n <> 0")
-        merged.withColumn("bucket", bucket).write.parquet(self._at(self.version + 1))
-        self.version += 1
-        if self.version > 2:
-            drop_path(self.spark, self._at(self.version - 2))
-        return changes.select("grp").distinct()
+        return self._read("counts", COUNTS)
+
+    def items(self) -> DataFrame:
+        return self._read("items", ITEMS)
 
     def update(self, old: DataFrame | None, new: DataFrame | None) -> DataFrame:
-        """Replace baskets ``old`` by ``new`` (either may be None). Returns the touched groups."""
-        parts = [deltas(b, s) for b, s in ((old, -1), (new, 1)) if b is not None]
-        return self.merge(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+        """Replace baskets ``old`` by ``new`` (either may be None). Returns the touched groups.
+
+        Counts that reach 0 disappear.
+        """
+        parts = [(b, s) for b, s in ((old, -1), (new, 1)) if b is not None]
+        changed = reduce(DataFrame.unionByName, [deltas(b, s, self.seed) for b, s in parts])
+        known = reduce(DataFrame.unionByName, [named_ids(b, self.seed) for b, _ in parts])
+        if self.version:
+            changed = self.counts().drop("bucket").unionByName(changed)
+            known = self.items().unionByName(known)
+        bucket = F.pmod(F.xxhash64("a", "b"), F.lit(self.buckets)).cast("int")
+        merged = changed.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+        merged.withColumn("bucket", bucket).write.parquet(self._at("counts", self.version + 1))
+        known.distinct().write.parquet(self._at("items", self.version + 1))
+        self.version += 1
+        if not self.items().groupBy("id").count().where("count > 1").isEmpty():
+            raise SharedId(f"two items share an id under seed {self.seed}")
+        if self.version > 2:
+            drop_path(self.spark, self._at("counts", self.version - 2))
+            drop_path(self.spark, self._at("items", self.version - 2))
+        return reduce(DataFrame.unionByName, [b.select("grp") for b, _ in parts]).distinct()
 
     def associations(self, least: int = 5, lift: int = 3, groups: DataFrame | None = None) -> DataFrame:
         """Pairs with ``n_ab >= least`` and ``n_ab * n >= lift * n_a * n_b``, of all groups or of touched ones."""
-        counts = self.counts()
+        counts, items = self.counts(), self.items()
         if groups is not None:
-            counts = counts.join(groups, "grp", "left_semi")
+            items = items.join(groups, "grp", "left_semi")
         # An item of a frequent pair is itself frequent, so both sides shrink before they meet.
-        pairs = counts.where(F.col("item_b").isNotNull() & (F.col("n") >= least)).select("grp", "item_a", "item_b", F.col("n").alias("n_ab"))
-        single = counts.where(F.col("item_b").isNull() & F.col("item_a").isNotNull() & (F.col("n") >= least))
-        total = counts.where(F.col("item_a").isNull()).select("grp", F.col("n").alias("n_all"))
+        pairs = counts.where(F.col("b").isNotNull() & (F.col("n") >= least)).select("a", "b", F.col("n").alias("n_ab"))
+        single = counts.where(F.col("b").isNull() & (F.col("n") >= least)).select(F.col("a").alias("id"), "n")
+        named = single.join(items, "id")
+        total = named.where("item is null").select("grp", F.col("n").alias("n_all"))
+        side = lambda s: named.where("item is not null").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("item").alias(f"item_{s}"), *(["grp"] if s == "a" else []))
         return (
-            pairs.join(single.select("grp", "item_a", F.col("n").alias("n_a")), ["grp", "item_a"])
-            .join(single.select("grp", F.col("item_a").alias("item_b"), F.col("n").alias("n_b")), ["grp", "item_b"])
-            .join(total, "grp")
+            pairs.join(side("a"), "a").join(side("b"), "b").join(total, "grp")
             .where(F.col("n_ab") * F.col("n_all") >= lift * F.col("n_a") * F.col("n_b"))
-            .withColumn("lift", F.col("n_ab") * F.col("n_all") / (F.col("n_a") * F.col("n_b")).cast("double"))
-        )
+            .select("grp", "item_a", "item_b", "n_ab", "n_a", "n_b", "n_all", (F.col("n_ab") * F.col("n_all") / (F.col("n_a") * F.col("n_b")).cast("double")).alias("lift"))
+        )
 
 
 def frequent_pairs(ner_results: DataFrame, contradictions: DataFrame, least: int = 5, lift: int = 3) -> DataFrame:
     """``case_id, item_a, item_b`` of pairs that occur together much more often than chance, smaller item first."""
-    table = PairTable(ner_results.sparkSession)
-    table.update(None, case_records(ner_results, contradictions))
-    return table.associations(least, lift).select(F.col("grp").alias("case_id"), "item_a", "item_b")
+    baskets = materialize(case_records(ner_results, contradictions), "baskets")  # read twice: for the deltas and for the names of their ids
+    for seed in count():
+        table = PairTable(ner_results.sparkSession, seed=seed)
+        try:
+            table.update(None, baskets)
+        except SharedId:
+            continue
+        discard(baskets)
+        return table.associations(least, lift).select(F.col("grp").alias("case_id"), "item_a", "item_b")
+    raise AssertionError("unreachable")

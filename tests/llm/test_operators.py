@@ -51,6 +51,13 @@ def test_only_touched_groups_are_scored(spark):
     assert {r["grp"] for r in pairs.associations(1, 1, touched).collect()} == {"y"}
 
 
+def test_items_that_share_an_id_ask_for_another_seed(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "_id", lambda seed, grp, item=None: F.lit(1).cast("long") if seed == 0 else F.xxhash64(F.lit(seed), grp, item if item is not None else F.lit("")))
+    with pytest.raises(cooccurrence.SharedId):
+        cooccurrence.PairTable(spark).update(None, baskets(spark, [("x", "ab")]))
+    cooccurrence.PairTable(spark, seed=1).update(None, baskets(spark, [("x", "ab")]))
+
+
 # 2. turns
 
 
