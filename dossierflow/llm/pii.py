@@ -158,7 +158,7 @@ class Finder:
         kind = self.kind
         words = [(m.start(), m.end(), k) for m in _WORD.finditer(text) if (k := kind(m[0])) or m.end() - m.start() == 1]
         n = len(words)
-        i = 0
+        i = before = 0
         while i < n:
             start, end, k = words[i]
             if not k or k == PLACE:
@@ -169,11 +169,12 @@ class Finder:
                 continue
             # Initials before: "I. A. Böskius", "A Fenthwaite".
             j = i - 1
-            while j >= 0 and not words[j][2] and text[words[j][1] : start] in (". ", " ", ".", ".\n", "\n") and self._initial(text, words[j], text[words[i][0]].isupper()):
+            while j >= 0 and words[j][0] >= before and not words[j][2] and text[words[j][1] : start] in (". ", " ", ".", ".\n", "\n") and self._initial(text, words[j], text[words[i][0]].isupper()):
                 if text[words[j][1]] != "." and start != words[i][0]:
                     break
                 start = words[j][0]
                 j -= 1
+            head = k
             strong = k != TYPO or start != words[i][0]
             comma = False
             size = 1
@@ -189,6 +190,8 @@ class Finder:
                     comma = True
                 elif gap not in (" ", "\n", ". ", ".\n") or (gap[0] == "." and words[i][2]):
                     break
+                if kind_next and not words[i][2] and size > 1 and head == SURNAME and not comma:
+                    break  # "Paskeaux M." is over; what follows is another name
                 if not kind_next:
                     if b - a != 1 or not self._initial(text, words[i + 1], text[words[i][0]].isupper()) or text[b : b + 1] != ".":
                         break
@@ -205,6 +208,13 @@ class Finder:
                 if comma and size > 1:
                     # Middle initials may follow the first name.
                     comma = True
+            if text[start] in "QA" and text[start + 1 : start + 2] == "." and (start == 0 or text[start - 1].isspace() and text[:start].rstrip()[-1:] in ".?!)]>}-"):
+                # "A. Margaret Pellova told me": the letter is a speaker's label if a whole name follows it
+                rest = [w for w in words[j + 1 : i + 1] if w[0] > start]
+                full = sum(w[1] - w[0] > 1 for w in rest)
+                if full >= 2 or len(rest) >= 3 or (len(rest) == 2 and rest[1][1] - rest[1][0] == 1):
+                    start = rest[0][0]
+            before = end
             follows = words[i + 1] if i + 1 < n else None
             place = follows is not None and follows[2] == PLACE and text[end : follows[0]] in (" ", "\n")
             lone_typo = not strong and size == 1 and (start == 0 or text[start - 1 : start] == "\n" or text[max(0, start - 2) : start] in (". ", "? ", "! ")) and text[start].isupper()
