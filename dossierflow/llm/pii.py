@@ -85,6 +85,7 @@ class Finder:
             self.cues.add_word(cue, (1, len(cue)))
         self.cues.make_automaton()
         self.folded = {w.replace("rn", "m").replace("ri", "n").replace("cl", "d").replace("vv", "w").replace("o", "a").replace("e", "c") for w in names.firsts | names.surnames if len(w) >= 5}
+        self.initials = {w[0] for w in names.firsts}
         self.kinds: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
@@ -223,10 +224,10 @@ class Finder:
                 found.append(("NAME", start, end))
             i += 1
 
-    @staticmethod
-    def _initial(text: str, word: tuple[int, int, int], upper: bool) -> bool:
+    def _initial(self, text: str, word: tuple[int, int, int], upper: bool) -> bool:
+        """Whether a single letter may stand for a first name: some known first name starts with it."""
         c = text[word[0]]
-        return c.isalpha() and (c.isupper() or not upper)
+        return c.lower() in self.initials and (c.isupper() or not upper)
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """Items of a text in order, none inside another. Positions are code points."""
