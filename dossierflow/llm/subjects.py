@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import discard, materialize, ship_package
 
 #: Labelled documents that training uses at most (chosen by a hash of their id).
 MOST_LABELLED = 20_000
@@ -184,10 +184,12 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labell
     counted = {r["label"]: r["n"] for r in texts.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = texts.count()
     if not counted:
+        discard(texts)
         return None
     shape = "doc_id BIGINT, labels ARRAY<INT>, words ARRAY<{}>"
     vocabulary = telling_words(texts.mapInArrow(lambda bs: _words(bs, None), shape.format("STRING")), n, counted)
     if not vocabulary:
+        discard(texts)
         return None
     known = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
     sents = texts.mapInArrow(lambda bs: _words(bs, known.value), shape.format("INT"))
@@ -195,7 +197,9 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labell
     distinct = sents.groupBy("words", "labels").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     parts = max(1, min(12, spark.sparkContext.defaultParallelism))
     data = materialize(distinct.select("words", "labels", "weight").repartition(parts), "sentences")
-    return fit(data, Model(vocabulary, subjects), steps)
+    model = fit(data, Model(vocabulary, subjects), steps)
+    discard(texts, data)
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], index: dict[str, int], adds: np.ndarray, bias: np.ndarray, subjects: list[str]) -> Iterator[pa.RecordBatch]:
