@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded
 from ..session import ship_package
 
 WINDOW = 12
@@ -108,7 +109,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[i
     size = templates.window
     known = np.array(sorted(table), dtype=np.uint64)
     seen: dict[str, tuple[int, int]] = {}
-    for batch in batches:
+    for batch in bounded(batches):
         out: dict[tuple[int, int], list[int]] = {}
         if len(seen) > 500_000:
             seen.clear()

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded
 from ..session import ship_package
 from .lexicon import TITLES, Names, roster_names
 
@@ -273,7 +274,7 @@ def _finder(names: Names) -> Finder:
 
 def _scan(batches: Iterator[pa.RecordBatch], names: Names, redact: bool) -> Iterator[pa.RecordBatch]:
     finder = _finder(names)
-    for batch in batches:
+    for batch in bounded(batches):
         texts = batch.column(batch.num_columns - 1).to_pylist()
         keys = [batch.column(i) for i in range(batch.num_columns - 1)]
         named = batch.schema.names[:-1]

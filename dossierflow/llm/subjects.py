@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded
 from ..session import discard, materialize, ship_package
 
 #: Labelled documents that training uses at most (chosen by a hash of their id).
@@ -141,7 +142,7 @@ def fit(train: DataFrame, model: Model, steps: int = 60, rate: float = 0.15, dec
 
 def _words(batches: Iterator[pa.RecordBatch], with_sentences: dict[str, int] | None) -> Iterator[pa.RecordBatch]:
     """Distinct words of each labelled document, or its sentences as ids of chosen words."""
-    for batch in batches:
+    for batch in bounded(batches):
         ids, labels, words = [], [], []
         for doc, text, subjects in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for s in sentences(text) if with_sentences is not None else [sorted({w for s in sentences(text) for w in s})]:
@@ -204,7 +205,7 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labell
 
 def _score(batches: Iterator[pa.RecordBatch], index: dict[str, int], adds: np.ndarray, bias: np.ndarray, subjects: list[str]) -> Iterator[pa.RecordBatch]:
     known: dict[tuple[int, ...], tuple[int, ...]] = {}
-    for batch in batches:
+    for batch in bounded(batches):
         docs, names, counts, totals = [], [], [], []
         if len(known) > 500_000:
             known.clear()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import bounded
 from ..session import ship_package
 
 TOKENIZERS = "/opt/tokenizers"
@@ -110,7 +111,7 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], most: in
     for token, rank in ranks.items():
         tokens[rank] = token
     known: dict[str, list[int]] = {}
-    for batch in batches:
+    for batch in bounded(batches):
         texts = [cut(t) if t else () for t in batch.column(1).to_pylist()]
         fresh = {p for pieces in texts for p in pieces if p not in known}
         if len(known) + len(fresh) > most:  # only memory: pieces met again are encoded again
