@@ -1,9 +1,10 @@
 """Contradictions between chunks of a case that share an entity.
 
-Pairs meet through the entity they share. Before chunks are paired each is
-reduced to what the rules ask of it (cues, places, times), so no text travels
-with a pair. The result is the set of pairs itself and grows with the chunks that
-share an entity; the default asks for people, who are shared by few.
+A chunk is first reduced to what the rules ask of it (cues, places, times), so
+no text travels with a pair. All chunks of an entity are compared as at most 64
+classes of equal cues, with the members of each class in a table of their own;
+``detect`` asks all rules, those on places and times too, of pairs that are
+given.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,17 +159,23 @@ def neighbours(edge: DataFrame, ids: DataFrame) -> DataFrame:
     return out.unionByName(into).distinct()
 
 
+#: Names in question that are sent to the tasks at once.
+NAMES_A_PASS = 1000
+
+
 def people_named(node: DataFrame, names: DataFrame) -> DataFrame:
-    """People whose name holds, or is held by, a name in question ``name``: met through the words that both share.
+    """People whose name holds, or is held by, a name in question ``name``.
 
-    A name inside another shares a whole word with it or lies inside one, so
-    words and not all pairs are joined; inside words only the side in question
-    (a bounded list) is broadcast.
+    Parts of words count, so no key can bring both sides together: the names in
+    question are sent out in passes of ``NAMES_A_PASS``, each of which reads the
+    nodes once. Null and empty names match nothing.
     """
     people = node.where(F.col("node_type") == "Person").select("node_id", "case_id", F.lower("name").alias("own"))
     asked = names.select(F.lower("name").alias("asked")).where("asked <> ''").distinct()
+    passes = max(1, -(-asked.count() // NAMES_A_PASS))
     hit = F.col("own").contains(F.col("asked")) | F.col("asked").contains(F.col("own"))
-    return people.join(F.broadcast(asked), hit).select("node_id", "case_id", "asked").distinct()
+    found = [people.join(F.broadcast(asked.where(F.pmod(F.xxhash64("asked"), F.lit(passes)) == p)), hit) for p in range(passes)]
+    return reduce(DataFrame.unionByName, found).select("node_id", "case_id", "asked").distinct()
 
 
 def duplicates(node: DataFrame) -> DataFrame:
