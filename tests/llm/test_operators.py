@@ -213,6 +213,17 @@ def test_packing_is_optimal_on_small_documents(seed):
     assert bound <= fewest(tuple(items), ())
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_closing_pairs_keeps_the_optimum(seed):
+    rng = random.Random(seed)
+    items = [rng.randint(1, 20) for _ in range(10)]
+    lengths = dict(collections.Counter(items))
+    closed = packing.close_pairs(lengths, 20)
+    rest = [n for n, k in lengths.items() for _ in range(k)]
+    count = lambda x: packing.exact_count(x, 20, packing.lower_bound(x, 20), len(packing.best_fit(x, 20))) if x else 0
+    assert closed + count(rest) == count(items) and closed * 20 + sum(rest) == sum(items)
+
+
 def test_genetic_operators_keep_all_items():
     rng = random.Random(3)
     items = [rng.randint(20, 90) for _ in range(60)]
