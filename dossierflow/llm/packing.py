@@ -4,9 +4,11 @@ Items are word counts, so a document is a histogram of at most ``capacity``
 lengths and a total for the blocks that may be cut. Genes are whole containers:
 crossover injects well-filled containers of one parent into the other, removes
 containers that now hold a duplicate and puts their displaced items back by best
-fit. Populations evolve on islands, one task row each, whose elites migrate
-round a ring between epochs. A document leaves as soon as it reaches the lower
-bound, which proves that it is optimal.
+fit. Documents of very many blocks evolve in the same way with equal containers
+counted together, so that all their blocks take part at any length, from a packing rounded out of the
+linear relaxation. Populations evolve on islands, one task row each, whose
+elites migrate round a ring between epochs. A document leaves as soon as it
+reaches the lower bound, which proves that it is optimal.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from __future__ import annotations
 import random
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from ..session import materialize, ship_package
 Bin = tuple[int, ...]
 
 
-def lower_bound(lengths: Iterable[int], capacity: int, most_k: int = 12) -> int:
-    """Fewest containers that any packing needs.
+def lower_bound(lengths: Iterable[int] | Mapping[int, int], capacity: int, most_k: int = 12) -> int:
+    """Fewest containers that any packing of lengths, or of a histogram of them, needs.
 
     Largest value of a family of dual feasible functions: lengths below a limit
     count as 0 and their complements as whole containers, and what remains is
@@ -164,32 +167,202 @@ def mutate(bins: list[list[int]], capacity: int, rng: random.Random) -> list[lis
     return _replace(left, displaced, capacity)
 
 
-def evolve(items: list[int], capacity: int, bound: int, seed: int, generations: int = 30, population: int = 12, elites: list[list[list[int]]] | None = None) -> list[list[int]]:
-    """Best packing of one island after ``generations``, or as soon as the bound is met."""
+def best_fit_counts(counts: Mapping[int, int], capacity: int, bins: Mapping[Bin, int] | None = None) -> Counter[Bin]:
+    """``best_fit`` of a histogram into containers with their number: equal ones are filled together, so it costs the same for any number of blocks."""
+    rooms: dict[int, Counter[Bin]] = {}
+
+    def put(b: Bin, k: int) -> None:
+        if k:
+            rooms.setdefault(capacity - sum(b), Counter())[tuple(sorted(b, reverse=True))] += k
+
+    for b, k in (bins or {}).items():
+        put(b, k)
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            room = min((r for r in rooms if r >= n), default=capacity)
+            b, k = rooms[room].popitem() if room in rooms else ((), left)
+            if not rooms.get(room, True):
+                del rooms[room]
+            each = room // n
+            whole = min(k, left // each)
+            put(b + (n,) * each, whole)
+            left -= whole * each
+            if whole < k:
+                if left:
+                    put(b + (n,) * left, 1)
+                if b:
+                    put(b, k - whole - bool(left))
+                left = 0
+    return sum(rooms.values(), Counter())
+
+
+def slack_fit_counts(counts: Mapping[int, int], capacity: int, rng: random.Random | None = None) -> Counter[Bin]:
+    """``slack_fit`` of a histogram: each way to fill a container is used as often as the rest allows."""
+    rest = Counter({n: k for n, k in counts.items() if k > 0})
+    bins: Counter[Bin] = Counter()
+    while rest:
+        first = max(rest) if rng is None or rng.random() < 0.8 else rng.choice(list(rest))
+        order = [n for n in sorted(rest, reverse=True) for _ in range(min(rest[n] - (n == first), (capacity - first) // n))]
+        if rng is not None:
+            rng.shuffle(order)
+        b = tuple(sorted([first, *fill(capacity - first, order)], reverse=True))
+        own = Counter(b)
+        times = min(rest[n] // k for n, k in own.items())
+        bins[b] += times
+        rest -= Counter({n: k * times for n, k in own.items()})
+    return bins
+
+
+def fitness_counts(bins: Mapping[Bin, int], capacity: int) -> float:
+    """``fitness`` of containers with their number."""
+    return sum(k * (sum(b) / capacity) ** 2 for b, k in bins.items()) / max(1, sum(bins.values()))
+
+
+def _replace_counts(bins: Counter[Bin], displaced: Counter[int], capacity: int) -> Counter[Bin]:
+    """``_replace`` of containers and displaced items with their number."""
+    for b, k in list(bins.items()):
+        for n in sorted(displaced, reverse=True):
+            swap = max((x for x in b if x < n <= x + capacity - sum(b)), default=None)
+            if swap is not None:
+                k = min(k, displaced[n])
+                other = list(b)
+                other.remove(swap)
+                bins[b] -= k
+                b = tuple(sorted([*other, n], reverse=True))
+                bins[b] += k
+                displaced[swap] += k
+                displaced[n] -= k
+                displaced = +displaced
+    return best_fit_counts(displaced, capacity, +bins)
+
+
+def crossover_counts(a: Counter[Bin], b: Counter[Bin], capacity: int, rng: random.Random) -> Counter[Bin]:
+    """``crossover`` of containers with their number."""
+    sample = sorted(rng.sample(list(b), max(1, len(b) // 2)), key=sum, reverse=True)
+    child = Counter({x: b[x] for x in sample[: max(1, len(sample) // 2)]})
+    surplus: Counter[int] = Counter()
+    for x, k in child.items():
+        for n in x:
+            surplus[n] += k
+    displaced: Counter[int] = Counter()
+    for x in sorted(a, key=sum, reverse=True):
+        own = Counter(x)
+        broken = min(a[x], max(-(-surplus[n] // k) for n, k in own.items()))
+        gone = Counter({n: broken * k for n, k in own.items()})
+        displaced += gone - surplus
+        surplus -= gone & surplus
+        child[x] += a[x] - broken
+    return _replace_counts(+child, displaced, capacity)
+
+
+def mutate_counts(bins: Counter[Bin], capacity: int, rng: random.Random) -> Counter[Bin]:
+    """``mutate`` of containers with their number: some or all of the equal ones are emptied."""
+    order = sorted(bins, key=lambda b: (sum(b), rng.random()))
+    left = Counter(bins)
+    displaced: Counter[int] = Counter()
+    for b in {*order[: rng.randint(1, 3)], rng.choice(order)}:
+        k = left[b] if rng.random() < 0.5 else rng.randint(1, left[b])
+        left[b] -= k
+        for n in b:
+            displaced[n] += k
+    if rng.random() < 0.7:
+        return +left + slack_fit_counts(displaced, capacity, rng)
+    return _replace_counts(+left, displaced, capacity)
+
+
+def evolve(items: list[int] | Counter[int], capacity: int, bound: int, seed: int, generations: int = 30, population: int = 12, elites: list | None = None) -> list[list[int]] | Counter[Bin]:
+    """Best packing of one island after ``generations``, or as soon as the bound is met.
+
+    Items of a histogram are packed as containers with their number.
+    """
     rng = random.Random(seed)
-    pool = [list(map(list, e)) for e in elites or []]
-    pool.append(best_fit(items, capacity))
-    rank = lambda p: (len(p), -fitness(p, capacity))
+    if isinstance(items, Counter):
+        fit, close, cross, change, full, size, copy = best_fit_counts, slack_fit_counts, crossover_counts, mutate_counts, fitness_counts, Counter.total, Counter
+    else:
+        fit, close, cross, change, full, size, copy = best_fit, slack_fit, crossover, mutate, fitness, len, lambda e: list(map(list, e))
+    pool = [copy(e) for e in elites or []]
+    pool.append(fit(items, capacity))
+    rank = lambda p: (size(p), -full(p, capacity))
     best = min(pool, key=rank)
-    if len(best) <= bound:
+    if size(best) <= bound:
         return best
     if not elites:
-        pool.append(slack_fit(items, capacity))
-        while len(pool) < population // 2 and len(pool[-1]) > bound:
-            pool.append(slack_fit(items, capacity, rng))
-    while len(pool) < population and len(pool[-1]) > bound:
-        pool.append(mutate(pool[0] if rng.random() < 0.5 else rng.choice(pool), capacity, rng))
+        pool.append(close(items, capacity))
+        while len(pool) < population // 2 and size(pool[-1]) > bound:
+            pool.append(close(items, capacity, rng))
+    while len(pool) < population and size(pool[-1]) > bound:
+        pool.append(change(pool[0] if rng.random() < 0.5 else rng.choice(pool), capacity, rng))
     for _ in range(generations):
         pool.sort(key=rank)
-        if len(pool[0]) <= bound:
+        if size(pool[0]) <= bound:
             break
         parents = pool[: population // 2]
-        children = [crossover(*rng.sample(parents, 2), capacity, rng) if len(parents) > 1 else mutate(parents[0], capacity, rng) for _ in range(population // 3)]
-        children += [mutate(rng.choice(parents), capacity, rng) for _ in range(population - len(parents) - len(children))]
+        children = [cross(*rng.sample(parents, 2), capacity, rng) if len(parents) > 1 else change(parents[0], capacity, rng) for _ in range(population // 3)]
+        children += [change(rng.choice(parents), capacity, rng) for _ in range(population - len(parents) - len(children))]
         pool = parents + children
     return min(pool, key=rank)
 
 
+def _dearest(lengths: list[int], prices: list, capacity: int) -> tuple:
+    """Highest total price of what fits into a container, and how often it holds each length."""
+    n, y = np.array(lengths), np.array(prices)
+    value, last = np.zeros(capacity + 1, y.dtype), [-1] * (capacity + 1)
+    for c in range(1, capacity + 1):
+        value[c] = value[c - 1]
+        fits = np.flatnonzero(n <= c)
+        if len(fits):
+            sums = value[c - n[fits]] + y[fits]
+            k = int(sums.argmax())
+            if sums[k] > value[c]:
+                value[c], last[c] = sums[k], int(fits[k])
+    held, c = [0] * len(lengths), capacity
+    while c > 0:
+        k = last[c]
+        if k < 0:
+            c -= 1
+        else:
+            held[k] += 1
+            c -= lengths[k]
+    return value[capacity], held
+
+
+def relaxed(counts: Counter[int], capacity: int, seed: int = 0, steps: int = 5000) -> tuple[int, Counter[Bin]]:
+    """A lower bound and a packing by the linear relaxation over all ways to fill a container (columns as they pay).
+
+    The bound is taken from the prices in whole numbers, so no rounding touches
+    it, and holds wherever the steps end. The packing is the relaxation rounded
+    down, what that leaves being packed by ``evolve``.
+    """
+    lengths = sorted((n for n, k in counts.items() if k > 0), reverse=True)
+    need = np.array([counts[n] for n in lengths], float)
+    basis = np.diag([float(capacity // n) for n in lengths])
+    used, prices = need / basis.diagonal(), 1 / basis.diagonal()
+    for _ in range(steps):
+        prices = np.linalg.solve(basis.T, np.ones(len(lengths)))
+        price, held = _dearest(lengths, list(prices), capacity)
+        if price <= 1 + 1e-9:
+            break
+        step = np.linalg.solve(basis, np.array(held, float))
+        ratio = np.full(len(lengths), np.inf)
+        np.divide(used, step, out=ratio, where=step > 1e-7)
+        k = int(ratio.argmin())
+        used = np.maximum(used - ratio[k] * step, 0)
+        used[k] = ratio[k]
+        basis[:, k] = held
+    whole = [max(0, int(y * 2**40)) for y in prices]
+    bound = -(-sum(y * counts[n] for y, n in zip(whole, lengths)) // int(_dearest(lengths, whole, capacity)[0]))
+    bins: Counter[Bin] = Counter()
+    rest = Counter({n: counts[n] for n in lengths})
+    for k, x in enumerate(np.linalg.solve(basis, need)):
+        own = Counter({n: round(m) for n, m in zip(lengths, basis[:, k]) if m > 0.5})
+        times = min([max(0, int(x + 1e-6)), *(rest[n] // m for n, m in own.items())])
+        bins[tuple(own.elements())] += times
+        rest -= Counter({n: m * times for n, m in own.items()})
+    left = evolve(list(rest.elements()), capacity, bound - bins.total(), seed)
+    return bound, +bins + Counter(tuple(sorted(b, reverse=True)) for b in left)
+
+
 def exact_count(items: list[int], capacity: int, bound: int, best: int, budget: int = 50_000) -> int:
     """Whether fewer than ``best`` containers do, by bin completion; gives ``best`` when the budget of steps ends.
 
@@ -232,52 +405,70 @@ def exact_count(items: list[int], capacity: int, bound: int, best: int, budget:
     return best
 
 
+def _pairs(counts: Mapping[int, int]) -> list[dict]:
+    return [{"n": n, "k": k} for n, k in counts.items() if k]
+
+
+def _packed(bins: list[list[int]] | Counter[Bin]) -> list[dict]:
+    return [{"b": list(b), "k": k} for b, k in (bins.items() if isinstance(bins, Counter) else ((b, 1) for b in bins))]
+
+
+def _items(pairs: Iterable, active: int) -> list[int] | Counter[int]:
+    """Item by item, or as a histogram above ``active`` items."""
+    counts = Counter({int(p["n"]): int(p["k"]) for p in pairs})
+    return counts if counts.total() > active else list(counts.elements())
+
+
 def _start(frames: Iterator[pd.DataFrame], capacity: int, active: int) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for key, pairs, uncut in zip(f["document_id"], f["lengths"], f["cuttable"]):
             lengths = {int(p["n"]): int(p["k"]) for p in pairs} if pairs is not None else {}
+            whole = dict(lengths)
             closed = close_pairs(lengths, capacity)
-            # Of very many equal lengths that fill a container exactly all but a few containers are closed at once.
-            for n in list(lengths):
-                each = capacity // n
-                if capacity % n == 0 and lengths[n] > 100 * each:
-                    k = (lengths[n] - 100 * each) // each
-                    closed += k
-                    lengths[n] -= k * each
-            items = [n for n, k in lengths.items() for _ in range(k)]
-            bins = best_fit(items, capacity)
-            if len(items) > active:  # the fullest containers stay as they are, the rest evolves
-                bins.sort(key=sum, reverse=True)
-                while bins and sum(map(len, bins)) > active:
-                    closed += 1
-                    bins.pop(0)
-                items = [n for b in bins for n in b]
-            bound = lower_bound(items, capacity)
+            items = _items(_pairs(lengths), active)
+            bins = _packed(best_fit_counts(items, capacity) if isinstance(items, Counter) else best_fit(items, capacity))
             loose = int(uncut)
             # Cuttable words fill any gap, so nothing below this count matters.
-            need = -(-(sum(items) + loose) // capacity)
-            rows.append((key, items, closed, loose, max(bound, need), bins, len(bins) <= max(bound, need)))
+            need = -(-(sum(n * k for n, k in lengths.items()) + loose) // capacity)
+            bound, count = max(lower_bound(lengths, capacity), need), sum(b["k"] for b in bins)
+            if count > bound:
+                bound = max(bound, lower_bound(whole, capacity) - closed)
+            if count > bound and isinstance(items, Counter):
+                least, other = relaxed(items, capacity)
+                bound = max(bound, least)
+                if other.total() < count:
+                    bins, count = _packed(other), other.total()
+            rows.append((key, _pairs(lengths), closed, loose, bound, bins, count <= bound))
         yield pd.DataFrame(rows, columns=["document_id", "items", "closed", "loose", "bound", "bins", "done"])
 
 
-def _island(frames: Iterator[pd.DataFrame], capacity: int, epoch: int, generations: int) -> Iterator[pd.DataFrame]:
+def _island(frames: Iterator[pd.DataFrame], capacity: int, epoch: int, generations: int, active: int) -> Iterator[pd.DataFrame]:
     for f in frames:
-        bins = [
-            evolve([int(n) for n in items], capacity, int(bound), seed=epoch * 7919 + int(island), generations=generations, elites=[[[int(n) for n in b] for b in e] for e in elites])
-            for items, bound, island, elites in zip(f["items"], f["bound"], f["island"], f["elites"])
-        ]
+        bins = []
+        for pairs, bound, island, *elites in zip(f["items"], f["bound"], f["island"], f["own"], f["visitor"]):
+            items = _items(pairs, active)
+            elites = [e for e in elites if e is not None]
+            if isinstance(items, Counter):
+                own = [Counter({tuple(int(n) for n in b["b"]): int(b["k"]) for b in e}) for e in elites]
+            else:
+                own = [[[int(n) for n in b["b"]] for b in e] for e in elites]
+            bins.append(_packed(evolve(items, capacity, int(bound), seed=epoch * 7919 + int(island), generations=generations, elites=own)))
         yield f.assign(bins=bins)[["document_id", "items", "closed", "loose", "bound", "island", "bins"]]
 
 
-def _prove(frames: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
+def _prove(frames: Iterator[pd.DataFrame], capacity: int, active: int) -> Iterator[pd.DataFrame]:
     for f in frames:
-        n = [exact_count([int(x) for x in items], capacity, int(bound), int(k)) for items, bound, k in zip(f["items"], f["bound"], f["n_bins"])]
+        n = []
+        for pairs, bound, k in zip(f["items"], f["bound"], f["n_bins"]):
+            items = _items(pairs, active)
+            n.append(int(k) if isinstance(items, Counter) else exact_count(items, capacity, int(bound), int(k)))
         yield f.assign(n_bins=n)[["document_id", "closed", "loose", "items", "n_bins"]]
 
 
-STATE = "document_id STRING, items ARRAY<INT>, closed BIGINT, loose BIGINT, bound INT, bins ARRAY<ARRAY<INT>>, done BOOLEAN"
-ISLAND = "document_id STRING, items ARRAY<INT>, closed BIGINT, loose BIGINT, bound INT, island INT, bins ARRAY<ARRAY<INT>>"
+_ITEMS, _BINS = "ARRAY<STRUCT<n: INT, k: BIGINT>>", "ARRAY<STRUCT<b: ARRAY<INT>, k: BIGINT>>"
+STATE = f"document_id STRING, items {_ITEMS}, closed BIGINT, loose BIGINT, bound INT, bins {_BINS}, done BOOLEAN"
+ISLAND = f"document_id STRING, items {_ITEMS}, closed BIGINT, loose BIGINT, bound INT, island INT, bins {_BINS}"
 
 
 def block_lengths(blocks: DataFrame, capacity: int = 200) -> DataFrame:
@@ -299,24 +490,25 @@ def pack(blocks: DataFrame, capacity: int = 200, islands: int = 4, epochs: int =
 
     Documents with no word need no container. Blocks longer than ``capacity`` are
     cut between words and so fill gaps; no other block is cut. With more than
-    ``active`` blocks in a document its fullest containers are closed before the
-    rest evolves. Rows with a null document_id are left out.
+    ``active`` blocks left to pack, a document evolves as containers with their
+    number instead of one by one. Rows with a null document_id are left out.
     """
     spark = blocks.sparkSession
     ship_package(spark)
     state = materialize(block_lengths(blocks, capacity).mapInPandas(lambda fs: _start(fs, capacity, active), STATE), "packing")
     open_ = state.where(~F.col("done"))
-    grown = open_.select("document_id", "items", "closed", "loose", "bound", F.array("bins").alias("elites"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    grown = open_.select("document_id", "items", "closed", "loose", "bound", F.col("bins").alias("own"), F.lit(None).cast(_BINS).alias("visitor"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     for epoch in range(epochs):
-        grown = grown.repartition("document_id", "island").mapInPandas(lambda fs, e=epoch: _island(fs, capacity, e, generations), ISLAND)
+        grown = grown.repartition("document_id", "island").mapInPandas(lambda fs, e=epoch: _island(fs, capacity, e, generations, active), ISLAND)
         if epoch + 1 < epochs:
             # Elites migrate round the ring: island i also starts from the best of island i - 1.
             grown = materialize(grown, "packing-epoch")
             moved = grown.select("document_id", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bins").alias("visitor"))
-            grown = grown.join(moved, ["document_id", "island"]).select("document_id", "items", "closed", "loose", "bound", F.array("bins", "visitor").alias("elites"), "island")
-    best = grown.groupBy("document_id").agg(F.first("items").alias("items"), F.first("closed").alias("closed"), F.first("loose").alias("loose"), F.first("bound").alias("bound"), F.min(F.size("bins")).alias("n_bins"))
-    proved = best.mapInPandas(lambda fs: _prove(fs, capacity), "document_id STRING, closed BIGINT, loose BIGINT, items ARRAY<INT>, n_bins INT")
-    solved = state.where("done").select("document_id", "closed", "loose", "items", F.size("bins").alias("n_bins"))
-    words = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x) + F.col("loose")
-    count = F.col("closed") + F.greatest(F.col("n_bins").cast("long"), F.ceil(words / capacity))
+            grown = grown.join(moved, ["document_id", "island"]).select("document_id", "items", "closed", "loose", "bound", F.col("bins").alias("own"), "visitor", "island")
+    number = F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x["k"])
+    best = grown.groupBy("document_id").agg(F.first("items").alias("items"), F.first("closed").alias("closed"), F.first("loose").alias("loose"), F.first("bound").alias("bound"), F.min(number).alias("n_bins"))
+    proved = best.mapInPandas(lambda fs: _prove(fs, capacity, active), f"document_id STRING, closed BIGINT, loose BIGINT, items {_ITEMS}, n_bins BIGINT")
+    solved = state.where("done").select("document_id", "closed", "loose", "items", number.alias("n_bins"))
+    words = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["k"]) + F.col("loose")
+    count = F.col("closed") + F.greatest(F.col("n_bins"), F.ceil(words / capacity))
     return solved.unionByName(proved).select("document_id", count.cast("int").alias("n_containers"))

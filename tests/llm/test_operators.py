@@ -247,6 +247,30 @@ def test_one_huge_document(spark):
     assert -(-sum(lengths) // 200) <= got <= -(-sum(lengths) // 200) * 1.01
 
 
+def test_huge_groups_of_equal_lengths_share_containers(spark):
+    lengths = [("A", 50)] * 1000 + [("A", 149)] * 1000 + [("B", n) for n in (61, 67, 71, 73, 59, 83) for _ in range(300)]
+    blocks = spark.createDataFrame([(d, str(i), n) for i, (d, n) in enumerate(lengths)], "document_id STRING, block_id STRING, n INT").select("document_id", "block_id", F.repeat(F.lit("w "), F.col("n")).alias("clean_text"))
+    got = {r["document_id"]: r["n_containers"] for r in packing.pack(blocks).collect()}
+    assert got["A"] == 1000
+    assert got["B"] == packing.relaxed(collections.Counter(n for d, n in lengths if d == "B"), 200)[0]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_histograms_pack_as_single_items_do(seed):
+    rng = random.Random(seed)
+    counts = collections.Counter({n: rng.randint(1, 40) for n in rng.sample(range(1, 200), 15)})
+    a, b = packing.best_fit_counts(counts, 200), packing.slack_fit_counts(counts, 200, rng)
+    assert a.total() == len(packing.best_fit(counts.elements(), 200))
+    bound, c = packing.relaxed(counts, 200)
+    assert packing.lower_bound(counts, 200) <= c.total() and bound <= min(a.total(), b.total(), c.total())
+    for packed in (a, b, c, packing.crossover_counts(a, b, 200, rng), packing.mutate_counts(a, 200, rng)):
+        held = collections.Counter()
+        for x, k in packed.items():
+            assert sum(x) <= 200 and k > 0
+            held.update({n: m * k for n, m in collections.Counter(x).items()})
+        assert held == counts
+
+
 # 8. tokens
 
 
