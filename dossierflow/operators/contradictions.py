@@ -1,10 +1,10 @@
 """Contradictions between chunks of a case that share an entity.
 
 A chunk is first reduced to what the rules ask of it (cues, places, times), so
-no text travels with a pair. All chunks of an entity are compared as at most 64
-classes of equal cues, with the members of each class in a table of their own;
-``detect`` asks all rules, those on places and times too, of pairs that are
-given.
+no text travels with a pair. All chunks of an entity are compared as classes, at
+most 64 of equal cues and one for each distinct set of places or of times, with
+the members of each class in tables of their own; ``detect`` asks all rules of
+pairs that are given, ``search`` of all pairs of chunks that share an entity.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions import text as T
+from ..session import materialize
 from .base import once
 
 
@@ -42,33 +43,80 @@ def mentions(entities: DataFrame, types: tuple[str, ...] = ("PERSON", "WITNESS",
 CUES = ("denies", "asserts", "physical", "negates", "home", "scene")
 
 
+#: The rules on sets of values; chunks with equal sets are one class.
+VALUES = {"LOCATION_CONFLICT": "places", "TIME_CONFLICT": "times"}
+
+
+def _named(entities: DataFrame, chunks: DataFrame, *columns: str | Column, least: float = 0.5, **options) -> DataFrame:
+    """Chunks of a confidence of at least ``least`` under each entity whose first word they hold."""
+    own = claims(chunks).where(F.col("confidence") >= least).select("key", "words", "confidence", *columns)
+    # Entities are gathered by chunk, so that what is known of a chunk meets them in one row.
+    listed = mentions(entities, **options).groupBy("key").agg(F.collect_list(F.struct("case_id", "entity", "head")).alias("named"))
+    held = F.filter("named", lambda e: F.array_contains("words", F.regexp_replace(e["head"], r"(?U)[^\w]+", "")))
+    met = own.join(listed, "key").withColumn("named", held).drop("words")
+    return met.withColumn("e", F.explode("named")).select("e.case_id", "e.entity", "key", "confidence", *[F.col(c) for c in met.columns if c not in ("key", "confidence", "named")])
+
+
+def _class() -> Column:
+    return sum((F.col(c).cast("int") * (1 << i) for i, c in enumerate(CUES)), F.lit(0)).alias("class")
+
+
 def membership(entities: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     """Class of each chunk under each entity it names: ``case_id, entity, key, class, confidence``.
 
-    A class is a number made of the cues, so an entity has at most 64.
+    A class is a number made of the cues, so an entity has at most 64. Chunks
+    below a confidence of ``least`` are left out, as no pair with them is found.
+    """
+    return _named(entities, chunks, _class(), **options).select("case_id", "entity", "key", "class", "confidence")
+
+
+def _valued(named: DataFrame) -> DataFrame:
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.col(v).alias("values")) for k, v in VALUES.items()])
+    return named.select("case_id", "entity", "key", "confidence", F.explode(kinds).alias("v")).select("case_id", "entity", "key", "confidence", "v.type", "v.values").where(F.size("values") > 0)
+
+
+def value_membership(entities: DataFrame, chunks: DataFrame, **options) -> DataFrame:
+    """Class of each chunk by its places and by its times: ``case_id, entity, type, class_key, key, confidence``.
+
+    A class is told by its least key, which is also its representative in ``class_pairs``.
     """
-    bits = sum((F.col(c).cast("int") * (1 << i) for i, c in enumerate(CUES)), F.lit(0))
-    own = claims(chunks).select("key", "words", "confidence", bits.alias("class"))
-    named = mentions(entities, **options).join(own, "key")
-    return named.where(F.array_contains("words", F.regexp_replace("head", r"(?U)[^\w]+", ""))).select("case_id", "entity", "key", "class", "confidence")
+    own = _valued(_named(entities, chunks, *VALUES.values(), **options))
+    least = own.groupBy("case_id", "entity", "type", "values").agg(F.min("key").alias("class_key"))
+    return own.join(least, ["case_id", "entity", "type", "values"]).select("case_id", "entity", "type", "class_key", "key", "confidence")
 
 
 def class_pairs(entities: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     """Pairs of classes of chunks that contradict each other about an entity: ``case_id, entity, type, class_a, class_b, key_a, key_b, n_a, n_b``.
 
     With ``membership`` this says of every pair of chunks whether its cues
-    contradict (denial against assertion, statement against evidence), without
-    a row for each: any chunk of one class does with any of the other. Keys are
-    representatives, ``n`` counts the members.
+    contradict (denial against assertion, statement against evidence), and with
+    ``value_membership`` whether its places or its times do (both have some, and
+    none in common), without a row for each: any chunk of one class does with
+    any of the other. Keys are representatives, ``n`` counts the members. Pairs
+    by places or times have no direction and stand once, key_a before key_b,
+    without class numbers.
     """
-    groups = membership(entities, chunks, **options).groupBy("case_id", "entity", "class").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    named = materialize(_named(entities, chunks, _class(), *VALUES.values(), **options), "claims")
+    groups = named.groupBy("case_id", "entity", "class").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
     side = lambda s: groups.select("case_id", "entity", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "key", "n")])
     met = side("a").join(side("b"), ["case_id", "entity"])
     has = lambda s, cue: F.col(f"class_{s}").bitwiseAND(1 << CUES.index(cue)) > 0
     denial = has("a", "denies") & has("b", "asserts")
     evidence = has("a", "physical") & ~has("b", "physical") & has("b", "denies")
     kinds = F.array_compact(F.array(F.when(denial & ((F.col("class_a") != F.col("class_b")) | (F.col("n_a") > 1)), "DENIAL_VS_ASSERTION"), F.when(evidence, "STATEMENT_VS_EVIDENCE")))
-    return met.select("case_id", "entity", F.explode(kinds).alias("type"), "class_a", "class_b", "key_a", "key_b", "n_a", "n_b")
+    by_cues = met.select("case_id", "entity", F.explode(kinds).alias("type"), "class_a", "class_b", "key_a", "key_b", "n_a", "n_b")
+    sets = _valued(named).groupBy("case_id", "entity", "type", "values").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    other = lambda s: sets.select("case_id", "entity", "type", *[F.col(c).alias(f"{c}_{s}") for c in ("values", "key", "n")])
+    apart = other("a").join(other("b"), ["case_id", "entity", "type"]).where((F.col("key_a") < F.col("key_b")) & ~F.arrays_overlap("values_a", "values_b"))
+    none = F.lit(None).cast("int")
+    return by_cues.unionByName(apart.select("case_id", "entity", "type", none.alias("class_a"), none.alias("class_b"), "key_a", "key_b", "n_a", "n_b"))
+
+
+def search(entities: DataFrame, chunks: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """``detect`` of all pairs of chunks of a case that share an entity: a row with confidence and severity for each, so as many as the square of an entity's chunks."""
+    own = mentions(entities, **options).select("case_id", "entity", "key")
+    pairs = own.withColumnRenamed("key", "key_a").join(own.withColumnRenamed("key", "key_b"), ["case_id", "entity"]).where("key_a < key_b")
+    return detect(pairs.groupBy("case_id", "key_a", "key_b").agg(F.array_sort(F.collect_list("entity")).alias("shared")), chunks, least=least)
 
 
 def pair_score(deny_a: Column, deny_b: Column, home_a: Column, scene_a: Column, home_b: Column, scene_b: Column) -> Column:

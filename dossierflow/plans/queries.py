@@ -239,6 +239,8 @@ _add("opposed_texts", contradictions.opposed_texts, "contradictions", sql=f"SELE
 _add("judged_pairs", lambda c: _flat(contradictions.numbered(contradictions.judged(c)), "shared"), "contradictions")
 _add("claim_members", lambda n, c: contradictions.membership(entities.listed_entities(n), c), "ner_results", "chunks")
 _add("claim_pairs", lambda n, c: contradictions.class_pairs(entities.listed_entities(n), c), "ner_results", "chunks")
+_add("claim_value_members", lambda n, c: contradictions.value_membership(entities.listed_entities(n), c), "ner_results", "chunks")
+_add("claims_found", lambda n, c: _flat(contradictions.search(entities.listed_entities(n), c), "shared"), "ner_results", "chunks")
 _CUES = [("denies", T.DENIALS), ("asserts", T.ASSERTIONS)]
 _add("claim_cues", lambda c: contradictions.claims(c).select("document_id", "chunk_id", "denies", "asserts", "physical"), "chunks", sql="SELECT document_id, chunk_id, "
      + ", ".join("(" + " OR ".join(f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + f") AS {name}" for name, patterns in _CUES)

@@ -193,6 +193,34 @@ def test_class_pairs_stand_for_all_pairs(table):
             assert ((case, entity, "STATEMENT_VS_EVIDENCE", c1, c2) in told) == (a["physical"] and not b["physical"] and b["denies"])
 
 
+def test_places_and_times_are_searched_over_all_chunks(table):
+    e, chunks = entities.listed_entities(table("ner_results")), table("chunks")
+    members = {}
+    for r in contradictions.value_membership(e, chunks).collect():
+        members.setdefault((r["case_id"], r["entity"], r["type"]), []).append((r["key"], r["class_key"]))
+    told = {(r["case_id"], r["entity"], r["type"], r["key_a"], r["key_b"]) for r in contradictions.class_pairs(e, chunks).collect() if r["class_a"] is None}
+    assert {t[2] for t in told} == {"LOCATION_CONFLICT", "TIME_CONFLICT"}
+    sets = {r["key"]: {"LOCATION_CONFLICT": set(r["places"]), "TIME_CONFLICT": set(r["times"])} for r in contradictions.claims(chunks).collect()}
+    apart = set()
+    for (case, entity, kind), group in members.items():
+        for (k1, c1), (k2, c2) in itertools.combinations(group, 2):
+            found = (case, entity, kind, *sorted((c1, c2))) in told
+            assert found == sets[k1][kind].isdisjoint(sets[k2][kind])
+            if found:
+                apart.add((kind, *sorted((k1, k2))))
+    rows = contradictions.search(e, chunks).where("type in ('LOCATION_CONFLICT', 'TIME_CONFLICT')").collect()
+    assert {(r["type"], r["key_a"], r["key_b"]) for r in rows} == apart and all(r["severity"] and r["confidence"] >= 0.5 for r in rows)
+
+
+def test_no_pair_is_found_below_the_least_confidence(make):
+    texts = {"a": ("Bob was near Elm.", 0.9), "b": ("Bob was outside Oak.", 0.9), "c": ("Bob was inside Fir.", 0.3)}
+    chunks = make("chunks", *[{"case_id": "K", "document_id": "D", "chunk_id": i, "text": t, "chunk_confidence": c} for i, (t, c) in texts.items()])
+    named = make("ner_results", *[{"case_id": "K", "document_id": "D", "chunk_id": i, "entities": [{"text": "Bob", "entity_type": "PERSON"}]} for i in texts])
+    e = entities.listed_entities(named)
+    assert [(r["type"], r["key_a"], r["key_b"]) for r in contradictions.class_pairs(e, chunks).collect()] == [("LOCATION_CONFLICT", "D/a", "D/b")]
+    assert [(r["type"], r["severity"]) for r in contradictions.search(e, chunks).collect()] == [("LOCATION_CONFLICT", "CRITICAL")]
+
+
 # --- vectors, answers -------------------------------------------------------
 
 
