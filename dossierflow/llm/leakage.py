@@ -2,9 +2,11 @@
 
 Both sides are read as words, and every word as a typed slot or a fixed word:
 numbers, names (words that an evaluation item writes with a capital inside a
-sentence) and units become placeholders. Windows of template words are joined by
-hash; then the slots of a joined window are compared: equal slots are a copy,
-other slots, consistently renamed, a re-parameterised item.
+sentence, or the document with a capital anywhere) and units become
+placeholders. Document words that may be a name or a word of an item are read
+both ways. Windows of template words are joined by hash; then the slots of a
+joined window are compared: equal slots are a copy, other slots, consistently
+renamed, a re-parameterised item.
 """
 
 from __future__ import annotations
@@ -45,6 +47,11 @@ def names_in(texts: list[str]) -> set[str]:
     return {w.lower() for t in texts for w in _CASED.findall(t)}
 
 
+def capitalised(text: str) -> set[str]:
+    """Lower-cased words that stand with a capital anywhere."""
+    return {w.lower() for w in WORD.findall(text) if w[0].isupper()}
+
+
 class Templates:
     """Vocabulary of an evaluation set, and its windows as (template hash, slot hash)."""
 
@@ -62,30 +69,50 @@ class Templates:
         """Kind of placeholder of a word, or 0 for a fixed word."""
         return NUMBER if word.isdigit() else NAME if word in self.names else UNIT if word in UNITS else 0
 
-    def code(self, found: list[str], seen: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Template id and own id of each word; a word of no item is ``UNKNOWN`` in both."""
-        pairs = []
+    def code(self, found: list[str], seen: dict[str, tuple[int, int, int]], cased: set[str] | frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template id and own id of each word, and the other template id that a word of ``cased`` may have, or 0.
+
+        A word of no item is a name if it is in ``cased``, else ``UNKNOWN``.
+        """
+        codes = []
         for w in found:
-            p = seen.get(w)
+            key = "^" + w if w in cased else w
+            p = seen.get(key)
             if p is None:
                 i = self.ids.get(w, 0)
-                kind = self.slot(w)
-                p = seen[w] = (kind or i or UNKNOWN, i or (hash_word(w) if kind else UNKNOWN))
-            pairs.append(p)
-        both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
-
-    def hashes(self, template: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of windows without unknown words, with the hash of their template and of their own words."""
+                kind = self.slot(w) or (NAME if w in cased and not i else 0)
+                p = seen[key] = (kind or i or UNKNOWN, i or (hash_word(w) if kind else UNKNOWN), NAME if w in cased and kind not in (NAME, NUMBER) else 0)
+            codes.append(p)
+        all_ = np.array(codes, dtype=np.int64).reshape(-1, 3)
+        return all_[:, 0], all_[:, 1], all_[:, 2]
+
+    def hashes(self, template: np.ndarray, own: np.ndarray, other: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts of windows without unknown words, with the hash of their template and of their own words, about ``most`` at a time.
+
+        A start stands once for each way to read the words that have an ``other`` template id.
+        """
         n = len(template) - self.window + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-        unknown = np.concatenate(([0], np.cumsum(template == UNKNOWN)))
-        starts = np.flatnonzero(unknown[self.window :] == unknown[:n])
-        at = starts[:, None] + np.arange(self.window)
+            return
+        before = lambda x: np.concatenate(([0], np.cumsum(x)))
+        unknown, open_ = before(template == UNKNOWN), before(other != 0)
+        every = np.flatnonzero(unknown[self.window :] == unknown[:n])
         mix = lambda ids: (((ids.astype(np.uint64) + np.uint64(0x9E3779B9)) * np.uint64(0xBF58476D1CE4E5B9)) ^ (ids.astype(np.uint64) >> np.uint64(7)))
-        fold = lambda ids: (mix(ids)[at] * self.powers).sum(axis=1, dtype=np.uint64)
-        return starts, fold(template), fold(own)
+        plain, mine = mix(template), mix(own)
+        change = np.where(other != 0, mix(other) - plain, np.uint64(0))
+        readings = np.cumsum(1 << (open_[every + self.window] - open_[every]))
+        for starts in np.split(every, np.flatnonzero(np.diff(readings // most)) + 1):
+            if not len(starts):
+                continue
+            at = starts[:, None] + np.arange(self.window)
+            by_template, by_own = ((x[at] * self.powers).sum(axis=1, dtype=np.uint64) for x in (plain, mine))
+            row = np.arange(len(starts))
+            for k in range(self.window) if other.any() else ():
+                # Each position that can be read otherwise doubles the readings of its windows.
+                also = np.flatnonzero(other[starts[row] + k])
+                by_template = np.concatenate((by_template, by_template[also] + change[starts[row[also]] + k] * self.powers[k]))
+                row = np.concatenate((row, row[also]))
+            yield starts[row], by_template, by_own[row]
 
 
 def hash_word(word: str) -> int:
@@ -96,19 +123,19 @@ def hash_word(word: str) -> int:
     return value | (1 << 61)
 
 
-def _consistent(a: list[str], b: list[str], templates: Templates) -> bool:
-    """Whether two windows are equal up to a one-to-one renaming of slots of the same kind."""
+def _consistent(a: list[str], b: list[str], templates: Templates, cased: set[str]) -> bool:
+    """Whether a window of a document, whose words ``cased`` may be names, equals one of an item up to a one-to-one renaming of slots of the same kind."""
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     slot = templates.slot
-    return all((x == y or slot(x) and slot(x) == slot(y)) and there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, b))
+    return all((x == y or slot(y) and (slot(x) == slot(y) or slot(y) == NAME and x in cased)) and there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, b))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[int, list[str]], table: dict[int, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[int, list[str]], table: dict[int, list[tuple[int, int]]], by_case: bool) -> Iterator[pa.RecordBatch]:
     """Join each document's windows with the table of evaluation windows and compare the words behind equal hashes."""
     size = templates.window
     known = np.array(sorted(table), dtype=np.uint64)
-    seen: dict[str, tuple[int, int]] = {}
+    seen: dict[str, tuple[int, int, int]] = {}
     for batch in bounded(batches):
         out: dict[tuple[int, int], list[int]] = {}
         if len(seen) > 500_000:
@@ -116,34 +143,35 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[i
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text or doc is None or not len(known):
                 continue
-            found = words(text)
-            starts, by_template, _ = templates.hashes(*templates.code(found, seen))
-            if not len(starts):
-                continue
-            where = np.searchsorted(known, by_template)
-            hit = known[np.minimum(where, len(known) - 1)] == by_template
-            for at, key in zip(starts[hit].tolist(), by_template[hit].tolist()):
-                mine = found[at : at + size]
-                for item, pos in table[key]:
-                    theirs = items[item][pos : pos + size]
-                    exact = mine == theirs
-                    if exact or _consistent(mine, theirs, templates):
-                        count = out.setdefault((doc, item), [0, 0])
-                        count[0 if exact else 1] += 1
+            found, cased = words(text), capitalised(text) if by_case else set()
+            for starts, by_template, _ in templates.hashes(*templates.code(found, seen, cased)):
+                where = np.searchsorted(known, by_template)
+                hit = known[np.minimum(where, len(known) - 1)] == by_template
+                for at, key in zip(starts[hit].tolist(), by_template[hit].tolist()):
+                    mine = found[at : at + size]
+                    for item, pos in table[key]:
+                        theirs = items[item][pos : pos + size]
+                        exact = mine == theirs
+                        if exact or _consistent(mine, theirs, templates, cased):
+                            count = out.setdefault((doc, item), [0, 0])
+                            count[0 if exact else 1] += 1
         keys = list(out)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([out[k][0] for k in keys], pa.int32()), pa.array([out[k][1] for k in keys], pa.int32())], names=["doc_id", "item_id", "copied", "renamed"])
 
 
-def _emit(batches: Iterator[pd.DataFrame], templates: Templates) -> Iterator[pd.DataFrame]:
-    """Windows of documents or items as rows, for sets too large to broadcast."""
-    seen: dict[str, tuple[int, int]] = {}
+def _emit(batches: Iterator[pd.DataFrame], templates: Templates, by_case: bool) -> Iterator[pd.DataFrame]:
+    """Windows of documents (``by_case``) or items as rows, for sets too large to broadcast; ``c`` are the words with a capital."""
+    seen: dict[str, tuple[int, int, int]] = {}
     for f in batches:
         parts = []
         for key, text in zip(f.iloc[:, 0], f.iloc[:, 1]):
-            found = words(text or "")
-            starts, by_template, _ = templates.hashes(*templates.code(found, seen))
-            if len(starts):
-                parts.append(pd.DataFrame({"id": key, "h": by_template.view(np.int64), "w": [found[s : s + templates.window] for s in starts.tolist()]}))
+            found, cased = words(text or ""), capitalised(text or "") if by_case else set()
+            for starts, by_template, _ in templates.hashes(*templates.code(found, seen, cased), most=1 << 14):
+                own = [found[s : s + templates.window] for s in starts.tolist()]
+                parts.append(pd.DataFrame({"id": key, "h": by_template.view(np.int64), "w": own, "c": [sorted(cased.intersection(w)) for w in own]}))
+                if sum(map(len, parts)) > 1 << 16:
+                    yield pd.concat(parts)
+                    parts = []
         if parts:
             yield pd.concat(parts)
 
@@ -151,21 +179,22 @@ def _emit(batches: Iterator[pd.DataFrame], templates: Templates) -> Iterator[pd.
 def _compare(batches: Iterator[pd.DataFrame], templates: Templates) -> Iterator[pd.DataFrame]:
     for f in batches:
         exact = [list(a) == list(b) for a, b in zip(f["w"], f["v"])]
-        renamed = [not e and _consistent(list(a), list(b), templates) for e, a, b in zip(exact, f["w"], f["v"])]
+        renamed = [not e and _consistent(list(a), list(b), templates, set(c)) for e, a, b, c in zip(exact, f["w"], f["v"], f["c"])]
         yield pd.DataFrame({"doc_id": f["doc_id"], "item_id": f["item_id"], "copied": exact, "renamed": renamed}).astype({"copied": "int32", "renamed": "int32"})
 
 
 LEAKS = "doc_id BIGINT, item_id BIGINT, copied INT, renamed INT"
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, by_case: bool = True) -> DataFrame:
     """``doc_id, item_id, copied, renamed``: windows of the document that copy the item, or re-parameterise it.
 
     The evaluation set is held-out material of fixed size and comes to the driver;
     its windows go to every task while they number at most ``broadcast_windows``
     and are joined by shuffle otherwise. Null and empty texts on either side give
     no row, nor do texts of fewer words than a window. Extra columns are ignored;
-    items that repeat an item_id count together.
+    items that repeat an item_id count together. Without ``by_case`` only the
+    items' own words can be names in a document; copies are the same.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -177,22 +206,22 @@ def leaks(documents: DataFrame, eval_items: DataFrame, window: int = WINDOW, bro
     if sum(map(len, by_key.values())) <= broadcast_windows:
         table: dict[int, list[tuple[int, int]]] = {}
         for n, found in by_key.items():
-            starts, by_template, _ = templates.hashes(*templates.code(found, {}))
-            for at, key in zip(starts.tolist(), by_template.tolist()):
-                table.setdefault(key, []).append((n, at))
+            for starts, by_template, _ in templates.hashes(*templates.code(found, {})):
+                for at, key in zip(starts.tolist(), by_template.tolist()):
+                    table.setdefault(key, []).append((n, at))
         sent = spark.sparkContext.broadcast((templates, by_key, table))
-        raw = docs.mapInArrow(lambda batches: _scan(batches, *sent.value), LEAKS)
+        raw = docs.mapInArrow(lambda batches: _scan(batches, *sent.value, by_case), LEAKS)
         names = spark.createDataFrame(list(own.items()), "item_id BIGINT, own BIGINT") if own else spark.createDataFrame([], "item_id BIGINT, own BIGINT")
         raw = raw.join(F.broadcast(names), "item_id").select("doc_id", F.col("own").alias("item_id"), "copied", "renamed")
     else:
         sent = spark.sparkContext.broadcast(templates)
-        shape = "id BIGINT, h BIGINT, w ARRAY<STRING>"
-        left = docs.mapInPandas(lambda fs: _emit(fs, sent.value), shape).withColumnRenamed("id", "doc_id")
-        right = eval_items.select(F.col("item_id").cast("long"), "text").where("text is not null").mapInPandas(lambda fs: _emit(fs, sent.value), shape).select(F.col("id").alias("item_id"), "h", F.col("w").alias("v"))
+        shape = "id BIGINT, h BIGINT, w ARRAY<STRING>, c ARRAY<STRING>"
+        left = docs.mapInPandas(lambda fs: _emit(fs, sent.value, by_case), shape).withColumnRenamed("id", "doc_id")
+        right = eval_items.select(F.col("item_id").cast("long"), "text").where("text is not null").mapInPandas(lambda fs: _emit(fs, sent.value, False), shape).select(F.col("id").alias("item_id"), "h", F.col("w").alias("v"))
         raw = left.join(right, "h").mapInPandas(lambda fs: _compare(fs, sent.value), LEAKS)
     return raw.groupBy("doc_id", "item_id").agg(F.sum("copied").cast("int").alias("copied"), F.sum("renamed").cast("int").alias("renamed")).where("copied > 0 or renamed > 0")
 
 
 def leaked_documents(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """``doc_id, item_id`` of documents that share at least 12 consecutive words with an item."""
-    return leaks(documents, eval_items).where("copied > 0").select("doc_id", "item_id")
+    return leaks(documents, eval_items, by_case=False).where("copied > 0").select("doc_id", "item_id")

@@ -310,6 +310,19 @@ def test_reparameterised_item(spark):
     assert [(r["doc_id"], r["copied"], r["renamed"]) for r in rows] == [(1, 0, 2)]
 
 
+@pytest.mark.parametrize("size", [leakage.BROADCAST_WINDOWS, 0])
+def test_names_that_no_item_holds_are_renamed(spark, size):
+    item = "Explain why Madame Okavell preferred the walnut festival over the glass negotiation."
+    items = spark.createDataFrame([(1, item), (2, "We hope that at least twelve plain words of a second item stand here.")], "item_id BIGINT, text STRING")
+    texts = [
+        item.replace("Madame Okavell", "Signora Élodie"), item.replace("Okavell", "Hope"), item.replace("Okavell", "hopper"), item.replace("Explain why Madame", "EXPLAIN WHY MADAME"),
+        item.replace("Madame Okavell", "Brunelli Brunelli"), item.replace("Explain why Madame Okavell", "EXPLAIN Why Madame Hope"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id BIGINT, text STRING")
+    rows = leakage.leaks(docs, items, broadcast_windows=size).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["item_id"], r["copied"], r["renamed"]) for r in rows] == [(1, 1, 0, 1), (2, 1, 0, 1), (4, 1, 1, 0), (6, 1, 0, 1)]
+
+
 # 10. subjects
 
 
