@@ -175,7 +175,7 @@ def decide(events: list[tuple[tuple[str, ...], list[str]]]) -> list[str]:
 
     def emit(s: str, words: list[str]) -> float:
         p, n = profile.get(s, Counter()), totals.get(s, 0)
-        return sum(math.log((p[w.lower()] + 1) / (n + size)) for w in words[:200]) / max(1, len(words)) if words else 0.0
+        return sum(math.log((p[w.lower()] + 1) / (n + size)) for w in words) / len(words) if words else 0.0
 
     best: dict[str, float] = {}
     back: list[dict[str, str | None]] = []

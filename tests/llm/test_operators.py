@@ -86,6 +86,11 @@ def test_label_that_fits_two_people_is_decided_by_the_model():
     assert turns.decide([*certain, (("S1", "S2"), ["where"]), (("S2",), ["home"])])[-2] == "S1"
 
 
+def test_a_long_utterance_is_judged_by_all_its_words():
+    certain = [(("S1",), ["where", "when", "who"]), (("S2",), ["home", "bed", "sleep"])] * 4
+    assert turns.decide([*certain, (("S1", "S2"), ["so"] * 200 + ["home"] * 9800)])[-1] == "S2"
+
+
 def test_speech_before_any_label_has_no_turn(make):
     assert turn_rows(make, ROSTER, (None, "Hello there."), ("Q", "Yes?")) == [(1, "S1", 1, 1, 1)]
 
