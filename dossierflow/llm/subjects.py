@@ -39,11 +39,19 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for s in _SPLIT.split(text or "") if (w := _WORD.findall(s.lower()))]
 
 
+def groups(word: str) -> list[str]:
+    """Groups of four and five letters of a word with its ends marked."""
+    marked = f"<{word}>"
+    return [marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)]
+
+
+def bucket(group: str) -> int:
+    return zlib.crc32(group.encode("utf-8")) % BUCKETS
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word and of its groups of four and five letters."""
-    marked = f"<{word}>"
-    groups = [word, *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))]
-    return [zlib.crc32(g.encode("utf-8")) % BUCKETS for g in groups]
+    return [bucket(g) for g in (word, *groups(word))]
 
 
 class Ragged:
@@ -73,6 +81,7 @@ class Model:
         lists = [features(w) for w in vocabulary]
         used, index = np.unique(np.concatenate([np.array(x) for x in lists]), return_inverse=True)
         self.vocabulary, self.subjects = vocabulary, subjects
+        self.used, self.groups, self.plain = used, [], []
         self.parts = (index, np.array([len(x) for x in lists]), len(used))
         rng = np.random.default_rng(seed)
         self.values = [rng.normal(0, 0.1, (len(used), DIMENSIONS)), rng.normal(0, 0.3, (len(subjects), DIMENSIONS)), np.full(len(subjects), -2.0)]
@@ -85,6 +94,11 @@ class Model:
         """What each word adds to each subject's logit before averaging."""
         return self.word_vectors(self.values)[1] @ self.values[1].T
 
+    def group_contributions(self) -> dict[str, np.ndarray]:
+        """What each telling letter group adds to each subject's logit."""
+        rows = np.searchsorted(self.used, [bucket(g) for g in self.groups]).astype(np.int64)
+        return dict(zip(self.groups, self.values[0][rows] @ self.values[1].T))
+
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -140,13 +154,13 @@ def fit(train: DataFrame, model: Model, steps: int = 60, rate: float = 0.15, dec
     return model
 
 
-def _words(batches: Iterator[pa.RecordBatch], with_sentences: dict[str, int] | None) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each labelled document, or its sentences as ids of chosen words."""
+def _words(batches: Iterator[pa.RecordBatch], with_sentences: dict[str, int] | None, parts: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each labelled document, or those letter groups of them that are ``parts``, or its sentences as ids of chosen words."""
     for batch in bounded(batches):
         ids, labels, words = [], [], []
         for doc, text, subjects in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for s in sentences(text) if with_sentences is not None else [sorted({w for s in sentences(text) for w in s})]:
-                chosen = [with_sentences[w] for w in s if w in with_sentences] if with_sentences is not None else s
+                chosen = [with_sentences[w] for w in s if w in with_sentences] if with_sentences is not None else s if parts is None else sorted({g for w in s for g in groups(w) if g in parts})
                 if chosen:
                     ids.append(doc)
                     labels.append(subjects)
@@ -188,7 +202,8 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labell
         discard(texts)
         return None
     shape = "doc_id BIGINT, labels ARRAY<INT>, words ARRAY<{}>"
-    vocabulary = telling_words(texts.mapInArrow(lambda bs: _words(bs, None), shape.format("STRING")), n, counted)
+    seen = texts.mapInArrow(lambda bs: _words(bs, None), shape.format("STRING"))
+    vocabulary = telling_words(seen, n, counted)
     if not vocabulary:
         discard(texts)
         return None
@@ -199,25 +214,41 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labell
     parts = max(1, min(12, spark.sparkContext.defaultParallelism))
     data = materialize(distinct.select("words", "labels", "weight").repartition(parts), "sentences")
     model = fit(data, Model(vocabulary, subjects), steps)
+    parts_ = spark.sparkContext.broadcast(frozenset(g for w in vocabulary for g in groups(w)))
+    model.groups = telling_words(texts.mapInArrow(lambda bs: _words(bs, None, parts_.value), shape.format("STRING")), n, counted)
+    # Words that the labelled documents show to tell nothing, whatever letters they share.
+    often = seen.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    model.plain = sorted({r["word"] for r in often.select("word").collect()} - set(vocabulary))
     discard(texts, data)
     return model
 
 
-def _score(batches: Iterator[pa.RecordBatch], index: dict[str, int], adds: np.ndarray, bias: np.ndarray, subjects: list[str]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple[int, ...], tuple[int, ...]] = {}
+def _score(batches: Iterator[pa.RecordBatch], index: dict[str, int], adds: np.ndarray, bias: np.ndarray, subjects: list[str], parts: dict[str, np.ndarray], plain: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple[int | str, ...], tuple[int, ...]] = {}
+    spelled: dict[str, np.ndarray | None] = {}
+
+    def by_groups(w: str) -> np.ndarray | None:
+        """Mean of a word's telling letter groups; None if it has none or is known to tell nothing."""
+        if w not in spelled:
+            own = [parts[g] for g in groups(w) if g in parts] if w not in plain else []
+            spelled[w] = np.mean(own, axis=0) if own else None
+        return spelled[w]
+
     for batch in bounded(batches):
         docs, names, counts, totals = [], [], [], []
         if len(known) > 500_000:
             known.clear()
+        if len(spelled) > 500_000:
+            spelled.clear()
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = sentences(text)
             hits = [0] * len(subjects)
             for s in found:
-                key = tuple([index[w] for w in s if w in index])
+                key = tuple([index.get(w, w) for w in s if w in index or by_groups(w) is not None])
                 if key:
                     which = known.get(key)
                     if which is None:
-                        which = known[key] = tuple(np.flatnonzero(adds[list(key)].mean(axis=0) + bias > 0).tolist())
+                        which = known[key] = tuple(np.flatnonzero(np.mean([by_groups(w) if isinstance(w, str) else adds[w] for w in key], axis=0) + bias > 0).tolist())
                     for k in which:
                         hits[k] += 1
             for k, n in enumerate(hits):
@@ -243,7 +274,7 @@ def sentence_counts(documents: DataFrame, labels: DataFrame, areas: DataFrame, *
     model = train(documents, labels, areas, **options)
     if model is None:
         return spark.createDataFrame([], SCORED)
-    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(model.vocabulary)}, model.contributions(), model.values[2], model.subjects))
+    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(model.vocabulary)}, model.contributions(), model.values[2], model.subjects, model.group_contributions(), frozenset(model.plain)))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0").mapInArrow(lambda bs: _score(bs, *sent.value), SCORED)
 
 

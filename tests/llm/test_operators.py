@@ -331,6 +331,17 @@ def test_names_that_no_item_holds_are_renamed(spark, size):
 # 10. subjects
 
 
+def test_inflected_words_count_by_their_letter_groups(spark):
+    trades = {"fire": ["smoke", "blaze", "arson"], "ships": ["anchor", "harbour", "sailor"], "law": ["verdict", "appeal", "lawyer"]}
+    kinds = sorted(trades)
+    rows = [(d, " ".join(f"The {w} was noted." for w in trades[kinds[d % 3]])) for d in range(90)]
+    labels = spark.createDataFrame([(d, kinds[d % 3]) for d in range(90)], "doc_id BIGINT, subject STRING")
+    docs = spark.createDataFrame([*rows, (100, "Many harbours were noted."), (101, "Both verdicts were noted."), (102, "Unrelated people were noted.")], "doc_id BIGINT, text STRING")
+    areas = spark.createDataFrame([(k, None) for k in kinds], "subject STRING, description STRING")
+    got = {tuple(r) for r in subjects.document_subjects(docs, labels, areas, steps=40).collect() if r["doc_id"] >= 100}
+    assert got == {(100, "ships"), (101, "law")}
+
+
 def test_held_out_subjects(spark):
     rng = random.Random(0)
     trades = {"fire": ["smoke", "blaze", "arson"], "ships": ["anchor", "hull", "harbour"], "law": ["jury", "verdict", "appeal"]}
