@@ -10,6 +10,8 @@ looked up. Everything is a Catalyst expression; no Python runs on the data.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,8 @@ _PARTS = ("y", "mo", "d", "j", "w", "mn", "a", "b", "dw", "h", "mi", "s", "f", "
 def _compiled() -> tuple[str, str]:
     """The alternation, and the replacement that lists its components."""
     numbered = [notation.format(n=n) for n, notation in enumerate(NOTATIONS)]
-    pattern = r"(?iU)^\s*(?:" + "|".join(numbered) + r")\s*\z"
+    # No part of a notation begins with a blank, so blanks are never given back and entries of any length are read in one pass.
+    pattern = re.sub(r"\\s([*+])", r"\\s\1+", r"(?iU)^\s*(?:" + "|".join(numbered) + r")\s*\z")
     groups = ["".join(f"${{{p}{n}}}" for n, text in enumerate(numbered) if f"(?<{p}{n}>" in text) for p in _PARTS]
     return pattern, "\u0001" + "\u0002".join(groups) + "\u0001"
 
@@ -123,14 +126,14 @@ def _country(zone: Column) -> Column:
 def utc_micros(df: DataFrame, entry: str, reference_date: str, time_zone: str, date_order: str, out: str = "utc_us") -> DataFrame:
     """Add ``out``: microseconds since 1970 (UTC) of the instant that ``entry`` fixes, else null.
 
-    Null entries, unknown notations, impossible dates or times, a wrong weekday,
+    Entries of any length are read. Null entries, unknown notations, impossible dates or times, a wrong weekday,
     zone letters that the office's country does not use, and local times that
     occur twice or never give null. A null ``reference_date``, ``time_zone`` or
     ``date_order`` only matters to entries that need it.
     """
     own = set(df.columns)
     text = F.regexp_replace(F.col(entry), PATTERN, REPLACEMENT)
-    df = df.withColumn("_c", F.when(F.length(entry) <= 80, F.when(text.startswith("\u0001"), F.split(F.substring_index(F.substring(text, 2, 400), "\u0001", 1), "\u0002", -1))))
+    df = df.withColumn("_c", F.when(text.startswith("\u0001") & ~F.col(entry).startswith("\u0001"), F.split(F.substring_index(F.substr(text, F.lit(2)), "\u0001", 1), "\u0002", -1)))
     part = {p: F.nullif(F.lower(F.col("_c")[i]), F.lit("")) for i, p in enumerate(_PARTS)}
     num = {p: F.expr("null").cast("int") if p is None else part[p].cast("int") for p in ("y", "mo", "d", "j", "a", "b", "h", "mi", "s")}
     reference = F.datediff(F.col(reference_date), F.lit("1970-01-01").cast("date")).cast("long")

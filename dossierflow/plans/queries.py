@@ -15,7 +15,7 @@ from ..functions import scores
 from ..functions import text as T
 from ..operators import answers, chunking, cleaning, contradictions, entities, extraction, graph, parsing, timeline, vectors
 from ..operators.base import once
-from ..operators.timestamps import ZONE_COUNTRY, ZONE_LETTERS, normalize_timestamps
+from ..operators.timestamps import normalize_timestamps
 from ..session import read_table, ship_package
 from ..sources import logs
 from . import pipeline, timestamp_sql
@@ -80,7 +80,7 @@ def _flat(df: DataFrame, *columns: str) -> DataFrame:
 
 # --- timestamps, extraction -------------------------------------------------
 
-_add("p3_found", normalize_timestamps, "cleaned_blocks", "offices", sql=timestamp_sql.build(ZONE_LETTERS, ZONE_COUNTRY))
+_add("p3_found", normalize_timestamps, "cleaned_blocks", "offices", sql=timestamp_sql.build())
 _add("block_types", extraction.block_types, "content_blocks", sql=f"""
     SELECT document_id, CASE WHEN type LIKE '%paragraph%' OR type LIKE '%text%' THEN 'paragraph' WHEN type LIKE '%heading%' OR type LIKE '%title%' THEN 'heading' WHEN type LIKE '%table%' THEN 'table'
         WHEN type LIKE '%list_item%' THEN 'list_item' WHEN type LIKE '%caption%' THEN 'caption' WHEN type LIKE '%footnote%' THEN 'footnote' WHEN type LIKE '%code%' THEN 'code'

@@ -21,16 +21,23 @@ _NOTATIONS = (
     (r"(\d{13}|\d{10})", ["u"]),
 )
 
+# Fixed values, written out apart from the operator's tables: zone letters with their minutes east of UTC by country, and the country of each zone.
+_LETTERS = """
+    ('', 'utc', 0), ('', 'gmt', 0), ('', 'z', 0), ('', 'ut', 0), ('GB', 'bst', 60), ('IE', 'ist', 60), ('IN', 'ist', 330), ('JP', 'jst', 540),
+    ('DE', 'cet', 60), ('DE', 'mez', 60), ('DE', 'cest', 120), ('DE', 'mesz', 120),
+    ('US', 'est', -300), ('US', 'cst', -360), ('US', 'mst', -420), ('US', 'pst', -480), ('US', 'edt', -240), ('US', 'cdt', -300), ('US', 'mdt', -360), ('US', 'pdt', -420),
+    ('AU', 'aest', 600), ('AU', 'est', 600), ('AU', 'acst', 570), ('AU', 'cst', 570), ('AU', 'awst', 480), ('AU', 'wst', 480), ('AU', 'aedt', 660), ('AU', 'edt', 660), ('AU', 'acdt', 630), ('AU', 'cdt', 630)
+"""
+_COUNTRY = "CASE WHEN time_zone LIKE 'Australia/%' THEN 'AU' WHEN time_zone = 'Europe/Berlin' THEN 'DE' WHEN time_zone = 'Europe/London' THEN 'GB' WHEN time_zone = 'Europe/Dublin' THEN 'IE' WHEN time_zone = 'Asia/Kolkata' THEN 'IN' WHEN time_zone = 'Asia/Tokyo' THEN 'JP' WHEN time_zone LIKE 'America/%' THEN 'US' END"
 
-def build(letters: dict[str, dict[str, int]], countries: dict[str, str]) -> str:
+
+def build() -> str:
     """SQL of ``document_id, block_id, pos, utc`` over cleaned_blocks and offices."""
     structs = ", ".join("regexp_extract(r, '^\\s*(?:{})\\s*$', [{}]) AS n{}".format(p, ", ".join(f"'{x}'" for x in names), i) for i, (p, names) in enumerate(_NOTATIONS))
     fields = sorted({x for _, names in _NOTATIONS for x in names})
     parts = ", ".join("coalesce({}) AS {}".format(", ".join(f"nullif(n{i}.{f}, '')" for i, (_, names) in enumerate(_NOTATIONS) if f in names), f) for f in fields)
-    zones = ", ".join(f"('{c}', '{k}', {v})" for c, zs in letters.items() for k, v in zs.items())
-    lands = ", ".join(f"('{k}', '{v}')" for k, v in countries.items())
     return f"""
-        WITH zones(country, letters, east) AS (VALUES {zones}), lands(time_zone, country) AS (VALUES {lands}),
+        WITH zones(country, letters, east) AS (VALUES {_LETTERS}), lands AS (SELECT DISTINCT time_zone, {_COUNTRY} AS country FROM offices),
         entries AS (
             SELECT document_id, block_id, reference_date, time_zone, date_order, pos - 1 AS pos, lower(raw) AS r
             FROM (SELECT document_id, block_id, office_code, reference_date, unnest(raw_timestamps) AS raw, generate_subscripts(raw_timestamps, 1) AS pos FROM (SELECT DISTINCT document_id, block_id, office_code, reference_date, raw_timestamps FROM cleaned_blocks))

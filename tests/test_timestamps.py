@@ -43,11 +43,16 @@ def test_notations(make, entry, office, utc):
     assert run(make, [entry], office) == {0: utc}
 
 
+@pytest.mark.parametrize("blanks", [" " * 60, "\t" * 400, "\u00a0 " * 20_000])
+def test_entries_of_any_length(make, blanks):
+    assert run(make, [f"{blanks}2024-03-05{blanks}10:11:12{blanks}UTC{blanks}", f"2024-03-05 10:11{blanks}x{blanks}y"]) == {0: "2024-03-05T10:11:12.000Z"}
+
+
 @pytest.mark.parametrize(
     "entry",
     [
         "2024-02-30 10:00", "25:61", "13:00 pm", "2023-366 10:00", "Mon, 7 May 2022 02:09:13 +0000", "2024-05-06", "5 March 2024", "March 12", "around 8 PM", "unknown",
-        "", "   ", "30/10/2022 02:15", "27/03/2022 02:30", "2023-09-04 20:53 XYZ", "0000-00-00", "123456789", "x" * 5000,
+        "", "   ", "30/10/2022 02:15", "27/03/2022 02:30", "2023-09-04 20:53 XYZ", "0000-00-00", "123456789", "x" * 5000, "\u00012024\u0002",
     ],
 )
 def test_no_instant(make, entry):
