@@ -66,6 +66,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application.
 
