@@ -3,8 +3,9 @@
 A changed basket emits signed deltas: -1 for everything its old version held,
 +1 for everything its new version holds. A delta is a pair of items, one item
 (the marginal) or the basket itself (the total). Deltas are summed on the map
-side and merged into counts that are persisted in hash buckets; only the groups
-that a change touched get their association scores computed again.
+side and merged into counts that are stored in one folder per hash bucket; a
+merge reads and rewrites only the buckets that its deltas fall into, and only the
+groups that a change touched get their association scores computed again.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, drop_path, materialize, shared_path
+from ..session import discard, drop_path, list_path, materialize, shared_path
 
 #: Counts: ``b`` is null in a marginal and in a total. Ids are hashes of group and item.
-COUNTS = "a BIGINT, b BIGINT, n BIGINT, bucket INT"
+COUNTS = "a BIGINT, b BIGINT, n BIGINT"
 #: What an id stands for; ``item`` is null where it stands for the group itself.
 ITEMS = "id BIGINT, grp STRING, item STRING"
+SCORES = "grp STRING, item_a STRING, item_b STRING, n_ab BIGINT, n_a BIGINT, n_b BIGINT, n_all BIGINT, lift DOUBLE"
+
+#: Items of a basket whose pairs one row emits; the pairs of a larger basket are spread over tasks, block against block.
+BLOCK = 256
 
 
 class SharedId(RuntimeError):
@@ -48,29 +53,51 @@ def case_records(ner_results: DataFrame, contradictions: DataFrame) -> DataFrame
     A row delivered twice counts once; rows without an item or with a null case
     are left out; null arrays count as empty; extra columns are ignored.
     """
+    return case_versions(ner_results, contradictions).select("grp", F.col("new").alias("items")).where(F.size("items") > 0)
+
+
+def case_versions(ner_results: DataFrame, contradictions: DataFrame, late: int = 0) -> DataFrame:
+    """Baskets ``grp, old, new``: what was known ``late`` days before the last delivery, null if nothing was, and what is known now.
+
+    Of several deliveries of a row the latest counts. A null time of delivery
+    counts as the earliest, as does the missing one of contradictions.
+    """
     of_type = F.filter("entities", lambda e: e["entity_type"].isin(*ITEM_TYPES))
-    chunks = ner_results.select("document_id", "chunk_id", F.col("case_id").alias("grp"), item_set(F.transform(of_type, lambda e: e["text"])).alias("items")).dropDuplicates(["grp", "document_id", "chunk_id"])
-    claims = contradictions.select("contradiction_id", F.col("case_id").alias("grp"), item_set(F.col("shared_entities")).alias("items")).dropDuplicates(["grp", "contradiction_id"])
-    both = chunks.select("grp", "items").unionByName(claims.select("grp", "items"))
-    return both.where(F.col("grp").isNotNull() & (F.size("items") > 0))
+    start = F.lit("0001-01-01").cast("timestamp_ntz")
+    at = F.coalesce(F.col("ingested_at").cast("timestamp_ntz"), start)
+    last = ner_results.agg(F.max(at).alias("last"))
+    chunks = ner_results.select("document_id", "chunk_id", F.col("case_id").alias("grp"), item_set(F.transform(of_type, lambda e: e["text"])).alias("items"), at.alias("at"))
+    claims = contradictions.select(F.lit(None).cast("string").alias("document_id"), F.col("contradiction_id").alias("chunk_id"), F.col("case_id").alias("grp"), item_set(F.col("shared_entities")).alias("items"), start.alias("at"))
+    rows = chunks.withColumn("claim", F.lit(False)).unionByName(claims.withColumn("claim", F.lit(True))).where("grp is not null").crossJoin(F.broadcast(last))  # one row
+    early = (F.col("at") <= F.col("last") - F.make_dt_interval(F.lit(late))) | F.col("last").isNull()
+    latest = lambda when: F.max(F.when(when, F.struct("at", "items")))["items"]
+    return rows.groupBy("grp", "claim", "document_id", "chunk_id").agg(latest(early).alias("old"), latest(F.lit(True)).alias("new")).select("grp", "old", "new")
 
 
 def _id(seed: int, grp: Column, item: Column | None = None) -> Column:
     return F.xxhash64(F.lit(seed), grp, F.lit("\u0001") if item is None else F.concat(F.lit("\u0002"), item))
 
 
-def deltas(baskets: DataFrame, sign: int = 1, seed: int = 0) -> DataFrame:
+def deltas(baskets: DataFrame, sign: int = 1, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """Signed deltas ``a, b, n`` of baskets ``grp, items`` (items sorted and distinct).
 
     Pairs are two 64-bit ids and not two texts, which is what most of the
     shuffle is made of. The pairs of one basket are emitted by an inner loop
-    over its own sorted items.
+    over its own sorted items, those of a basket of more than ``block`` items
+    block by block.
     """
     ids = baskets.select(_id(seed, F.col("grp")).alias("g"), F.transform("items", lambda x: _id(seed, F.col("grp"), x)).alias("ids"))
     head = ids.select(F.explode(F.concat(F.array("g"), "ids")).alias("a"), F.lit(None).cast("long").alias("b"))
-    firsts = ids.where(F.size("ids") > 1).select(F.posexplode("ids").alias("i", "a"), "ids")
+    firsts = ids.where(F.size("ids").between(2, block)).select(F.posexplode("ids").alias("i", "a"), "ids")
     pairs = firsts.select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    return head.unionByName(pairs).withColumn("n", F.lit(sign).cast("long"))
+    # Large baskets: each block of items meets itself and every later block in a row of its own, and the rows are spread over all tasks.
+    large = ids.where(F.size("ids") > block)
+    starts = lambda low: F.sequence(low, F.size("ids"), F.lit(block))
+    blocks = large.select("ids", F.explode(starts(F.lit(1))).alias("i")).select("i", "ids", F.explode(starts(F.col("i"))).alias("j"))
+    cut = blocks.select("i", "j", F.slice("ids", F.col("i"), F.lit(block)).alias("left"), F.slice("ids", F.col("j"), F.lit(block)).alias("right"))
+    spread = cut.repartition(baskets.sparkSession.sparkContext.defaultParallelism)
+    crossed = spread.select("i", "j", "right", F.posexplode("left").alias("k", "a")).select("a", F.explode(F.when(F.col("i") == F.col("j"), F.expr("slice(right, k + 2, size(right))")).otherwise(F.col("right"))).alias("b"))
+    return head.unionByName(pairs).unionByName(crossed).withColumn("n", F.lit(sign).cast("long"))
 
 
 def named_ids(baskets: DataFrame, seed: int = 0) -> DataFrame:
@@ -81,26 +108,33 @@ def named_ids(baskets: DataFrame, seed: int = 0) -> DataFrame:
 
 
 class PairTable:
-    """Persistent pair and marginal counts in ``buckets`` hash buckets below ``path``, and the items behind their ids.
-
-    Each merge writes a new version next to the last and then drops the one
-    before, so that a reader or a failed merge never sees half a table. Ids are
-    checked to be unique when they are stored; ``SharedId`` asks for another
-    seed, so counts are exact.
+    """Persistent pair and marginal counts below ``path``, one folder per hash bucket, and the items behind their ids.
+
+    A merge writes the buckets it touches as a new version beside the old ones,
+    then points to them; what they replace is deleted one merge later, so that a
+    reader or a failed merge never sees half a table. Ids are checked to be
+    unique in the buckets that are written; ``SharedId`` asks for another seed,
+    so counts are exact. ``buckets`` is rounded up to a multiple of the shuffle
+    partitions: a bucket is cut from the hash that the sums are shuffled by, so
+    that each lies in one task and is written as one file.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, seed: int = 0) -> None:
-        self.spark, self.buckets, self.seed = spark, buckets, seed
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 24, seed: int = 0) -> None:
+        self.spark, self.seed = spark, seed
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = -(-buckets // tasks) * tasks
         self.path = path or shared_path(spark, "pair-table")
         self.version = 0
+        #: Version in which each bucket was last written; an empty bucket has none.
+        self.written: dict[str, dict[int, int]] = {"counts": {}, "items": {}}
+        self.retired: list[str] = []
 
-    def _at(self, what: str, version: int) -> str:
-        return f"{self.path}/{what}/version={version}"
+    def _at(self, what: str, version: int, bucket: int) -> str:
+        return f"{self.path}/{what}/version={version}/bucket={bucket}"
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._at(what, self.version))
+    def _read(self, what: str, schema: str, buckets: set[int] | None = None) -> DataFrame:
+        paths = [self._at(what, v, k) for k, v in sorted(self.written[what].items()) if buckets is None or k in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def counts(self) -> DataFrame:
         """The current counts; empty before the first merge."""
@@ -109,29 +143,49 @@ class PairTable:
     def items(self) -> DataFrame:
         return self._read("items", ITEMS)
 
+    def _merge(self, what: str, schema: str, changed: DataFrame, keys: tuple[str, ...], merge) -> None:
+        """Rewrite the buckets of ``what`` that ``changed`` falls into as ``merge`` of their rows and its own."""
+        bucket = F.pmod(F.hash(*keys), F.lit(self.buckets)).cast("int")
+        stored = None
+        if self.written[what]:
+            changed = stored = materialize(merge(changed), "pair-deltas")
+            touched = {r["bucket"] for r in stored.select(bucket.alias("bucket")).distinct().collect()}
+            changed = merge(self._read(what, schema, touched).unionByName(changed))
+        else:
+            touched = set()
+            changed = merge(changed)
+        kept = changed.where("n <> 0") if "n" in changed.columns else changed
+        target = f"{self.path}/{what}/version={self.version + 1}"
+        kept.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(target)
+        filled = {int(name.partition("=")[2]) for name in list_path(self.spark, target) if name.startswith("bucket=")}
+        now = self.written[what]
+        self.retired += [self._at(what, now.pop(k), k) for k in touched | filled if k in now]
+        now.update(dict.fromkeys(filled, self.version + 1))
+        if stored is not None:
+            discard(stored)
+
     def update(self, old: DataFrame | None, new: DataFrame | None) -> DataFrame:
         """Replace baskets ``old`` by ``new`` (either may be None). Returns the touched groups.
 
         Counts that reach 0 disappear.
         """
         parts = [(b, s) for b, s in ((old, -1), (new, 1)) if b is not None]
-        changed = reduce(DataFrame.unionByName, [deltas(b, s, self.seed) for b, s in parts])
+        gone, self.retired = self.retired, []
+        self._merge("counts", COUNTS, reduce(DataFrame.unionByName, [deltas(b, s, self.seed) for b, s in parts]), ("a", "b"), lambda d: d.groupBy("a", "b").agg(F.sum("n").alias("n")))
         known = reduce(DataFrame.unionByName, [named_ids(b, self.seed) for b, _ in parts])
-        if self.version:
-            changed = self.counts().drop("bucket").unionByName(changed)
-            known = self.items().unionByName(known)
-        bucket = F.pmod(F.xxhash64("a", "b"), F.lit(self.buckets)).cast("int")
-        merged = changed.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
-        merged.withColumn("bucket", bucket).write.parquet(self._at("counts", self.version + 1))
-        known.distinct().write.parquet(self._at("items", self.version + 1))
+        self._merge("items", ITEMS, known, ("id",), lambda d: d.groupBy("id").agg(F.collect_set(F.struct("grp", "item")).alias("e")).select("id", F.inline("e")))
         self.version += 1
-        if not self.items().groupBy("id").count().where("count > 1").isEmpty():
+        fresh = {k for k, v in self.written["items"].items() if v == self.version}
+        if not self._read("items", ITEMS, fresh).groupBy("id").count().where("count > 1").isEmpty():
             raise SharedId(f"two items share an id under seed {self.seed}")
-        if self.version > 2:
-            drop_path(self.spark, self._at("counts", self.version - 2))
-            drop_path(self.spark, self._at("items", self.version - 2))
+        for path in gone:
+            drop_path(self.spark, path)
         return reduce(DataFrame.unionByName, [b.select("grp") for b, _ in parts]).distinct()
 
+    def drop(self) -> None:
+        """Delete all that is stored."""
+        drop_path(self.spark, self.path)
+
     def associations(self, least: int = 5, lift: int = 3, groups: DataFrame | None = None) -> DataFrame:
         """Pairs with ``n_ab >= least`` and ``n_ab * n >= lift * n_a * n_b``, of all groups or of touched ones."""
         counts, items = self.counts(), self.items()
@@ -150,15 +204,32 @@ class PairTable:
         )
 
 
-def frequent_pairs(ner_results: DataFrame, contradictions: DataFrame, least: int = 5, lift: int = 3) -> DataFrame:
-    """``case_id, item_a, item_b`` of pairs that occur together much more often than chance, smaller item first."""
-    baskets = materialize(case_records(ner_results, contradictions), "baskets")  # read twice: for the deltas and for the names of their ids
+def frequent_pairs(ner_results: DataFrame, contradictions: DataFrame, least: int = 5, lift: int = 3, late: int = 30) -> DataFrame:
+    """``case_id, item_a, item_b`` of pairs that occur together much more often than chance, smaller item first.
+
+    The table is built from what was known ``late`` days before the last
+    delivery and scored; baskets that came or changed since are merged as signed
+    deltas, and the groups they touch scored again. The result is that of all
+    rows whatever ``late`` is.
+    """
+    spark = ner_results.sparkSession
+    versions = materialize(case_versions(ner_results, contradictions, late), "baskets")
+    side = lambda c: versions.where(F.size(c) > 0).select("grp", F.col(c).alias("items"))
+    changed = versions.where(~F.col("old").eqNullSafe(F.col("new")))
+    before = changed.where(F.size("old") > 0).select("grp", F.col("old").alias("items"))
+    after = changed.where(F.size("new") > 0).select("grp", F.col("new").alias("items"))
     for seed in count():
-        table = PairTable(ner_results.sparkSession, seed=seed)
+        table = PairTable(spark, seed=seed)
         try:
-            table.update(None, baskets)
+            table.update(None, side("old"))
+            scores = materialize(table.associations(least, lift), "pair-scores")
+            touched = materialize(table.update(before, after), "pair-groups")
         except SharedId:
+            table.drop()
             continue
-        discard(baskets)
-        return table.associations(least, lift).select(F.col("grp").alias("case_id"), "item_a", "item_b")
+        kept = scores.join(touched, "grp", "left_anti")
+        result = materialize(kept.unionByName(table.associations(least, lift, touched)), "pair-scores")
+        discard(versions, scores, touched)
+        table.drop()
+        return result.select(F.col("grp").alias("case_id"), "item_a", "item_b")
     raise AssertionError("unreachable")

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and small cases."""
 
 import collections
+import datetime as dt
 import itertools
 import random
 
@@ -51,6 +52,42 @@ def test_only_touched_groups_are_scored(spark):
     assert {r["grp"] for r in pairs.associations(1, 1, touched).collect()} == {"y"}
 
 
+def test_a_merge_rewrites_only_the_buckets_it_touches(spark):
+    pairs = cooccurrence.PairTable(spark, buckets=64)
+    pairs.update(None, baskets(spark, [("x", rng_items) for rng_items in itertools.combinations("abcdefghijkl", 4)]))
+    first = dict(pairs.written["counts"])
+    pairs.update(baskets(spark, [("x", "ab")]), baskets(spark, [("x", "ac")]))
+    moved = {k for k, v in pairs.written["counts"].items() if v == 2}
+    assert 0 < len(moved) <= 7 and all(pairs.written["counts"].get(k) == v for k, v in first.items() if k not in moved)
+    total = {(r["a"], r["b"]): r["n"] for r in pairs.counts().collect()}
+    pairs.update(baskets(spark, [("x", "ac")]), baskets(spark, [("x", "ab")]))
+    assert len(total) == pairs.counts().count() == 1 + 12 + 66
+
+
+def test_pairs_of_a_huge_basket_are_emitted_block_by_block(spark):
+    items = [f"{i:03}" for i in range(150)]
+    rows = cooccurrence.deltas(baskets(spark, [("x", items), ("x", items[:3])]), block=7)
+    assert rows.where("b is null").count() == 151 + 4
+    assert rows.where("b is not null").groupBy("a", "b").count().groupBy("count").count().sort("count").collect() == [(1, 150 * 149 // 2 - 3), (2, 3)]
+
+
+@pytest.mark.parametrize("late", [0, 1, 400])
+def test_pairs_of_late_deliveries_equal_those_of_all_rows(spark, make, late):
+    rng, start = random.Random(late), dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(80):
+        row = {"case_id": rng.choice("xy"), "document_id": f"D{i % 9}", "chunk_id": f"c{i // 9}", "ingested_at": start + dt.timedelta(days=rng.randint(0, 60)) if rng.random() < 0.9 else None}
+        row["entities"] = [{"entity_type": "PERSON", "text": t} for t in rng.sample("ABCDE", rng.randint(0, 4))]
+        rows += [row, row | {"ingested_at": dt.datetime(2024, 6, 1), "entities": row["entities"][1:]}] if rng.random() < 0.2 else [row]
+    now = {}
+    for r in sorted(rows, key=lambda r: r["ingested_at"] or dt.datetime.min):
+        now[r["case_id"], r["document_id"], r["chunk_id"]] = [e["text"].lower() for e in r["entities"]]
+    want = {x[:3] for x in brute_pairs([(k[0], v) for k, v in now.items() if v], 2, 1)}
+    entity = make("ner_results").schema["entities"].dataType.elementType.fieldNames()
+    filled = [r | {"entities": [{f: e.get(f) for f in entity} for e in r["entities"]]} for r in rows]
+    assert {tuple(r) for r in cooccurrence.frequent_pairs(make("ner_results", *filled), make("contradictions"), 2, 1, late).collect()} == want
+
+
 def test_items_that_share_an_id_ask_for_another_seed(spark, monkeypatch):
     monkeypatch.setattr(cooccurrence, "_id", lambda seed, grp, item=None: F.lit(1).cast("long") if seed == 0 else F.xxhash64(F.lit(seed), grp, item if item is not None else F.lit("")))
     with pytest.raises(cooccurrence.SharedId):
