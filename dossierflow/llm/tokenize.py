@@ -1,17 +1,20 @@
 """Encoding a corpus with a public byte-level BPE vocabulary by merge replay.
 
-Each task holds the distinct pieces of its share of the corpus once. An inverted
-index maps every token pair to the positions where it stands; a heap gives the
-pairs in rank order, each merge is applied to all its positions at once, and
-only the neighbours of a merged pair are indexed anew. A piece therefore costs
-its merges once, however often it occurs.
+The distinct pieces of the whole corpus are counted and spread over hash buckets.
+Each bucket replays the merges once for all its pieces: an inverted index maps
+every token pair to the positions where it stands, a heap gives the pairs in rank
+order, each merge is applied to all its positions at once, and only the
+neighbours of a merged pair are indexed anew. Texts then look their pieces up:
+the most frequent ones, a bounded number, in a table that every task holds, the
+others by a join. A piece costs its merges once in the corpus, however often and
+wherever it stands.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,9 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..batches import bounded
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+
+#: Pieces whose ids every task holds (about 40 MB), and the letters that such a piece has at most.
+MOST_COMMON, LONGEST_COMMON = 200_000, 40
+
+#: Bytes of pieces that share one inverted index (some 300 bytes of memory for each).
+INDEX_BYTES = 1 << 20
 
 # Fixed value: how this family of vocabularies cuts text into pieces before merging.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -103,34 +113,96 @@ def replay(pieces: Iterable[str], ranks: dict[bytes, int], tokens: list[bytes])
     return ids
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], most: int) -> Iterator[pa.RecordBatch]:
+def _cutter():
     import regex
 
-    cut = regex.compile(PIECES).findall
+    return regex.compile(PIECES).findall
+
+
+def _count(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of a task's texts with their number; partial sums leave whenever ``most`` distinct ones are held."""
+    cut, total = _cutter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
+        total.clear()
+        return rows
+
+    for batch in bounded(batches):
+        for text in batch.column(0).to_pylist():
+            total.update(cut(text))
+            if len(total) > most:
+                yield flush()
+    yield flush()
+
+
+def _replay(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Ids of the pieces of a bucket, one inverted index for as many as fit into memory."""
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    known: dict[str, list[int]] = {}
+    for batch in bounded(batches, INDEX_BYTES):
+        ids = replay(batch.column(0).to_pylist(), ranks, tokens)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(ids.values()), pa.list_(pa.int32()))], names=["piece", "n", "ids"])
+
+
+def _look_up(batches: Iterator[pa.RecordBatch], known: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
+    """Texts as runs of ids with a gap for each rare piece, and those pieces in order."""
+    cut = _cutter()
     for batch in bounded(batches):
-        texts = [cut(t) if t else () for t in batch.column(1).to_pylist()]
-        fresh = {p for pieces in texts for p in pieces if p not in known}
-        if len(known) + len(fresh) > most:  # only memory: pieces met again are encoded again
-            known.clear()
-            fresh = {p for pieces in texts for p in pieces}
-        known.update(replay(fresh, ranks, tokens))
-        ids = [[i for p in pieces for i in known[p]] for pieces in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        runs, rare = [], []
+        for text in batch.column(1).to_pylist():
+            own, gaps, run = [], [], []
+            for p in cut(text) if text else ():
+                found = known.get(p)
+                if found is None:
+                    own.append(run)
+                    gaps.append(p)
+                    run = []
+                else:
+                    run += found
+            runs.append([*own, run])
+            rare.append(gaps)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "runs", "rare"])
+
+
+def piece_ids(documents: DataFrame, vocabulary: str = VOCABULARY, most_held: int = 200_000) -> DataFrame:
+    """``piece, n, ids`` of every distinct piece of all texts: how often it stands in the corpus, and its ids.
+
+    Pieces are summed on the map side and spread by their hash over as many
+    buckets as there are shuffle partitions; each bucket is replayed by itself.
+    """
+    spark = documents.sparkSession
+    ship_package(spark)
+    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
+    pieces = documents.select("text").where(F.length("text") > 0).mapInArrow(lambda bs: _count(bs, most_held), "piece STRING, n BIGINT")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # An explicit number, as replaying is work for the processor: adaptive execution would put small buckets together into one task.
+    counted = pieces.groupBy("piece").agg(F.sum("n").alias("n")).repartition(buckets, "piece")
+    return counted.mapInArrow(lambda bs: _replay(bs, ranks.value), "piece STRING, n BIGINT, ids ARRAY<INT>")
 
 
-def encode_corpus(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", most_pieces: int = 1_000_000) -> DataFrame:
+def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, most_common: int = MOST_COMMON) -> DataFrame:
     """``doc_id, ids`` of every document, without special tokens.
 
     Null and empty texts have an empty list; strings of special tokens are
-    ordinary text. The vocabulary (under 1 MB, of fixed size) is read by the
-    driver and sent to the executors once. ``most_pieces`` bounds the pieces a
-    task keeps in memory. Extra columns are ignored.
+    ordinary text; a doc_id that repeats or is null has a row for each of its
+    texts. The vocabulary (under 1 MB, of fixed size) is read by the driver and
+    sent to the executors once, as are the ids of the ``most_common`` pieces; all
+    other pieces meet their ids in a join. Extra columns are ignored.
     """
     spark: SparkSession = documents.sparkSession
-    ship_package(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _encode(batches, ranks.value, most_pieces), "doc_id BIGINT, ids ARRAY<INT>")
+    encoded = materialize(piece_ids(documents, vocabulary), "pieces")
+    short = encoded.where(F.length("piece") <= LONGEST_COMMON)
+    common = {r["piece"]: r["ids"] for r in short.orderBy(F.desc("n"), "piece").limit(most_common).select("piece", "ids").toLocalIterator()}
+    sent = spark.sparkContext.broadcast(common)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    looked = texts.mapInArrow(lambda bs: _look_up(bs, sent.value), "doc_id BIGINT, runs ARRAY<ARRAY<INT>>, rare ARRAY<STRING>")
+    # The number of a row is written down with it, so that it stays the same when a lost task is run again.
+    skeleton = materialize(looked.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    whole = skeleton.where(F.size("rare") == 0).select("doc_id", F.col("runs")[0].alias("ids"))
+    open_ = skeleton.where(F.size("rare") > 0)
+    gaps = open_.select("row", F.posexplode("rare").alias("pos", "piece")).join(encoded.select("piece", "ids"), "piece")
+    filled = gaps.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
+    ids = F.flatten(F.concat(F.slice("runs", 1, 1), F.flatten(F.transform("found", lambda x: F.array(x["ids"], F.col("runs")[x["pos"] + 1])))))
+    return whole.unionByName(open_.select("row", "doc_id", "runs").join(filled, "row").select("doc_id", ids.alias("ids")))

@@ -316,7 +316,8 @@ def test_histograms_pack_as_single_items_do(seed):
 # 8. tokens
 
 
-def test_ids_equal_the_library(spark, table):
+@pytest.mark.parametrize("common", [0, 200, 200_000])
+def test_ids_equal_the_library(spark, table, common):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(f"{tokenize.TOKENIZERS}/byte_bpe_50k.json")
@@ -325,10 +326,23 @@ def test_ids_equal_the_library(spark, table):
     own = spark.createDataFrame(list(enumerate(odd)), "doc_id BIGINT, text STRING")
     docs = table("documents").select("doc_id", "text").union(own.withColumn("doc_id", F.col("doc_id") - 100))
     texts = dict(docs.collect())
-    got = {r["doc_id"]: r["ids"] for r in tokenize.encode_corpus(docs, most_pieces=200).collect()}
+    got = {r["doc_id"]: r["ids"] for r in tokenize.encode_corpus(docs, most_common=common).collect()}
     assert got == {d: library.encode(t or "", add_special_tokens=False).ids for d, t in texts.items()}
 
 
+def test_repeated_and_null_document_ids(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "zwei"), (2, None)], "doc_id BIGINT, text STRING")
+    got = tokenize.encode_corpus(docs, most_common=1).collect()
+    assert sorted((r["doc_id"] or 0, len(r["ids"])) for r in got) == [(0, 2), (1, 2), (1, 2), (2, 0)]
+
+
+def test_a_piece_is_replayed_once_for_the_corpus(spark, table):
+    rows = tokenize.piece_ids(table("documents").select("doc_id", "text").repartition(5), most_held=50)
+    texts = [r["text"] for r in table("documents").collect() if r["text"]]
+    want = collections.Counter(p for t in texts for p in tokenize._cutter()(t))
+    assert {r["piece"]: r["n"] for r in rows.collect()} == want and rows.count() == len(want)
+
+
 # 9. leaks
 
 
