@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths below shared folders that nothing has deleted yet, and local files of this process.
+_LIVE: set[str] = set()
+_OWN: set[str] = set()
+
 PACKAGE_ROOT = Path(__file__).resolve().parent
 
 
@@ -30,13 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="dossierflow-")
+    _OWN.add(folder)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """New, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/dossierflow/{name}-{uuid.uuid4().hex}"
+    """New, unused path below the shared folder; what is there when the process ends is deleted."""
+    path = f"{shared_dir(spark).rstrip('/')}/dossierflow/{name}-{uuid.uuid4().hex}"
+    _LIVE.add(path)
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete tables that results were still read from, and local files, at the end of the process."""
+    jvm = SparkContext._jvm
+    for path in list(_LIVE):
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the JVM or its file system is gone
+            break
+    for path in _OWN:
+        shutil.rmtree(path, ignore_errors=True) if os.path.isdir(path) else Path(path).unlink(missing_ok=True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +85,7 @@ def discard(*tables: DataFrame) -> None:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system (works for every scheme)."""
+    _LIVE.discard(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -84,6 +109,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     handle, archive = tempfile.mkstemp(prefix="dossierflow-", suffix=".zip")
     os.close(handle)
+    _OWN.add(archive)
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
         for source in sorted(PACKAGE_ROOT.rglob("*.py")):
             target.write(source, source.relative_to(PACKAGE_ROOT.parent))
