@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +27,16 @@ WINDOW = 12
 WORD = re.compile(r"[^\W_]+")
 _CASED = re.compile(r"(?<![.!?\n]\s)(?<![.!?\n])(?<!^)\b[A-Z][^\W\d_]+")
 
+_TITLED = re.compile(r"\b([A-Z][^\W\d_]+) (?=([A-Z][^\W\d_]+))")
+
 # Words that stand for a unit of measure.
 UNITS = frozenset("mm cm m km g kg mg l ml s min h hour hours minute minutes day days week weeks month months year years degree degrees percent euro euros dollar dollars pound pounds mile miles metre metres".split())
 
 NUMBER, NAME, UNIT = -3, -4, -5
 UNKNOWN = -1
 
-#: An evaluation set up to this many windows is sent to every task (about 30 MB); a larger one is joined by shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Words of evaluation items that are sent to every task at once (about 60 MB); a larger set meets the documents in several passes.
+PASS_WORDS = 200_000
 
 
 def words(text: str) -> list[str]:
@@ -42,9 +44,10 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def names_in(texts: list[str]) -> set[str]:
-    """Lower-cased words that stand with a capital inside a sentence."""
-    return {w.lower() for t in texts for w in _CASED.findall(t)}
+def names_in(text: str) -> set[str]:
+    """Lower-cased words that stand with a capital inside a sentence, or at its start before another such word ("Captain Driftmoor")."""
+    inside = {w.lower() for w in _CASED.findall(text)}
+    return inside | {w.lower() for w, after in _TITLED.findall(text) if after.lower() in inside and not re.search(rf"\b{w.lower()}\b", text)}
 
 
 def capitalised(text: str) -> set[str]:
@@ -53,14 +56,14 @@ def capitalised(text: str) -> set[str]:
 
 
 class Templates:
-    """Vocabulary of an evaluation set, and its windows as (template hash, slot hash)."""
+    """Vocabulary of a block of evaluation items, and its windows as (template hash, hash of own words)."""
 
-    def __init__(self, texts: list[str], window: int = WINDOW) -> None:
+    def __init__(self, items: list[Item], window: int = WINDOW) -> None:
         self.window = window
         self.ids: dict[str, int] = {}
-        self.names = names_in(texts)
-        for t in texts:
-            for w in words(t):
+        self.names = {w for i in items for w, k in i.slots.items() if k == NAME}
+        for i in items:
+            for w in i.words:
                 self.ids.setdefault(w, len(self.ids) + 1)
         rng = np.random.default_rng(20240229)
         self.powers = rng.integers(1, 2**63 - 1, window, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -123,15 +126,26 @@ def hash_word(word: str) -> int:
     return value | (1 << 61)
 
 
-def _consistent(a: list[str], b: list[str], templates: Templates, cased: set[str]) -> bool:
-    """Whether a window of a document, whose words ``cased`` may be names, equals one of an item up to a one-to-one renaming of slots of the same kind."""
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    slot = templates.slot
-    return all((x == y or slot(y) and (slot(x) == slot(y) or slot(y) == NAME and x in cased)) and there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, b))
+class Item:
+    """Words of one evaluation item, and which of them are slots: its own names, numbers and units."""
+
+    def __init__(self, item_id: int, text: str) -> None:
+        self.item_id, self.words = item_id, words(text)
+        names = names_in(text)
+        self.slots = {w: k for w in self.words if (k := NUMBER if w.isdigit() else NAME if w in names else UNIT if w in UNITS else 0)}
+
+    def renamed(self, found: list[str], at: int, templates: Templates, cased: set[str]) -> bool:
+        """Whether a window of a document, whose words ``cased`` may be names, equals the item's window at ``at`` up to a one-to-one renaming of slots of the same kind."""
+        there: dict[str, str] = {}
+        back: dict[str, str] = {}
+        for x, y in zip(found, self.words[at:]):
+            kind = self.slots.get(y)
+            if not (x == y or kind and (templates.slot(x) == kind or kind == NAME and x in cased)) or there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                return False
+        return True
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[int, list[str]], table: dict[int, list[tuple[int, int]]], by_case: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: list[Item], table: dict[int, list[tuple[int, int]]], by_case: bool) -> Iterator[pa.RecordBatch]:
     """Join each document's windows with the table of evaluation windows and compare the words behind equal hashes."""
     size = templates.window
     known = np.array(sorted(table), dtype=np.uint64)
@@ -149,77 +163,50 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates, items: dict[i
                 hit = known[np.minimum(where, len(known) - 1)] == by_template
                 for at, key in zip(starts[hit].tolist(), by_template[hit].tolist()):
                     mine = found[at : at + size]
-                    for item, pos in table[key]:
-                        theirs = items[item][pos : pos + size]
-                        exact = mine == theirs
-                        if exact or _consistent(mine, theirs, templates, cased):
-                            count = out.setdefault((doc, item), [0, 0])
+                    for n, pos in table[key]:
+                        item = items[n]
+                        exact = mine == item.words[pos : pos + size]
+                        if exact or item.renamed(mine, pos, templates, cased):
+                            count = out.setdefault((doc, item.item_id), [0, 0])
                             count[0 if exact else 1] += 1
         keys = list(out)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([out[k][0] for k in keys], pa.int32()), pa.array([out[k][1] for k in keys], pa.int32())], names=["doc_id", "item_id", "copied", "renamed"])
 
 
-def _emit(batches: Iterator[pd.DataFrame], templates: Templates, by_case: bool) -> Iterator[pd.DataFrame]:
-    """Windows of documents (``by_case``) or items as rows, for sets too large to broadcast; ``c`` are the words with a capital."""
-    seen: dict[str, tuple[int, int, int]] = {}
-    for f in batches:
-        parts = []
-        for key, text in zip(f.iloc[:, 0], f.iloc[:, 1]):
-            found, cased = words(text or ""), capitalised(text or "") if by_case else set()
-            for starts, by_template, _ in templates.hashes(*templates.code(found, seen, cased), most=1 << 14):
-                own = [found[s : s + templates.window] for s in starts.tolist()]
-                parts.append(pd.DataFrame({"id": key, "h": by_template.view(np.int64), "w": own, "c": [sorted(cased.intersection(w)) for w in own]}))
-                if sum(map(len, parts)) > 1 << 16:
-                    yield pd.concat(parts)
-                    parts = []
-        if parts:
-            yield pd.concat(parts)
-
-
-def _compare(batches: Iterator[pd.DataFrame], templates: Templates) -> Iterator[pd.DataFrame]:
-    for f in batches:
-        exact = [list(a) == list(b) for a, b in zip(f["w"], f["v"])]
-        renamed = [not e and _consistent(list(a), list(b), templates, set(c)) for e, a, b, c in zip(exact, f["w"], f["v"], f["c"])]
-        yield pd.DataFrame({"doc_id": f["doc_id"], "item_id": f["item_id"], "copied": exact, "renamed": renamed}).astype({"copied": "int32", "renamed": "int32"})
-
-
 LEAKS = "doc_id BIGINT, item_id BIGINT, copied INT, renamed INT"
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, by_case: bool = True) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS, by_case: bool = True) -> DataFrame:
     """``doc_id, item_id, copied, renamed``: windows of the document that copy the item, or re-parameterise it.
 
-    The evaluation set is held-out material of fixed size and comes to the driver;
-    its windows go to every task while they number at most ``broadcast_windows``
-    and are joined by shuffle otherwise. Null and empty texts on either side give
-    no row, nor do texts of fewer words than a window. Extra columns are ignored;
-    items that repeat an item_id count together. Without ``by_case`` only the
-    items' own words can be names in a document; copies are the same.
+    Held-out material is small, but nothing rests on that: items are spread by
+    their hash over passes of about ``pass_words`` words, and only one pass of
+    them comes to the driver and is sent to the tasks at a time. What is a slot of an item
+    depends on its own text alone, so the number of passes changes nothing. Null
+    and empty texts on either side give no row, nor do texts of fewer words than
+    a window. Extra columns are ignored; an item delivered twice counts once, and
+    different texts under one item_id count together. Without ``by_case`` only
+    the items' own words can be names in a document; copies are the same.
     """
     spark = documents.sparkSession
     ship_package(spark)
-    items = [(r["item_id"], r["text"]) for r in eval_items.select("item_id", "text").where("item_id is not null and text is not null").distinct().collect()]
-    templates = Templates([t for _, t in items], window)
+    items = eval_items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    by_key = {n: words(t) for n, (_, t) in enumerate(items)}
-    own = {n: i for n, (i, _) in enumerate(items)}
-    if sum(map(len, by_key.values())) <= broadcast_windows:
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    passes = -(-total // pass_words) or 1
+    found = []
+    for number in range(passes):
+        own = [Item(*r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).toLocalIterator()]
+        templates = Templates(own, window)
         table: dict[int, list[tuple[int, int]]] = {}
-        for n, found in by_key.items():
-            for starts, by_template, _ in templates.hashes(*templates.code(found, {})):
+        for n, item in enumerate(own):
+            for starts, by_template, _ in templates.hashes(*templates.code(item.words, {})):
                 for at, key in zip(starts.tolist(), by_template.tolist()):
                     table.setdefault(key, []).append((n, at))
-        sent = spark.sparkContext.broadcast((templates, by_key, table))
-        raw = docs.mapInArrow(lambda batches: _scan(batches, *sent.value, by_case), LEAKS)
-        names = spark.createDataFrame(list(own.items()), "item_id BIGINT, own BIGINT") if own else spark.createDataFrame([], "item_id BIGINT, own BIGINT")
-        raw = raw.join(F.broadcast(names), "item_id").select("doc_id", F.col("own").alias("item_id"), "copied", "renamed")
-    else:
-        sent = spark.sparkContext.broadcast(templates)
-        shape = "id BIGINT, h BIGINT, w ARRAY<STRING>, c ARRAY<STRING>"
-        left = docs.mapInPandas(lambda fs: _emit(fs, sent.value, by_case), shape).withColumnRenamed("id", "doc_id")
-        right = eval_items.select(F.col("item_id").cast("long"), "text").where("text is not null").mapInPandas(lambda fs: _emit(fs, sent.value, False), shape).select(F.col("id").alias("item_id"), "h", F.col("w").alias("v"))
-        raw = left.join(right, "h").mapInPandas(lambda fs: _compare(fs, sent.value), LEAKS)
-    return raw.groupBy("doc_id", "item_id").agg(F.sum("copied").cast("int").alias("copied"), F.sum("renamed").cast("int").alias("renamed")).where("copied > 0 or renamed > 0")
+        sent = spark.sparkContext.broadcast((templates, own, table))
+        found.append(docs.mapInArrow(lambda batches, sent=sent: _scan(batches, *sent.value, by_case), LEAKS))
+    raw = reduce(DataFrame.unionByName, found)
+    return raw.groupBy("doc_id", "item_id").agg(F.sum("copied").cast("int").alias("copied"), F.sum("renamed").cast("int").alias("renamed"))
 
 
 def leaked_documents(documents: DataFrame, eval_items: DataFrame) -> DataFrame:

@@ -354,8 +354,8 @@ def windows(text):
 def test_leaks_equal_brute_force_both_ways(spark, table):
     items = {r["item_id"]: windows(r["text"]) for r in table("eval_items").collect()}
     want = {(r["doc_id"], i) for r in table("documents").collect() for i, w in items.items() if w & windows(r["text"])}
-    for size in (leakage.BROADCAST_WINDOWS, 0):  # sent to the tasks, and joined by shuffle
-        got = leakage.leaks(table("documents"), table("eval_items"), broadcast_windows=size).where("copied > 0")
+    for size in (leakage.PASS_WORDS, 2000):  # one pass, and several
+        got = leakage.leaks(table("documents"), table("eval_items").union(table("eval_items")), pass_words=size).where("copied > 0")
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
@@ -366,7 +366,7 @@ def test_reparameterised_item(spark):
     assert [(r["doc_id"], r["copied"], r["renamed"]) for r in rows] == [(1, 0, 2)]
 
 
-@pytest.mark.parametrize("size", [leakage.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("size", [leakage.PASS_WORDS, 5])
 def test_names_that_no_item_holds_are_renamed(spark, size):
     item = "Explain why Madame Okavell preferred the walnut festival over the glass negotiation."
     items = spark.createDataFrame([(1, item), (2, "We hope that at least twelve plain words of a second item stand here.")], "item_id BIGINT, text STRING")
@@ -375,10 +375,38 @@ def test_names_that_no_item_holds_are_renamed(spark, size):
         item.replace("Madame Okavell", "Brunelli Brunelli"), item.replace("Explain why Madame Okavell", "EXPLAIN Why Madame Hope"),
     ]
     docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id BIGINT, text STRING")
-    rows = leakage.leaks(docs, items, broadcast_windows=size).orderBy("doc_id").collect()
+    rows = leakage.leaks(docs, items, pass_words=size).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["item_id"], r["copied"], r["renamed"]) for r in rows] == [(1, 1, 0, 1), (2, 1, 0, 1), (4, 1, 1, 0), (6, 1, 0, 1)]
 
 
+FRESH = ["Quenby", "Vantongeren", "Oyelaran", "Zsófia", "Brannigan", "Ferreira", "Thackeray", "Ngugi", "Lindqvist", "Mbeki"]
+
+
+def test_passes_change_nothing(spark, table):
+    rows = [sorted(map(tuple, leakage.leaks(table("documents"), table("eval_items"), pass_words=n).collect())) for n in (leakage.PASS_WORDS, 1500)]
+    assert rows[0] == rows[1]
+
+
+def test_recall_of_reparameterised_items(spark, table):
+    """Every number and every name of each item is replaced by one that no item holds; the rest stays."""
+    rng = random.Random(4)
+    planted, expected = [], set()
+    for r in table("eval_items").collect():
+        item, fresh = leakage.Item(r["item_id"], r["text"]), {}
+        if len(item.words) < 12 or not any(k in (leakage.NUMBER, leakage.NAME) for k in item.slots.values()):
+            continue
+        numbers, people = iter(rng.sample(range(100, 9999), 200)), iter(rng.sample(FRESH, len(FRESH)))
+        for w, kind in item.slots.items():
+            fresh[w] = str(next(numbers)) if kind == leakage.NUMBER else next(people, None) if kind == leakage.NAME else None
+        text = leakage.WORD.sub(lambda m: fresh.get(m[0].lower()) or m[0], r["text"])
+        planted.append((r["item_id"], f"Seen before. {text} Seen after."))
+        expected.add((r["item_id"], r["item_id"]))
+    docs = spark.createDataFrame(planted, "doc_id BIGINT, text STRING")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, table("eval_items")).collect()}
+    assert len(expected) >= 30 and len(got & expected) >= 0.95 * len(expected), (len(expected), len(got & expected))
+    print("recall of re-parameterised items", len(got & expected), len(expected))
+
+
 # 10. subjects
 
 
