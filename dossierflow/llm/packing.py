@@ -20,10 +20,10 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import discard, materialize, ship_package
 
 Bin = tuple[int, ...]
 
@@ -459,11 +459,17 @@ def _island(frames: Iterator[pd.DataFrame], capacity: int, epoch: int, generatio
 
 def _prove(frames: Iterator[pd.DataFrame], capacity: int, active: int) -> Iterator[pd.DataFrame]:
     for f in frames:
-        n = []
+        n, sure = [], []
         for pairs, bound, k in zip(f["items"], f["bound"], f["n_bins"]):
-            items = _items(pairs, active)
-            n.append(int(k) if isinstance(items, Counter) else exact_count(items, capacity, int(bound), int(k)))
-        yield f.assign(n_bins=n)[["document_id", "closed", "loose", "items", "n_bins"]]
+            items, bound, k = _items(pairs, active), int(bound), int(k)
+            if not isinstance(items, Counter):
+                k = exact_count(items, capacity, bound, k)
+                if k > bound:  # the relaxation over whole containers bounds more closely, and may itself pack into fewer
+                    least, other = relaxed(Counter(items), capacity)
+                    bound, k = max(bound, least), min(k, other.total())
+            n.append(k)
+            sure.append(k <= bound)
+        yield f.assign(n_bins=n, proved=sure)[["document_id", "closed", "loose", "items", "n_bins", "proved"]]
 
 
 _ITEMS, _BINS = "ARRAY<STRUCT<n: INT, k: BIGINT>>", "ARRAY<STRUCT<b: ARRAY<INT>, k: BIGINT>>"
@@ -482,11 +488,16 @@ def block_lengths(blocks: DataFrame, capacity: int = 200) -> DataFrame:
     once = blocks.where(F.col("document_id").isNotNull()).select("document_id", "block_id", words.alias("n")).groupBy("document_id", "block_id").agg(F.max("n").alias("n"))
     counted = once.groupBy("document_id", "n").agg(F.count(F.lit(1)).alias("k"))
     fits = F.col("n").between(1, capacity)
-    return counted.groupBy("document_id").agg(F.collect_list(F.when(fits, F.struct("n", "k"))).alias("lengths"), F.coalesce(F.sum(F.when(F.col("n") > capacity, F.col("n") * F.col("k"))), F.lit(0)).alias("cuttable"))
+    # An explicit number of tasks, here and below: packing is work for the processor, and adaptive execution would put these few bytes into one task.
+    return counted.repartition(_tasks(blocks.sparkSession), "document_id").groupBy("document_id").agg(F.collect_list(F.when(fits, F.struct("n", "k"))).alias("lengths"), F.coalesce(F.sum(F.when(F.col("n") > capacity, F.col("n") * F.col("k"))), F.lit(0)).alias("cuttable"))
+
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-def pack(blocks: DataFrame, capacity: int = 200, islands: int = 4, epochs: int = 2, generations: int = 25, active: int = 600) -> DataFrame:
-    """``document_id, n_containers``: the fewest containers found for each document.
+
+def packings(blocks: DataFrame, capacity: int = 200, islands: int = 4, epochs: int = 4, generations: int = 25, active: int = 600) -> DataFrame:
+    """``document_id, n_containers, proved``: the fewest containers found for each document, and whether fewer are known to be impossible.
 
     Documents with no word need no container. Blocks longer than ``capacity`` are
     cut between words and so fill gaps; no other block is cut. With more than
@@ -495,20 +506,36 @@ def pack(blocks: DataFrame, capacity: int = 200, islands: int = 4, epochs: int =
     """
     spark = blocks.sparkSession
     ship_package(spark)
+    tasks = _tasks(spark)
     state = materialize(block_lengths(blocks, capacity).mapInPandas(lambda fs: _start(fs, capacity, active), STATE), "packing")
+    number = lambda bins: F.aggregate(bins, F.lit(0).cast("long"), lambda a, x: a + x["k"])
+    done = state.where("done").select("document_id", "closed", "loose", "items", number("bins").alias("n_bins"), F.lit(True).alias("proved"))
+    same = ["document_id", "items", "closed", "loose", "bound"]
     open_ = state.where(~F.col("done"))
-    grown = open_.select("document_id", "items", "closed", "loose", "bound", F.col("bins").alias("own"), F.lit(None).cast(_BINS).alias("visitor"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    grown = open_.select(*same, F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("bins").alias("own"), F.lit(None).cast(_BINS).alias("visitor"))
+    tables = []
     for epoch in range(epochs):
-        grown = grown.repartition("document_id", "island").mapInPandas(lambda fs, e=epoch: _island(fs, capacity, e, generations, active), ISLAND)
-        if epoch + 1 < epochs:
-            # Elites migrate round the ring: island i also starts from the best of island i - 1.
-            grown = materialize(grown, "packing-epoch")
-            moved = grown.select("document_id", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bins").alias("visitor"))
-            grown = grown.join(moved, ["document_id", "island"]).select("document_id", "items", "closed", "loose", "bound", F.col("bins").alias("own"), "visitor", "island")
-    number = F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x["k"])
-    best = grown.groupBy("document_id").agg(F.first("items").alias("items"), F.first("closed").alias("closed"), F.first("loose").alias("loose"), F.first("bound").alias("bound"), F.min(number).alias("n_bins"))
-    proved = best.mapInPandas(lambda fs: _prove(fs, capacity, active), f"document_id STRING, closed BIGINT, loose BIGINT, items {_ITEMS}, n_bins BIGINT")
-    solved = state.where("done").select("document_id", "closed", "loose", "items", number.alias("n_bins"))
+        evolved = grown.repartition(tasks, "document_id", "island").mapInPandas(lambda fs, e=epoch: _island(fs, capacity, e, generations, active), ISLAND)
+        # The islands of a document come together in one short row, whose elites then move round the ring: island i also starts from the best of island i - 1.
+        ring = F.array_sort(F.collect_list(F.struct("island", "bins")))
+        together = materialize(evolved.groupBy("document_id").agg(*[F.first(c).alias(c) for c in same[1:]], ring.alias("ring")).withColumn("n_bins", F.array_min(F.transform("ring", lambda x: number(x["bins"])))), "packing-epoch")
+        tables.append(together)
+        done = done.unionByName(together.where("n_bins <= bound").select("document_id", "closed", "loose", "items", "n_bins", F.lit(True).alias("proved")))
+        open_ = together.where("n_bins > bound")
+        if open_.isEmpty():
+            break
+        grown = open_.select(*same, "ring", F.posexplode("ring").alias("at", "one")).select(*same, F.col("one.island").alias("island"), F.col("one.bins").alias("own"), F.col("ring")[F.pmod(F.col("at") - 1, F.size("ring"))]["bins"].alias("visitor"))
+    else:
+        rest = open_.select("document_id", "closed", "loose", "items", "bound", "n_bins").repartition(tasks, "document_id")
+        done = done.unionByName(rest.mapInPandas(lambda fs: _prove(fs, capacity, active), f"document_id STRING, closed BIGINT, loose BIGINT, items {_ITEMS}, n_bins BIGINT, proved BOOLEAN"))
     words = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["k"]) + F.col("loose")
-    count = F.col("closed") + F.greatest(F.col("n_bins"), F.ceil(words / capacity))
-    return solved.unionByName(proved).select("document_id", count.cast("int").alias("n_containers"))
+    needed = F.ceil(words / capacity)
+    count = F.col("closed") + F.greatest(F.col("n_bins"), needed)
+    result = materialize(done.select("document_id", count.cast("int").alias("n_containers"), (F.col("proved") | (needed >= F.col("n_bins"))).alias("proved")), "packed")
+    discard(state, *tables)
+    return result
+
+
+def pack(blocks: DataFrame, capacity: int = 200, **options: int) -> DataFrame:
+    """``document_id, n_containers``: the fewest containers found for each document (see ``packings``)."""
+    return packings(blocks, capacity, **options).select("document_id", "n_containers")
