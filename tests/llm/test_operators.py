@@ -3,6 +3,7 @@
 import collections
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
@@ -191,10 +192,44 @@ def test_page_furniture():
     assert [scans.STATES[s] for s in scans.label_page(page, 2)] == ["header", "break", "body", "break", "footer"]
 
 
-def test_runs_do_not_change_findings(spark, table, monkeypatch):
-    one = scans.scan_findings(table("content_blocks"), table("parsed_blocks")).collect()
-    monkeypatch.setattr(scans, "RUN", 512)
-    assert sorted(one) == sorted(scans.scan_findings(table("content_blocks"), table("parsed_blocks")).collect())
+def test_runs_do_not_change_findings(spark, table):
+    one, many = (scans.scan_findings(table("content_blocks"), table("parsed_blocks"), size=n).collect() for n in (scans.RUN, 64))
+    assert len(set(one) ^ set(many)) <= 0.005 * len(one)
+
+
+@pytest.mark.parametrize("held", [0, 40, 400])
+def test_words_that_no_task_holds_are_asked_for(spark, table, held):
+    every, few = (scans.scan_findings(table("content_blocks"), table("parsed_blocks"), most_held=n) for n in (scans.MOST_HELD, held))
+    assert sorted(few.collect()) == sorted(every.collect())
+
+
+def test_corrections_of_endless_words_end():
+    assert speller().correct("l" * 20_000) is None and speller().correct("rn" * 5000) is None and speller().correct("0c1" * 3000) is None
+
+
+def test_long_running_headers(make):
+    title = "Caldermoor and Northern Marches District Constabulary Joint Investigation Unit Records Office"
+    rows = []
+    for page in range(1, 5):
+        for text in (f"{title} {page}", f"On page {page} the landlord said that nobody had entered the building before noon, and that the door was locked.", f"Later on page {page} a neighbour confirmed this in writing."):
+            rows.append({"document_id": "D", "block_id": f"b{len(rows)}", "ord": len(rows), "page": page, "text": text})
+    got = {r["block_id"] for r in scans.scan_findings(make("content_blocks", *rows), make("parsed_blocks")).where("kind = 'header'").collect()}
+    assert got == {"b0", "b3", "b6", "b9"}
+
+
+def test_words_are_repaired_wherever_a_scanned_document_breaks_its_lines(make):
+    plain = [{"document_id": "W", "block_id": f"w{i}", "ord": i, "page": 1, "text": "Nobody entered the building before noon."} for i in range(40)]
+    rows = [{"document_id": "D", "block_id": f"b{i}", "ord": i, "page": i // 5, "text": "N0body entered the building before noon."} for i in range(100)]
+    rows.append({"document_id": "D", "block_id": "b100", "ord": 100, "page": 20, "text": "Nobody entered the buil-\nding before noon."})
+    words = [r["word"] for r in scans.scan_findings(make("content_blocks", *plain, *rows), make("parsed_blocks"), size=40).where("kind = 'word' and document_id = 'D'").collect()]
+    assert sorted(words) == ["building"] + ["nobody"] * 100
+
+
+def test_the_page_model_is_learned_from_counts():
+    seen = {("form", "digits", scans.HEADER): 10_000, ("place", "first", scans.HEADER): 10_000, ("open", "", scans.HEADER): 10_000, ("move", str(scans.HEADER), scans.BODY): 10_000}
+    guess, learned = scans.Layout(), scans.Layout().learned(seen)
+    assert learned.forms["digits"][scans.HEADER] > guess.forms["digits"][scans.HEADER] and learned.opens[scans.HEADER] > guess.opens[scans.HEADER]
+    assert abs(sum(map(math.exp, (*learned.moves[scans.HEADER], learned.closes[scans.HEADER]))) - 1) < 0.1
 
 
 # 6. personal information
