@@ -1,10 +1,12 @@
 """Personal information in free text, found from anchors and replaced by typed placeholders.
 
-One Aho-Corasick pass finds cues: at-signs and their disguises, and street words.
-Digits and the letters that open an identifier are cues of their own. From each
-cue a deterministic local parser expands to the left and right and validates the
-boundaries. Names are read from the words of a name vocabulary, their
-misspellings, initials and the commas between them.
+One Aho-Corasick pass finds cues: at-signs and their disguises, schemes, street
+words and words that announce an identifier or a telephone. Digits and the
+letters that open an identifier are cues of their own. From each cue a
+deterministic local parser expands to the left and right and validates the
+boundaries, and check digits where the notation has them. Names are read from
+the words of a name vocabulary, their misspellings, initials and the commas
+between them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,16 @@ from .lexicon import TITLES, Names, roster_names
 # Cues of e-mail addresses and of streets.
 AT_SIGNS = ("@", "[at]", "(at)", "{at}", "<at>", " at ")
 STREET_WORDS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "close", "crescent", "cres", "terrace", "way", "drive", "court", "square", "place", "gardens", "grove", "hill")
+MORE_STREETS = ("boulevard", "blvd", "parade", "mews", "row", "walk", "quay", "highway", "circus", "wharf")
+STREETS_FIRST = ("rue", "boulevard", "avenue", "chemin", "impasse", "via", "viale", "piazza", "calle", "avenida", "paseo", "plaza", "rua")
+STREET_ENDS = ("straße", "strasse", "gasse", "allee", "weg", "platz", "damm", "ufer")
+# Schemes, and words that announce an identifier or a telephone.
+SCHEMES = {"tel:": "PHONE", "sms:": "PHONE", "callto:": "PHONE"}
+ID_CUES = (
+    "passport", "iban", "card", "account", "acct", "ssn", "social security", "national insurance", "nino", "nhs", "driving licence", "driver's license", "driving license", "tax id", "taxpayer", "identity",
+    "id number", "id no", "id card", "steuer-id", "personalausweis", "reisepass", "konto", "pasaporte", "dni", "nif", "nie",
+)
+PHONE_CUES = ("phone", "telephone", "tel", "mobile", "cell", "fax", "call", "telefon", "handy", "teléfono", "móvil")
 
 # Words after a name-like word that make it a street, place or organisation.
 PLACE_WORDS = frozenset(STREET_WORDS) | frozenset("bridge yard arcade boathouse hotel car park footbridge warehouse clinic depot library market station harbour ltd limited company holdings security freight catering engineering motors recycling insurance property management school church house hospital constabulary central office".split())
@@ -49,6 +61,19 @@ _ID = r"""
 """
 _NUMBERED = re.compile(rf"(?<![\w+])(?<!\d[-./:])(?<!\w-)(?=[+(\dA-Z])(?:(?P<phone>{_PHONE})|(?P<id>{_ID}))(?![^\W_])(?!-?\d)(?![./:]\d)", re.X)
 
+# Numbers of any country, after a plus sign and a country code; national numbers that open with 0; payment cards; accounts.
+_ABROAD = re.compile(r"(?<![\w+])\+[1-9]\d{0,2}(?:[\s.-]?\(0\))?(?:[\s.-]?\d{1,4}){2,6}(?![\w])(?!-\d)")
+_NATIONAL = re.compile(r"(?<![\w+./-])(?:\(0\d{2,4}\)\s?|0\d{2,4}[\s-])\d{3,4}[\s-]\d{3,4}(?![\w])(?![-./:]\d)")
+_CARD = re.compile(r"(?<![\w-])[2-6]\d{3}(?:([\s-])\d{4}\1\d{4}\1\d{1,7}|\d{11,15})(?![\w-])|(?<![\w-])3\d{3}([\s-])\d{6}\2\d{5}(?![\w-])")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)")
+_AFTER_CUE = re.compile(r"(?:'s)?(?:\s+(?:card|number|no|nr|num|nummer|número|id|code|account)\b\.?)*\s*(?:[:#=]|\bis\b|\bwas\b)?\s*(?=([A-Za-z0-9]))")
+_ID_TOKEN = re.compile(r"[A-Z0-9]+(?:[-\s./]?[A-Z0-9]+)*(?![\w])")
+_DIALLED = re.compile(r"\+?\(?\d[\d\s().-]{5,20}\d(?![\w])(?![-./:]\d)")
+_STREET_FIRST = re.compile(r"(?:\s+(?:de|du|des|del|della|dei|la|le|les|los|las|da|do|dos|d'|l'))*\s+[A-ZÀ-Þ][\w'’-]*(?:[\s-]+(?:(?:de|du|des|del|della|la)\s+)?[A-ZÀ-Þ][\w'’-]*)*")
+_NUMBER_BEFORE = re.compile(r"\b\d{1,4}(?:\s?(?:bis|ter|[a-zA-Z]))?,?\s+$")
+_NUMBER_AFTER = re.compile(r",?\s+\d{1,4}\s?[a-zA-Z]?\b(?!\d)")
+_TOWN_AFTER = re.compile(r",\s+(?:\d{4,5}\s+)?[A-ZÀ-Þ][\w'’-]+(?:[\s-][A-ZÀ-Þ][\w'’-]+)?")
+
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑­]\s*\n\s*(?=[a-zß-ÿ])")
@@ -72,6 +97,19 @@ def _apart(items: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return kept
 
 
+def luhn(digits: str) -> bool:
+    """Whether the check digit of a payment card's number is right."""
+    return len(digits) >= 13 and sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod97(account: str) -> bool:
+    """Whether the check digits of an international account number are right."""
+    return 15 <= len(account) <= 34 and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+AT, STREET, FIRST_STREET, STREET_END, SCHEME, ID_CUE, PHONE_CUE = range(7)
+
+
 class Finder:
     """Finds (kind, start, end) in a text; keeps what it learned about words."""
 
@@ -80,10 +118,12 @@ class Finder:
 
         self.names = names
         self.cues = ahocorasick.Automaton()
-        for cue in AT_SIGNS:
-            self.cues.add_word(cue, (0, len(cue)))
-        for cue in STREET_WORDS:
-            self.cues.add_word(cue, (1, len(cue)))
+        wanted: dict[str, list[tuple[int, int]]] = {}
+        for what, cues in ((AT, AT_SIGNS), (STREET, (*STREET_WORDS, *MORE_STREETS)), (FIRST_STREET, STREETS_FIRST), (STREET_END, STREET_ENDS), (SCHEME, SCHEMES), (ID_CUE, ID_CUES), (PHONE_CUE, PHONE_CUES)):
+            for cue in cues:
+                wanted.setdefault(cue, []).append((what, len(cue)))
+        for cue, uses in wanted.items():
+            self.cues.add_word(cue, uses)
         self.cues.make_automaton()
         self.folded = {w.replace("rn", "m").replace("ri", "n").replace("cl", "d").replace("vv", "w").replace("o", "a").replace("e", "c") for w in names.firsts | names.surnames if len(w) >= 5}
         self.initials = {w[0] for w in names.firsts}
@@ -124,36 +164,135 @@ class Finder:
             return TYPO
         return NONE
 
-    def emails_and_addresses(self, text: str, found: list[tuple[str, int, int]]) -> None:
+    def anchored(self, text: str, found: list[tuple[str, int, int]]) -> None:
+        """Append what local parsers read from the cues of a text."""
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        end = -1
-        for last, (what, size) in self.cues.iter(low):
-            at = last + 1 - size
-            if what:
-                if at < end or (at and not text[at - 1].isspace()) or low[last + 1 : last + 2].isalnum():
+        digits = _DIGIT.search(text) is not None
+        ends = {"EMAIL": -1, "ADDRESS": -1}
+        for last, uses in self.cues.iter(low):
+            for what, size in uses:
+                at = last + 1 - size
+                if what == AT:
+                    item = self._email(text, low, at, last, size) if at >= ends["EMAIL"] else None
+                elif not digits:
                     continue
-                head = _HOUSE.search(text, max(0, at - 60), at) if at else None
-                if head and text[at].isupper():
-                    end = _REST.match(text, last + 1).end()
-                    found.append(("ADDRESS", head.start(), end))
-                continue
-            if at < end:
-                continue
-            spoken = size == 4 and low[at] == " "
-            tail = (_SPOKEN if spoken else _DOMAIN).match(text, last + 1)
-            if not tail:
-                continue
-            start = at - 1 if not spoken and at and text[at - 1] == " " else at
-            stop = start
-            while start and text[start - 1] in _LOCAL:
+                elif what in (STREET, FIRST_STREET, STREET_END):
+                    item = self._address(text, low, at, last, what) if at >= ends["ADDRESS"] else None
+                else:
+                    item = self._announced(text, low, at, last, what)
+                if item:
+                    found.append(item)
+                    ends[item[0]] = item[2]
+
+    def _email(self, text: str, low: str, at: int, last: int, size: int) -> tuple[str, int, int] | None:
+        spoken = size == 4 and low[at] == " "
+        tail = (_SPOKEN if spoken else _DOMAIN).match(text, last + 1)
+        if not tail:
+            return None
+        start = at - 1 if not spoken and at and text[at - 1] == " " else at
+        stop = start
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < stop and text[start] in ".-'%":
+            start += 1
+        return ("EMAIL", start, tail.end(1)) if start < stop else None
+
+    def _address(self, text: str, low: str, at: int, last: int, what: int) -> tuple[str, int, int] | None:
+        if low[last + 1 : last + 2].isalnum():
+            return None
+        if what == STREET_END:  # "Lange Straße 5a, 10115 Berlin" and "Hauptstraße 12"
+            start = at
+            while start and not text[start - 1].isspace():
                 start -= 1
-            while start < stop and text[start] in ".-'%":
-                start += 1
-            if start < stop:
-                end = tail.end(1)
-                found.append(("EMAIL", start, end))
+            number = _NUMBER_AFTER.match(text, last + 1)
+            if not number or not text[start].isupper() or low[start : last + 1] in STREET_ENDS and not text[at].isupper():
+                return None
+            if start == at:
+                before = re.search(r"[A-ZÀ-Þ][\w'’-]*\s$", text[max(0, text.rfind(" ", 0, max(0, at - 1))) : at])
+                if not before:
+                    return None
+                start = at - len(before[0])
+            town = _TOWN_AFTER.match(text, number.end())
+            return "ADDRESS", start, town.end() if town else number.end()
+        if at and not text[at - 1].isspace():
+            return None
+        if what == FIRST_STREET:  # "14 Rue de Rivoli, Paris" and "Calle Mayor 5"
+            name = _STREET_FIRST.match(text, last + 1) if text[at].isupper() else None
+            if not name:
+                return None
+            number = _NUMBER_BEFORE.search(text, self._back(text, at, 2), at)
+            after = None if number else _NUMBER_AFTER.match(text, name.end())
+            if not number and (not after or low[at : last + 1] in ("avenue", "boulevard")):
+                return None
+            end = after.end() if after else name.end()
+            town = _TOWN_AFTER.match(text, end)
+            return "ADDRESS", number.start() if number else at, town.end() if town else end
+        head = _HOUSE.search(text, self._back(text, at, 8), at) if at else None
+        if low[at : last + 1] in MORE_STREETS and re.match(r"\s+[A-ZÀ-Þ]", text[last + 1 : last + 3]):
+            return None  # "3 Brindle Quay District Office"
+        return ("ADDRESS", head.start(), _REST.match(text, last + 1).end()) if head and text[at].isupper() else None
+
+    @staticmethod
+    def _back(text: str, at: int, words: int) -> int:
+        """Where the so many blank-separated pieces before ``at`` begin, however long they are."""
+        for _ in range(words):
+            while at and text[at - 1].isspace():
+                at -= 1
+            while at and not text[at - 1].isspace():
+                at -= 1
+        return at
+
+    @staticmethod
+    def _announced(text: str, low: str, at: int, last: int, what: int) -> tuple[str, int, int] | None:
+        """A telephone after a scheme or a word for one, an identifier after a word that announces it."""
+        if at and (low[at - 1].isalnum() or low[at - 1] == "-") or what != SCHEME and low[last + 1 : last + 2].isalnum():
+            return None
+        if what == SCHEME:
+            m = _DIALLED.match(text, last + 1)
+            return ("PHONE", m.start(), m.end()) if m and 7 <= sum(map(str.isdigit, m[0])) <= 15 else None
+        cue = _AFTER_CUE.match(text, last + 1)
+        if not cue:
+            return None
+        begin = cue.end()
+        if what == PHONE_CUE:
+            if text[begin - 1] in "+(":
+                begin -= 1
+            m = _DIALLED.match(text, begin)
+            # A year, a time or a short code is no telephone: it has a separator or a leading 0 or +.
+            return ("PHONE", m.start(), m.end()) if m and 7 <= sum(map(str.isdigit, m[0])) <= 15 and (m[0][0] in "0+(" or re.search(r"\d[\s.-]\d", m[0])) else None
+        m = _ID_TOKEN.match(text, begin)
+        if not m:
+            return None
+        # The token goes on while its pieces hold digits: "AB 12 34 56 C" but not "123456789 The".
+        end = begin
+        for piece in re.finditer(r"[A-Z0-9]+(?:[-./][A-Z0-9]+)*", m[0]):
+            if _DIGIT.search(piece[0]) or len(piece[0]) <= 2:
+                end = begin + piece.end()
+            else:
+                break
+        token = text[begin:end].rstrip(" ./-")
+        bare = "".join(c for c in token if c.isalnum())
+        return ("ID_NUMBER", begin, begin + len(token)) if 6 <= len(bare) <= 34 and sum(map(str.isdigit, bare)) >= max(5, len(bare) // 2) and not re.search(r"[/:]|\d\.\d", token) else None
+
+    def numbers(self, text: str, found: list[tuple[str, int, int]]) -> None:
+        """Append telephones and identifiers that their own form gives away."""
+        found += [("PHONE" if m["phone"] else "ID_NUMBER", m.start(), m.end()) for m in _NUMBERED.finditer(text)]
+        if "+" in text:
+            found += [("PHONE", m.start(), m.end()) for m in _ABROAD.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
+        if "0" in text:
+            found += [("PHONE", m.start(), m.end()) for m in _NATIONAL.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 11]
+        found += [("ID_NUMBER", m.start(), m.end()) for m in _CARD.finditer(text) if luhn("".join(filter(str.isdigit, m[0])))]
+        for m in _IBAN.finditer(text):
+            parts, start = m[0].split(), m.start()
+            while parts and not mod97("".join(parts)):  # capitals after it may have been taken for its end
+                parts.pop()
+            if parts:
+                end = start
+                for part in parts:
+                    end = text.index(part, end) + len(part)
+                found.append(("ID_NUMBER", start, end))
 
     def people(self, text: str, found: list[tuple[str, int, int]]) -> None:
         """Append the names: runs of name words and initials, joined by blanks or by one comma after a surname."""
@@ -183,7 +322,7 @@ class Finder:
             while i + 1 < n:
                 a, b, kind_next = words[i + 1]
                 gap = text[end:a]
-                if kind_next in (PLACE, MAYBE) or size >= 4:
+                if kind_next in (PLACE, MAYBE):
                     break
                 if gap == ", " or gap == ",\n":
                     # "Surname, First" and "Surname, F."
@@ -243,9 +382,9 @@ class Finder:
             where += range(at, len(text))
             text = "".join([*parts, text[at:]])
         kept: list[tuple[str, int, int]] = []
-        self.emails_and_addresses(text, kept)
+        self.anchored(text, kept)
         if _DIGIT.search(text):
-            kept += [("PHONE" if m["phone"] else "ID_NUMBER", m.start(), m.end()) for m in _NUMBERED.finditer(text)]
+            self.numbers(text, kept)
         if len(kept) > 1:
             kept = _apart(kept)
         people: list[tuple[str, int, int]] = []

@@ -249,6 +249,13 @@ FINDER = pii.Finder(Names(frozenset({"dmitri", "zoë", "margaret"}), frozenset({
         ("The Halden Bridge and 5 Wexley Lane but Dr. Halden's key", [("ADDRESS", "5 Wexley Lane"), ("NAME", "Halden")]),
         ("PASKEAUX, MARGARET met Z. Lévova, Dorman D. and dmitri dormann in the garden.", [("NAME", "PASKEAUX, MARGARET"), ("NAME", "Z. Lévova"), ("NAME", "Dorman D."), ("NAME", "dmitri dormann")]),
         ("A. Margaret Dorman told me. Q. Z. Lévova and A. B. Dorman and Dorman D. Zoë", [("NAME", "Margaret Dorman"), ("NAME", "Z. Lévova"), ("NAME", "A. B. Dorman"), ("NAME", "Dorman D."), ("NAME", "Zoë")]),
+        ("12 Worthingtonchesterfieldham Upperbridgewater Northamptonshiregate Kingsbridgemouth Road, Leeds", [("ADDRESS", "12 Worthingtonchesterfieldham Upperbridgewater Northamptonshiregate Kingsbridgemouth Road, Leeds")]),
+        ("ring 020 7946 0958 or +33 1 42 68 53 00 or tel:+442079460958, not 2024-01-05 10:11", [("PHONE", "020 7946 0958"), ("PHONE", "+33 1 42 68 53 00"), ("PHONE", "+442079460958")]),
+        ("card 4111 1111 1111 1111 and 4111-1111-1111-1112, order 1234567890123", [("ID_NUMBER", "4111 1111 1111 1111")]),
+        ("to DE89 3704 0044 0532 0130 00 THE BANK, not DE89 3704 0044 0532 0130 01", [("ID_NUMBER", "DE89 3704 0044 0532 0130 00")]),
+        ("passport 123456789 and passport no. X12345678; the account was closed in 2023, account number: 00123456", [("ID_NUMBER", "123456789"), ("ID_NUMBER", "X12345678"), ("ID_NUMBER", "00123456")]),
+        ("5 Elm Boulevard, York; 14 Rue de Rivoli, Paris; Lange Straße 5a, 10115 Berlin; Calle Mayor 5", [("ADDRESS", "5 Elm Boulevard, York"), ("ADDRESS", "14 Rue de Rivoli, Paris"), ("ADDRESS", "Lange Straße 5a, 10115 Berlin"), ("ADDRESS", "Calle Mayor 5")]),
+        ("Mobile: 07700 900123, phone 555 2024", [("PHONE", "07700 900123"), ("PHONE", "555 2024")]),
         ("Nothing here at all.", []),
     ],
 )
