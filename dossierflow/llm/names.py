@@ -1,10 +1,10 @@
 """Spellings of one person or organisation, linked by merge-and-rematch.
 
-Every distinct spelling of a case becomes a profile. Profiles meet in blocks of
-surnames (or organisation names) that are equal but for one letter; within a
-block full names merge first, initials and bare surnames then join the one
-person they can mean. Merged profiles pool their spellings and initials and
-enter blocking again, until a round merges nothing.
+Every distinct reading of a case's spellings becomes a profile. Profiles with a
+first name (and organisations) meet in blocks of surnames that are equal but for
+one letter and merge; once they have settled, initials and bare surnames join the
+one person they can mean. Merged profiles pool their spellings and initials, and
+only they enter blocking again, until a round merges nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded
 from ..session import discard, materialize, ship_package
 from .cooccurrence import clean_item
 from .lexicon import NICKNAMES, TITLES, deletes, near
@@ -34,6 +35,9 @@ SECTORS = {
 # Legal forms and words around them.
 LEGAL = frozenset("ltd limited llc inc plc gmbh co company corp corporation the and of".split())
 
+#: Profiles that a block holds at most before first names divide it.
+LARGE = 200
+
 _TOKENS = re.compile(r"[^\W\d_]+")
 
 
@@ -128,13 +132,17 @@ def _join(a: Profile, b: Profile) -> Profile:
     return tuple(x | y for x, y in zip(a, b))
 
 
-def resolve(kind: str, members: list[tuple[str, Profile]], support: dict[str, int]) -> list[tuple[str, str]]:
-    """Links (id, id of its group) within one block."""
-    members = sorted(members, key=lambda m: m[0])
-    groups: list[list] = []  # [ids, profile]
+def full_groups(kind: str, members: list[tuple[str, Profile]], support: dict[str, int]) -> list[list]:
+    """Groups [ids, profile] of organisations, or of people with a first name, within one block."""
+    groups: list[list] = []
 
-    def add(i: str, p: Profile, fits) -> bool:
-        hits = [g for g in groups if fits(g[1])]
+    def fits(g: Profile, p: Profile) -> bool:
+        if kind == ORGANISATION:
+            return bool(g[0] & p[0]) and same_name(g[3], p[3], support) > 0
+        return _first_alike(g[0], p[0]) and same_name(g[3], p[3], support) > 0 and _middle_fits(g[2], p[2])
+
+    for i, p in sorted(members, key=lambda m: m[0]):
+        hits = [g for g in groups if fits(g[1], p)]
         if hits:
             hits[0][0].append(i)
             hits[0][1] = _join(hits[0][1], p)
@@ -142,97 +150,137 @@ def resolve(kind: str, members: list[tuple[str, Profile]], support: dict[str, in
                 hits[0][0] += g[0]
                 hits[0][1] = _join(hits[0][1], g[1])
                 groups.remove(g)
-            return True
-        groups.append([[i], p])
-        return False
+        else:
+            groups.append([[i], p])
+    return groups
 
-    if kind == ORGANISATION:
-        for i, p in members:
-            add(i, p, lambda g, p=p: bool(g[0] & p[0]) and same_name(g[3], p[3], support) > 0)
-        return [(i, min(ids)) for ids, _ in groups for i in ids if len(ids) > 1]
 
-    full = [m for m in members if m[1][0]]
-    initial = [m for m in members if not m[1][0] and m[1][1]]
-    bare = [m for m in members if not m[1][1]]
-    middle_fits = lambda a, b: not a or not b or bool(a & b)
-    for i, p in full:
-        add(i, p, lambda g, p=p: _first_alike(g[0], p[0]) and same_name(g[3], p[3], support) > 0 and middle_fits(g[2], p[2]))
-    people = list(groups)
+def _middle_fits(a: frozenset[str], b: frozenset[str]) -> bool:
+    return not a or not b or bool(a & b)
+
+
+def short_groups(people: list[tuple[str, int, Profile]], short: list[tuple[str, Profile]], support: dict[str, int]) -> list[list[str]]:
+    """Groups of ids that mean one person: initials and bare surnames with the person they can only mean, or with each other.
+
+    ``people``: id, number of people who look alike, profile. Where several
+    equally good ones fit, a short form is in no group; one that nobody else fits
+    is a group of its own.
+    """
 
     def choose(p: Profile, among: list[list], initials: bool) -> list | None:
         scored = []
         for g in among:
             q = g[1]
             s = same_name(q[3], p[3], support)
-            if not s or initials and (not (q[1] & p[1]) or not middle_fits(q[2], p[2])):
+            if not s or initials and (not (q[1] & p[1]) or not _middle_fits(q[2], p[2])):
                 continue
             scored.append((2 * s + (1 if initials and q[2] & p[2] else 0), g))
         top = max((s for s, _ in scored), default=0)
         best = [g for s, g in scored if s == top]
-        return best[0] if len(best) == 1 else None
+        return best[0] if sum(g[2] for g in best) == 1 else None
 
+    known = [[[i], p, n] for i, n, p in sorted(people, key=lambda x: x[0])]
+    short = sorted(short, key=lambda x: x[0])
     alone: list[list] = []
-    for i, p in initial:
-        target = choose(p, people, True)
+    for i, p in (x for x in short if x[1][1]):
+        target = choose(p, known, True)
         if target:
             target[0].append(i)
             continue
-        if any(same_name(g[1][3], p[3], support) == 2 and g[1][1] & p[1] for g in people):
+        if any(same_name(g[1][3], p[3], support) == 2 and g[1][1] & p[1] for g in known):
             continue  # it may mean several people
-        mate = next((g for g in alone if g[1][1] & p[1] and same_name(g[1][3], p[3], support) and middle_fits(g[1][2], p[2])), None)
+        mates = [g for g in alone if g[1][1] & p[1] and same_name(g[1][3], p[3], support) and _middle_fits(g[1][2], p[2])]
+        mate = max(mates, key=lambda g: (same_name(g[1][3], p[3], support), len(g[1][2] & p[2])), default=None)
         if mate:
             mate[0].append(i)
             mate[1] = _join(mate[1], p)
         else:
-            alone.append([[i], p])
+            alone.append([[i], p, 1])
     loose: list[list] = []
-    for i, p in bare:
-        target = choose(p, people + alone, False)
+    for i, p in (x for x in short if not x[1][1]):
+        target = choose(p, known + alone, False)
         if target:
             target[0].append(i)
-        elif not any(same_name(g[1][3], p[3], support) == 2 for g in people + alone):
-            mate = next((g for g in loose if same_name(g[1][3], p[3], support)), None)
+        elif not any(same_name(g[1][3], p[3], support) == 2 for g in known + alone):
+            mate = max((g for g in loose if same_name(g[1][3], p[3], support)), key=lambda g: same_name(g[1][3], p[3], support), default=None)
             if mate:
                 mate[0].append(i)
             else:
-                loose.append([[i], p])
-    return [(i, min(ids)) for ids, _ in people + alone + loose for i in ids if len(ids) > 1]
+                loose.append([[i], p, 1])
+    return [ids for ids, _, _ in known if len(ids) > 1] + [ids for ids, _, _ in alone + loose]
+
 
+def resolve(kind: str, members: list[tuple[str, Profile]], support: dict[str, int]) -> list[tuple[str, str]]:
+    """Links (id, id of its group) of one block in a single round: first those with first names, then the short forms."""
+    full = [m for m in members if m[1][0]]
+    groups = full_groups(kind, full, support)
+    ids = {min(g[0]): g[0] for g in groups}
+    short = short_groups([(min(g[0]), 1, g[1]) for g in groups], [m for m in members if not m[1][0]], support)
+    for g in short:
+        ids[g[0]] = ids.get(g[0], [g[0]]) + g[1:]
+    return [(i, min(g)) for g in ids.values() for i in g if len(g) > 1]
 
-PROFILE = "grp STRING, kind STRING, id STRING, spellings ARRAY<STRING>, firsts ARRAY<STRING>, initials ARRAY<STRING>, middles ARRAY<STRING>, names ARRAY<STRING>, keys ARRAY<STRING>"
 
+_NAMES = "ARRAY<STRUCT<name: STRING, n: INT>>"
+SPELLED = "grp STRING, kind STRING, spelling STRING, firsts ARRAY<STRING>, initials ARRAY<STRING>, middles ARRAY<STRING>, names ARRAY<STRING>"
+#: ``keys`` are surnames but for a letter, ``parts`` first names but for a letter, ``stamp`` is the round that made the profile.
+PROFILE = f"grp STRING, kind STRING, id STRING, spellings ARRAY<STRING>, firsts ARRAY<STRING>, initials ARRAY<STRING>, middles ARRAY<STRING>, names {_NAMES}, stamp INT, keys ARRAY<STRING>, parts ARRAY<STRING>"
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["grp", "kind", "id", "spellings", "firsts", "initials", "middles", "names", "keys"]
-    for batch in batches:
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Readings of spellings that can be read as a name."""
+    names = ["grp", "kind", "spelling", "firsts", "initials", "middles", "names"]
+    for batch in bounded(batches):
         cols: list[list] = [[] for _ in names]
         for grp, kind, spelling in zip(*(batch.column(i).to_pylist() for i in range(3))):
             p = person(spelling) if kind == PERSON else organisation(spelling)
             if p:
-                for c, v in zip(cols, (grp, kind, spelling, [spelling], *(sorted(x) for x in p), sorted(keys(kind, p)))):
+                for c, v in zip(cols, (grp, kind, spelling, *(sorted(x) for x in p))):
                     c.append(v)
-        texts, lists = pa.string(), pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, texts if i < 3 else lists) for i, c in enumerate(cols)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.list_(pa.string())) for i, c in enumerate(cols)], names=names)
+
+
+def _profile(row: dict) -> Profile:
+    return frozenset(row["firsts"] or ()), frozenset(row["initials"] or ()), frozenset(row["middles"] or ()), frozenset(x["name"] for x in row["names"])
 
 
-def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocking keys of merged profiles."""
-    for batch in batches:
-        rows = batch.to_pylist()
-        fresh = [sorted(keys(r["kind"], tuple(frozenset(r[c] or ()) for c in ("firsts", "initials", "middles", "names")))) for r in rows]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fresh, pa.list_(pa.string()))], names=[*batch.schema.names, "keys"])
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocking keys of profiles."""
+    for batch in bounded(batches):
+        own, parts = [], []
+        for r in batch.select(["kind", "firsts", "initials", "middles", "names"]).to_pylist():
+            p = _profile(r)
+            own.append(sorted(keys(r["kind"], p)))
+            parts.append(sorted({d for f in p[0] for d in (deletes(f) if len(f) >= 4 else {f})}))
+        lists = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, lists), pa.array(parts, lists)], names=[*batch.schema.names, "keys", "parts"])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _support(rows: list[dict]) -> dict[str, int]:
+    return {x["name"]: x["n"] for r in rows for x in r["names"]}
+
+
+def _full_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in bounded(batches):
+        out: list[tuple[str, str, str, str]] = []
+        for r in batch.to_pylist():
+            groups = full_groups(r["kind"], [(m["id"], _profile(m)) for m in r["members"]], _support(r["members"]))
+            out += [(r["grp"], r["kind"], i, min(ids)) for ids, _ in groups for i in ids if i != min(ids)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(4)], names=["grp", "kind", "a", "b"])
+
+
+def _short_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block the ids of looks, as the smallest id that looks so, with the id they are linked to."""
+    for batch in bounded(batches):
         out: list[tuple[str, str, str, str]] = []
         for r in batch.to_pylist():
-            support = {}
-            members = []
-            for m in r["members"]:
-                members.append((m["id"], tuple(frozenset(m[c] or ()) for c in ("firsts", "initials", "middles", "names"))))
-                support.update(zip(m["names"], m["support"]))
-            out += [(r["grp"], r["kind"], i, g) for i, g in resolve(r["kind"], members, support) if i != g]
+            looks = r["members"]
+            people = [(m["id"], m["n"], _profile(m)) for m in looks if m["full"]]
+            short = [(m["id"], _profile(m)) for m in looks if not m["full"]]
+            people_ids = {i for i, _, _ in people}
+            for ids in short_groups(people, short, _support(looks)):
+                root = next((i for i in ids if i in people_ids), min(ids))
+                out += [(r["grp"], r["kind"], i, root) for i in ids if i not in people_ids]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(4)], names=["grp", "kind", "a", "b"])
 
 
@@ -258,34 +306,82 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def resolve_names(spellings: DataFrame, rounds: int = 6) -> DataFrame:
+_LINK = "grp STRING, kind STRING, a STRING, b STRING"
+_LOOK = ("initials", "middles", "names")
+
+
+def _blocked(profiles: DataFrame, since: int) -> DataFrame:
+    """Profiles by each of their keys, as far as a profile made after round ``since`` has the key."""
+    each = profiles.select("*", F.explode("keys").alias("key"))
+    if not since:
+        return each
+    changed = profiles.where(F.col("stamp") > since).select("grp", "kind", F.explode("keys").alias("key")).distinct()
+    return each.join(changed, ["grp", "kind", "key"], "left_semi")
+
+
+def _meet_full(profiles: DataFrame, since: int, large: int) -> DataFrame:
+    """Links between profiles with first names, and between organisations. Blocks of more than ``large`` are divided by first names but for a letter."""
+    full = _blocked(profiles.where(F.size("firsts") > 0), since)
+    hot = full.where(F.col("kind") == PERSON).groupBy("grp", "kind", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large).select("grp", "kind", "key", F.lit(True).alias("hot"))
+    member = F.struct("id", "firsts", "initials", "middles", "names")
+    part = F.explode(F.when(F.col("hot"), F.col("parts")).otherwise(F.array(F.lit("")))).alias("part")
+    placed = full.join(hot, ["grp", "kind", "key"], "left").select("grp", "kind", "key", part, member.alias("member"))
+    blocks = placed.groupBy("grp", "kind", "key", "part").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
+    return blocks.select("grp", "kind", "members").mapInArrow(_full_links, _LINK).distinct()
+
+
+def _meet_short(profiles: DataFrame, since: int) -> DataFrame:
+    """Links of initials and bare surnames. A block holds each look (initials, middle initials, surnames) once, with the number of people who have it."""
+    people = _blocked(profiles.where(F.col("kind") == PERSON), since).withColumn("full", F.size("firsts") > 0)
+    looks = people.groupBy("grp", "kind", "key", "full", *_LOOK).agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("int").alias("n"))
+    member = F.struct("id", "n", "full", F.array().cast("array<string>").alias("firsts"), *_LOOK)
+    blocks = looks.groupBy("grp", "kind", "key").agg(F.collect_list(member).alias("members")).where(F.exists("members", lambda m: ~m["full"]))
+    links = blocks.select("grp", "kind", "members").mapInArrow(_short_links, _LINK).distinct()
+    # Every profile of a look goes where its first one goes.
+    first = profiles.where((F.col("kind") == PERSON) & (F.size("firsts") == 0)).groupBy("grp", "kind", *_LOOK).agg(F.min("id").alias("a"), F.collect_list("id").alias("ids"))
+    return links.join(first.select("grp", "kind", "a", "ids"), ["grp", "kind", "a"]).select("grp", "kind", F.explode("ids").alias("a"), "b").where("a <> b").distinct()
+
+
+def resolve_names(spellings: DataFrame, large: int = LARGE) -> DataFrame:
     """``grp, kind, spelling, entity`` for distinct spellings ``grp, kind, spelling`` that can be read as a name.
 
     ``entity`` is the smallest spelling of a group. Null and unreadable spellings
-    give no row. ``rounds`` only guards against endless rounds; a round that
-    merges nothing ends the work.
+    give no row. Rounds go on until nothing merges any more, which must come as
+    each leaves fewer profiles; ``large`` changes nothing but how work is spread.
     """
     spark = spellings.sparkSession
     ship_package(spark)
     clean = spellings.where("grp is not null and spelling is not null and spelling <> ''").select("grp", "kind", "spelling").distinct()
-    profiles = materialize(clean.mapInArrow(_profiles, PROFILE), "name-profiles")
+    spelled = materialize(clean.mapInArrow(_spelled, SPELLED), "name-spellings")
     # How many first names (or cases, for organisations) a name stands with: a misspelling stands with few.
-    support = materialize(
-        profiles.select("kind", F.explode("names").alias("name"), F.explode_outer(F.when(F.col("kind") == PERSON, F.col("firsts")).otherwise(F.array("grp"))).alias("beside")).groupBy("kind", "name").agg(F.approx_count_distinct("beside", 0.01).cast("int").alias("n")),
-        "name-support",
-    )
-    for _ in range(rounds):
-        named = profiles.select("grp", "kind", "id", F.posexplode("names").alias("k", "name")).join(support, ["kind", "name"], "left").groupBy("grp", "kind", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("n", F.lit(1)).alias("n")))), lambda x: x["n"]).alias("support"))
-        member = F.struct("id", "firsts", "initials", "middles", "names", "support")
-        blocks = profiles.join(named, ["grp", "kind", "id"]).select("grp", "kind", F.explode("keys").alias("key"), member.alias("member")).groupBy("grp", "kind", "key").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-        edges = materialize(blocks.mapInArrow(_links, "grp STRING, kind STRING, a STRING, b STRING").distinct(), "name-links")
+    beside = spelled.select("kind", F.explode("names").alias("name"), F.explode_outer(F.when(F.col("kind") == PERSON, F.col("firsts")).otherwise(F.array("grp"))).alias("beside"))
+    support = beside.distinct().groupBy("kind", "name").agg(F.count("beside").cast("int").alias("n"))
+    # People with a first name, and organisations, that read alike are one profile from the start.
+    read = ["grp", "kind", "firsts", "initials", "middles", "names"]
+    alone = F.when(F.size("firsts") == 0, F.col("spelling"))
+    alike = spelled.groupBy(*read, alone.alias("alone")).agg(F.sort_array(F.collect_set("spelling")).alias("spellings")).withColumn("id", F.col("spellings")[0])
+    named = alike.select("grp", "kind", "id", F.explode("names").alias("name")).join(support, ["kind", "name"]).groupBy("grp", "kind", "id").agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("names"))
+    first = alike.drop("names", "alone").join(named, ["grp", "kind", "id"]).select("grp", "kind", "id", "spellings", "firsts", "initials", "middles", "names", F.lit(1).alias("stamp"))
+    profiles = materialize(first.mapInArrow(_keyed, PROFILE), "name-profiles")
+    discard(spelled)
+    full_until = short_until = number = 0
+    while True:
+        number += 1
+        edges = materialize(_meet_full(profiles, full_until, large), "name-links")
+        full_until = number
         if edges.isEmpty():
-            break
+            discard(edges)
+            edges = materialize(_meet_short(profiles, short_until), "name-links")
+            short_until = number
+            if edges.isEmpty():
+                discard(edges)
+                break
         roots = components(edges)
-        rooted = profiles.drop("keys").join(roots.select("grp", "kind", "id", "root"), ["grp", "kind", "id"], "left").withColumn("id", F.coalesce("root", "id")).drop("root")
+        rooted = profiles.drop("keys", "parts").join(roots.select("grp", "kind", "id", "root"), ["grp", "kind", "id"])
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        merged = rooted.groupBy("grp", "kind", "id").agg(*[union(c) for c in ("spellings", "firsts", "initials", "middles", "names")])
-        richer = materialize(merged.mapInArrow(_pooled, PROFILE), "name-profiles")
+        merged = rooted.groupBy("grp", "kind", F.col("root").alias("id")).agg(*[union(c) for c in ("spellings", "firsts", "initials", "middles", "names")], F.lit(number + 1).alias("stamp"))
+        kept = profiles.join(roots.select("grp", "kind", "id"), ["grp", "kind", "id"], "left_anti")
+        richer = materialize(kept.unionByName(merged.mapInArrow(_keyed, PROFILE)), "name-profiles")
         discard(profiles, edges, roots)
         profiles = richer
     return profiles.select("grp", "kind", F.explode("spellings").alias("spelling"), F.col("id").alias("entity"))

@@ -168,6 +168,35 @@ def test_components_of_a_long_chain(spark):
     assert {(r["grp"], r["root"]) for r in roots.collect()} == {("g", "000"), ("h", "a")} and roots.count() == 63
 
 
+def spelled(spark, *spellings, grp="g"):
+    return spark.createDataFrame([(grp, names.PERSON, s) for s in spellings], "grp STRING, kind STRING, spelling STRING")
+
+
+def entity_groups(rows):
+    groups = collections.defaultdict(set)
+    for r in rows.collect():
+        groups[r["grp"], r["entity"]].add(r["spelling"])
+    return {frozenset(v) for v in groups.values()}
+
+
+def test_short_forms_meet_without_a_person(spark):
+    assert entity_groups(names.resolve_names(spelled(spark, "m. hall", "hall m.", "kerr", "KERR", "mr kerr"))) == {frozenset({"m. hall", "hall m."}), frozenset({"kerr", "KERR", "mr kerr"})}
+
+
+def test_rounds_go_on_until_nothing_merges(spark):
+    # Each name is one letter from the next, and all are rare: pooled spellings link the whole chain.
+    chain = ["abbbbbbb", "aabbbbbb", "aaabbbbb", "aaaabbbb", "aaaaabbb", "aaaaaabb", "aaaaaaab", "aaaaaaaa", "caaaaaaa", "ccaaaaaa", "cccaaaaa"]
+    assert entity_groups(names.resolve_names(spelled(spark, *[f"dmitri {w}" for w in chain]))) == {frozenset(f"dmitri {w}" for w in chain)}
+
+
+def test_divided_blocks_change_nothing(spark):
+    rng = random.Random(2)
+    firsts = ["margaret", "margeret", "meg", "martin", "mary", "dmitri", "dima", "zoe", "m.", "d.", "z."]
+    rows = {f"{rng.choice(firsts)} {rng.choice(['', 'a. ', 'e. '])}{rng.choice(['hallmark', 'halmark', 'hallmork', 'dorman', 'dormann'])}" for _ in range(150)} | {"hallmark", "dorman", "hallmark m."}
+    whole, divided = (entity_groups(names.resolve_names(spelled(spark, *rows), large=n)) for n in (1000, 2))
+    assert whole == divided and 5 < len(whole) < len(rows)
+
+
 # 5. scans
 
 
