@@ -1,12 +1,12 @@
 """Speech transcripts into clean, ordered speaker turns.
 
 A transcript is read in runs of ``RUN`` blocks, so that no task ever holds more
-than a run, however long one document is. Within a run each label is compared
-with the document's roster; labels that fit several people, or nobody, are
-decided by a hidden Markov model whose states are the speakers, with transitions
-and word profiles counted from the labels that are certain. Runs are then
-stitched with window functions: what a run begins without a label continues the
-speaker before it.
+than a run, however long one document is. Each label is compared with the
+document's roster; labels that fit several people, or nobody, are decided by a
+hidden Markov model whose states are the speakers, with transitions and word
+profiles counted from the labels of the whole document that are certain. Runs
+are then stitched: what a run begins without a label continues the speaker before
+it, and turns are numbered from a summary of each run.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..batches import bounded
+from ..session import materialize, ship_package
 from .lexicon import NICKNAMES, TITLES, near
 
-#: Blocks of a document that are read together.
-RUN = 2048
+#: Blocks of a document that are read together, and neighbours on either side that show the model what comes before and after.
+RUN, MARGIN = 2048, 64
 
 # Words and short forms for a role.
 ROLES = {
@@ -152,21 +153,33 @@ def segments(speaker: str | None, text: str | None, roster: Roster) -> list[tupl
     return out
 
 
-def decide(events: list[tuple[tuple[str, ...], list[str]]]) -> list[str]:
-    """Most likely speaker of each labelled event (Viterbi).
+Event = tuple[tuple[str, ...], list[str]]
+#: Words of each speaker, and how often one speaker follows another.
+Counts = tuple[dict[str, Counter[str]], Counter[tuple[str, str]]]
 
-    ``events``: the candidates of a label and the words spoken under it. With one
-    candidate everywhere there is nothing to decide.
-    """
-    if all(len(c) == 1 for c, _ in events):
-        return [c[0] for c, _ in events]
+
+def certain(events: list[Event], own: list[bool] | None = None) -> Counts:
+    """Profiles and transitions of the labels that fit one person only, from the events that are ``own`` to whatever follows."""
     moves: Counter[tuple[str, str]] = Counter()
     profile: dict[str, Counter[str]] = defaultdict(Counter)
-    for (a, words), (b, _) in zip(events, [*events[1:], ((), [])]):
-        if len(a) == 1:
+    for k, ((a, words), (b, _)) in enumerate(zip(events, [*events[1:], ((), [])])):
+        if len(a) == 1 and (own is None or own[k]):
             profile[a[0]].update(w.lower() for w in words)
             if len(b) == 1:
                 moves[a[0], b[0]] += 1
+    return profile, moves
+
+
+def decide(events: list[Event], counts: Counts | None = None) -> list[str]:
+    """Most likely speaker of each labelled event (Viterbi).
+
+    ``events``: the candidates of a label and the words spoken under it. With one
+    candidate everywhere there is nothing to decide. ``counts`` are those of the
+    whole document, if the events are only a part of it.
+    """
+    if all(len(c) == 1 for c, _ in events):
+        return [c[0] for c, _ in events]
+    profile, moves = counts or certain(events)
     totals = {s: sum(p.values()) for s, p in profile.items()}
     size = len({w for p in profile.values() for w in p}) + 1
     starts: Counter[str] = Counter()
@@ -196,9 +209,10 @@ def decide(events: list[tuple[tuple[str, ...], list[str]]]) -> list[str]:
     return path[::-1]
 
 
-def run_turns(blocks: list[tuple[int, str | None, str | None]], roster: Roster) -> list[tuple[str | None, int, int, int, str]]:
-    """Pieces (speaker or None, first_ord, last_ord, n_words, text) of one run of blocks in order."""
-    events: list[tuple[tuple[str, ...], list[str]]] = []
+def read_events(blocks: list[tuple[int, str | None, str | None]], roster: Roster) -> tuple[list[Event], list[int], list[tuple[int, int, str, int]]]:
+    """Labelled events, the block of each, and the pieces of speech (event or -1, block, clean speech, words) of blocks in order."""
+    events: list[Event] = []
+    at: list[int] = []
     parts: list[tuple[int, int, str, int]] = []
     last = None
     for ord_, speaker, text in blocks:
@@ -210,34 +224,80 @@ def run_turns(blocks: list[tuple[int, str | None, str | None]], roster: Roster)
             words = speech_words(clean)
             if label:
                 events.append((label, words))
+                at.append(ord_)
             if words:
                 parts.append((len(events) - 1, ord_, " ".join(clean.split()), len(words)))
-    speakers = decide(events) if events else []
+    return events, at, parts
+
+
+def run_turns(blocks: list[tuple[int, str | None, str | None]], roster: Roster, own: tuple[int, int] | None = None, counts: Counts | None = None) -> tuple[list[tuple[str | None, int, int, int, str]], str | None]:
+    """Pieces (speaker or None, first_ord, last_ord, n_words, text) of one run of blocks in order, and whom its last label names.
+
+    Blocks outside the range ``own`` only help to decide.
+    """
+    low, high = own or (0, 1 << 31)
+    events, at, parts = read_events(blocks, roster)
+    speakers = decide(events, counts) if events else []
     out: list[tuple[str | None, int, int, int, str]] = []
     for event, ord_, clean, n in parts:
+        if not low <= ord_ < high:
+            continue
         who = speakers[event] if event >= 0 else None
         if out and out[-1][0] == who:
             _, first, _, count, text = out[-1]
             out[-1] = (who, first, ord_, count + n, f"{text} {clean}")
         else:
             out.append((who, ord_, ord_, n, clean))
-    if events and (not out or out[-1][0] != speakers[-1]):
-        out.append((speakers[-1], -1, -1, 0, ""))  # a label without speech still says who goes on
-    return out
+    return out, next((s for s, o in zip(reversed(speakers), reversed(at)) if low <= o < high), None)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[tuple[int, str | None, str | None]], Roster]]:
+    for doc, run, ords, speakers, texts, people in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        order = sorted(range(len(ords)), key=lambda k: (ords[k], texts[k] is None, texts[k] or "", speakers[k] or ""))
+        yield doc, run, [(ords[k], speakers[k], texts[k]) for k in order], Roster([tuple(p.values()) for p in people])
+
+
+def _certain(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Counts of each run's certain labels: words ``b`` of speaker ``a``, or transitions from ``a`` to ``b``."""
+    for batch in bounded(batches):
+        rows: list[tuple[str, bool, str, str, int]] = []
+        for doc, run, blocks, roster in _rows(batch):
+            events, at, _ = read_events(blocks, roster)
+            profile, moves = certain(events, [o // size == run for o in at])
+            rows += [(doc, False, s, w, n) for s, p in profile.items() for w, n in p.items()]
+            rows += [(doc, True, a, b, n) for (a, b), n in moves.items()]
+        kinds = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["document_id", "move", "a", "b", "n"])
+
+
+def _read(batches: Iterator[pa.RecordBatch], size: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """One row for each run: its pieces, each with the number of changes of speaker before it, and what stitching needs to know."""
+    piece = pa.struct([("speaker_id", pa.string()), ("first_ord", pa.int32()), ("last_ord", pa.int32()), ("n_words", pa.int64()), ("text", pa.string()), ("changes", pa.int32())])
+    for batch in bounded(batches):
+        rows: list[tuple] = []
+        counted = batch.column(6).to_pylist()
+        for known, (doc, run, blocks, roster) in zip(counted, _rows(batch)):
+            counts = None
+            if known is not None:
+                counts = defaultdict(Counter), Counter()
+                for x in known:
+                    if x["move"]:
+                        counts[1][x["a"], x["b"]] = x["n"]
+                    else:
+                        counts[0][x["a"]][x["b"]] = x["n"]
+            pieces, last = run_turns(blocks, roster, (run * size, (run + 1) * size), counts)
+            changes, before, out = 0, None, []
+            for who, first, end, n, text in pieces:
+                changes += who is not None and before is not None and who != before
+                before = who or before
+                out.append({"speaker_id": who, "first_ord": first, "last_ord": end, "n_words": n, "text": text if with_text else None, "changes": changes})
+            spoken = [who for who, *_ in pieces if who is not None]
+            rows.append((doc, run, out, bool(pieces) and pieces[0][0] is None, spoken[0] if spoken else None, spoken[-1] if spoken else None, changes, last))
+        kinds = [pa.string(), pa.int32(), pa.list_(piece), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["document_id", "run", "pieces", "leads", "first_spoken", "last_spoken", "changes", "last_label"])
 
 
-def _read(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    names = ["document_id", "run", "piece", "speaker_id", "first_ord", "last_ord", "n_words", *(["text"] if with_text else [])]
-    for batch in batches:
-        cols: list[list] = [[] for _ in names]
-        for doc, run, ords, speakers, texts, people in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            order = sorted(range(len(ords)), key=lambda k: (ords[k], texts[k] is None, texts[k] or "", speakers[k] or ""))
-            roster = Roster([tuple(p.values()) for p in people])
-            for piece, p in enumerate(run_turns([(ords[k], speakers[k], texts[k]) for k in order], roster)):
-                for c, v in zip(cols, (doc, run, piece, *p)):
-                    c.append(v)
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+PIECES = "document_id STRING, run INT, pieces ARRAY<STRUCT<speaker_id: STRING, first_ord: INT, last_ord: INT, n_words: BIGINT, text: STRING, changes: INT>>, leads BOOLEAN, first_spoken STRING, last_spoken STRING, changes INT, last_label STRING"
 
 
 def speaker_turns(parsed_blocks: DataFrame, roster: DataFrame, with_text: bool = False, run: int = RUN) -> DataFrame:
@@ -249,19 +309,36 @@ def speaker_turns(parsed_blocks: DataFrame, roster: DataFrame, with_text: bool =
     null and empty texts are no speech. Extra columns are ignored.
     """
     ship_package(parsed_blocks.sparkSession)
-    blocks = parsed_blocks.where("document_id is not null and ord is not null").select("document_id", F.floor(F.col("ord") / run).cast("int").alias("run"), "ord", F.coalesce("speaker", F.lit("")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    at = F.col("ord")
+    blocks = parsed_blocks.where("document_id is not null and ord >= 0").select("document_id", "ord", F.coalesce("speaker", F.lit("")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    margin = min(MARGIN, run)
+    placed = blocks.select("*", F.explode(F.sequence(F.greatest(F.floor((at - margin) / run), F.lit(0)).cast("int"), F.floor((at + margin) / run).cast("int"))).alias("run"))
     people = roster.where("document_id is not null and speaker_id is not null").groupBy("document_id").agg(F.sort_array(F.collect_set(F.struct("speaker_id", "full_name", "role"))).alias("people"))
     # The roster is spread over the runs of its document, so that both sides meet by document and run: one long transcript is then many tasks.
-    extent = blocks.groupBy("document_id").agg(F.max("run").alias("last"))
-    spread = people.join(extent, "document_id").select("document_id", F.explode(F.sequence(F.lit(0), F.greatest("last", F.lit(0)))).alias("run"), "people")
-    spoken = blocks.where("run >= 0").join(spread.select("document_id", "run"), ["document_id", "run"], "left_semi")
-    # At most ``run`` blocks (twice delivered ones apart) come together in one row.
-    runs = spoken.groupBy("document_id", "run").agg(F.collect_list("ord").alias("ords"), F.collect_list("speaker").alias("speakers"), F.collect_list("text").alias("texts"))
-    pieces = runs.join(spread, ["document_id", "run"]).select("document_id", "run", "ords", "speakers", "texts", "people").mapInArrow(lambda bs: _read(bs, with_text), "document_id STRING, run INT, piece INT, speaker_id STRING, first_ord INT, last_ord INT, n_words BIGINT" + (", text STRING" if with_text else ""))
-    order = Window.partitionBy("document_id").orderBy("run", "piece")
-    known = pieces.withColumn("speaker_id", F.last("speaker_id", ignorenulls=True).over(order)).where("speaker_id is not null and n_words > 0")
-    new = F.coalesce((F.col("speaker_id") != F.lag("speaker_id").over(order)).cast("int"), F.lit(1))
-    numbered = known.withColumn("new", new).withColumn("turn_no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    text = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "piece", "text"))), lambda x: x["text"]), " ").alias("text")] if with_text else []
-    turns = numbered.groupBy("document_id", "turn_no").agg(F.first("speaker_id").alias("speaker_id"), F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"), F.sum("n_words").cast("int").alias("n_words"), *text)
+    extent = blocks.groupBy("document_id").agg(F.floor(F.max("ord") / run).cast("int").alias("last"))
+    spread = people.join(extent, "document_id").select("document_id", "last", F.explode(F.sequence(F.lit(0), "last")).alias("run"), "people")
+    spoken = placed.join(spread.select("document_id", "run"), ["document_id", "run"], "left_semi")
+    # At most ``run`` blocks and two margins (twice delivered ones apart) come together in one row.
+    runs = spoken.groupBy("document_id", "run").agg(F.collect_list("ord").alias("ords"), F.collect_list("speaker").alias("speakers"), F.collect_list("text").alias("texts")).join(spread, ["document_id", "run"]).select("document_id", "run", "ords", "speakers", "texts", "people", "last")
+    none = F.lit(None).cast("array<struct<move: boolean, a: string, b: string, n: bigint>>").alias("counts")
+    # A document of one run is counted where it is read; of a longer one every run gets the counts of all.
+    counted = runs.where("last > 0").drop("last").mapInArrow(lambda bs: _certain(bs, run), "document_id STRING, move BOOLEAN, a STRING, b STRING, n BIGINT").groupBy("document_id", "move", "a", "b").agg(F.sum("n").alias("n"))
+    known = counted.groupBy("document_id").agg(F.collect_list(F.struct("move", "a", "b", "n")).alias("counts"))
+    told = known.join(extent, "document_id").select("document_id", F.explode(F.sequence(F.lit(0), "last")).alias("run"), "counts")
+    long = runs.where("last > 0").drop("last").join(told, ["document_id", "run"], "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<move: boolean, a: string, b: string, n: bigint>>")))
+    read = materialize(runs.where("last = 0").drop("last").withColumn("counts", none).unionByName(long).mapInArrow(lambda bs: _read(bs, run, with_text), PIECES), "runs")
+    # Windows over one short row for each run: who speaks when it begins, who spoke last before it, and how many turns there were.
+    order = Window.partitionBy("document_id").orderBy("run")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = read.drop("pieces").withColumn("enters", F.last("last_label", ignorenulls=True).over(before))
+    leads = F.col("leads") & F.col("enters").isNotNull()
+    joined = leads & F.col("first_spoken").isNotNull() & (F.col("first_spoken") != F.col("enters"))
+    ends = carried.withColumns({"leads": leads, "joined": joined.cast("int"), "opens": F.when(leads, F.col("enters")).otherwise(F.col("first_spoken")), "closes": F.coalesce("last_spoken", F.when(leads, F.col("enters")))})
+    fresh = F.col("opens").isNotNull() & (F.col("previous").isNull() | (F.col("opens") != F.col("previous")))
+    opened = ends.withColumn("previous", F.last("closes", ignorenulls=True).over(before)).withColumn("fresh", fresh.cast("int"))
+    numbered = opened.withColumn("base", F.coalesce(F.sum(F.col("fresh") + F.col("joined") + F.col("changes")).over(before), F.lit(0)) + F.col("fresh")).select("document_id", "run", "enters", "joined", "base")
+    each = read.select("document_id", "run", F.inline("pieces")).join(numbered, ["document_id", "run"])
+    known_ = each.withColumn("turn_no", (F.col("base") + F.when(F.col("speaker_id").isNull(), F.lit(0)).otherwise(F.col("joined") + F.col("changes"))).cast("int")).withColumn("speaker_id", F.coalesce("speaker_id", "enters")).where("speaker_id is not null")
+    text = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "run", "last_ord", "text"))), lambda x: x["text"]), " ").alias("text")] if with_text else []
+    turns = known_.groupBy("document_id", "turn_no").agg(F.first("speaker_id").alias("speaker_id"), F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"), F.sum("n_words").cast("int").alias("n_words"), *text)
     return turns.select("document_id", "turn_no", "speaker_id", "first_ord", "last_ord", "n_words", *(["text"] if with_text else []))

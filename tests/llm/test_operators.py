@@ -133,6 +133,31 @@ def test_speech_before_any_label_has_no_turn(make):
     assert turn_rows(make, ROSTER, (None, "Hello there."), ("Q", "Yes?")) == [(1, "S1", 1, 1, 1)]
 
 
+@pytest.mark.parametrize(("seed", "run", "first"), [(0, 7, ""), (1, 7, ""), (2, 1, ""), (3, 45, "Ann "), (4, 60, "Ann ")])
+def test_runs_of_a_long_transcript_are_stitched(make, seed, run, first):
+    rng = random.Random(seed)
+    roster = [("S1", "Ann Hall", "interviewer"), ("S2", "Bo Hall", "witness"), ("S3", "Zoe Kerr", "counsel")]
+    speech = {"S1": "where when who did you", "S2": "home bed i slept well", "S3": "objection my client will not"}
+    blocks = []
+    for i in range(90):
+        who = rng.choice(sorted(speech))
+        label = rng.choice([{"S1": "Ann Hall", "S2": "Bo Hall", "S3": "Kerr"}[who], None, None, "", {"S1": "Hall" if first else "A. Hall", "S2": "Hall" if first else "B Hall", "S3": "Kerr"}[who]])
+        text = rng.choice([" ".join(rng.sample(speech[who].split(), 3)), " ".join(rng.sample(speech[who].split(), 4)), "(coughs)", None])
+        blocks += [{"document_id": "D", "block_id": f"b{i}", "ord": i, "speaker": label, "text": text}] * rng.choice([1, 1, 2])
+    people = [{"document_id": "D", "speaker_id": i, "full_name": n, "role": r} for i, n, r in roster]
+    whole, cut = ([tuple(r) for r in turns.speaker_turns(make("parsed_blocks", *blocks), make("speaker_roster", *people), with_text=True, run=n).orderBy("turn_no").collect()] for n in (turns.RUN, run))
+    assert whole == cut and len(whole) > 10
+
+
+def test_profiles_are_those_of_the_whole_document(make):
+    roster = [("S1", "Ann Hall", "interviewer"), ("S2", "Bo Hall", "witness")]
+    said = [("Ann Hall", "where when who"), ("Bo Hall", "home bed sleep")] * 6 + [(None, "(pause)")] * 40 + [("Hall", "home sleep"), ("Hall", "where who")]
+    blocks = [{"document_id": "D", "block_id": f"b{i}", "ord": i, "speaker": s, "text": t} for i, (s, t) in enumerate(said)]
+    people = [{"document_id": "D", "speaker_id": i, "full_name": n, "role": r} for i, n, r in roster]
+    got = [r["speaker_id"] for r in turns.speaker_turns(make("parsed_blocks", *blocks), make("speaker_roster", *people), run=4).orderBy("turn_no").collect()]
+    assert got == ["S1", "S2"] * 6 + ["S1"] or got[-1] == "S1" and got[-2] == "S2"
+
+
 # 4. names
 
 
