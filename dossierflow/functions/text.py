@@ -179,8 +179,10 @@ def detect_speaker(text: Column) -> Column:
     return found.otherwise(F.struct(F.lit(None).cast("string").alias("speaker"), text.alias("rest")))
 
 
-# Short forms of ranks.
-RANKS = (("DET. ", "DETECTIVE "), ("DET ", "DETECTIVE "), ("OFC. ", "OFFICER "), ("OFC ", "OFFICER "), ("SGT. ", "SERGEANT "), ("SGT ", "SERGEANT "), ("LT. ", "LIEUTENANT "), ("LT ", "LIEUTENANT "), ("CPT. ", "CAPTAIN "), ("CPT ", "CAPTAIN "))
+# Short forms of ranks and titles.
+RANKS = (
+    ("DET. ", "DETECTIVE "), ("DET ", "DETECTIVE "), ("OFC. ", "OFFICER "), ("OFC ", "OFFICER "), ("SGT. ", "SERGEANT "), ("SGT ", "SERGEANT "), ("LT. ", "LIEUTENANT "), ("LT ", "LIEUTENANT "), ("CPT. ", "CAPTAIN "), ("CPT ", "CAPTAIN "),
+    ("DR ", "DR. "), ("MR ", "MR. "), ("MRS ", "MRS. "), ("MS ", "MS. "), ("HON ", "HONORABLE "))
 
 
 def expand_rank(speaker: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .base import once
+from .order import Ordered
 
 Tokenizer = Callable[[str], list[str]]
 
@@ -110,8 +111,8 @@ def chunk_blocks(blocks: DataFrame, most: int = 1000, tokenizer: Tokenizer = wor
     keys = ["case_id", "document_id", "page", "named", "speaker"]
     placed = named.repartition(*keys).sortWithinPartitions(*keys, "ord", "block_id")
     packed = placed.mapInPandas(lambda fs: _pack(fs, most, tokenizer), CHUNK)
-    order = Window.partitionBy("document_id").orderBy("first_ord", "page", F.col("speaker").asc_nulls_first(), "part")
-    return packed.withColumn("chunk_id", F.format_string("C-%04d", F.row_number().over(order))).withColumn("page_range", F.array("page", "page")).select("chunk_id", "case_id", "document_id", "page_range", "speaker", "text", "source_block_ids", "token_count", "chunk_confidence")
+    numbered = Ordered(packed, ["document_id"], ["first_ord", "page", "speaker", "part"]).number("n")
+    return numbered.withColumn("chunk_id", F.format_string("C-%04d", F.col("n"))).withColumn("page_range", F.array("page", "page")).select("chunk_id", "case_id", "document_id", "page_range", "speaker", "text", "source_block_ids", "token_count", "chunk_confidence")
 
 
 def boundary_check(chunks: DataFrame, blocks: DataFrame) -> DataFrame:

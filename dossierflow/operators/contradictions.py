@@ -16,6 +16,7 @@ from ..functions import scores
 from ..functions import text as T
 from ..session import materialize
 from .base import once
+from .order import Ordered
 
 
 def claims(chunks: DataFrame) -> DataFrame:
@@ -183,10 +184,8 @@ def detect(pairs: DataFrame, chunks: DataFrame, times: DataFrame | None = None,
 
 def numbered(found: DataFrame) -> DataFrame:
     """With ids ``CONT_case_0000`` in the order of pairs and types."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("case_id").orderBy("key_a", "key_b", "type")
-    return found.withColumn("contradiction_id", scores.numbered("CONT", F.col("case_id"), F.row_number().over(order) - 1))
+    placed = Ordered(found, ["case_id"], ["key_a", "key_b", "type"]).number("n")
+    return placed.withColumn("contradiction_id", scores.numbered("CONT", F.col("case_id"), F.col("n") - 1)).drop("n")
 
 
 def summary(stored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from .base import once
+from .order import Ordered
 
 # Labels of layout items and the block types they stand for; the first that a label contains holds.
 ITEM_TYPES = (
@@ -58,8 +59,7 @@ def document_confidence(content: DataFrame) -> DataFrame:
 def renumbered(content: DataFrame) -> DataFrame:
     """``document_id, ord, block_id, new_id``: blocks numbered b1, b2 and so on in order."""
     own = once(content.select("document_id", "block_id", "ord"), "document_id", "block_id")
-    order = Window.partitionBy("document_id").orderBy("ord", "block_id")
-    return own.select("document_id", "ord", "block_id", F.concat(F.lit("b"), F.row_number().over(order)).alias("new_id"))
+    return Ordered(own, ["document_id"], ["ord", "block_id"]).number("n").select("document_id", "ord", "block_id", F.concat(F.lit("b"), "n").alias("new_id"))
 
 
 def replace_pages(native: DataFrame, recognised: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import text as T
 from ..session import ship_package
 from .base import once
+from .order import Ordered
 
 # Notations of times and dates inside text, in the order in which they are tried.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -105,8 +106,7 @@ def page_furniture(blocks: DataFrame, least_pages: int = 2, longest: int = 100)
 def sections(blocks: DataFrame, longest: int = 50) -> DataFrame:
     """``document_id, block_id, section``: the last heading at or before each block; null before the first."""
     own = once(blocks.select("document_id", "block_id", "ord", "text"), "document_id", "block_id").withColumn("name", T.section_name(F.col("text"), longest))
-    before = Window.partitionBy("document_id").orderBy("ord", "block_id").rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("document_id", "block_id", F.last("name", ignorenulls=True).over(before).alias("section"))
+    return Ordered(own.select("document_id", "block_id", "ord", "name"), ["document_id"], ["ord", "block_id"]).last("name", "section").select("document_id", "block_id", "section")
 
 
 def speakers(blocks: DataFrame) -> DataFrame:

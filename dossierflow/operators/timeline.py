@@ -1,7 +1,7 @@
 """Timelines: events from dated blocks, gaps, conflicts and their summaries.
 
-Windows and groups are those of one case (and, for conflicts, of one instant of
-it); sorting happens inside Spark's external sort, so a case of any size works.
+Order inside a case comes from ``order.Ordered``, so that a case of any size may be
+many tasks; conflicts are grouped by instant.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from .base import once
+from .order import Ordered
 
 
 def instant(iso: Column) -> Column:
@@ -27,9 +28,8 @@ def events_from_blocks(blocks: DataFrame) -> DataFrame:
     """
     own = once(blocks.select("case_id", "document_id", "block_id", "ord", "speaker", "confidence", "normalized_timestamps"), "document_id", "block_id")
     each = own.select("case_id", "document_id", "block_id", "ord", "speaker", "confidence", F.posexplode("normalized_timestamps").alias("pos", "t")).where(F.coalesce(F.col("t.iso"), F.lit("")) != "")
-    order = Window.partitionBy("case_id").orderBy("document_id", "ord", "block_id", "pos")
-    return each.select(
-        "case_id", "document_id", "block_id", "pos", scores.numbered("EVT", F.col("case_id"), F.row_number().over(order)).alias("event_id"), F.col("t.iso").alias("ts"),
+    return Ordered(each, ["case_id"], ["document_id", "ord", "block_id", "pos"]).number("n").select(
+        "case_id", "document_id", "block_id", "pos", scores.numbered("EVT", F.col("case_id"), F.col("n")).alias("event_id"), F.col("t.iso").alias("ts"),
         "speaker", F.least(F.coalesce("confidence", F.lit(1.0)), F.coalesce("t.confidence", F.lit(1.0))).alias("confidence"), F.col("t.original").alias("original"),
     )
 
@@ -41,15 +41,13 @@ def by_hour(events: DataFrame) -> DataFrame:
 
 def sorted_events(events: DataFrame) -> DataFrame:
     """Position of each event in its case: by instant, unreadable ones first, ties by id."""
-    order = Window.partitionBy("case_id").orderBy(F.col("at").asc_nulls_first(), "event_id")
-    return events.withColumn("at", instant(F.col("ts"))).withColumn("position", F.row_number().over(order))
+    return Ordered(events.withColumn("at", instant(F.col("ts"))), ["case_id"], ["at", "event_id"]).number("position")
 
 
 def gaps(events: DataFrame, least: int = 60, significant: int = 120) -> DataFrame:
     """Gaps of at least ``least`` minutes between neighbours: ``case_id, before_id, after_id, start, end, minutes, severity, confidence``."""
-    order = Window.partitionBy("case_id").orderBy(F.col("at").asc_nulls_first(), "event_id")
-    placed = events.withColumn("at", instant(F.col("ts")))
-    following = placed.select("case_id", "event_id", "ts", "at", "confidence", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("event_id", "ts", "at", "confidence")])
+    placed = events.select("case_id", "event_id", "ts", instant(F.col("ts")).alias("at"), "confidence")
+    following = Ordered(placed, ["case_id"], ["at", "event_id"]).following("event_id", "ts", "at", "confidence")
     minutes = F.timestamp_diff("MINUTE", F.col("at"), F.col("next_at"))
     return following.withColumn("minutes", minutes).where(F.col("minutes") >= least).select(
         "case_id", F.col("event_id").alias("before_id"), F.col("next_event_id").alias("after_id"), F.col("ts").alias("start"), F.col("next_ts").alias("end"),

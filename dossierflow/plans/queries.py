@@ -189,7 +189,7 @@ _add("graph_edges", lambda c, n: graph.edges(c, entities.listed_entities(n)), "c
 _add("graph_stats", lambda c, n: graph.stats(graph.nodes(entities.listed_entities(n)), graph.edges(c, entities.listed_entities(n))), "chunks", "ner_results")
 _add("edge_cues", lambda c: once(c.select("document_id", "chunk_id", "text"), "document_id", "chunk_id").select("document_id", "chunk_id", F.array_join(graph.edge_cues(F.col("text")), ",").alias("cues")), "chunks")
 _add("suspect_neighbours", lambda c, n: graph.neighbours(graph.edges(c, entities.listed_entities(n)), graph.nodes(entities.listed_entities(n).where("entity_type = 'SUSPECT'"))), "chunks", "ner_results")
-_add("entity_types", lambda n: entities.listed_entities(n).groupBy("case_id", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")), "ner_results", sql=f"SELECT case_id, entity_type, count(*) AS n, round(avg(confidence), 6) AS confidence FROM ({_ENTITIES}) GROUP BY ALL")
+_add("entity_types", lambda n: entities.listed_entities(n).groupBy("case_id", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("confidence").cast("decimal(18,9)")).cast("double") / F.count("confidence"), 6).alias("confidence")), "ner_results", sql=f"SELECT case_id, entity_type, count(*) AS n, round(sum(confidence::DECIMAL(18, 9))::DOUBLE / count(confidence), 6) AS confidence FROM ({_ENTITIES}) GROUP BY ALL")
 
 # --- timelines --------------------------------------------------------------
 

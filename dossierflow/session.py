@@ -119,4 +119,5 @@ def ship_package(spark: SparkSession) -> None:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; exact file sizes for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size if isinstance(size, int) else int(size.toString())

@@ -28,13 +28,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _after(last: int | None) -> int:
+    return 0 if last is None else last + 1
+
+
 def add_vectors(stored: DataFrame | None, new: DataFrame) -> DataFrame:
     """Vectors with ids after those in use, in order of their chunk: ``vector_id`` plus the columns of ``new``.
 
     Ids are counted by range partitions and their offsets, without one task
     that sees all rows.
     """
-    start = 0 if stored is None else (stored.agg(F.max("vector_id")).first()[0] or -1) + 1
+    start = 0 if stored is None else _after(stored.agg(F.max("vector_id")).first()[0])
     placed = new.repartitionByRange("document_id", "chunk_id").sortWithinPartitions("document_id", "chunk_id").withColumn("part", F.spark_partition_id()).withColumn("local", F.monotonically_increasing_id())
     keyed = materialize(placed, "vectors")  # written, as a second run might cut the ranges elsewhere
     sizes = keyed.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("local").alias("base"))
