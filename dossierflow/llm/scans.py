@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..batches import bounded
-from ..session import materialize, ship_package
+from ..session import discard, materialize, ship_package
 
 #: Blocks of a document that are read together, and neighbours on either side that give them context.
 RUN, MARGIN = 1024, 24
@@ -379,34 +379,57 @@ def read_run(blocks: list[tuple[int, str, int | None, str | None, str, bool]], s
     return rows, text
 
 
-def _tally(batches: Iterator[pa.RecordBatch], layout: Layout, size: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the labels of a task's pages by what they stand with."""
-    total: Counter[tuple[str, str, int]] = Counter()
+def _page_kinds(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Features of a task's pages as text, with the number of pages that look so."""
+    total: Counter[str] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["page", "n"])
+        total.clear()
+        return rows
+
     for batch in bounded(batches):
         for _, blocks, _ in _blocks(batch, size):
             for page, seen in _pages(blocks):
-                if not blocks[page[0]][5]:
-                    continue  # counted with its own run
-                states = layout.label(seen)
-                total["open", "", states[0]] += 1
-                total["close", "", states[-1]] += 1
-                for (kind, place, repeated, flag), s in zip(seen, states):
-                    total["form", kind, s] += 1
-                    total["place", place, s] += 1
-                    total["repeated", str(repeated), s] += 1
-                    total["flag", flag, s] += 1
-                for q, s in zip(states, states[1:]):
-                    total["move", str(q), s] += 1
+                if blocks[page[0]][5]:  # else counted with its own run
+                    total[";".join(f"{kind},{place},{repeated},{flag}" for kind, place, repeated, flag in seen)] += 1
+        if len(total) > 100_000:
+            yield flush()
+    yield flush()
+
+
+def _tally(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Counts of the labels of pages by what they stand with."""
+    total: Counter[tuple[str, str, int]] = Counter()
+    for batch in bounded(batches):
+        for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen = [(kind, place, repeated == "True", flag) for kind, place, repeated, flag in (x.split(",") for x in text.split(";"))]
+            states = layout.label(seen)
+            total["open", "", states[0]] += n
+            total["close", "", states[-1]] += n
+            for (kind, place, repeated, flag), s in zip(seen, states):
+                total["form", kind, s] += n
+                total["place", place, s] += n
+                total["repeated", str(repeated), s] += n
+                total["flag", flag, s] += n
+            for q, s in zip(states, states[1:]):
+                total["move", str(q), s] += n
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([k[2] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["what", "value", "state", "n"])
 
 
 def learn(runs: DataFrame, rounds: int = ROUNDS, size: int = RUN) -> Layout:
-    """The page model of all pages, by ``rounds`` of labelling and counting; the counts are a few dozen rows."""
+    """The page model of all pages, by ``rounds`` of labelling and counting.
+
+    Pages that look alike are counted once; the counts of labels are a few dozen
+    rows.
+    """
+    pages = materialize(runs.mapInArrow(lambda bs: _page_kinds(bs, size), "page STRING, n BIGINT").groupBy("page").agg(F.sum("n").alias("n")), "pages")
     layout = Layout()
     for _ in range(rounds):
         sent = runs.sparkSession.sparkContext.broadcast(layout)
-        rows = runs.mapInArrow(lambda bs, sent=sent: _tally(bs, sent.value, size), "what STRING, value STRING, state INT, n BIGINT").groupBy("what", "value", "state").agg(F.sum("n").alias("n")).collect()
+        rows = pages.mapInArrow(lambda bs, sent=sent: _tally(bs, sent.value), "what STRING, value STRING, state INT, n BIGINT").groupBy("what", "value", "state").agg(F.sum("n").alias("n")).collect()
         layout = Layout().learned({(r["what"], r["value"], r["state"]): r["n"] for r in rows})
+    discard(pages)
     return layout
 
 
