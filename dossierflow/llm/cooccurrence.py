@@ -156,7 +156,7 @@ class PairTable:
             changed = merge(changed)
         kept = changed.where("n <> 0") if "n" in changed.columns else changed
         target = f"{self.path}/{what}/version={self.version + 1}"
-        kept.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(target)
+        kept.withColumn("bucket", bucket).write.option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(target)
         filled = {int(name.partition("=")[2]) for name in list_path(self.spark, target) if name.startswith("bucket=")}
         now = self.written[what]
         self.retired += [self._at(what, now.pop(k), k) for k in touched | filled if k in now]
