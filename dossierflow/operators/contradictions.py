@@ -26,7 +26,7 @@ def claims(chunks: DataFrame) -> DataFrame:
     low = F.lower(t)
     return own.select(
         "case_id", "document_id", "chunk_id", F.concat_ws("/", "document_id", "chunk_id").alias("key"), F.coalesce("chunk_confidence", F.lit(1.0)).alias("confidence"),
-        T.has_denial(t).alias("denies"), T.has_assertion(t).alias("asserts"), F.array_sort(F.array_distinct(F.transform(T.place_mentions(t), F.trim))).alias("places"),
+        T.has_denial(t).alias("denies"), T.has_assertion(t).alias("asserts"), F.array_sort(F.array_distinct(F.transform(T.place_mentions(t), lambda x: F.trim(x)))).alias("places"),
         F.array_sort(F.array_distinct(F.transform(T.time_mentions(t), lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))))).alias("times"),
         T.contains_any(t, T.EVIDENCE_WORDS).alias("physical"), T.contains_any(t, T.DENIAL_WORDS).alias("negates"), low.contains("home").alias("home"), low.contains("scene").alias("scene"),
         F.array_distinct(F.split(F.regexp_replace(low, r"(?U)[^\w]+", " "), " ")).alias("words"),
@@ -113,11 +113,27 @@ def class_pairs(entities: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     return by_cues.unionByName(apart.select("case_id", "entity", "type", none.alias("class_a"), none.alias("class_b"), "key_a", "key_b", "n_a", "n_b"))
 
 
-def search(entities: DataFrame, chunks: DataFrame, least: float = 0.5, **options) -> DataFrame:
+def speaker_pairs(chunks: DataFrame) -> DataFrame:
+    """Candidate pairs without named entities: ``case_id, key_a, key_b, shared``, where a chunk holds the whole label of the other's speaker, or its first name if both have a label.
+
+    The labels of a case are few, so chunks meet labels first: a label is looked
+    for once in each chunk of its case, by one of its words.
+    """
+    own = once(chunks.select("case_id", "document_id", "chunk_id", "text", "speaker"), "document_id", "chunk_id").select("case_id", F.concat_ws("/", "document_id", "chunk_id").alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.nullif("speaker", F.lit("")).alias("speaker"))
+    label = F.lower("speaker")
+    labels = own.where("speaker is not null").select("case_id", F.col("speaker").alias("label"), label.alias("whole"), F.split(label, r"(?U)\s+")[0].alias("head")).distinct()
+    # Whatever holds the label or its first name inside a word holds it as text: labels of a case against its chunks.
+    held = own.select("case_id", "key", "low", F.col("speaker").isNotNull().alias("labelled")).join(labels, "case_id").where(F.col("low").contains(F.col("head")) & (F.col("labelled") | F.col("low").contains(F.col("whole"))))
+    said = own.where("speaker is not null").select("case_id", F.col("speaker").alias("label"), F.col("key").alias("by"))
+    met = held.select("case_id", "key", "label").join(said, ["case_id", "label"]).where("key <> by")
+    return met.groupBy("case_id", F.least("key", "by").alias("key_a"), F.greatest("key", "by").alias("key_b")).agg(F.array_sort(F.collect_set("label")).alias("shared"))
+
+
+def search(entities: DataFrame, chunks: DataFrame, least: float = 0.5, times: DataFrame | None = None, **options) -> DataFrame:
     """``detect`` of all pairs of chunks of a case that share an entity: a row with confidence and severity for each, so as many as the square of an entity's chunks."""
     own = mentions(entities, **options).select("case_id", "entity", "key")
     pairs = own.withColumnRenamed("key", "key_a").join(own.withColumnRenamed("key", "key_b"), ["case_id", "entity"]).where("key_a < key_b")
-    return detect(pairs.groupBy("case_id", "key_a", "key_b").agg(F.array_sort(F.collect_list("entity")).alias("shared")), chunks, least=least)
+    return detect(pairs.groupBy("case_id", "key_a", "key_b").agg(F.array_sort(F.collect_list("entity")).alias("shared")), chunks, times, least)
 
 
 def pair_score(deny_a: Column, deny_b: Column, home_a: Column, scene_a: Column, home_b: Column, scene_b: Column) -> Column:

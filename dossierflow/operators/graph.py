@@ -69,66 +69,67 @@ def upsert(stored: DataFrame) -> DataFrame:
     return stored.groupBy("node_id", "case_id").agg(F.first("node_type").alias("node_type"), F.min_by(F.col("properties")["name"], order).alias("name"), F.max("provenance.confidence").alias("confidence"), F.countDistinct("provenance.document_id").alias("n_documents"))
 
 
-def _text(chunks: DataFrame) -> DataFrame:
-    return once(chunks.select(*CHUNK, "text"), "document_id", "chunk_id").select(*CHUNK, F.lower("text").alias("low"))
+def _chunk_edges(chunks: DataFrame, entities: DataFrame, *kinds: str) -> DataFrame:
+    """``case_id, document_id, chunk_id, edge_type, from_node, to_node``: edges of the given kinds, one for each pair of mentions.
 
-
-def _of(entities: DataFrame, types: tuple[str, ...], name: str) -> DataFrame:
-    return _identified(entities).where(F.col("entity_type").isin(*types)).select(*CHUNK, F.col("node_id").alias(name), F.col("pos").alias(f"{name}_pos"), F.lower("text").alias(f"{name}_text"))
-
-
-def _pairs(chunks: DataFrame, entities: DataFrame, cue: str, left: tuple[str, ...], right: tuple[str, ...], kind: str, first_only: bool = False) -> DataFrame:
-    """Edges from all (or the first) left entities of a chunk with the cue to all its right ones."""
-    told = _text(chunks).where(F.col("low").rlike(cue)).select(*CHUNK)
-    sources = _of(entities, left, "from_node").join(told, CHUNK, "left_semi")
-    if first_only:
-        sources = sources.groupBy(*CHUNK).agg(F.min_by("from_node", "from_node_pos").alias("from_node"))
-    return sources.select(*CHUNK, "from_node").join(_of(entities, right, "to_node").select(*CHUNK, "to_node"), CHUNK).select(*CHUNK, F.lit(kind).alias("edge_type"), "from_node", "to_node")
-
-
-def _spoken(chunks: DataFrame, entities: DataFrame, pattern: str, kind: str, cue: str) -> DataFrame:
-    """Edges between the people named on both sides of a phrase; of several that fit a side the last holds.
-
-    ``cue`` is a piece of text that every match of the pattern holds.
+    The entities of a chunk are gathered into one row and meet its text once;
+    all rules are then asked of that row, without further joins.
     """
-    told = _text(chunks).where(F.col("low").contains(cue))
-    sides = F.arrays_zip(F.regexp_extract_all("low", F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all("low", F.lit(pattern), F.lit(2)).alias("b"))
-    hits = told.select(*CHUNK, F.posexplode(sides).alias("hit", "m")).select(*CHUNK, "hit", F.trim("m.a").alias("a"), F.trim("m.b").alias("b"))
-    people = _of(entities, PEOPLE, "node")
-    fits = lambda side: F.col("node_text").contains(F.col(side)) | F.col(side).contains(F.col("node_text"))
-    met = hits.join(people, CHUNK).groupBy(*CHUNK, "hit").agg(
-        F.max_by("node", F.when(fits("a"), F.col("node_pos"))).alias("from_node"), F.max(F.when(fits("a"), F.col("node_pos"))).alias("pa"),
-        F.max_by("node", F.when(fits("b"), F.col("node_pos"))).alias("to_node"), F.max(F.when(fits("b"), F.col("node_pos"))).alias("pb"), F.count(F.lit(1)).alias("n"),
-    )
-    return met.where("n >= 2 and pa is not null and pb is not null and from_node <> to_node").select(*CHUNK, F.lit(kind).alias("edge_type"), "from_node", "to_node")
+    own = once(chunks.select(*CHUNK, "text"), "document_id", "chunk_id").select(F.col("case_id").alias("_case"), "document_id", "chunk_id", F.lower("text").alias("low"))
+    mention = F.struct("pos", "entity_type", F.col("node_id").alias("node"), F.lower("text").alias("text"))
+    gathered = _identified(entities).groupBy(*CHUNK).agg(F.array_sort(F.collect_list(mention)).alias("found"))
+    # By document and chunk only, as both sides are already spread by them.
+    met = gathered.join(own, ["document_id", "chunk_id"]).where("case_id = _case")
+    of = lambda types: F.filter("found", lambda e: e["entity_type"].isin(*types))
+    none = F.array().cast("array<struct<edge_type: string, from_node: string, to_node: string>>")
+    edge = lambda kind, a, b: F.struct(F.lit(kind).alias("edge_type"), a["node"].alias("from_node"), b["node"].alias("to_node"))
+
+    def crossed(kind: str, cue: str, left: Column, right: Column) -> Column:
+        return F.when(F.col("low").rlike(cue), F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: edge(kind, a, b))))).otherwise(none)
+
+    def spoken(kind: str, pattern: str, cues: tuple[str, ...]) -> Column:
+        """Between the people named on both sides of a phrase; of several that fit a side the last holds. Every match holds one of ``cues``."""
+        people = of(PEOPLE)
+        fits = lambda side: F.filter(people, lambda e: e["text"].contains(side) | side.contains(e["text"]))
+        group = lambda m, n: F.trim(F.regexp_extract(m, pattern, n))
+        ends = F.transform(F.regexp_extract_all("low", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.try_element_at(fits(group(m, 1)), F.lit(-1)).alias("a"), F.try_element_at(fits(group(m, 2)), F.lit(-1)).alias("b")))
+        good = F.filter(ends, lambda x: x["a"].isNotNull() & x["b"].isNotNull() & (x["a"]["node"] != x["b"]["node"]))
+        held = reduce(lambda x, y: x | y, [F.col("low").contains(c) for c in cues])
+        return F.when(held & (F.size(people) >= 2), F.transform(good, lambda x: edge(kind, x["a"], x["b"]))).otherwise(none)
+
+    rules = {
+        "ARGUED_WITH": lambda: spoken("ARGUED_WITH", ARGUED_WITH, ("with",)),
+        "WITNESSED": lambda: crossed("WITNESSED", WITNESSED, of(PEOPLE), of(EVENTS)),
+        "FOUND_IN": lambda: crossed("FOUND_IN", FOUND_IN, of(THINGS), of(PLACES)),
+        "ACCOMPANIED_BY": lambda: spoken("ACCOMPANIED_BY", ACCOMPANIED_BY, ("with", "accompanied")),
+        "OWNS": lambda: crossed("OWNS", OWNS, F.slice(of(PEOPLE), 1, 1), of(THINGS)),
+    }
+    return met.select(*CHUNK, F.inline(F.concat(*[rules[k]() for k in kinds])))
 
 
 def witnessed(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    return _pairs(chunks, entities, WITNESSED, PEOPLE, EVENTS, "WITNESSED")
+    return _chunk_edges(chunks, entities, "WITNESSED")
 
 
 def found_in(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    return _pairs(chunks, entities, FOUND_IN, THINGS, PLACES, "FOUND_IN")
+    return _chunk_edges(chunks, entities, "FOUND_IN")
 
 
 def owns(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    return _pairs(chunks, entities, OWNS, PEOPLE, THINGS, "OWNS", first_only=True)
+    return _chunk_edges(chunks, entities, "OWNS")
 
 
 def argued_with(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    return _spoken(chunks, entities, ARGUED_WITH, "ARGUED_WITH", "with")
+    return _chunk_edges(chunks, entities, "ARGUED_WITH")
 
 
 def accompanied_by(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    return _spoken(chunks, entities, ACCOMPANIED_BY, "ACCOMPANIED_BY", "")
+    return _chunk_edges(chunks, entities, "ACCOMPANIED_BY")
 
 
 def edges(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """All edges, each once per type and ends, with the chunk that names it first."""
-    parts = [f(chunks, entities) for f in (argued_with, witnessed, found_in, accompanied_by, owns)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = _chunk_edges(chunks, entities, "ARGUED_WITH", "WITNESSED", "FOUND_IN", "ACCOMPANIED_BY", "OWNS")
     first = F.min(F.struct("document_id", "chunk_id")).alias("at")
     return every.groupBy("case_id", "edge_type", "from_node", "to_node").agg(first, F.count(F.lit(1)).alias("n")).select("case_id", "edge_type", "from_node", "to_node", "at.document_id", "at.chunk_id", "n")
 

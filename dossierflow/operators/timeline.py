@@ -34,6 +34,31 @@ def events_from_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def chunk_readings(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``document_id, chunk_id, pos, original, iso, confidence``: the normalised timestamps of the blocks of each chunk, in their order."""
+    own = once(chunks.select("document_id", "chunk_id", "source_block_ids"), "document_id", "chunk_id").select("document_id", "chunk_id", F.posexplode("source_block_ids").alias("at", "block_id"))
+    read = once(blocks.select("document_id", "block_id", "normalized_timestamps"), "document_id", "block_id").where(F.size("normalized_timestamps") > 0)
+    each = own.join(read, ["document_id", "block_id"]).groupBy("document_id", "chunk_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "normalized_timestamps"))), lambda x: x["normalized_timestamps"])).alias("t"))
+    return each.select("document_id", "chunk_id", F.posexplode("t").alias("pos", "t")).select("document_id", "chunk_id", "pos", "t.original", "t.iso", "t.confidence")
+
+
+def events_from_chunks(chunks: DataFrame, readings: DataFrame) -> DataFrame:
+    """One event per reading with a value of each chunk: ``case_id, document_id, chunk_id, pos, event_id, ts, speaker, confidence, original, description``.
+
+    ``readings`` has ``document_id, chunk_id, pos, original, iso, confidence``.
+    The description is the chunk's text, the confidence the lower of chunk and
+    reading, 1 for a null. Ids number the events of a case in document order; a
+    chunk delivered twice counts once.
+    """
+    own = once(chunks.select("case_id", "document_id", "chunk_id", "ord", "speaker", "text", "chunk_confidence"), "document_id", "chunk_id")
+    dated = readings.where(F.coalesce("iso", F.lit("")) != "").select("document_id", "chunk_id", "pos", "original", "iso", "confidence")
+    each = own.join(dated, ["document_id", "chunk_id"])
+    return Ordered(each, ["case_id"], ["document_id", "ord", "chunk_id", "pos"]).number("n").select(
+        "case_id", "document_id", "chunk_id", "pos", scores.numbered("EVT", F.col("case_id"), F.col("n")).alias("event_id"), F.col("iso").alias("ts"),
+        "speaker", F.least(F.coalesce("chunk_confidence", F.lit(1.0)), F.coalesce("confidence", F.lit(1.0))).alias("confidence"), "original", F.col("text").alias("description"),
+    )
+
+
 def by_hour(events: DataFrame) -> DataFrame:
     """Events with their timestamp cut to the hour, to compare sources that differ by minutes."""
     return events.withColumn("ts", F.concat(F.substring("ts", 1, 13), F.lit(":00:00")))

@@ -180,21 +180,67 @@ def _edge_sql(kind: str, cue: str, left: str, right: str, first: bool = False) -
 
 
 _LISTED = {"PEOPLE": "'PERSON', 'WITNESS', 'SUSPECT'", "THINGS": "'EVIDENCE', 'WEAPON', 'PHONE'", "PLACES": "'LOCATION', 'ADDRESS'"}
-_add("edges_witnessed", lambda c, n: graph.witnessed(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_edge_sql("WITNESSED", r"\b(?:saw|witnessed|observed|noticed|watched)\b", _LISTED["PEOPLE"], "'TIME'"))
-_add("edges_found_in", lambda c, n: graph.found_in(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_edge_sql("FOUND_IN", r"\b(?:found|located|discovered)\s+(?:at|in|near)\b", _LISTED["THINGS"], _LISTED["PLACES"]))
-_add("edges_owns", lambda c, n: graph.owns(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_edge_sql("OWNS", r"\b(?:his|her|their)\s+(\w+)|(\w+(?:\s+\w+)?)''s\s+(\w+)|\b(?:owned\s+by|belongs?\s+to)\s+(\w+(?:\s+\w+)?)", _LISTED["PEOPLE"], _LISTED["THINGS"], first=True))
-_add("edges_argued", lambda c, n: graph.argued_with(c, entities.listed_entities(n)), "chunks", "ner_results")
-_add("edges_accompanied", lambda c, n: graph.accompanied_by(c, entities.listed_entities(n)), "chunks", "ner_results")
-_add("graph_edges", lambda c, n: graph.edges(c, entities.listed_entities(n)), "chunks", "ner_results")
-_add("graph_stats", lambda c, n: graph.stats(graph.nodes(entities.listed_entities(n)), graph.edges(c, entities.listed_entities(n))), "chunks", "ner_results")
-_add("edge_cues", lambda c: once(c.select("document_id", "chunk_id", "text"), "document_id", "chunk_id").select("document_id", "chunk_id", F.array_join(graph.edge_cues(F.col("text")), ",").alias("cues")), "chunks")
-_add("suspect_neighbours", lambda c, n: graph.neighbours(graph.edges(c, entities.listed_entities(n)), graph.nodes(entities.listed_entities(n).where("entity_type = 'SUSPECT'"))), "chunks", "ner_results")
+# A word with the letters of any language, and one or two of them.
+_W = r"[\p{L}\p{M}\p{N}_]+"
+_W2 = rf"({_W}(?:\s+{_W})?)"
+
+
+def _spoken_sql(kind: str, verbs: str) -> str:
+    pattern = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}_]){_W2}\s+(?:{verbs})\s+{_W2}"
+    fits = lambda side: f"contains(low, {side}) OR contains({side}, low)"
+    return f"""
+        SELECT case_id, document_id, chunk_id, '{kind}' AS edge_type, from_node, to_node FROM (
+            SELECT case_id, document_id, chunk_id, hit, arg_max(node_id, pos) FILTER ({fits('a')}) AS from_node, arg_max(node_id, pos) FILTER ({fits('b')}) AS to_node, count(*) AS n
+            FROM (SELECT case_id, document_id, chunk_id, hit, trim(regexp_extract(m, '{pattern}', 1)) AS a, trim(regexp_extract(m, '{pattern}', 2)) AS b
+                  FROM (SELECT case_id, document_id, chunk_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS hit FROM (SELECT *, regexp_extract_all(lower(text), '{pattern}') AS ms FROM ({_CHUNKS}))))
+            JOIN (SELECT case_id, document_id, chunk_id, node_id, pos, lower(text) AS low FROM ({_NODES}) WHERE entity_type IN ({_LISTED["PEOPLE"]})) USING (case_id, document_id, chunk_id) GROUP BY ALL
+        ) WHERE n >= 2 AND from_node <> to_node"""
+
+
+_EDGES = {
+    "edges_witnessed": _edge_sql("WITNESSED", r"\b(?:saw|witnessed|observed|noticed|watched)\b", _LISTED["PEOPLE"], "'TIME'"),
+    "edges_found_in": _edge_sql("FOUND_IN", r"\b(?:found|located|discovered)\s+(?:at|in|near)\b", _LISTED["THINGS"], _LISTED["PLACES"]),
+    "edges_owns": _edge_sql("OWNS", rf"\b(?:his|her|their)\s+{_W}|{_W}''s\s+{_W}|\b(?:owned\s+by|belongs?\s+to)\s+{_W}", _LISTED["PEOPLE"], _LISTED["THINGS"], first=True),
+    "edges_argued": _spoken_sql("ARGUED_WITH", r"(?:argued|fought|quarreled|had\s+an?\s+argument)\s+with"),
+    "edges_accompanied": _spoken_sql("ACCOMPANIED_BY", r"with|accompanied\s+by|together\s+with"),
+}
+_EVERY_EDGE = f"""
+    SELECT case_id, edge_type, from_node, to_node, min((document_id, chunk_id))[1] AS document_id, min((document_id, chunk_id))[2] AS chunk_id, count(*) AS n
+    FROM ({" UNION ALL ".join(_EDGES.values())}) GROUP BY case_id, edge_type, from_node, to_node"""
+_NODE_IDS = f"SELECT node_id, any_value(case_id) AS case_id FROM ({_NODES}) GROUP BY node_id"
+for _name, _of_kind in {"edges_witnessed": graph.witnessed, "edges_found_in": graph.found_in, "edges_owns": graph.owns, "edges_argued": graph.argued_with, "edges_accompanied": graph.accompanied_by}.items():
+    _add(_name, lambda c, n, of=_of_kind: of(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_EDGES[_name])
+_add("graph_edges", lambda c, n: graph.edges(c, entities.listed_entities(n)), "chunks", "ner_results", sql=_EVERY_EDGE)
+_add("graph_stats", lambda c, n: graph.stats(graph.nodes(entities.listed_entities(n)), graph.edges(c, entities.listed_entities(n))), "chunks", "ner_results", sql=f"""
+    WITH edge AS ({_EVERY_EDGE}), node AS ({_NODE_IDS})
+    SELECT case_id, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT case_id, count(*) AS n_nodes FROM node GROUP BY ALL)
+    LEFT JOIN (SELECT case_id, count(*) AS n_edges FROM edge WHERE from_node IN (SELECT node_id FROM node) AND to_node IN (SELECT node_id FROM node) GROUP BY ALL) USING (case_id)""")
+_CUE_SQL = {
+    "WITNESSED": r"\b(?:saw|witnessed|observed|noticed|watched)\b", "FOUND_IN": r"\b(?:found\s+(?:at|in|near)|located\s+(?:at|in)|discovered\s+(?:at|in))\b",
+    "OWNS": r"\b(?:his|her|their|my)\s+\w+|\b(?:owned\s+by|belongs?\s+to|possession\s+of)\b", "ACCOMPANIED_BY": r"\b(?:with|accompanied\s+by|together\s+with|alongside)\b",
+    "ARGUED_WITH": r"\b(?:argued\s+with|fought\s+with|dispute\s+with|quarreled\s+with)\b|\b(?:altercation\s+with|confrontation\s+with|argument\s+with)\b",
+}
+_add("edge_cues", lambda c: once(c.select("document_id", "chunk_id", "text"), "document_id", "chunk_id").select("document_id", "chunk_id", F.array_join(graph.edge_cues(F.col("text")), ",").alias("cues")), "chunks",
+     sql="SELECT document_id, chunk_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{k}' END" for k, p in _CUE_SQL.items()) + f") AS cues FROM ({_CHUNKS})")
+_add("suspect_neighbours", lambda c, n: graph.neighbours(graph.edges(c, entities.listed_entities(n)), graph.nodes(entities.listed_entities(n).where("entity_type = 'SUSPECT'"))), "chunks", "ner_results", sql=f"""
+    WITH edge AS ({_EVERY_EDGE}), wanted AS (SELECT DISTINCT node_id FROM ({_NODES}) WHERE entity_type = 'SUSPECT')
+    SELECT * FROM edge WHERE from_node IN (SELECT node_id FROM wanted) OR to_node IN (SELECT node_id FROM wanted)""")
 _add("entity_types", lambda n: entities.listed_entities(n).groupBy("case_id", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("confidence").cast("decimal(18,9)")).cast("double") / F.count("confidence"), 6).alias("confidence")), "ner_results", sql=f"SELECT case_id, entity_type, count(*) AS n, round(sum(confidence::DECIMAL(18, 9))::DOUBLE / count(confidence), 6) AS confidence FROM ({_ENTITIES}) GROUP BY ALL")
 
 # --- timelines --------------------------------------------------------------
 
 _events = timeline.events_from_blocks
 _add("timeline_events", _events, "cleaned_blocks", sql=f"SELECT case_id, document_id, block_id, pos::INT AS pos, event_id, ts, speaker, confidence, original FROM ({_NUMBERED})")
+_READINGS = f"""
+    SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY bpos, tpos) - 1 AS pos, t.original AS original, t.iso AS iso, t.confidence AS tc
+    FROM (SELECT document_id, chunk_id, unnest(source_block_ids) AS block_id, generate_subscripts(source_block_ids, 1) AS bpos FROM ({_CHUNKS}))
+    JOIN (SELECT document_id, block_id, unnest(normalized_timestamps) AS t, generate_subscripts(normalized_timestamps, 1) AS tpos FROM ({_CLEANED})) USING (document_id, block_id)"""
+_CHUNK_EVENTS = f"""
+    SELECT case_id, document_id, chunk_id, pos::INT AS pos, format('EVT_{{}}_{{:04d}}', translate(case_id, '- ', '__'), row_number() OVER (PARTITION BY case_id ORDER BY document_id, ord, chunk_id, pos)) AS event_id,
+           iso AS ts, speaker, least(coalesce(chunk_confidence, 1.0), coalesce(tc, 1.0)) AS confidence, original, text AS description
+    FROM ({_CHUNKS}) JOIN ({_READINGS}) USING (document_id, chunk_id) WHERE coalesce(iso, '') <> ''"""
+_chunk_events = lambda c, b: timeline.events_from_chunks(c, timeline.chunk_readings(c, b))
+_add("chunk_events", _chunk_events, "chunks", "cleaned_blocks", sql=_CHUNK_EVENTS)
 _add("timeline_sorted", lambda b: timeline.sorted_events(_events(b)).select("case_id", "event_id", "ts", "position"), "cleaned_blocks", sql=f"SELECT case_id, event_id, ts, row_number() OVER (PARTITION BY case_id ORDER BY moment NULLS FIRST, event_id) AS position FROM ({_NUMBERED})")
 _add("timeline_gaps", lambda b: timeline.gaps(_events(b)), "cleaned_blocks", sql=_GAPS)
 _add("gap_summary", lambda b: timeline.gap_summary(timeline.gaps(_events(b))), "cleaned_blocks", sql=f"SELECT case_id, count(*) AS total, count(*) FILTER (severity = 'MODERATE') AS moderate, count(*) FILTER (severity = 'SIGNIFICANT') AS significant, sum(minutes)::BIGINT AS minutes FROM ({_GAPS}) GROUP BY case_id")
@@ -236,11 +282,73 @@ def _says(side: str, words: tuple[str, ...]) -> str:
 
 _SCORE = f"(CASE WHEN {_says('chunk_a', T.DENIAL_WORDS)} <> {_says('chunk_b', T.DENIAL_WORDS)} THEN 0.3 ELSE 0 END) + (CASE WHEN ({_says('chunk_a', ('home',))} AND {_says('chunk_b', ('scene',))}) OR ({_says('chunk_a', ('scene',))} AND {_says('chunk_b', ('home',))}) THEN 0.4 ELSE 0 END)"
 _add("opposed_texts", contradictions.opposed_texts, "contradictions", sql=f"SELECT contradiction_id, case_id, CASE WHEN s > 0.5 THEN 'contradiction' WHEN s > 0.2 THEN 'neutral' ELSE 'entailment' END AS label, CASE WHEN s > 0.5 THEN least(s, 0.95)::DOUBLE WHEN s > 0.2 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM (SELECT *, {_SCORE} AS s FROM ({_CONTRA}))")
-_add("judged_pairs", lambda c: _flat(contradictions.numbered(contradictions.judged(c)), "shared"), "contradictions")
-_add("claim_members", lambda n, c: contradictions.membership(entities.listed_entities(n), c), "ner_results", "chunks")
-_add("claim_pairs", lambda n, c: contradictions.class_pairs(entities.listed_entities(n), c), "ner_results", "chunks")
-_add("claim_value_members", lambda n, c: contradictions.value_membership(entities.listed_entities(n), c), "ner_results", "chunks")
-_add("claims_found", lambda n, c: _flat(contradictions.search(entities.listed_entities(n), c), "shared"), "ner_results", "chunks")
+_QUOTED = lambda p: p.replace("'", "''")
+_WORD_ANY = lambda words: "(" + " OR ".join(f"contains(lower(text), '{_QUOTED(w)}')" for w in words) + ")"
+_MATCH_ANY = lambda patterns: "(" + " OR ".join(f"regexp_matches(lower(text), '{_QUOTED(p)}')" for p in patterns) + ")"
+_SET = lambda lists, item: f"list_sort(list_distinct(list_transform(list_concat({', '.join(lists)}), lambda x: {item})))"
+_PLACE_SQL = [f"regexp_extract_all(lower(text), '{p}')" for p in (T.PLACES[0], T.PLACES[1], rf"\b(?:near|at|inside|outside)\s+{_W}")]
+_TIME_SQL = [f"regexp_extract_all(text, '(?i){p}', 1)" for p in T.TIMES]
+_CLAIMS = rf"""
+    SELECT document_id || '/' || chunk_id AS key, coalesce(chunk_confidence, 1.0) AS confidence, {_MATCH_ANY(T.DENIALS)} AS denies, {_MATCH_ANY(T.ASSERTIONS)} AS asserts, {_WORD_ANY(T.EVIDENCE_WORDS)} AS physical,
+           {_WORD_ANY(T.DENIAL_WORDS)} AS negates, contains(lower(text), 'home') AS home, contains(lower(text), 'scene') AS scene, {_SET(_PLACE_SQL[:2] + _PLACE_SQL[2:], "trim(x)")} AS places,
+           {_SET(_TIME_SQL, "lower(regexp_replace(x, '[\\s\\p{Z}]+', '', 'g'))")} AS times, string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'), ' ') AS words
+    FROM ({_CHUNKS}) WHERE text IS NOT NULL"""
+_MENTIONS = rf"""
+    SELECT DISTINCT case_id, document_id || '/' || chunk_id AS key, entity, regexp_replace(string_split(entity, ' ')[1], '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g') AS head
+    FROM (SELECT case_id, document_id, chunk_id, lower(regexp_replace(regexp_replace(regexp_replace(text, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', ''), '[\s\p{{Z}}]+', ' ', 'g')) AS entity FROM ({_ENTITIES}) WHERE entity_type IN ({_LISTED["PEOPLE"]})) WHERE entity <> ''"""
+_NAMED = f"SELECT m.case_id, m.entity, c.*, denies::INT + 2 * asserts::INT + 4 * physical::INT + 8 * negates::INT + 16 * home::INT + 32 * scene::INT AS class FROM claims c JOIN mentioned m USING (key) WHERE confidence >= 0.5 AND list_contains(words, head)"
+_WITH_NAMED = f"WITH claims AS MATERIALIZED ({_CLAIMS}), mentioned AS MATERIALIZED ({_MENTIONS}), named AS MATERIALIZED ({_NAMED})"
+_VALUED = "SELECT case_id, entity, key, confidence, 'LOCATION_CONFLICT' AS type, places AS vals FROM named WHERE len(places) > 0 UNION ALL SELECT case_id, entity, key, confidence, 'TIME_CONFLICT', times FROM named WHERE len(times) > 0"
+_add("claim_members", lambda n, c: contradictions.membership(entities.listed_entities(n), c), "ner_results", "chunks", sql=f"{_WITH_NAMED} SELECT case_id, entity, key, class, confidence FROM named")
+_add("claim_pairs", lambda n, c: contradictions.class_pairs(entities.listed_entities(n), c), "ner_results", "chunks", sql=f"""
+    {_WITH_NAMED}, grp AS (SELECT case_id, entity, class, min(key) AS key, count(*) AS n FROM named GROUP BY ALL),
+    met AS (SELECT a.case_id, a.entity, a.class AS class_a, b.class AS class_b, a.key AS key_a, b.key AS key_b, a.n AS n_a, b.n AS n_b FROM grp a JOIN grp b ON a.case_id = b.case_id AND a.entity = b.entity),
+    sets AS (SELECT case_id, entity, type, vals, min(key) AS key, count(*) AS n FROM ({_VALUED}) GROUP BY ALL)
+    SELECT case_id, entity, 'DENIAL_VS_ASSERTION' AS type, class_a, class_b, key_a, key_b, n_a, n_b FROM met WHERE class_a & 1 > 0 AND class_b & 2 > 0 AND (class_a <> class_b OR n_a > 1)
+    UNION ALL SELECT case_id, entity, 'STATEMENT_VS_EVIDENCE', class_a, class_b, key_a, key_b, n_a, n_b FROM met WHERE class_a & 4 > 0 AND class_b & 4 = 0 AND class_b & 1 > 0
+    UNION ALL SELECT a.case_id, a.entity, a.type, NULL, NULL, a.key, b.key, a.n, b.n FROM sets a JOIN sets b ON a.case_id = b.case_id AND a.entity = b.entity AND a.type = b.type AND a.key < b.key AND NOT list_has_any(a.vals, b.vals)""")
+_add("claim_value_members", lambda n, c: contradictions.value_membership(entities.listed_entities(n), c), "ner_results", "chunks", sql=f"{_WITH_NAMED} SELECT case_id, entity, type, min(key) OVER (PARTITION BY case_id, entity, type, vals) AS class_key, key, confidence FROM ({_VALUED})")
+
+
+def _severity_sql(kind: str, confidence: str, shared: str, same: str) -> str:
+    one = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
+    base = f"CASE {kind} WHEN 'TIME_CONFLICT' THEN 2 WHEN 'LOCATION_CONFLICT' THEN 3 WHEN 'STATEMENT_VS_EVIDENCE' THEN 4 WHEN 'DENIAL_VS_ASSERTION' THEN 3 ELSE 2 END"
+    return f"['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][greatest(1, least(4, {base} + {one(f'{confidence} >= 0.9')} - {one(f'{confidence} < 0.6')} + {one(f'len({shared}) >= 2')} + {one(f'{same} AND {kind} = {chr(39)}LOCATION_CONFLICT{chr(39)}')}))]"
+
+
+def _detect_sql(claims: str, pairs: str, times: str = "SELECT NULL::VARCHAR AS key, NULL::VARCHAR AS ts WHERE false") -> str:
+    """The four rules for candidate pairs ``case_id, key_a, key_b, shared`` (sorted)."""
+    score = "(CASE WHEN a.negates <> b.negates THEN 0.3 ELSE 0 END + CASE WHEN (a.home AND b.scene) OR (a.scene AND b.home) THEN 0.4 ELSE 0 END)"
+    about = r"list_filter(shared, lambda e: list_contains(a.words, regexp_replace(string_split(e, ' ')[1], '[^\p{L}\p{M}\p{N}_]+', '', 'g')) AND list_contains(b.words, regexp_replace(string_split(e, ' ')[1], '[^\p{L}\p{M}\p{N}_]+', '', 'g')))[1]"
+    return f"""
+        WITH claims AS MATERIALIZED ({claims}), dated AS (SELECT key, max(ts) AS ts FROM ({times}) GROUP BY key), met AS (
+            SELECT p.case_id, key_a, key_b, shared, {about} AS about, coalesce(ta.ts = tb.ts, false) AS same, {score} AS s, least(a.confidence, b.confidence) AS low, a.places AS pa, b.places AS pb, a.times AS qa, b.times AS qb,
+                   a.denies AND b.asserts AS ab, b.denies AND a.asserts AS ba, (a.physical <> b.physical) AND (CASE WHEN a.physical THEN b.denies ELSE a.denies END) AS evidence
+            FROM ({pairs}) p JOIN claims a ON a.key = key_a JOIN claims b ON b.key = key_b LEFT JOIN dated ta ON ta.key = key_a LEFT JOIN dated tb ON tb.key = key_b
+        ), found AS (
+            SELECT *, 'DENIAL_VS_ASSERTION' AS type, (CASE WHEN ab THEN 'Chunk A denies while Chunk B asserts about ' ELSE 'Chunk B denies while Chunk A asserts about ' END) || about || '.' AS explanation FROM met WHERE ab OR ba
+            UNION ALL SELECT *, 'LOCATION_CONFLICT', about || ' claimed ' || pa[1] || ' vs ' || pb[1] || '.' FROM met WHERE len(pa) > 0 AND len(pb) > 0 AND NOT list_has_any(pa, pb)
+            UNION ALL SELECT *, 'TIME_CONFLICT', about || ' has conflicting times: ' || qa[1] || ' vs ' || qb[1] || '.' FROM met WHERE len(qa) > 0 AND len(qb) > 0 AND NOT list_has_any(qa, qb)
+            UNION ALL SELECT *, 'STATEMENT_VS_EVIDENCE', 'Statement denies evidence regarding ' || about || '.' FROM met WHERE evidence
+        ), sure AS (SELECT *, CASE WHEN s > 0.5 THEN least(low, s) ELSE low END::DOUBLE AS confidence FROM found WHERE about IS NOT NULL)
+        SELECT case_id, key_a, key_b, type, array_to_string(shared, ',') AS shared, explanation, round(confidence, 6) AS confidence, {_severity_sql('type', 'confidence', 'shared', 'same')} AS severity,
+               CASE WHEN s > 0.5 THEN 'contradiction' WHEN s > 0.2 THEN 'neutral' ELSE 'entailment' END AS label FROM sure WHERE confidence >= 0.5"""
+
+
+_STORED = f"SELECT contradiction_id || '/a' AS document_id, '' AS chunk_id, chunk_a.text AS text, confidence AS chunk_confidence, contradiction_id, case_id FROM ({_CONTRA}) WHERE contradiction_id IS NOT NULL UNION ALL SELECT contradiction_id || '/b', '', chunk_b.text, confidence, contradiction_id, case_id FROM ({_CONTRA}) WHERE contradiction_id IS NOT NULL"
+_SHARED = r"list_sort(list_filter(list_transform(coalesce(shared_entities, []), lambda e: lower(regexp_replace(regexp_replace(regexp_replace(e, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', ''), '[\s\p{Z}]+', ' ', 'g'))), lambda e: e <> ''))"
+_JUDGED = _detect_sql(_CLAIMS.replace(f"FROM ({_CHUNKS})", f"FROM ({_STORED})").replace("document_id || '/' || chunk_id", "document_id"), f"SELECT case_id, contradiction_id || '/a' AS key_a, contradiction_id || '/b' AS key_b, {_SHARED} AS shared FROM ({_CONTRA}) WHERE contradiction_id IS NOT NULL")
+_add("judged_pairs", lambda c: _flat(contradictions.numbered(contradictions.judged(c)), "shared"), "contradictions", sql=f"SELECT *, format('CONT_{{}}_{{:04d}}', translate(case_id, '- ', '__'), row_number() OVER (PARTITION BY case_id ORDER BY key_a, key_b, type) - 1) AS contradiction_id FROM ({_JUDGED})")
+_times = lambda c, b: _chunk_events(c, b).select(F.concat_ws("/", "document_id", "chunk_id").alias("key"), "ts")
+_PAIRED = f"SELECT a.case_id, a.key AS key_a, b.key AS key_b, list_sort(list(a.entity)) AS shared FROM ({_MENTIONS}) a JOIN ({_MENTIONS}) b ON a.case_id = b.case_id AND a.entity = b.entity AND a.key < b.key GROUP BY ALL"
+_add("claims_found", lambda n, c, b: _flat(contradictions.search(entities.listed_entities(n), c, times=_times(c, b)), "shared"), "ner_results", "chunks", "cleaned_blocks",
+     sql=_detect_sql(_CLAIMS, _PAIRED, f"SELECT document_id || '/' || chunk_id AS key, ts FROM ({_CHUNK_EVENTS})"))
+_HEAD = r"regexp_split_to_array(lower(speaker), '[\s\p{Z}]+')[1]"
+_add("speaker_pairs", lambda c: _flat(contradictions.speaker_pairs(c), "shared"), "chunks", sql=f"""
+    WITH own AS MATERIALIZED (SELECT case_id, document_id || '/' || chunk_id AS key, lower(coalesce(text, '')) AS low, nullif(speaker, '') AS speaker FROM ({_CHUNKS})),
+    hit AS (SELECT a.case_id, a.key AS ka, b.key AS kb, b.speaker AS label FROM own a JOIN own b ON a.case_id = b.case_id AND a.key <> b.key AND b.speaker IS NOT NULL
+            WHERE contains(a.low, lower(b.speaker)) OR (a.speaker IS NOT NULL AND contains(a.low, {_HEAD.replace('speaker', 'b.speaker')})))
+    SELECT case_id, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b, array_to_string(list_sort(list_distinct(list(label))), ',') AS shared FROM hit GROUP BY ALL""")
 _CUES = [("denies", T.DENIALS), ("asserts", T.ASSERTIONS)]
 _add("claim_cues", lambda c: contradictions.claims(c).select("document_id", "chunk_id", "denies", "asserts", "physical"), "chunks", sql="SELECT document_id, chunk_id, "
      + ", ".join("(" + " OR ".join(f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + f") AS {name}" for name, patterns in _CUES)
