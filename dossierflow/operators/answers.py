@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 
-# Capitalised words that open a question and are no names.
+# Capitalised words that open a question and are no names, and the texts of an answer without evidence or of a context that was cut.
 QUESTION_WORDS = ("Who", "What", "When", "Where", "Why", "How", "Did", "Does", "Was", "Were", "Is", "Are", "The", "A", "An", "To", "From", "With")
 NO_EVIDENCE = "No relevant evidence found."
 NO_ANSWER = "The available evidence does not contain sufficient information to answer this question."
@@ -75,6 +75,7 @@ def conflict_limitation(ts: Column) -> Column:
     return F.concat(F.lit("Conflicting information at "), ts)
 
 
+# The texts of limitations (above) and of the answer that only points to its sources.
 def stub_answer(n_sources: Column, notes: Column) -> Column:
     """Answer that only points to its sources (three at most) and the first two limitations."""
     refs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n_sources, F.lit(3)))), lambda i: F.concat(F.lit("- See [Source "), i.cast("string"), F.lit("] for details.")))
@@ -90,24 +91,28 @@ def gaps_inside(gaps: DataFrame, events: DataFrame) -> DataFrame:
     return inside.select("query_id", gap_limitation(F.col("start"), F.col("end"), F.col("minutes"), F.col("severity")).alias("limitation"))
 
 
-def answer(ranked: DataFrame, facts: DataFrame, events: DataFrame, contradictions: DataFrame, gaps: DataFrame, generate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def answer(ranked: DataFrame, facts: DataFrame, events: DataFrame, contradictions: DataFrame, gaps: DataFrame, generate: Callable[[Column, Column], Column] | None = None, conflicts: DataFrame | None = None) -> DataFrame:
     """One row per question with sources: ``query_id, n_sources, context, limitations, answer, confidence``.
 
     ``contradictions`` has ``query_id, severity, explanation, type``, ``gaps``
-    has ``query_id, limitation``. ``generate`` may turn context and limitations
+    and ``conflicts`` have ``query_id, limitation``. A critical contradiction
+    halves the confidence. ``generate`` may turn context and limitations
     into an answer (a language model behind a function); the default points to
     the sources.
     """
     order = lambda df: df.groupBy("query_id").agg(F.array_sort(F.collect_set("limitation")).alias("notes"))
+    critical = contradictions.groupBy("query_id").agg(F.bool_or(F.coalesce(F.col("severity") == "CRITICAL", F.lit(False))).alias("critical"))
+    clashes = order(conflicts if conflicts is not None else gaps.where("false")).withColumnRenamed("notes", "conflict_notes")
     told = order(contradictions.select("query_id", contradiction_limitation(F.col("severity"), F.col("explanation"), F.col("type")).alias("limitation")))
     missing = order(gaps)
     rows = (
         source_lines(ranked).withColumnRenamed("section", "sources").join(fact_lines(facts).withColumnRenamed("section", "facts"), "query_id", "left")
         .join(event_lines(events).withColumnRenamed("section", "events"), "query_id", "left").join(missing.withColumnRenamed("notes", "gap_notes"), "query_id", "left").join(told, "query_id", "left")
+        .join(clashes, "query_id", "left").join(critical, "query_id", "left")
     )
-    full = rows.select("query_id", F.col("n").alias("n_sources"), truncated(evidence(F.col("sources"), F.col("facts"), F.col("events"))).alias("context"), limitations(F.col("gap_notes"), F.col("notes")).alias("limitations"), F.col("notes").isNotNull().alias("opposed"), F.col("gap_notes").isNotNull().alias("gapped"))
+    full = rows.select("query_id", F.col("n").alias("n_sources"), truncated(evidence(F.col("sources"), F.col("facts"), F.col("events"))).alias("context"), limitations(F.col("gap_notes"), F.col("notes"), F.col("conflict_notes")).alias("limitations"), F.when(F.coalesce("critical", F.lit(False)), 0.5).otherwise(1.0).alias("factor"), F.col("notes").isNotNull().alias("opposed"), F.col("gap_notes").isNotNull().alias("gapped"))
     made = (generate or (lambda context, notes: stub_answer(F.col("n_sources"), notes)))(F.col("context"), F.col("limitations"))
-    return full.select("query_id", "n_sources", "context", "limitations", made.alias("answer"), scores.answer_confidence(F.col("n_sources"), F.col("opposed"), F.col("gapped")).alias("confidence"))
+    return full.select("query_id", "n_sources", "context", "limitations", made.alias("answer"), scores.answer_confidence(F.col("n_sources"), F.col("opposed"), F.col("gapped")).alias("confidence"), "factor").withColumn("confidence", F.round(F.col("confidence") * F.col("factor"), 4)).drop("factor")
 
 
 def best_chunks(hits: DataFrame, k: int = 5) -> DataFrame:

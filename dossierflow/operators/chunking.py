@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..batches import bounded
 from .base import once
 from .order import Ordered
 
 Tokenizer = Callable[[str], list[str]]
 
+# Fixed value: how this family of vocabularies cuts text into pieces before merging.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
 
 def words(text: str) -> list[str]:
     """Default tokenizer: words with the blanks before them, so that joining gives the text back."""
@@ -22,6 +27,58 @@ def words(text: str) -> list[str]:
     return re.findall(r"\s*\S+|\s+\Z", text)
 
 
+class Bpe:
+    """Tokenizer of a public byte-level vocabulary: ranks in a file of base64 tokens, read once by each worker.
+
+    A token may end inside a letter; ``join`` puts tokens together and only then
+    reads them as text.
+    """
+
+    _known: dict[str, object] = {}
+
+    def __init__(self, path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern: str = PIECES) -> None:
+        self.path, self.pattern = path, pattern
+
+    def encoding(self):
+        if self.path not in Bpe._known:
+            import base64
+
+            import tiktoken
+
+            with open(self.path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            Bpe._known[self.path] = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return Bpe._known[self.path]
+
+    def __call__(self, text: str) -> list[str]:
+        return [t.decode("utf-8", "surrogateescape") for t in self.encoding().decode_tokens_bytes(self.encoding().encode_ordinary(text))] if text else []
+
+    @staticmethod
+    def join(tokens: list[str]) -> str:
+        return "".join(tokens).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+    def count(self, text: str | None) -> int:
+        return len(self.encoding().encode_ordinary(text)) if text else 0
+
+    def split(self, text: str | None, most: int) -> list[str]:
+        """Pieces of at most ``most`` tokens; none of an empty text."""
+        tokens = self(text or "")
+        return [text] if 0 < len(tokens) <= most else [self.join(tokens[i : i + most]) for i in range(0, len(tokens), most)]
+
+
+def bpe_counts(chunks: DataFrame, tokenizer: Bpe | None = None) -> DataFrame:
+    """``document_id, chunk_id, tokens``: tokens of each chunk's whole text, 0 for null and empty ones; a chunk delivered twice counts once."""
+    ship_package(chunks.sparkSession)
+    bpe = tokenizer or Bpe()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.count(t) for t in b.column(2).to_pylist()], pa.int32())], names=["document_id", "chunk_id", "tokens"])
+
+    own = once(chunks.select("document_id", "chunk_id", "text"), "document_id", "chunk_id")
+    return own.mapInArrow(scan, "document_id STRING, chunk_id STRING, tokens INT")
+
+
 def token_count(text: Column) -> Column:
     """Tokens of the default tokenizer, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
@@ -48,6 +105,7 @@ CHUNK = "case_id STRING, document_id STRING, page INT, speaker STRING, first_ord
 def _pack(frames: Iterator[pd.DataFrame], most: int, tokenizer: Tokenizer) -> Iterator[pd.DataFrame]:
     """Greedy packing over blocks sorted by group; the state of one open chunk is all that is kept."""
     columns = [c.split()[0] for c in CHUNK.split(", ")]
+    join = getattr(tokenizer, "join", "".join)
     group, part, first = None, 0, 0
     texts: list[str] = []
     ids: list[str] = []
@@ -79,7 +137,7 @@ def _pack(frames: Iterator[pd.DataFrame], most: int, tokenizer: Tokenizer) -> It
             if len(tokens) > most:
                 close()
                 for i in range(0, len(tokens), most):
-                    texts.append("".join(tokens[i : i + most]).strip())
+                    texts.append(join(tokens[i : i + most]).strip())
                     ids.append(block)
                     scores.append(score)
                     close()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -56,6 +56,46 @@ def document_confidence(content: DataFrame) -> DataFrame:
     return own.groupBy("document_id").agg(F.round(F.sum(F.col("score") * weight) / F.sum(weight), 9).alias("weighted"), F.round(F.avg("score"), 9).alias("plain"), F.count(F.lit(1)).alias("n_blocks"))
 
 
+# Confidences from which a document is accepted, or to be looked through.
+ACCEPTED, FLAGGED = 0.85, 0.70
+
+#: Blocks whose hashes are hashed together; the hash of a document is that of these hashes in order.
+HASH_RUN = 1024
+
+
+def status(confidence: Column) -> Column:
+    """What a document's confidence is good for; null counts as 0."""
+    c = F.coalesce(confidence, F.lit(0.0))
+    return F.when(c >= ACCEPTED, "ACCEPTED").when(c >= FLAGGED, "FLAGGED_FOR_REVIEW").otherwise("REJECTED")
+
+
+def document_hashes(content: DataFrame) -> DataFrame:
+    """``document_id, hash``: SHA-256 over the blocks (id, type, text, page) in order, by runs of ``HASH_RUN``, so that no task holds a whole document."""
+    own = once(content.select("document_id", "block_id", "ord", "type", "text", "page"), "document_id", "block_id")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    each = F.sha2(F.concat_ws("\u0001", *map(part, ("block_id", "type", "text", "page"))), 256)
+    joined = lambda *order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    runs = own.withColumn("h", each).groupBy("document_id", F.floor(F.coalesce("ord", F.lit(0)) / HASH_RUN).alias("run")).agg(joined("ord", "block_id"))
+    return runs.groupBy("document_id").agg(joined("run")).select("document_id", F.concat(F.lit("sha256:"), "h").alias("hash"))
+
+
+def results(content: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row per document: ``case_id, document_id, source_file, pages, n_blocks, confidence, status, hash``.
+
+    The confidence is weighted by length and rounded to 2 digits; ``failed``
+    (``case_id, document_id, source_file``) are documents without any block: no
+    pages, confidence 0, rejected.
+    """
+    own = once(content.select("case_id", "document_id", "source_file", "block_id", "page"), "document_id", "block_id")
+    found = own.groupBy("document_id").agg(F.min("case_id").alias("case_id"), F.min("source_file").alias("source_file"), F.coalesce(F.max("page"), F.lit(0)).alias("pages"), F.count(F.lit(1)).alias("n_blocks"))
+    weighed = document_confidence(content).select("document_id", F.col("weighted").alias("confidence"))
+    whole = found.join(weighed, "document_id").join(document_hashes(content), "document_id").select("case_id", "document_id", "source_file", "pages", "n_blocks", F.round("confidence", 2).alias("confidence"), status(F.col("confidence")).alias("status"), "hash")
+    if failed is None:
+        return whole
+    none = failed.select("case_id", "document_id", "source_file", F.lit(0).alias("pages"), F.lit(0).cast("long").alias("n_blocks"), F.lit(0.0).alias("confidence"), F.lit("REJECTED").alias("status"), F.lit(None).cast("string").alias("hash"))
+    return whole.unionByName(none.join(whole.select("document_id"), "document_id", "left_anti"))
+
+
 def renumbered(content: DataFrame) -> DataFrame:
     """``document_id, ord, block_id, new_id``: blocks numbered b1, b2 and so on in order."""
     own = once(content.select("document_id", "block_id", "ord"), "document_id", "block_id")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from ..batches import bounded
 from ..session import ship_package
 
 #: Bytes of queries that are sent to the tasks at once; more queries take more passes over the vectors.
@@ -94,6 +98,39 @@ def within_case(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     return hits.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id").where("label = query_label").drop("query_label")
 
 
+Encoder = Callable[[list[str]], np.ndarray]
+
+
+def hashed(texts: list[str], dim: int = 384) -> np.ndarray:
+    """Encoder without a model: words counted with a sign in places given by their hash, scaled to length 1; no word gives zeros."""
+    out = np.zeros((len(texts), dim), np.float32)
+    for row, text in zip(out, texts):
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            h = zlib.crc32(w.encode("utf-8"))
+            row[(h >> 1) % dim] += 1 if h & 1 else -1
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm == 0, 1, norm)
+
+
+def embed(rows: DataFrame, encode: Encoder = hashed, text: str = "text") -> DataFrame:
+    """``rows`` with ``embedding``: ``encode`` is called with the texts of a batch and may be any model. Null and empty texts have no embedding."""
+    ship_package(rows.sparkSession)
+    at = rows.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches):
+            texts = b.column(at).to_pylist()
+            wanted = [i for i, t in enumerate(texts) if t]
+            made: list = [None] * len(texts)
+            if wanted:
+                for i, v in zip(wanted, np.asarray(encode([texts[i] for i in wanted]), np.float32)):
+                    made[i] = v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
+
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    return rows.mapInArrow(scan, schema)
+
+
 class CellIndex:
     """Inverted index: every vector lies in the cell of its nearest centre.
 
@@ -111,6 +148,26 @@ class CellIndex:
         self.placed = self._place(own, 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell")) if rows else None
         self.spark = vectors.sparkSession
 
+    def save(self, path: str) -> None:
+        """Write centres and vectors below ``path``, one folder for each cell, so that a search reads only the cells it probes."""
+        centres = [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
+        self.spark.createDataFrame(centres, "cell INT, centre ARRAY<DOUBLE>").coalesce(1).write.mode("errorifexists").parquet(f"{path}/centres")
+        placed = self.placed if self.placed is not None else self.spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>, cell INT")
+        placed.repartition("cell").write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/vectors")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        """The index that ``save`` wrote."""
+        index = cls.__new__(cls)
+        rows = spark.read.schema("cell INT, centre ARRAY<DOUBLE>").parquet(f"{path}/centres").orderBy("cell").collect()
+        index.spark, index.centres = spark, np.array([r["centre"] for r in rows]) if rows else np.zeros((0, 0))
+        index.placed = spark.read.schema("vec_id BIGINT, embedding ARRAY<FLOAT>, cell INT").parquet(f"{path}/vectors") if rows else None
+        return index
+
+    def count(self) -> int:
+        """Vectors in the index."""
+        return self.placed.count() if self.placed is not None else 0
+
     @staticmethod
     def _fit(x: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
         rng = np.random.default_rng(seed)

@@ -95,6 +95,12 @@ _add("low_confidence_pages", extraction.low_pages, "content_blocks", sql=f"SELEC
 _add("document_confidence", extraction.document_confidence, "content_blocks", sql=f"""
     SELECT document_id, round(sum(score * greatest(1, coalesce(length(text), 0))) / sum(greatest(1, coalesce(length(text), 0))), 9) AS weighted, round(avg(score), 9) AS plain, count(*) AS n_blocks
     FROM ({_SCORED}) GROUP BY document_id""")
+_RESULT_HASH = "sha256(string_agg(h, '' ORDER BY {}))"
+_add("document_results", extraction.results, "content_blocks", sql=f"""
+    WITH own AS (SELECT *, sha256(coalesce(block_id, '') || chr(1) || coalesce(type, '') || chr(1) || coalesce(text, '') || chr(1) || coalesce(page::VARCHAR, '')) AS h FROM ({_CONTENT})),
+    hashed AS (SELECT document_id, 'sha256:' || {_RESULT_HASH.format('run')} AS hash FROM (SELECT document_id, coalesce(ord, 0) // 1024 AS run, {_RESULT_HASH.format('ord, block_id')} AS h FROM own GROUP BY ALL) GROUP BY document_id),
+    scored AS (SELECT document_id, min(case_id) AS case_id, min(source_file) AS source_file, coalesce(max(page), 0) AS pages, count(*) AS n_blocks, round(sum(score * greatest(1, coalesce(length(text), 0))) / sum(greatest(1, coalesce(length(text), 0))), 9) AS c FROM ({_SCORED}) GROUP BY document_id)
+    SELECT case_id, document_id, source_file, pages, n_blocks, round(c, 2) AS confidence, CASE WHEN c >= 0.85 THEN 'ACCEPTED' WHEN c >= 0.70 THEN 'FLAGGED_FOR_REVIEW' ELSE 'REJECTED' END AS status, hash FROM scored JOIN hashed USING (document_id)""")
 _add("renumbered_blocks", extraction.renumbered, "content_blocks", sql=f"SELECT document_id, ord, block_id, 'b' || row_number() OVER (PARTITION BY document_id ORDER BY ord, block_id) AS new_id FROM ({_CONTENT})")
 _add("block_hashes", extraction.block_hashes, "content_blocks", sql=f"SELECT document_id, block_id, 'sha256:' || sha256(text) AS hash FROM ({_CONTENT})")
 
@@ -124,7 +130,10 @@ _LABELS = [p.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''") for
 _add("speakers", parsing.speakers, "content_blocks", sql=f"SELECT document_id, block_id, CASE " + " ".join(rf"WHEN regexp_matches(bare, '{p}') THEN upper(trim(regexp_replace(regexp_extract(bare, '{p}', 1), '\s+', ' ', 'g')))" for p in _LABELS) + " END AS speaker, CASE " + " ".join(rf"WHEN regexp_matches(bare, '{p}') THEN regexp_replace(regexp_replace(bare, '{p}', ''), '\s+$', '')" for p in _LABELS) + f" ELSE text END AS rest FROM (SELECT *, {_BARE} AS bare FROM ({_CONTENT}))")
 _add("timestamp_spans", parsing.timestamp_spans, "content_blocks")
 _add("parsed", lambda b: _flat(parsing.parse_blocks(b), "raw_timestamps"), "content_blocks")
-_add("speaker_roles", lambda b: once(b.select("document_id", "chunk_id", "speaker"), "document_id", "chunk_id").select("document_id", "chunk_id", T.role_of(F.col("speaker")).alias("role"), T.expand_rank(F.col("speaker")).alias("label")), "chunks")
+_add("speaker_roles", lambda b: once(b.select("document_id", "chunk_id", "speaker"), "document_id", "chunk_id").select("document_id", "chunk_id", T.role_of(F.col("speaker")).alias("role"), T.expand_rank(F.col("speaker")).alias("label")), "chunks", sql=f"""
+    SELECT document_id, chunk_id, CASE WHEN up LIKE '%WITNESS%' THEN 'WITNESS' WHEN up LIKE '%SUSPECT%' THEN 'SUSPECT' WHEN up LIKE '%VICTIM%' THEN 'VICTIM' WHEN up LIKE '%OFFICER%' OR up LIKE '%DET%' THEN 'OFFICER' END AS role,
+           CASE """ + " ".join(f"WHEN label LIKE '{a}%' THEN '{b}' || label[{len(a) + 1}:]" for a, b in T.RANKS) + f""" ELSE label END AS label
+    FROM (SELECT document_id, chunk_id, upper(speaker) AS up, upper(trim(regexp_replace(speaker, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS label FROM ({_CHUNKS}))""")
 
 # --- cleaning ---------------------------------------------------------------
 
@@ -386,6 +395,17 @@ def _cited(contra: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame
     return answers.answer(ranked, facts, near.select("query_id", "ts", F.col("original").alias("description")), told, gaps)
 
 
+
+
+def _retrieved(contra: DataFrame, chunks: DataFrame, ner: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every contradiction's explanation as a question about its case."""
+    asked = contra.dropDuplicates(["case_id", "contradiction_id"]).select(F.xxhash64("case_id", "contradiction_id").alias("query_id"), "case_id", F.col("explanation").alias("question"))
+    return pipeline.answer_questions(asked, chunks, entities.listed_entities(ner), blocks, contra)
+
+
+_add("retrieved_answers", lambda c, k, n, b: _flat(_retrieved(c, k, n, b), "limitations"), "contradictions", "chunks", "ner_results", "cleaned_blocks")
+_add("bpe_token_counts", chunking.bpe_counts, "chunks")
+_add("bpe_chunked", lambda b: _flat(chunking.chunk_blocks(b, most=200, tokenizer=chunking.Bpe()), "page_range", "source_block_ids"), "cleaned_blocks")
 _add("cited_answers", lambda c, k, b: _flat(_cited(c, k, b), "limitations"), "contradictions", "chunks", "cleaned_blocks")
 _add("limitations", lambda c: c.dropDuplicates(["case_id", "contradiction_id"]).select("case_id", "contradiction_id", answers.contradiction_limitation(F.col("severity"), F.col("explanation"), F.col("type")).alias("limitation")), "contradictions", sql=f"""
     SELECT case_id, contradiction_id, CASE WHEN coalesce(explanation, '') <> '' THEN 'Evidence contradiction (' || coalesce(severity, '') || '): ' || explanation ELSE 'Evidence contradiction detected: ' || coalesce(type, 'CONFLICT') END AS limitation FROM ({_CONTRA})""")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..session import ship_package
 
-# File types that are taken in.
-EXTENSIONS = (".pdf", ".docx", ".doc", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".txt")
+# File types that are taken in; any other needs a parser of its own.
+EXTENSIONS = (".pdf", ".docx", ".png", ".jpg", ".jpeg", ".tiff", ".tif")
 
 Parser = Callable[[bytes], list[tuple[str, str, int, float | None]]]
 BLOCKS = "path STRING, document_id STRING, ord INT, block_id STRING, type STRING, text STRING, page INT, confidence DOUBLE, error STRING"
 
 
-def allowed(path: Column) -> Column:
-    """Whether the file type is taken in."""
-    return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1)).isin(*EXTENSIONS)
+def allowed(path: Column, more: Iterable[str] = ()) -> Column:
+    """Whether the file type is taken in, or one of ``more``."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1)).isin(*EXTENSIONS, *more)
 
 
 def plain_text(content: bytes) -> list[tuple[str, str, int, float | None]]:
@@ -44,15 +44,17 @@ def _parse(frames: Iterator[pd.DataFrame], parsers: dict[str, Parser]) -> Iterat
 
 
 def read_documents(spark: SparkSession, path: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """Blocks of all files below ``path`` whose type is taken in and whose content isn't empty.
+    """Blocks of all files below ``path`` whose type is taken in, or has a parser, and whose content isn't empty.
+
+    Plain text has a parser here; others come from the caller.
 
     The document id comes from the content, so equal files are one document. A
     file without parser, or whose parser fails, is one row with ``error``.
     """
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(allowed(F.col("path")) & (F.col("length") > 0))
-    keyed = files.select("path", F.concat(F.lit("doc-"), F.substring(F.sha2("content", 256), 1, 32)).alias("document_id"), "content")
     known = {".txt": plain_text} | (parsers or {})
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(allowed(F.col("path"), known) & (F.col("length") > 0))
+    keyed = files.select("path", F.concat(F.lit("doc-"), F.substring(F.sha2("content", 256), 1, 32)).alias("document_id"), "content")
     return keyed.mapInPandas(lambda fs: _parse(fs, known), BLOCKS)
 
 

@@ -47,6 +47,11 @@ def add_vectors(stored: DataFrame | None, new: DataFrame) -> DataFrame:
     return numbered if stored is None else stored.unionByName(numbered)
 
 
+def vectors_of(stored: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows of chunks ``document_id, chunk_id``; chunks without a vector give none."""
+    return stored.join(chunks.select("document_id", "chunk_id").distinct(), ["document_id", "chunk_id"], "left_semi")
+
+
 def vector(stored: DataFrame, vector_id: int) -> DataFrame:
     """The row of a vector id; empty if there is none."""
     return stored.where(F.col("vector_id") == vector_id)

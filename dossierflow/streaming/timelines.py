@@ -1,7 +1,7 @@
 """Timelines over streams: conflicts and activity by window, gaps by state.
 
 The batch operators of ``operators.timeline`` give the same answers on the whole
-table; these keep only what late events can still change.
+table, up to the watermark; these keep only what late events can still change.
 """
 
 from __future__ import annotations
@@ -30,21 +30,29 @@ def conflicts(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def _gaps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, least: int) -> Iterator[pd.DataFrame]:
-    last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-    times = sorted(t for f in frames for t in f["ts"])
+    """Instants wait in the state until the watermark has passed them, then they are read in order; gaps before them are final."""
+    last, waiting = state.get if state.exists else (None, [])
+    waiting = sorted([*waiting, *(int(t.value // 1000) for f in frames for t in f["ts"] if not pd.isna(t))])
+    passed = state.getCurrentWatermarkMs() * 1000
     rows = []
-    for t in times:
-        if last is not None and t > last:
-            minutes = int((t - last).total_seconds() // 60)
-            if minutes >= least:
-                rows.append((key[0], last, t, minutes))
-        last = t if last is None else max(last, t)
-    if last is not None:
-        state.update((int(last.value // 1000),))
+    while waiting and waiting[0] <= passed:
+        now = waiting.pop(0)
+        if last is not None and now - last >= least * 60_000_000:
+            rows.append((key[0], pd.Timestamp(last, unit="us"), pd.Timestamp(now, unit="us"), (now - last) // 60_000_000))
+        last = now
+    state.update((last, waiting))
+    if waiting:
+        state.setTimeoutTimestamp(waiting[0] // 1000 + 1)
     yield pd.DataFrame(rows, columns=["user_id", "start", "end", "minutes"])
 
 
-def gaps(events: DataFrame, least: int = 60) -> DataFrame:
-    """Gaps of each user between the events of successive batches; the state of a user is its last instant."""
+def gaps(events: DataFrame, least: int = 60, late: str = "2 hours") -> DataFrame:
+    """Gaps between the successive events of each user, final once the watermark has passed their later end.
+
+    Events may arrive in any order within ``late``; later ones are dropped, as by
+    every watermark, and null instants are ignored. The state of a user is the last
+    final instant and those that the watermark hasn't passed.
+    """
     ship_package(events.sparkSession)
-    return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(lambda k, fs, s: _gaps(k, fs, s, least), GAP, "last BIGINT", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select("user_id", "ts").withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(lambda k, fs, s: _gaps(k, fs, s, least), GAP, "last BIGINT, waiting ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dossierflow.functions import scores
 from dossierflow.functions import text as T
 from dossierflow.operators import answers, chunking, cleaning, contradictions, entities, extraction, graph, parsing, timeline, vectors
+from dossierflow.plans import pipeline
 from dossierflow.sources import files, logs, store
 from dossierflow.streaming import timelines
 
@@ -268,6 +269,67 @@ def test_asked_names(spark):
     assert column(spark, ["Where did Bob Hall meet \"Ann\"?", "", None], answers.asked_entities) == [["Bob", "Hall", "Ann"], [], None]
 
 
+def test_critical_contradictions_halve_the_confidence(spark):
+    ranked = spark.createDataFrame([(q, r, f"D/C{r}", None, "text") for q in (1, 2) for r in (1, 2)], "query_id BIGINT, rank INT, chunk STRING, speaker STRING, text STRING")
+    nothing = spark.createDataFrame([], "query_id BIGINT, subject STRING, predicate STRING, object STRING, ts STRING, description STRING, limitation STRING")
+    told = spark.createDataFrame([(1, "CRITICAL", "x", "y"), (2, "LOW", "x", "y")], "query_id BIGINT, severity STRING, explanation STRING, type STRING")
+    got = {r["query_id"]: r["confidence"] for r in answers.answer(ranked, nothing, nothing, told, nothing).collect()}
+    assert got[1] == round(got[2] / 2, 4) and got[2] == round(0.7 * 0.7, 2)
+
+
+def test_answers_come_from_chunks_of_the_case(spark, make):
+    texts = [("K", "C1", "Ann Hall saw the knife."), ("K", "C2", "Nobody was at home."), ("L", "C3", "Ann Hall saw the knife twice.")]
+    chunks = make("chunks", *[{"case_id": c, "document_id": f"D{c}", "chunk_id": i, "text": t, "ord": 1, "chunk_confidence": 0.9, "source_block_ids": ["b1"]} for c, i, t in texts])
+    rows = spark.createDataFrame([("K", "DK", "C1", 0, "PERSON", "Ann Hall", 0.9), ("K", "DK", "C1", 1, "WEAPON", "knife", 0.9)], "case_id STRING, document_id STRING, chunk_id STRING, pos INT, entity_type STRING, text STRING, confidence DOUBLE")
+    asked = spark.createDataFrame([(1, "K", "What knife did Hall see?"), (2, "M", "knife"), (3, "K", None)], "query_id BIGINT, case_id STRING, question STRING")
+    got = pipeline.answer_questions(asked, chunks, rows, make("cleaned_blocks"), make("contradictions"), k=2).collect()
+    assert [r["query_id"] for r in got] == [1] and "DK/C1" in got[0]["context"] and "DL" not in got[0]["context"]
+
+
+def test_byte_tokens_equal_the_library(spark, make):
+    from tokenizers import Tokenizer
+
+    library, bpe = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json"), chunking.Bpe()
+    texts = ["He ran 12 miles.", "東京 👩‍🔬 é", "", None, "  two  spaces  \n\n"]
+    got = chunking.bpe_counts(make("chunks", *[{"document_id": "D", "chunk_id": str(i), "text": t} for i, t in enumerate(texts)])).collect()
+    assert {r["chunk_id"]: r["tokens"] for r in got} == {str(i): len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert all(bpe.join(bpe(t)) == t for t in texts if t) and bpe.split(None, 5) == [] and bpe.split("a b", 5) == ["a b"]
+    assert bpe.split("one two three four five", 2) == ["one two", " three four", " five"]
+
+
+def test_encoders_and_index_files(spark, table, tmp_path):
+    rows = spark.createDataFrame([(1, "blue car"), (2, "car blue"), (3, None), (4, "")], "id INT, text STRING")
+    got = {r["id"]: r["embedding"] for r in vectors.embed(rows).collect()}
+    assert got[1] == got[2] and len(got[1]) == 384 and got[3] is None and got[4] is None
+    made = {r["id"]: r["embedding"] for r in vectors.embed(rows, lambda ts: np.array([[len(t)] for t in ts])).collect()}
+    assert made == {1: [8.0], 2: [8.0], 3: None, 4: None}
+    index = vectors.CellIndex(table("embeddings"))
+    index.save(str(tmp_path / "index"))
+    again = vectors.CellIndex.load(spark, str(tmp_path / "index"))
+    asked = vectors.every_fiftieth(table("embeddings"))
+    assert again.count() == index.count() and sorted(map(repr, again.search(asked).collect())) == sorted(map(repr, index.search(asked).collect()))
+
+
+def test_results_of_documents(make, spark):
+    blocks = make("content_blocks", *[{"case_id": "K", "document_id": d, "block_id": f"b{i}", "ord": i, "text": "x" * 10, "page": i + 1, "confidence": c} for d, c in (("A", 0.9), ("B", 0.75), ("C", 0.4)) for i in range(3)])
+    failed = spark.createDataFrame([("K", "X", "x.pdf"), ("K", "A", "a.pdf")], "case_id STRING, document_id STRING, source_file STRING")
+    rows = {r["document_id"]: r for r in extraction.results(blocks, failed).collect()}
+    assert {d: (r["status"], r["pages"], r["confidence"]) for d, r in rows.items()} == {"A": ("ACCEPTED", 3, 0.9), "B": ("FLAGGED_FOR_REVIEW", 3, 0.75), "C": ("REJECTED", 3, 0.4), "X": ("REJECTED", 0, 0.0)}
+    assert rows["A"]["hash"] == rows["B"]["hash"] and rows["X"]["hash"] is None
+
+
+def test_events_of_chunks(make, spark):
+    chunks = make("chunks", *[{"case_id": "K-1", "document_id": "D", "chunk_id": f"C{i}", "ord": i, "text": f"t{i}", "chunk_confidence": 0.8} for i in (1, 2)])
+    readings = spark.createDataFrame([("D", "C2", 0, "noon", "2024-01-01T12:00:00", 0.9), ("D", "C1", 0, "then", None, 0.9), ("D", "C1", 1, "ten", "2024-01-01T10:00:00", None)], "document_id STRING, chunk_id STRING, pos INT, original STRING, iso STRING, confidence DOUBLE")
+    got = sorted((r["event_id"], r["chunk_id"], r["confidence"], r["description"]) for r in timeline.events_from_chunks(chunks, readings).collect())
+    assert got == [("EVT_K_1_0001", "C1", 0.8, "t1"), ("EVT_K_1_0002", "C2", 0.8, "t2")]
+
+
+def test_place_mentions_keep_their_digits(make):
+    row = contradictions.claims(make("chunks", {"case_id": "K", "document_id": "D", "chunk_id": "C", "text": "He was at 130, then near 101."})).first()
+    assert row["places"] == ["at 130", "near 101"]
+
+
 # --- sources, streams -------------------------------------------------------
 
 
@@ -304,6 +366,9 @@ def test_stores(spark, tmp_path):
     assert sorted(r["vector_id"] for r in both.collect()) == list(range(18)) and store.vector(both, 3).first()["chunk_id"] == "C3"
     with pytest.raises(Exception, match="(?i)exists"):
         store.write_once(first, path)
+    one = store.add_vectors(None, new.limit(1))
+    assert sorted(r["vector_id"] for r in store.add_vectors(one, new.limit(1)).collect()) == [0, 1]
+    assert store.vectors_of(both, new.where("chunk_id = 'C4'")).count() == 2
     nodes = spark.createDataFrame([("a", "K"), ("b", "L")], "node_id STRING, case_id STRING")
     store.append(nodes, str(tmp_path / "n"), by="case_id")
     store.replace_cases(nodes.where("case_id = 'K'").withColumn("node_id", F.lit("z")), str(tmp_path / "n"))
@@ -317,10 +382,14 @@ def test_streams_equal_batches(spark, table, tmp_path):
     early, late = events.where(F.unix_micros("ts") <= cut), events.where(F.unix_micros("ts") > cut)
     early.coalesce(1).write.parquet(source)
     stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = timelines.gaps(stream()).writeStream.format("memory").queryName("gaps").outputMode("append").start()
+    query = timelines.gaps(stream(), late="1 hour").writeStream.format("memory").queryName("gaps").outputMode("append").start()
     query.processAllAvailable()
     late.coalesce(1).write.mode("append").parquet(source)
     query.processAllAvailable()
+    # One event long after all others lets the watermark pass them; one from between the batches still counts.
+    end = events.orderBy(F.desc("ts")).limit(1)
+    end.withColumns({"ts": F.col("ts") + F.expr("interval 30 days"), "user_id": F.lit(-1).cast("long")}).coalesce(1).write.mode("append").parquet(source)
+    query.processAllAvailable()
     query.stop()
     got = {(r["user_id"], r["start"], r["end"]) for r in spark.table("gaps").collect()}
     w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("user_id").orderBy("ts")
@@ -329,7 +398,7 @@ def test_streams_equal_batches(spark, table, tmp_path):
     counted = timelines.activity(stream(), late="0 seconds").writeStream.format("memory").queryName("active").outputMode("complete").start()
     counted.processAllAvailable()
     counted.stop()
-    assert spark.table("active").agg(F.sum("n")).first()[0] == events.count()
+    assert spark.table("active").agg(F.sum("n")).first()[0] == events.count() + 1
     assert timelines.conflicts(events).count() >= 0
 
 
@@ -341,6 +410,7 @@ EDGES = {
     "parsed": (parsing.parse_blocks, ["content_blocks"], 0), "spans": (parsing.timestamp_spans, ["content_blocks"], 0), "cleaned": (cleaning.clean_blocks, ["content_blocks"], 1),
     "readings": (cleaning.readings, ["cleaned_blocks"], 0), "groups": (chunking.boundary_groups, ["cleaned_blocks"], 1), "chunks": (chunking.chunk_blocks, ["cleaned_blocks"], 0),
     "rules": (entities.extract, ["chunks"], 0), "listed": (entities.listed_entities, ["ner_results"], 0), "upsert": (graph.upsert, ["graph_nodes"], 1), "events": (timeline.events_from_blocks, ["cleaned_blocks"], 0),
+    "results": (extraction.results, ["content_blocks"], 0), "speaker pairs": (contradictions.speaker_pairs, ["chunks"], 0), "tokens": (chunking.bpe_counts, ["chunks"], 1),
     "judged": (contradictions.judged, ["contradictions"], 0), "severities": (contradictions.severities, ["contradictions"], 1),
 }
 
