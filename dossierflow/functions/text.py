@@ -85,7 +85,8 @@ def drop_controls(text: Column) -> Column:
 
 
 def fix_encoding(text: Column) -> Column:
-    return drop_controls(nfc(text))
+    odd = text.rlike(r"[^\x00-\x7F]")  # plain letters have only one form, and so need not go through Python
+    return drop_controls(F.when(odd, nfc(F.when(odd, text))).otherwise(text))
 
 
 def clean_text(text: Column) -> Column:

@@ -40,7 +40,13 @@ MENTION_PATTERNS = (
     r"(?i)\b(yesterday|today|tonight|tomorrow)\b",
     r"(?i)\b(the\s+(?:night|morning|afternoon|evening)\s+of)\b",
 )
-_COMPILED = tuple(re.compile(p) for p in MENTION_PATTERNS)
+# Some piece of text that every match of the pattern holds, in lower case, so that most patterns need not be tried.
+_MONTH_CUES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_CUES = (
+    _MONTH_CUES, "-/", "-", _MONTH_CUES, _MONTH_CUES, _MONTH_CUES, _MONTH_CUES, "-", "/", "-/", ".", _MONTH_CUES, ("am", "pm"), ":",
+    ("hour", "hr"), ("o'clock",), ("around", "approx", "about"), ("last", "this", "next"), ("yesterday", "today", "tonight", "tomorrow"), ("the",),
+)
+_COMPILED = tuple((re.compile(p), tuple(c)) for p, c in zip(MENTION_PATTERNS, _CUES, strict=True))
 _LIKELY = re.compile(r"\d|(?i:yesterday|today|tonight|tomorrow|last|this|next|the\s+(?:night|morning|afternoon|evening)\s+of)")
 
 
@@ -49,10 +55,13 @@ def mentions(text: str | None, longer_wins: bool = True) -> list[tuple[int, int,
     if not text or not _LIKELY.search(text):
         return []
     kept: list[tuple[int, int]] = []
-    for pattern in _COMPILED:
+    low = text.lower()
+    for pattern, cues in _COMPILED:
+        if not any(map(low.__contains__, cues)):
+            continue
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            rival = next((s for s in sorted(kept) if a < s[1] and b > s[0]), None)
+            rival = min((s for s in kept if a < s[1] and b > s[0]), default=None)
             if rival is None:
                 kept.append((a, b))
             elif longer_wins and b - a > rival[1] - rival[0]:
@@ -81,6 +90,23 @@ def timestamp_spans(blocks: DataFrame) -> DataFrame:
     return own.mapInPandas(scan, "document_id STRING, block_id STRING, start INT, end INT, raw STRING")
 
 
+def _furnished(own: DataFrame, least_pages: int, longest: int) -> DataFrame:
+    """Blocks once each, with ``is_header, is_footer``; windows of a page, and of a line that a document repeats."""
+    bare = T.strip(F.col("text"))
+    page = Window.partitionBy("document_id", "page")
+    placed = own.withColumns({
+        "_key": F.when((F.length(bare) <= longest) & (bare != ""), T.comparable(F.col("text"))), "_number": T.is_page_number(F.col("text")),
+        "_rank": F.row_number().over(page.orderBy("ord", "block_id")), "_of": F.count(F.lit(1)).over(page),
+    })
+    # The pages of a line are its ranks by page; lines without a key stand apart from each other and from all others.
+    line = Window.partitionBy("document_id", F.coalesce("_key", F.concat(F.lit("\u0001"), "block_id")))
+    ranked = placed.withColumn("_nth", F.when(F.col("page").isNotNull(), F.dense_rank().over(line.orderBy(F.col("page").asc_nulls_last()))))
+    pages = F.when(F.col("_key").isNotNull(), F.max("_nth").over(line))
+    repeated = ~F.col("_number") & (F.coalesce(pages, F.lit(0)) >= least_pages)
+    last = (F.col("_rank") == F.col("_of")) & (F.col("_rank") > 1)
+    return ranked.withColumn("_repeated", repeated).select(*own.columns, (F.col("_repeated") & ~last).alias("is_header"), (F.col("_number") | (F.col("_repeated") & last)).alias("is_footer"))
+
+
 def page_furniture(blocks: DataFrame, least_pages: int = 2, longest: int = 100) -> DataFrame:
     """``document_id, block_id, is_header, is_footer``.
 
@@ -89,24 +115,19 @@ def page_furniture(blocks: DataFrame, least_pages: int = 2, longest: int = 100)
     it. Blank and null texts are neither.
     """
     own = once(blocks.select("document_id", "block_id", "ord", "page", "text"), "document_id", "block_id")
-    bare = T.strip(F.col("text"))
-    key = F.when((F.length(bare) <= longest) & (bare != ""), T.comparable(F.col("text")))
-    page = Window.partitionBy("document_id", "page")
-    placed = own.select(
-        "document_id", "block_id", "page", T.is_page_number(F.col("text")).alias("number"), key.alias("key"),
-        F.row_number().over(page.orderBy("ord", "block_id")).alias("rank"), F.count(F.lit(1)).over(page).alias("of"),
-    )
-    pages = placed.where("key is not null").groupBy("document_id", "key").agg(F.countDistinct("page").alias("pages"))
-    joined = placed.join(pages, ["document_id", "key"], "left")
-    repeated = ~F.col("number") & (F.coalesce("pages", F.lit(0)) >= least_pages)
-    last = (F.col("rank") == F.col("of")) & (F.col("rank") > 1)
-    return joined.select("document_id", "block_id", (repeated & ~last).alias("is_header"), (F.col("number") | (repeated & last)).alias("is_footer"))
+    return _furnished(own, least_pages, longest).select("document_id", "block_id", "is_header", "is_footer")
+
+
+def _sectioned(own: DataFrame, longest: int) -> DataFrame:
+    """Blocks once each, with ``section``."""
+    named = own.withColumn("_name", T.section_name(F.col("text"), longest))
+    return Ordered(named, ["document_id"], ["ord", "block_id"]).last("_name", "section").drop("_name")
 
 
 def sections(blocks: DataFrame, longest: int = 50) -> DataFrame:
     """``document_id, block_id, section``: the last heading at or before each block; null before the first."""
-    own = once(blocks.select("document_id", "block_id", "ord", "text"), "document_id", "block_id").withColumn("name", T.section_name(F.col("text"), longest))
-    return Ordered(own.select("document_id", "block_id", "ord", "name"), ["document_id"], ["ord", "block_id"]).last("name", "section").select("document_id", "block_id", "section")
+    own = once(blocks.select("document_id", "block_id", "ord", "text"), "document_id", "block_id")
+    return _sectioned(own, longest).select("document_id", "block_id", "section")
 
 
 def speakers(blocks: DataFrame) -> DataFrame:
@@ -116,10 +137,9 @@ def speakers(blocks: DataFrame) -> DataFrame:
 
 
 def parse_blocks(blocks: DataFrame) -> DataFrame:
-    """All of the above in one row per block, with ``raw_timestamps``."""
+    """All of the above in one row per block, with ``raw_timestamps``; blocks without a document or an id give none."""
     ship_package(blocks.sparkSession)
-    own = once(blocks.select("case_id", "document_id", "block_id", "ord", "page", "text"), "document_id", "block_id")
-    at = ["document_id", "block_id"]
-    said = own.select("case_id", *at, "ord", "page", T.detect_speaker(F.col("text")).alias("s"), raw_timestamps("text").alias("raw_timestamps"))
-    flat = said.select("case_id", *at, "ord", "page", "s.speaker", F.col("s.rest").alias("text"), "raw_timestamps")
-    return flat.join(page_furniture(blocks), at).join(sections(blocks), at)
+    own = once(blocks.select("case_id", "document_id", "block_id", "ord", "page", "text"), "document_id", "block_id").where("document_id is not null and block_id is not null")
+    known = _furnished(_sectioned(own, longest=50), least_pages=2, longest=100)
+    said = known.select("case_id", "document_id", "block_id", "ord", "page", T.detect_speaker(F.col("text")).alias("s"), raw_timestamps("text").alias("raw_timestamps"), "is_header", "is_footer", "section")
+    return said.select("document_id", "block_id", "case_id", "ord", "page", "s.speaker", F.col("s.rest").alias("text"), "raw_timestamps", "is_header", "is_footer", "section")

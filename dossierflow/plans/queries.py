@@ -140,8 +140,26 @@ _add("speaker_roles", lambda b: once(b.select("document_id", "chunk_id", "speake
 _add("whitespace", lambda d: d.select("doc_id", F.sha2(T.normalize_whitespace(F.col("text")), 256).alias("hash")), "documents", sql=r"""
     SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+', ''), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$', '')) AS hash
     FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)""")
-_add("cleaned_text", cleaning.clean_blocks, "content_blocks")
-_add("cleaned_documents", lambda d: (ship_package(d.sparkSession), d.select("doc_id", T.clean_text(F.col("text")).alias("text")))[1], "documents")
+_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def _clean_sql(text: str) -> str:
+    """Encoding, blanks and noise of a text, one replacement after the other."""
+    steps = [
+        (r"[\p{Co}\x{fffd}]|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]", "''"), (r"\r\n?", "chr(10)"), (r"[ \t]+", "' '"), (r"[ \t]*\n[ \t]*", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"),
+        (f"^{_BLANK}+", "''"), (f"{_BLANK}+$", "''"),
+        # Marks that stand alone: a sign on either side of every blank and at both ends shows them.
+        (f"({_BLANK})", r"chr(1) || '\1' || chr(1)"), (r"^|$", "chr(1)"), (r"\x01[|~¬¦]+\x01", "chr(1) || chr(1)"), (r"\x01", "''"),
+        (r"\.{5,}", "'...'"), (r"…{5,}", "'………'"), (r"-{5,}", "'---'"), (r"_{5,}", "'___'"), (r"={5,}", "'==='"),
+    ]
+    out = f"nfc_normalize({text})"
+    for pattern, new in steps:
+        out = f"chr(1) || {out} || chr(1)" if pattern == r"^|$" else f"regexp_replace({out}, '{pattern}', {new}, 'g')"
+    return out
+
+
+_add("cleaned_text", cleaning.clean_blocks, "content_blocks", sql=f"SELECT document_id, block_id, {_clean_sql('text')} AS clean_text FROM ({_CONTENT})")
+_add("cleaned_documents", lambda d: (ship_package(d.sparkSession), d.select("doc_id", T.clean_text(F.col("text")).alias("text")))[1], "documents", sql=f"SELECT doc_id, {_clean_sql('text')} AS text FROM documents")
 _add("timestamp_readings", cleaning.readings, "cleaned_blocks")
 _CLOCK = r"(?i)^(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([ap]m)?$"
 _add("time_classes", cleaning.time_classes, "cleaned_blocks", sql=rf"""
@@ -161,7 +179,23 @@ _add("boundary_groups", chunking.boundary_groups, "cleaned_blocks", sql=rf"""
     SELECT document_id, page, speaker, row_number() OVER (PARTITION BY document_id ORDER BY first_ord, page, speaker NULLS FIRST) AS grp, n_blocks, n_tokens::BIGINT AS n_tokens, confidence
     FROM (SELECT document_id, page, speaker, min(ord) AS first_ord, count(*) AS n_blocks, sum(len(regexp_extract_all(coalesce(clean_text, ''), '\S+'))) AS n_tokens, coalesce(min(greatest(0.0, least(1.0, confidence))), 1.0) AS confidence
           FROM ({_CLEANED}) GROUP BY ALL)""")
-_add("chunked", lambda b: _flat(chunking.chunk_blocks(b, most=200), "page_range", "source_block_ids"), "cleaned_blocks")
+_CHUNKED = rf"""
+    WITH RECURSIVE own AS (
+        SELECT case_id, document_id, page, speaker, block_id, ord, clean_text AS t, coalesce(greatest(0.0, least(1.0, confidence)), 1.0) AS c,
+               len(regexp_extract_all(clean_text, '[^\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+')) + regexp_matches(clean_text, '{_BLANK}$')::INT AS n,
+               row_number() OVER (PARTITION BY case_id, document_id, page, speaker ORDER BY ord, block_id) AS rn, min(ord) OVER (PARTITION BY case_id, document_id, page, speaker) AS first_ord
+        FROM ({_CLEANED}) WHERE length(clean_text) > 0
+    ), walk AS (
+        SELECT *, 1 AS from_part, CASE WHEN n > 200 THEN (n + 199) // 200 ELSE 1 END AS to_part, CASE WHEN n <= 200 THEN n END AS size FROM own WHERE rn = 1
+        UNION ALL SELECT o.*, CASE WHEN o.n <= 200 AND size + o.n <= 200 THEN to_part ELSE to_part + 1 END, CASE WHEN o.n > 200 THEN to_part + (o.n + 199) // 200 WHEN size + o.n <= 200 THEN to_part ELSE to_part + 1 END,
+               CASE WHEN o.n > 200 THEN NULL WHEN size + o.n <= 200 THEN size + o.n ELSE o.n END
+        FROM walk w JOIN own o ON o.rn = w.rn + 1 AND o.case_id = w.case_id AND o.document_id = w.document_id AND o.page IS NOT DISTINCT FROM w.page AND o.speaker IS NOT DISTINCT FROM w.speaker
+    ), piece AS (SELECT *, unnest(range(from_part, to_part + 1)) AS part FROM walk),
+    cut AS (SELECT *, CASE WHEN n > 200 THEN regexp_replace(regexp_replace(array_to_string(regexp_extract_all(t, '{_BLANK}*[^\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+|{_BLANK}+$')[(part - from_part) * 200 + 1 : (part - from_part + 1) * 200], ''), '^{_BLANK}+', ''), '{_BLANK}+$', '') ELSE t END AS said FROM piece),
+    made AS (SELECT case_id, document_id, page, speaker, first_ord, part, string_agg(said, ' ' ORDER BY rn) AS text, string_agg(block_id, ',' ORDER BY rn) AS source_block_ids, min(c) AS chunk_confidence FROM cut GROUP BY ALL)
+    SELECT format('C-{{:04d}}', row_number() OVER (PARTITION BY document_id ORDER BY first_ord, page, speaker NULLS FIRST, part)) AS chunk_id, case_id, document_id, concat_ws(',', page, page) AS page_range, speaker, text, source_block_ids,
+           (len(regexp_extract_all(text, '[^\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+')) + regexp_matches(text, '{_BLANK}$')::INT)::INT AS token_count, chunk_confidence FROM made"""
+_add("chunked", lambda b: _flat(chunking.chunk_blocks(b, most=200), "page_range", "source_block_ids"), "cleaned_blocks", sql=_CHUNKED)
 _add("boundary_check", chunking.boundary_check, "chunks", "cleaned_blocks", sql=f"""
     SELECT c.document_id, c.chunk_id, count(DISTINCT b.page) <= 1 AS one_page, count(DISTINCT coalesce(b.speaker, chr(1))) <= 1 AS one_speaker
     FROM (SELECT document_id, chunk_id, unnest(source_block_ids) AS block_id FROM ({_CHUNKS})) c JOIN ({_CLEANED}) b ON c.document_id = b.document_id AND c.block_id = b.block_id GROUP BY ALL""")
