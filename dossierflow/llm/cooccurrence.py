@@ -79,25 +79,26 @@ def _id(seed: int, grp: Column, item: Column | None = None) -> Column:
 
 
 def deltas(baskets: DataFrame, sign: int = 1, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """Signed deltas ``a, b, n`` of baskets ``grp, items`` (items sorted and distinct).
+    """Signed deltas ``a, b, n`` of baskets ``grp, items`` (items sorted and distinct), each with its own sign ``n`` if it has one.
 
     Pairs are two 64-bit ids and not two texts, which is what most of the
     shuffle is made of. The pairs of one basket are emitted by an inner loop
     over its own sorted items, those of a basket of more than ``block`` items
     block by block.
     """
-    ids = baskets.select(_id(seed, F.col("grp")).alias("g"), F.transform("items", lambda x: _id(seed, F.col("grp"), x)).alias("ids"))
-    head = ids.select(F.explode(F.concat(F.array("g"), "ids")).alias("a"), F.lit(None).cast("long").alias("b"))
-    firsts = ids.where(F.size("ids").between(2, block)).select(F.posexplode("ids").alias("i", "a"), "ids")
-    pairs = firsts.select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+    signed = baskets if "n" in baskets.columns else baskets.withColumn("n", F.lit(sign).cast("long"))
+    ids = signed.select("n", _id(seed, F.col("grp")).alias("g"), F.transform("items", lambda x: _id(seed, F.col("grp"), x)).alias("ids"))
+    head = ids.select(F.explode(F.concat(F.array("g"), "ids")).alias("a"), F.lit(None).cast("long").alias("b"), "n")
+    firsts = ids.where(F.size("ids").between(2, block)).select(F.posexplode("ids").alias("i", "a"), "ids", "n")
+    pairs = firsts.select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"), "n")
     # Large baskets: each block of items meets itself and every later block in a row of its own, and the rows are spread over all tasks.
     large = ids.where(F.size("ids") > block)
     starts = lambda low: F.sequence(low, F.size("ids"), F.lit(block))
-    blocks = large.select("ids", F.explode(starts(F.lit(1))).alias("i")).select("i", "ids", F.explode(starts(F.col("i"))).alias("j"))
-    cut = blocks.select("i", "j", F.slice("ids", F.col("i"), F.lit(block)).alias("left"), F.slice("ids", F.col("j"), F.lit(block)).alias("right"))
+    blocks = large.select("ids", "n", F.explode(starts(F.lit(1))).alias("i")).select("i", "ids", "n", F.explode(starts(F.col("i"))).alias("j"))
+    cut = blocks.select("i", "j", "n", F.slice("ids", F.col("i"), F.lit(block)).alias("left"), F.slice("ids", F.col("j"), F.lit(block)).alias("right"))
     spread = cut.repartition(baskets.sparkSession.sparkContext.defaultParallelism)
-    crossed = spread.select("i", "j", "right", F.posexplode("left").alias("k", "a")).select("a", F.explode(F.when(F.col("i") == F.col("j"), F.expr("slice(right, k + 2, size(right))")).otherwise(F.col("right"))).alias("b"))
-    return head.unionByName(pairs).unionByName(crossed).withColumn("n", F.lit(sign).cast("long"))
+    crossed = spread.select("i", "j", "n", "right", F.posexplode("left").alias("k", "a")).select("a", F.explode(F.when(F.col("i") == F.col("j"), F.expr("slice(right, k + 2, size(right))")).otherwise(F.col("right"))).alias("b"), "n")
+    return head.unionByName(pairs).unionByName(crossed)
 
 
 def named_ids(baskets: DataFrame, seed: int = 0) -> DataFrame:
@@ -115,11 +116,12 @@ class PairTable:
     reader or a failed merge never sees half a table. Ids are checked to be
     unique in the buckets that are written; ``SharedId`` asks for another seed,
     so counts are exact. ``buckets`` is rounded up to a multiple of the shuffle
-    partitions: a bucket is cut from the hash that the sums are shuffled by, so
-    that each lies in one task and is written as one file.
+    partitions (by default it is their number): a bucket is cut from the hash
+    that the sums are shuffled by, so that each lies in one task and is written
+    as one file. More buckets make small changes rewrite less.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 24, seed: int = 0) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 1, seed: int = 0) -> None:
         self.spark, self.seed = spark, seed
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = -(-buckets // tasks) * tasks
@@ -169,18 +171,18 @@ class PairTable:
 
         Counts that reach 0 disappear.
         """
-        parts = [(b, s) for b, s in ((old, -1), (new, 1)) if b is not None]
+        parts = [b.select("grp", "items", F.lit(s).cast("long").alias("n")) for b, s in ((old, -1), (new, 1)) if b is not None]
+        changed = reduce(DataFrame.unionByName, parts)
         gone, self.retired = self.retired, []
-        self._merge("counts", COUNTS, reduce(DataFrame.unionByName, [deltas(b, s, self.seed) for b, s in parts]), ("a", "b"), lambda d: d.groupBy("a", "b").agg(F.sum("n").alias("n")))
-        known = reduce(DataFrame.unionByName, [named_ids(b, self.seed) for b, _ in parts])
-        self._merge("items", ITEMS, known, ("id",), lambda d: d.groupBy("id").agg(F.collect_set(F.struct("grp", "item")).alias("e")).select("id", F.inline("e")))
+        self._merge("counts", COUNTS, deltas(changed, seed=self.seed), ("a", "b"), lambda d: d.groupBy("a", "b").agg(F.sum("n").alias("n")))
+        self._merge("items", ITEMS, named_ids(changed, self.seed), ("id",), lambda d: d.groupBy("id").agg(F.collect_set(F.struct("grp", "item")).alias("e")).select("id", F.inline("e")))
         self.version += 1
         fresh = {k for k, v in self.written["items"].items() if v == self.version}
         if not self._read("items", ITEMS, fresh).groupBy("id").count().where("count > 1").isEmpty():
             raise SharedId(f"two items share an id under seed {self.seed}")
         for path in gone:
             drop_path(self.spark, path)
-        return reduce(DataFrame.unionByName, [b.select("grp") for b, _ in parts]).distinct()
+        return changed.select("grp").distinct()
 
     def drop(self) -> None:
         """Delete all that is stored."""
