@@ -41,6 +41,21 @@ def severity_rank(severity: Column) -> Column:
     return F.create_map(*[F.lit(x) for i, s in enumerate(SEVERITIES) for x in (s, i + 1)])[severity]
 
 
+def is_high(severity: Column) -> Column:
+    """HIGH or CRITICAL; null is neither."""
+    return F.coalesce(severity.isin("HIGH", "CRITICAL"), F.lit(False))
+
+
+def compare_severity(a: Column, b: Column) -> Column:
+    """-1, 0 or 1; null for an unknown severity."""
+    return F.signum(severity_rank(a) - severity_rank(b)).cast("int")
+
+
+def default_confidence(entity_type: Column) -> Column:
+    """Confidence of an entity that has none, by its type (fixed values)."""
+    return F.when(entity_type.isin("PHONE", "ADDRESS", "TIME"), F.lit(0.90)).when(entity_type.isin("PERSON", "LOCATION", "WEAPON", "EVIDENCE"), F.lit(0.85)).otherwise(F.lit(0.80))
+
+
 def severity(kind: Column, confidence: Column, n_shared: Column, same_time: Column) -> Column:
     """Base of the type, one more at 0.9, one less below 0.6, one more for two shared entities, one more for places at one time; within LOW and CRITICAL."""
     base = F.coalesce(F.create_map(*[F.lit(x) for pair in BASE_SEVERITY.items() for x in pair])[kind], F.lit(2))

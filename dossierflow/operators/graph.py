@@ -69,6 +69,22 @@ def upsert(stored: DataFrame) -> DataFrame:
     return stored.groupBy("node_id", "case_id").agg(F.first("node_type").alias("node_type"), F.min_by(F.col("properties")["name"], order).alias("name"), F.max("provenance.confidence").alias("confidence"), F.countDistinct("provenance.document_id").alias("n_documents"))
 
 
+def upsert_edges(stored: DataFrame, more: DataFrame, node: DataFrame) -> DataFrame:
+    """Stored edges ``case_id, edge_type, from_node, to_node`` and what else they have, with those of ``more`` that are new and whose ends exist in their case.
+
+    An edge that is stored keeps its properties; of several new ones with the
+    same type and ends the first by document and chunk counts.
+    """
+    ends = ["case_id", "edge_type", "from_node", "to_node"]
+    ids = node.select("case_id", "node_id").distinct()
+    held = more
+    for end in ("from_node", "to_node"):
+        held = held.join(ids.withColumnRenamed("node_id", end), ["case_id", end], "left_semi")
+    whole = F.struct("document_id", "chunk_id", *[c for c in stored.columns if c not in (*ends, "document_id", "chunk_id")])
+    fresh = held.join(stored.select(*ends), ends, "left_anti").groupBy(*ends).agg(F.min(whole).alias("e"))
+    return stored.unionByName(fresh.select(*ends, "e.*"))
+
+
 def _chunk_edges(chunks: DataFrame, entities: DataFrame, *kinds: str) -> DataFrame:
     """``case_id, document_id, chunk_id, edge_type, from_node, to_node``: edges of the given kinds, one for each pair of mentions.
 

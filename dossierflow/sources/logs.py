@@ -14,6 +14,18 @@ def append(rows: DataFrame, path: str, by: str = "case_id") -> None:
     rows.write.mode("append").partitionBy(by).json(path)
 
 
+def entries(rows: DataFrame) -> DataFrame:
+    """Rows of the access log for events ``user_id, role, action, case_id, ip_address, details``, of this moment (UTC); ``status`` is SUCCESS where there is none."""
+    status = F.coalesce("status", F.lit("SUCCESS")) if "status" in rows.columns else F.lit("SUCCESS")
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return rows.select(now.alias("timestamp"), "user_id", "role", "action", "case_id", "ip_address", status.alias("status"), "details")
+
+
+def append_daily(rows: DataFrame, path: str) -> None:
+    """Add rows to a log with a folder for each day of their timestamps, so that a query over some days reads only those."""
+    append(rows.withColumn("day", F.substring("timestamp", 1, 10)), path, by="day")
+
+
 def read(spark: SparkSession, path: str, schema: str = ACCESS_LOG) -> DataFrame:
     """Rows of a log; malformed lines are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -330,6 +330,20 @@ def test_place_mentions_keep_their_digits(make):
     assert row["places"] == ["at 130", "near 101"]
 
 
+def test_severities_and_default_confidences(spark):
+    pairs = spark.createDataFrame([("LOW", "HIGH"), ("CRITICAL", "HIGH"), ("HIGH", "HIGH"), (None, "LOW")], "a STRING, b STRING")
+    assert [tuple(r) for r in pairs.select(scores.compare_severity(F.col("a"), F.col("b")), scores.is_high(F.col("a"))).collect()] == [(-1, False), (1, True), (0, True), (None, False)]
+    assert column(spark, ["PHONE", "PERSON", "OTHER", None], scores.default_confidence) == [0.9, 0.85, 0.8, 0.8]
+
+
+def test_stored_edges_keep_their_properties(spark):
+    shape = "case_id STRING, edge_type STRING, from_node STRING, to_node STRING, document_id STRING, chunk_id STRING, n BIGINT"
+    stored = spark.createDataFrame([("K", "OWNS", "a", "b", "D1", "C1", 3)], shape)
+    more = spark.createDataFrame([("K", "OWNS", "a", "b", "D0", "C0", 1), ("K", "OWNS", "b", "a", "D2", "C1", 1), ("K", "OWNS", "b", "a", "D1", "C1", 1), ("K", "OWNS", "a", "x", "D1", "C1", 1), ("L", "OWNS", "a", "b", "D1", "C1", 1)], shape)
+    nodes = spark.createDataFrame([("K", "a"), ("K", "b"), ("L", "a")], "case_id STRING, node_id STRING")
+    assert {tuple(r)[2:6] for r in graph.upsert_edges(stored, more, nodes).collect()} == {("a", "b", "D1", "C1"), ("b", "a", "D1", "C1")}
+
+
 # --- sources, streams -------------------------------------------------------
 
 
@@ -351,6 +365,9 @@ def test_files_with_errors(spark, tmp_path):
 def test_logs(spark, tmp_path):
     rows = spark.createDataFrame([(f"2024-01-0{i}T00:00:00", f"u{i % 2}", None, "READ", "K", None, "ok", None) for i in range(1, 6)], logs.ACCESS_LOG)
     logs.append(rows, str(tmp_path / "log"))
+    made = logs.entries(spark.createDataFrame([("u", "r", "READ", None, None, None)], "user_id STRING, role STRING, action STRING, case_id STRING, ip_address STRING, details STRING"))
+    logs.append_daily(rows.unionByName(made), str(tmp_path / "daily"))
+    assert len(list((tmp_path / "daily").glob("day=*"))) == 6 and logs.read(spark, str(tmp_path / "daily")).where("status = 'SUCCESS'").count() == 1
     (tmp_path / "log" / "case_id=K" / "torn.json").write_text("{broken\n")
     log = logs.read(spark, str(tmp_path / "log"))
     assert log.count() == 5 and logs.select(log, user_id="u1", since="2024-01-02", until="2024-01-04", action=None).count() == 1
