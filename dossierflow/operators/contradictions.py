@@ -113,19 +113,36 @@ def class_pairs(entities: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     return by_cues.unionByName(apart.select("case_id", "entity", "type", none.alias("class_a"), none.alias("class_b"), "key_a", "key_b", "n_a", "n_b"))
 
 
-def speaker_pairs(chunks: DataFrame) -> DataFrame:
-    """Candidate pairs without named entities: ``case_id, key_a, key_b, shared``, where a chunk holds the whole label of the other's speaker, or its first name if both have a label.
+def _spoken(chunks: DataFrame) -> DataFrame:
+    own = once(chunks.select("case_id", "document_id", "chunk_id", "text", "speaker"), "document_id", "chunk_id")
+    return own.select("case_id", F.concat_ws("/", "document_id", "chunk_id").alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.nullif("speaker", F.lit("")).alias("speaker"))
 
-    The labels of a case are few, so chunks meet labels first: a label is looked
-    for once in each chunk of its case, by one of its words.
+
+def speaker_members(chunks: DataFrame) -> DataFrame:
+    """Chunks spoken under each label: ``case_id, label, key``."""
+    return _spoken(chunks).where("speaker is not null").select("case_id", F.col("speaker").alias("label"), "key")
+
+
+def speaker_mentions(chunks: DataFrame) -> DataFrame:
+    """Chunks that name the speaker of others: ``case_id, label, key, n``.
+
+    Without named entities, a chunk shares a speaker with all chunks spoken under
+    a label that stands in its text, or whose first name does if it has a label
+    itself; ``n`` counts them. Together with ``speaker_members`` this says it of
+    every pair of chunks without a row for each. The labels of a case are
+    distinct and few, and meet its chunks by case.
     """
-    own = once(chunks.select("case_id", "document_id", "chunk_id", "text", "speaker"), "document_id", "chunk_id").select("case_id", F.concat_ws("/", "document_id", "chunk_id").alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.nullif("speaker", F.lit("")).alias("speaker"))
+    own = _spoken(chunks)
     label = F.lower("speaker")
-    labels = own.where("speaker is not null").select("case_id", F.col("speaker").alias("label"), label.alias("whole"), F.split(label, r"(?U)\s+")[0].alias("head")).distinct()
-    # Whatever holds the label or its first name inside a word holds it as text: labels of a case against its chunks.
-    held = own.select("case_id", "key", "low", F.col("speaker").isNotNull().alias("labelled")).join(labels, "case_id").where(F.col("low").contains(F.col("head")) & (F.col("labelled") | F.col("low").contains(F.col("whole"))))
-    said = own.where("speaker is not null").select("case_id", F.col("speaker").alias("label"), F.col("key").alias("by"))
-    met = held.select("case_id", "key", "label").join(said, ["case_id", "label"]).where("key <> by")
+    labels = own.where("speaker is not null").groupBy("case_id", F.col("speaker").alias("label"), label.alias("whole"), F.split(label, r"(?U)\s+")[0].alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    met = own.join(labels, "case_id").where(F.col("low").contains(F.col("head")) & (F.col("speaker").isNotNull() | F.col("low").contains(F.col("whole"))))
+    others = F.col("n") - F.col("speaker").eqNullSafe(F.col("label")).cast("int")
+    return met.select("case_id", "label", "key", others.alias("n")).where("n > 0")
+
+
+def speaker_pairs(mentions_: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs behind some mentions, as candidates for ``detect``: ``case_id, key_a, key_b, shared``, as many as chunks times chunks at most."""
+    met = mentions_.select("case_id", "label", "key").join(members.select("case_id", "label", F.col("key").alias("by")), ["case_id", "label"]).where("key <> by")
     return met.groupBy("case_id", F.least("key", "by").alias("key_a"), F.greatest("key", "by").alias("key_b")).agg(F.array_sort(F.collect_set("label")).alias("shared"))
 
 

@@ -387,11 +387,11 @@ _PAIRED = f"SELECT a.case_id, a.key AS key_a, b.key AS key_b, list_sort(list(a.e
 _add("claims_found", lambda n, c, b: _flat(contradictions.search(entities.listed_entities(n), c, times=_times(c, b)), "shared"), "ner_results", "chunks", "cleaned_blocks",
      sql=_detect_sql(_CLAIMS, _PAIRED, f"SELECT document_id || '/' || chunk_id AS key, ts FROM ({_CHUNK_EVENTS})"))
 _HEAD = r"regexp_split_to_array(lower(speaker), '[\s\p{Z}]+')[1]"
-_add("speaker_pairs", lambda c: _flat(contradictions.speaker_pairs(c), "shared"), "chunks", sql=f"""
-    WITH own AS MATERIALIZED (SELECT case_id, document_id || '/' || chunk_id AS key, lower(coalesce(text, '')) AS low, nullif(speaker, '') AS speaker FROM ({_CHUNKS})),
-    hit AS (SELECT a.case_id, a.key AS ka, b.key AS kb, b.speaker AS label FROM own a JOIN own b ON a.case_id = b.case_id AND a.key <> b.key AND b.speaker IS NOT NULL
-            WHERE contains(a.low, lower(b.speaker)) OR (a.speaker IS NOT NULL AND contains(a.low, {_HEAD.replace('speaker', 'b.speaker')})))
-    SELECT case_id, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b, array_to_string(list_sort(list_distinct(list(label))), ',') AS shared FROM hit GROUP BY ALL""")
+_SPOKEN = f"SELECT case_id, document_id || '/' || chunk_id AS key, lower(coalesce(text, '')) AS low, nullif(speaker, '') AS speaker FROM ({_CHUNKS})"
+_add("speaker_members", contradictions.speaker_members, "chunks", sql=f"SELECT case_id, speaker AS label, key FROM ({_SPOKEN}) WHERE speaker IS NOT NULL")
+_add("speaker_mentions", contradictions.speaker_mentions, "chunks", sql=f"""
+    WITH own AS MATERIALIZED ({_SPOKEN}) SELECT a.case_id, b.speaker AS label, a.key, count(*) AS n FROM own a JOIN own b ON a.case_id = b.case_id AND a.key <> b.key AND b.speaker IS NOT NULL
+    WHERE contains(a.low, lower(b.speaker)) OR (a.speaker IS NOT NULL AND contains(a.low, {_HEAD.replace('speaker', 'b.speaker')})) GROUP BY ALL""")
 _CUES = [("denies", T.DENIALS), ("asserts", T.ASSERTIONS)]
 _add("claim_cues", lambda c: contradictions.claims(c).select("document_id", "chunk_id", "denies", "asserts", "physical"), "chunks", sql="SELECT document_id, chunk_id, "
      + ", ".join("(" + " OR ".join(f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + f") AS {name}" for name, patterns in _CUES)

@@ -325,6 +325,20 @@ def test_events_of_chunks(make, spark):
     assert got == [("EVT_K_1_0001", "C1", 0.8, "t1"), ("EVT_K_1_0002", "C2", 0.8, "t2")]
 
 
+def test_pairs_by_speaker_equal_brute_force(make):
+    people = ["Ann Hall", "Bo Kerr", "ann lee", None, ""]
+    texts = ["Then Ann Hall left.", "bo said nothing", "I saw ANN LEE.", None, "Nobody."]
+    rows = [{"case_id": c, "document_id": "D" + c, "chunk_id": f"C{i}{j}", "speaker": s, "text": t} for c in "KL" for i, s in enumerate(people) for j, t in enumerate(texts)]
+    want = set()
+    for x, y in itertools.permutations(rows, 2):
+        s, low = y["speaker"], (x["text"] or "").lower()
+        if x["case_id"] == y["case_id"] and s and (s.lower() in low or x["speaker"] and s.lower().split()[0] in low):
+            want.add((x["case_id"], *sorted((f"{x['document_id']}/{x['chunk_id']}", f"{y['document_id']}/{y['chunk_id']}")), s))
+    chunks = make("chunks", *rows, rows[0])
+    pairs = contradictions.speaker_pairs(contradictions.speaker_mentions(chunks), contradictions.speaker_members(chunks))
+    assert {(r["case_id"], r["key_a"], r["key_b"], s) for r in pairs.collect() for s in r["shared"]} == want
+
+
 def test_place_mentions_keep_their_digits(make):
     row = contradictions.claims(make("chunks", {"case_id": "K", "document_id": "D", "chunk_id": "C", "text": "He was at 130, then near 101."})).first()
     assert row["places"] == ["at 130", "near 101"]
@@ -427,7 +441,7 @@ EDGES = {
     "parsed": (parsing.parse_blocks, ["content_blocks"], 0), "spans": (parsing.timestamp_spans, ["content_blocks"], 0), "cleaned": (cleaning.clean_blocks, ["content_blocks"], 1),
     "readings": (cleaning.readings, ["cleaned_blocks"], 0), "groups": (chunking.boundary_groups, ["cleaned_blocks"], 1), "chunks": (chunking.chunk_blocks, ["cleaned_blocks"], 0),
     "rules": (entities.extract, ["chunks"], 0), "listed": (entities.listed_entities, ["ner_results"], 0), "upsert": (graph.upsert, ["graph_nodes"], 1), "events": (timeline.events_from_blocks, ["cleaned_blocks"], 0),
-    "results": (extraction.results, ["content_blocks"], 0), "speaker pairs": (contradictions.speaker_pairs, ["chunks"], 0), "tokens": (chunking.bpe_counts, ["chunks"], 1),
+    "results": (extraction.results, ["content_blocks"], 0), "speaker members": (contradictions.speaker_members, ["chunks"], 0), "speaker mentions": (contradictions.speaker_mentions, ["chunks"], 0), "tokens": (chunking.bpe_counts, ["chunks"], 1),
     "judged": (contradictions.judged, ["contradictions"], 0), "severities": (contradictions.severities, ["contradictions"], 1),
 }
 
