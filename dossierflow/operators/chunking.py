@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -95,8 +95,7 @@ def boundary_groups(blocks: DataFrame) -> DataFrame:
         F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n_blocks"), F.sum(token_count(F.col("clean_text"))).alias("n_tokens"),
         F.coalesce(F.min(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))), F.lit(1.0)).alias("confidence"),
     )
-    order = Window.partitionBy("document_id").orderBy("first_ord", "page", F.col("speaker").asc_nulls_first())
-    return grouped.select("document_id", "page", "speaker", F.row_number().over(order).alias("grp"), "n_blocks", "n_tokens", "confidence")
+    return Ordered(grouped, ["document_id"], ["first_ord", "page", "speaker"]).number("grp").select("document_id", "page", "speaker", "grp", "n_blocks", "n_tokens", "confidence")
 
 
 CHUNK = "case_id STRING, document_id STRING, page INT, speaker STRING, first_ord INT, part INT, text STRING, source_block_ids ARRAY<STRING>, token_count INT, chunk_confidence DOUBLE"

@@ -107,8 +107,8 @@ def replace_pages(native: DataFrame, recognised: DataFrame) -> DataFrame:
     kept = native.join(recognised.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
     columns = ["document_id", "page", "ord", "text"]
     both = kept.select(*columns).unionByName(recognised.select(*columns))
-    order = Window.partitionBy("document_id").orderBy("page", "ord", "text")
-    return both.withColumn("new_id", F.concat(F.lit("b"), F.row_number().over(order)))
+    numbered = Ordered(both, ["document_id"], ["page", "ord", "text"]).number("n")
+    return numbered.select(*columns, F.concat(F.lit("b"), "n").alias("new_id"))
 
 
 def word_paragraphs(boxes: DataFrame) -> DataFrame:

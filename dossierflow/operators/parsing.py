@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
-from ..session import ship_package
+from ..session import ship_package, size_in_bytes
 from .base import once
-from .order import Ordered
+from .order import WINDOW_BYTES, Ordered
 
 # Notations of times and dates inside text, in the order in which they are tried.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -90,24 +90,37 @@ def timestamp_spans(blocks: DataFrame) -> DataFrame:
     return own.mapInPandas(scan, "document_id STRING, block_id STRING, start INT, end INT, raw STRING")
 
 
-def _furnished(own: DataFrame, least_pages: int, longest: int) -> DataFrame:
-    """Blocks once each, with ``is_header, is_footer``; windows of a page, and of a line that a document repeats."""
+def _furnished(own: DataFrame, least_pages: int, longest: int, window_bytes: int = WINDOW_BYTES) -> DataFrame:
+    """Blocks once each, with ``is_header, is_footer``.
+
+    The pages of a line are counted in a window of its document; where the input
+    is too large for one line to be one task they are summed first and joined.
+    """
+    divided = size_in_bytes(own) > window_bytes
     bare = T.strip(F.col("text"))
     page = Window.partitionBy("document_id", "page")
     placed = own.withColumns({
         "_key": F.when((F.length(bare) <= longest) & (bare != ""), T.comparable(F.col("text"))), "_number": T.is_page_number(F.col("text")),
         "_rank": F.row_number().over(page.orderBy("ord", "block_id")), "_of": F.count(F.lit(1)).over(page),
     })
+    if divided:
+        counts = placed.where("_key is not null").groupBy(F.col("document_id").alias("_doc"), F.col("_key").alias("_line")).agg(F.countDistinct("page").alias("_pages"))
+        counted = placed.join(counts, F.col("document_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_line")), "left").drop("_doc", "_line")
+        return _marked(counted, own.columns, least_pages)
     # The pages of a line are its ranks by page; lines without a key stand apart from each other and from all others.
     line = Window.partitionBy("document_id", F.coalesce("_key", F.concat(F.lit("\u0001"), "block_id")))
     ranked = placed.withColumn("_nth", F.when(F.col("page").isNotNull(), F.dense_rank().over(line.orderBy(F.col("page").asc_nulls_last()))))
-    pages = F.when(F.col("_key").isNotNull(), F.max("_nth").over(line))
-    repeated = ~F.col("_number") & (F.coalesce(pages, F.lit(0)) >= least_pages)
+    counted = ranked.withColumn("_pages", F.when(F.col("_key").isNotNull(), F.max("_nth").over(line)))
+    return _marked(counted, own.columns, least_pages)
+
+
+def _marked(counted: DataFrame, columns: list[str], least_pages: int) -> DataFrame:
+    repeated = ~F.col("_number") & (F.coalesce("_pages", F.lit(0)) >= least_pages)
     last = (F.col("_rank") == F.col("_of")) & (F.col("_rank") > 1)
-    return ranked.withColumn("_repeated", repeated).select(*own.columns, (F.col("_repeated") & ~last).alias("is_header"), (F.col("_number") | (F.col("_repeated") & last)).alias("is_footer"))
+    return counted.withColumn("_repeated", repeated).select(*columns, (F.col("_repeated") & ~last).alias("is_header"), (F.col("_number") | (F.col("_repeated") & last)).alias("is_footer"))
 
 
-def page_furniture(blocks: DataFrame, least_pages: int = 2, longest: int = 100) -> DataFrame:
+def page_furniture(blocks: DataFrame, least_pages: int = 2, longest: int = 100, window_bytes: int = WINDOW_BYTES) -> DataFrame:
     """``document_id, block_id, is_header, is_footer``.
 
     Page numbers are footers. Short text on several pages of a document is a
@@ -115,7 +128,7 @@ def page_furniture(blocks: DataFrame, least_pages: int = 2, longest: int = 100)
     it. Blank and null texts are neither.
     """
     own = once(blocks.select("document_id", "block_id", "ord", "page", "text"), "document_id", "block_id")
-    return _furnished(own, least_pages, longest).select("document_id", "block_id", "is_header", "is_footer")
+    return _furnished(own, least_pages, longest, window_bytes).select("document_id", "block_id", "is_header", "is_footer")
 
 
 def _sectioned(own: DataFrame, longest: int) -> DataFrame:

@@ -6,7 +6,7 @@ many tasks; conflicts are grouped by instant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -132,9 +132,8 @@ def time_range(events: DataFrame) -> DataFrame:
 
 def chronology(events: DataFrame) -> DataFrame:
     """Whether the events of a document stand in order of time in its text; unreadable ones are skipped."""
-    order = Window.partitionBy("document_id").orderBy("event_id")
-    own = events.withColumn("at", instant(F.col("ts"))).where("at is not null")
-    kept = own.withColumn("ok", F.coalesce(F.lag("at").over(order) <= F.col("at"), F.lit(True)))
+    own = events.select("document_id", "event_id", instant(F.col("ts")).alias("at")).where("at is not null")
+    kept = Ordered(own, ["document_id"], ["event_id"]).following("at").withColumn("ok", F.coalesce(F.col("at") <= F.col("next_at"), F.lit(True)))
     return kept.groupBy("document_id").agg(F.bool_and("ok").alias("ordered"), F.count(F.lit(1)).alias("n"))
 
 

@@ -45,6 +45,11 @@ def test_speakers(spark, text, speaker, rest):
     assert [tuple(x) for x in column(spark, [text], T.detect_speaker)] == [(speaker, rest)]
 
 
+def test_furniture_of_large_inputs_is_the_same(table):
+    windowed, joined = (sorted(map(tuple, parsing.page_furniture(table("parsed_blocks"), window_bytes=n).collect()), key=repr) for n in (1 << 200, 0))
+    assert windowed == joined and any(r[2] for r in windowed)
+
+
 def test_mentions_prefer_the_longer():
     assert [x for _, _, x in parsing.mentions("On March 15, 2024 at 8:15 PM, and 0815 hours yesterday, or 15.03.2024.")] == ["March 15, 2024 at 8:15 PM", "0815 hours", "yesterday", "15.03.2024"]
     assert parsing.mentions(None) == [] and parsing.mentions("no time") == []
