@@ -9,6 +9,9 @@ pairs that are given, ``search`` of all pairs of chunks that share an entity.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,11 +149,59 @@ def speaker_pairs(mentions_: DataFrame, members: DataFrame) -> DataFrame:
     return met.groupBy("case_id", F.least("key", "by").alias("key_a"), F.greatest("key", "by").alias("key_b")).agg(F.array_sort(F.collect_set("label")).alias("shared"))
 
 
-def search(entities: DataFrame, chunks: DataFrame, least: float = 0.5, times: DataFrame | None = None, **options) -> DataFrame:
-    """``detect`` of all pairs of chunks of a case that share an entity: a row with confidence and severity for each, so as many as the square of an entity's chunks."""
-    own = mentions(entities, **options).select("case_id", "entity", "key")
-    pairs = own.withColumnRenamed("key", "key_a").join(own.withColumnRenamed("key", "key_b"), ["case_id", "entity"]).where("key_a < key_b")
-    return detect(pairs.groupBy("case_id", "key_a", "key_b").agg(F.array_sort(F.collect_list("entity")).alias("shared")), chunks, times, least)
+#: Members of an entity that meet as one block; of larger groups each block meets each in a task of its own.
+BLOCK = 2048
+#: Pairs of members that one task may meet.
+TASK_PAIRS = 1 << 22
+
+
+def _bits(values: Column) -> Column:
+    """64 bits of a list: lists without a common bit have no value in common, others may."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
+
+def _disjoint(name: str, bits: str) -> Column:
+    """Whether the lists of both sides have nothing in common; looked at only where a bit is."""
+    return (F.col(f"{bits}_a").bitwiseAND(F.col(f"{bits}_b")) == 0) | ~F.arrays_overlap(f"{name}_a", f"{name}_b")
+
+
+def search(entities: DataFrame, chunks: DataFrame, least: float = 0.5, times: DataFrame | None = None, block: int = BLOCK, task_pairs: int = TASK_PAIRS, **options) -> DataFrame:
+    """``detect`` of all pairs of chunks of a case that share an entity: a row with confidence and severity for each, so as many as the square of an entity's chunks.
+
+    Chunks meet under each entity whose first word they hold, and a pair counts
+    under the first of those it shares, which is what its rules are about; so it
+    is known where it is met, and no pair is written or sent to another task.
+    """
+    own = claims(chunks).where(F.col("confidence") >= least)
+    # Entities are gathered by chunk, so that what is known of a chunk meets them in one row.
+    listed = mentions(entities, **options).groupBy("case_id", "key").agg(F.array_sort(F.collect_list(F.struct("entity", "head"))).alias("named"))
+    met = own.drop("case_id").join(listed.where("case_id is not null"), "key")
+    met = met.join(times.groupBy("key").agg(F.max("ts").alias("ts")), "key", "left") if times is not None else met.withColumn("ts", F.lit(None).cast("string"))
+    held = F.filter("named", lambda e: F.array_contains("words", F.regexp_replace(e["head"], r"(?U)[^\w]+", "")))
+    plain = met.withColumn("held", F.transform(held, lambda e: e["entity"])).where(F.size("held") > 0).select(
+        "case_id", "key", "confidence", F.round("confidence", 6).alias("rounded"), *CUES, "ts", *[c for v in VALUES.values() for c in (v, _bits(F.col(v)).alias(f"{v}_bits"))],
+        "held", F.transform("named", lambda e: e["entity"]).alias("shared"),
+    )
+    named = materialize(plain, "claims")
+    groups = named.select("case_id", F.explode("held").alias("about")).groupBy("case_id", "about").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    pairs = groups.agg(F.sum(n.cast("double") * n)).first()[0] or 0
+    large = groups.where(n > block).select("case_id", "about", F.ceil(n / block).cast("int").alias("of"))  # at most one for ``block`` members
+    each = named.select("*", F.posexplode("held").alias("at", "about")).withColumns({
+        "before": F.slice("held", F.lit(1), F.col("at")), "before_bits": _bits(F.slice("held", F.lit(1), F.col("at"))), "other_bits": _bits(F.array_remove("shared", F.col("about"))),
+    }).drop("held", "at")
+    placed = each.join(F.broadcast(large), ["case_id", "about"], "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("key"), "of").cast("int"))
+    tasks = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / task_pairs))
+    on = ["case_id", "about", "block_a", "block_b"]
+
+    def side(s: str, t: str) -> DataFrame:
+        mine = placed.withColumn(f"block_{t}", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumnRenamed("block", f"block_{s}").drop("of")
+        return mine.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in mine.columns if c not in on]).repartition(tasks, *on)
+
+    both = side("a", "b").join(side("b", "a").hint("merge"), on).where((F.col("key_a") < F.col("key_b")) & _disjoint("before", "before_bits"))
+    shared = F.when(F.col("other_bits_a").bitwiseAND(F.col("other_bits_b")) == 0, F.array("about")).otherwise(F.array_intersect("shared_a", "shared_b"))
+    apart = lambda x: (F.col(f"{x}_bits_a") != 0) & (F.col(f"{x}_bits_b") != 0) & _disjoint(x, f"{x}_bits")
+    return _ruled(both.withColumn("shared", shared).withColumn("same", F.coalesce(F.col("ts_a") == F.col("ts_b"), F.lit(False))), apart, least)
 
 
 def pair_score(deny_a: Column, deny_b: Column, home_a: Column, scene_a: Column, home_b: Column, scene_b: Column) -> Column:
@@ -176,7 +227,7 @@ def detect(pairs: DataFrame, chunks: DataFrame, times: DataFrame | None = None,
     last timestamp of a chunk (``key, ts``); equal ones make a place conflict
     graver.
     """
-    c = claims(chunks)
+    c = claims(chunks).withColumn("rounded", F.round("confidence", 6))
     side = lambda s: c.select([F.col(x).alias(f"{x}_{s}") for x in c.columns if x != "case_id"])
     met = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
     if times is not None:
@@ -191,27 +242,38 @@ def detect(pairs: DataFrame, chunks: DataFrame, times: DataFrame | None = None,
     about = F.try_element_at(F.filter("shared", lambda e: F.array_contains(both, bare(e))), F.lit(1))
     met = met.withColumn("about", about).withColumn("same", same).where("about is not null")
     apart = lambda x: (F.size(f"{x}_a") > 0) & (F.size(f"{x}_b") > 0) & (F.size(F.array_intersect(f"{x}_a", f"{x}_b")) == 0)
-    kind = lambda name, why: F.struct(F.lit(name).alias("type"), why.alias("why"))
-    e = F.col("about")
-    rules = F.array_compact(
-        F.array(
-            F.when(F.col("denies_a") & F.col("asserts_b"), kind("DENIAL_VS_ASSERTION", F.concat(F.lit("Chunk A denies while Chunk B asserts about "), e, F.lit("."))))
-            .when(F.col("denies_b") & F.col("asserts_a"), kind("DENIAL_VS_ASSERTION", F.concat(F.lit("Chunk B denies while Chunk A asserts about "), e, F.lit(".")))),
-            F.when(apart("places"), kind("LOCATION_CONFLICT", F.concat(e, F.lit(" claimed "), F.col("places_a")[0], F.lit(" vs "), F.col("places_b")[0], F.lit(".")))),
-            F.when(apart("times"), kind("TIME_CONFLICT", F.concat(e, F.lit(" has conflicting times: "), F.col("times_a")[0], F.lit(" vs "), F.col("times_b")[0], F.lit(".")))),
-            F.when(
-                (F.col("physical_a") != F.col("physical_b")) & F.when(F.col("physical_a"), F.col("denies_b")).otherwise(F.col("denies_a")),
-                kind("STATEMENT_VS_EVIDENCE", F.concat(F.lit("Statement denies evidence regarding "), e, F.lit("."))),
-            ),
-        )
-    )
+    return _ruled(met, apart, least)
+
+
+def _ruled(met: DataFrame, apart: Callable[[str], Column], least: float) -> DataFrame:
+    """The four rules for pairs with what is known of both sides, ``about``, ``shared`` and ``same``; ``apart`` tells whether both have values and none in common."""
+    rules = F.array(
+        F.when(F.col("denies_a") & F.col("asserts_b"), 0).when(F.col("denies_b") & F.col("asserts_a"), 1),
+        F.when(apart("places"), 2), F.when(apart("times"), 3),
+        F.when((F.col("physical_a") != F.col("physical_b")) & F.when(F.col("physical_a"), F.col("denies_b")).otherwise(F.col("denies_a")), 4),
+    )
     scored = met.withColumn("nli", opposition(pair_score(*[F.col(x) for x in ("negates_a", "negates_b", "home_a", "scene_a", "home_b", "scene_b")])))
-    confirmed = (F.col("nli.label") == "contradiction") & (F.col("nli.confidence") >= 0.7)
-    confidence = F.least("confidence_a", "confidence_b", F.when(confirmed, F.col("nli.confidence")))
-    found = scored.select("case_id", "key_a", "key_b", "shared", "same", confidence.alias("confidence"), F.col("nli.label").alias("label"), F.explode(rules).alias("r")).where(F.col("confidence") >= least)
+    nli = F.col("nli.confidence")
+    confirmed = (F.col("nli.label") == "contradiction") & (nli >= 0.7)
+    # Rounding keeps order, so the lowest of rounded values is the lowest one rounded.
+    confidence, rounded = F.least("confidence_a", "confidence_b", F.when(confirmed, nli)), F.least("rounded_a", "rounded_b", F.when(confirmed, F.round(nli, 6)))
+    found = scored.select(
+        "case_id", "key_a", "key_b", "shared", "same", "about", *[f"{v}_{s}" for v in VALUES.values() for s in "ab"], confidence.alias("confidence"), rounded.alias("rounded"),
+        F.col("nli.label").alias("label"), F.explode(rules).alias("rule"),
+    ).where(F.col("rule").isNotNull() & (F.col("confidence") >= least))
+    rule, e = F.col("rule"), F.col("about")
+    kind = F.array(*map(F.lit, ("DENIAL_VS_ASSERTION", "DENIAL_VS_ASSERTION", *VALUES, "STATEMENT_VS_EVIDENCE")))[rule]
+    first = lambda x: (F.col(f"{x}_a")[0], F.lit(" vs "), F.col(f"{x}_b")[0], F.lit("."))
+    why = (
+        F.when(rule == 0, F.concat(F.lit("Chunk A denies while Chunk B asserts about "), e, F.lit(".")))
+        .when(rule == 1, F.concat(F.lit("Chunk B denies while Chunk A asserts about "), e, F.lit(".")))
+        .when(rule == 2, F.concat(e, F.lit(" claimed "), *first("places")))
+        .when(rule == 3, F.concat(e, F.lit(" has conflicting times: "), *first("times")))
+        .otherwise(F.concat(F.lit("Statement denies evidence regarding "), e, F.lit(".")))
+    )
     return found.select(
-        "case_id", "key_a", "key_b", F.col("r.type").alias("type"), "shared", F.col("r.why").alias("explanation"), F.round("confidence", 6).alias("confidence"),
-        scores.severity(F.col("r.type"), F.col("confidence"), F.size("shared"), F.col("same")).alias("severity"), "label",
+        "case_id", "key_a", "key_b", kind.alias("type"), "shared", why.alias("explanation"), F.col("rounded").alias("confidence"),
+        scores.severity(kind, F.col("confidence"), F.size("shared"), F.col("same")).alias("severity"), "label",
     )
 
 

@@ -42,6 +42,13 @@ def chunk_readings(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     return each.select("document_id", "chunk_id", F.posexplode("t").alias("pos", "t")).select("document_id", "chunk_id", "pos", "t.original", "t.iso", "t.confidence")
 
 
+def last_readings(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``document_id, chunk_id, ts``: the last value, as text, among the ``chunk_readings`` of each chunk that has one."""
+    own = chunks.where("chunk_id is not null").select("document_id", "chunk_id", F.explode("source_block_ids").alias("block_id"))
+    read = blocks.select("document_id", "block_id", F.array_max(F.filter("normalized_timestamps.iso", lambda x: x != "")).alias("ts")).where("ts is not null")
+    return own.join(read, ["document_id", "block_id"]).groupBy("document_id", "chunk_id").agg(F.max("ts").alias("ts"))
+
+
 def events_from_chunks(chunks: DataFrame, readings: DataFrame) -> DataFrame:
     """One event per reading with a value of each chunk: ``case_id, document_id, chunk_id, pos, event_id, ts, speaker, confidence, original, description``.
 

@@ -218,6 +218,42 @@ def test_places_and_times_are_searched_over_all_chunks(table):
     assert {(r["type"], r["key_a"], r["key_b"]) for r in rows} == apart and all(r["severity"] and r["confidence"] >= 0.5 for r in rows)
 
 
+def _shuffled(spark):
+    """Rows that all stages so far have written for others."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_search_sends_no_pair_to_another_task(make, spark):
+    n = 150
+    chunks = make("chunks", *[{"case_id": "K", "document_id": "D", "chunk_id": f"{i:03}", "text": f"Bob was near Elm{i}.", "chunk_confidence": 0.9} for i in range(n)])
+    named = make("ner_results", *[{"case_id": "K", "document_id": "D", "chunk_id": f"{i:03}", "entities": [{"text": "Bob", "entity_type": "PERSON"}]} for i in range(n)])
+    before = _shuffled(spark)
+    assert len(contradictions.search(entities.listed_entities(named), chunks).collect()) == n * (n - 1) // 2
+    assert _shuffled(spark) - before < 20 * n
+
+
+def test_search_in_blocks_is_detect_of_all_pairs(make, spark):
+    said = ("Bob denied it near Elm.", "Bob Hall and Ann said he was at home at 8 PM.", "Ann: the camera shows Bob at the scene, 9 PM.", "Ann did not see O'Neil, never near Elm.", "Nobody was there.", "Ann was outside Oak at 8 PM with Bob.", None)
+    who = (("Bob", "Bob Hall", "Ann"), ("Bob", " bob  hall", "Cid"), ("Ann", "Bob", "O'Neil"), ("Ann", "O'Neil", "-"), ())
+    rows = [{"case_id": "K" if i % 5 else "L", "document_id": f"D{i % 2}", "chunk_id": f"{i:02}", "text": said[i % 7], "chunk_confidence": (0.95, 0.7, None, 0.55, 0.4, 0.5000004)[i % 6]} for i in range(60)]
+    chunks = make("chunks", *rows, rows[3])
+    named = make("ner_results", *[r | {"entities": [{"text": t, "entity_type": "PERSON"} for t in who[i * 3 % 5]]} for i, r in enumerate(rows)], {"document_id": "D9", "chunk_id": "00", "entities": [{"text": "Bob", "entity_type": "PERSON"}]})
+    e = entities.listed_entities(named)
+    of = {}
+    for r in contradictions.mentions(e).collect():
+        of.setdefault((r["case_id"], r["key"]), set()).add(r["entity"])
+    met = [(c, k, m, sorted(of[c, k] & of[d, m])) for (c, k), (d, m) in itertools.permutations(of, 2) if c and c == d and k < m and of[c, k] & of[d, m]]
+    pairs = spark.createDataFrame(met, "case_id STRING, key_a STRING, key_b STRING, shared ARRAY<STRING>")
+    times = spark.createDataFrame([(f"D{i % 2}/{i:02}", f"2024-01-0{i % 3 + 1}") for i in range(0, 60, 2)], "key STRING, ts STRING")
+    want = sorted(map(repr, contradictions.detect(pairs, chunks, times).collect()))
+    assert len(want) > 100 and len({w.split("type=")[1].split(",")[0] for w in want}) == 4
+    for block in (1, 5, 2048):
+        assert sorted(map(repr, contradictions.search(e, chunks, times=times, block=block, task_pairs=50).collect())) == want
+
+
 def test_no_pair_is_found_below_the_least_confidence(make):
     texts = {"a": ("Bob was near Elm.", 0.9), "b": ("Bob was outside Oak.", 0.9), "c": ("Bob was inside Fir.", 0.3)}
     chunks = make("chunks", *[{"case_id": "K", "document_id": "D", "chunk_id": i, "text": t, "chunk_confidence": c} for i, (t, c) in texts.items()])
