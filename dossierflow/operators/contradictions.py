@@ -201,7 +201,8 @@ def search(entities: DataFrame, chunks: DataFrame, least: float = 0.5, times: Da
     both = side("a", "b").join(side("b", "a").hint("merge"), on).where((F.col("key_a") < F.col("key_b")) & _disjoint("before", "before_bits"))
     shared = F.when(F.col("other_bits_a").bitwiseAND(F.col("other_bits_b")) == 0, F.array("about")).otherwise(F.array_intersect("shared_a", "shared_b"))
     apart = lambda x: (F.col(f"{x}_bits_a") != 0) & (F.col(f"{x}_bits_b") != 0) & _disjoint(x, f"{x}_bits")
-    return _ruled(both.withColumn("shared", shared).withColumn("same", F.coalesce(F.col("ts_a") == F.col("ts_b"), F.lit(False))), apart, least)
+    # Both confidences are high enough by now, and a confirmed one is CONFIRMED at least.
+    return _ruled(both.withColumn("shared", shared).withColumn("same", F.coalesce(F.col("ts_a") == F.col("ts_b"), F.lit(False))), apart, least if least > CONFIRMED else None)
 
 
 def pair_score(deny_a: Column, deny_b: Column, home_a: Column, scene_a: Column, home_b: Column, scene_b: Column) -> Column:
@@ -209,13 +210,15 @@ def pair_score(deny_a: Column, deny_b: Column, home_a: Column, scene_a: Column,
     return F.when(deny_a != deny_b, 0.3).otherwise(0.0) + F.when((home_a & scene_b) | (scene_a & home_b), 0.4).otherwise(0.0)
 
 
+def _opposed(score: Column) -> tuple[Column, Column]:
+    label = F.when(score > 0.5, "contradiction").when(score > 0.2, "neutral").otherwise("entailment")
+    return label, F.when(score > 0.5, F.least(score, F.lit(0.95))).when(score > 0.2, F.lit(0.6)).otherwise(F.lit(0.5))
+
+
 def opposition(score: Column) -> Column:
     """``struct(label, confidence)`` of a score."""
-    return (
-        F.when(score > 0.5, F.struct(F.lit("contradiction").alias("label"), F.least(score, F.lit(0.95)).alias("confidence")))
-        .when(score > 0.2, F.struct(F.lit("neutral").alias("label"), F.lit(0.6).alias("confidence")))
-        .otherwise(F.struct(F.lit("entailment").alias("label"), F.lit(0.5).alias("confidence")))
-    )
+    label, confidence = _opposed(score)
+    return F.struct(label.alias("label"), confidence.alias("confidence"))
 
 
 def detect(pairs: DataFrame, chunks: DataFrame, times: DataFrame | None = None, least: float = 0.5) -> DataFrame:
@@ -245,22 +248,28 @@ def detect(pairs: DataFrame, chunks: DataFrame, times: DataFrame | None = None,
     return _ruled(met, apart, least)
 
 
-def _ruled(met: DataFrame, apart: Callable[[str], Column], least: float) -> DataFrame:
+#: Confidence of a pair score from which it counts in the confidence of the pair.
+CONFIRMED = 0.7
+
+
+def _ruled(met: DataFrame, apart: Callable[[str], Column], least: float | None) -> DataFrame:
     """The four rules for pairs with what is known of both sides, ``about``, ``shared`` and ``same``; ``apart`` tells whether both have values and none in common."""
     rules = F.array(
         F.when(F.col("denies_a") & F.col("asserts_b"), 0).when(F.col("denies_b") & F.col("asserts_a"), 1),
         F.when(apart("places"), 2), F.when(apart("times"), 3),
         F.when((F.col("physical_a") != F.col("physical_b")) & F.when(F.col("physical_a"), F.col("denies_b")).otherwise(F.col("denies_a")), 4),
     )
-    scored = met.withColumn("nli", opposition(pair_score(*[F.col(x) for x in ("negates_a", "negates_b", "home_a", "scene_a", "home_b", "scene_b")])))
-    nli = F.col("nli.confidence")
-    confirmed = (F.col("nli.label") == "contradiction") & (nli >= 0.7)
+    scored = met.withColumn("score", pair_score(*[F.col(x) for x in ("negates_a", "negates_b", "home_a", "scene_a", "home_b", "scene_b")]))
+    label, nli = _opposed(F.col("score"))
+    confirmed = (label == "contradiction") & (nli >= CONFIRMED)
     # Rounding keeps order, so the lowest of rounded values is the lowest one rounded.
     confidence, rounded = F.least("confidence_a", "confidence_b", F.when(confirmed, nli)), F.least("rounded_a", "rounded_b", F.when(confirmed, F.round(nli, 6)))
     found = scored.select(
         "case_id", "key_a", "key_b", "shared", "same", "about", *[f"{v}_{s}" for v in VALUES.values() for s in "ab"], confidence.alias("confidence"), rounded.alias("rounded"),
-        F.col("nli.label").alias("label"), F.explode(rules).alias("rule"),
-    ).where(F.col("rule").isNotNull() & (F.col("confidence") >= least))
+        label.alias("label"), F.explode(rules).alias("rule"),
+    ).where("rule is not null")
+    if least is not None:
+        found = found.where(F.col("confidence") >= least)
     rule, e = F.col("rule"), F.col("about")
     kind = F.array(*map(F.lit, ("DENIAL_VS_ASSERTION", "DENIAL_VS_ASSERTION", *VALUES, "STATEMENT_VS_EVIDENCE")))[rule]
     first = lambda x: (F.col(f"{x}_a")[0], F.lit(" vs "), F.col(f"{x}_b")[0], F.lit("."))
